@@ -12,6 +12,7 @@ from skyframe.operators.joins import best_per_key
 from skyframe.operators.ledger import counts_to_ledger
 from skyframe.operators.rank import exact_quantiles
 from skyframe.operators.sky import counterparts, resolve_shared_targets
+from skyframe.session import settle
 from skyframe.params import EXCLUDED_CLASSES, MATCHED_COLUMNS, TARGET_COLUMNS, CrossmatchParams
 
 
@@ -132,7 +133,8 @@ class Crossmatch:
 def crossmatch(detections: DataFrame, targets: DataFrame, params: CrossmatchParams = CrossmatchParams()) -> Crossmatch:
     """Match every detection to its best target and resolve targets that several detections share.
 
-    Flags rather than filters carry the cuts, so the ledger is an aggregate over the same rows.
+    Flags rather than filters carry the cuts, so the ledger is an aggregate over the same rows, which
+    are written once as a stage table.
     """
     detections, targets = clean_numbers(detections), clean_numbers(targets)
     primaries = primary_detections(detections).withColumn(
@@ -145,6 +147,7 @@ def crossmatch(detections: DataFrame, targets: DataFrame, params: CrossmatchPara
               .withColumn("matched", F.col("targetid").isNotNull())
               .withColumn("not_excluded", not_excluded())
               .withColumn("reliable", reliable(params.uncalibrated_min)))
+    staged = settle(staged)  # one row per detection; every result below reads it, none repeats the sky join
     resolved = resolve_shared_targets(staged.filter("matched AND not_excluded AND reliable"), params.split_max_sep_arcsec)
     matched = resolved.filter("kept").select(*MATCHED_COLUMNS)
 
