@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.params import MAIN_RELEASES, MODALITIES, RELEASE_MASK, RELEASE_SHIFT
@@ -117,3 +117,14 @@ def shape_problem(image: Column | str, bands: Column | str, size: int, expected_
         .when(~F.forall(img, is_finite), "not_finite")
         .otherwise("ok")
     )
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    Neighbouring projections are merged by the optimizer, which would repeat a costly expression for
+    every element of a lambda that mentions it. A generator of one element keeps them apart.
+    """
+    held = F.struct(*[c.alias(name) for name, c in columns.items()])
+    out = df.withColumn("_held", F.explode(F.array(held)))
+    return out.select(*[c for c in df.columns if c not in columns], *[F.col(f"_held.{name}").alias(name) for name in columns])

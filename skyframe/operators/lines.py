@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions.core import is_finite
+from skyframe.functions.core import computed_once, is_finite
 from skyframe.functions.spectra import array_median, in_window, window_pixels
 from skyframe.params import (
     LIGHT_KMS, LINE_COMPLEXES, LINE_EDGE, LINE_MIN_COVER, LINE_MIN_PIXELS, LINE_MIN_WIDTH, LINE_START_WIDTHS, Grid, LineComplex,
@@ -38,15 +38,15 @@ def line_windows(spectra: DataFrame, grid: Grid) -> DataFrame:
     """
     cut = lines_in_window(spectra, grid)
     pixels = window_pixels(F.col("flux"), F.col("ivar"), F.col("z"), (F.col("lo"), F.col("hi")), grid)
-    cut = cut.select("targetid", "z", "line", "lo", "hi", pixels.alias("_pixels"))
-    cut = cut.withColumn("_good", F.filter("_pixels", lambda p: (p["v"] > 0) & is_finite(p["y"])))
+    cut = computed_once(cut, {"_pixels": pixels}).select("targetid", "z", "line", "lo", "hi", "_pixels")
+    cut = computed_once(cut, {"_good": F.filter("_pixels", lambda p: (p["v"] > 0) & is_finite(p["y"]))})
     span = F.col("hi") - F.col("lo")
     edge = F.filter("_good", lambda p: (p["x"] < F.col("lo") + LINE_EDGE * span) | (p["x"] > F.col("hi") - LINE_EDGE * span))
     cut = cut.select("targetid", "z", "line", "lo", "hi", F.size("_pixels").alias("n_window"), F.size("_good").alias("n_good"),
                      F.col("_good.x").alias("x"), F.col("_good.y").alias("y"), F.col("_good.v").alias("v"), edge.alias("_edge"))
     noise = array_median(F.transform("v", lambda v: 1 / F.sqrt(v)))
     base = F.when(F.size("_edge") > 10, array_median(F.col("_edge.y"))).otherwise(array_median(F.col("y")))
-    cut = cut.withColumns({"noise": noise, "c0": base}).withColumn("peak", F.array_max("y") - F.col("c0"))
+    cut = computed_once(cut, {"noise": noise, "c0": base}).withColumn("peak", F.array_max("y") - F.col("c0"))
     status = (F.when(F.col("n_window") < LINE_MIN_PIXELS, "off_grid")
               .when(F.col("n_good") < LINE_MIN_COVER * F.col("n_window"), "window_ivar")
               .when(~is_finite("noise") | (F.col("noise") <= 0), "bad_ivar")
@@ -57,7 +57,8 @@ def line_windows(spectra: DataFrame, grid: Grid) -> DataFrame:
 def moment_flux(windows: DataFrame) -> DataFrame:
     """Line flux without a fit: a weighted straight continuum from the window's edges, subtracted and summed.
 
-    Everything is folded inside the row; pixels share one rest-frame spacing.
+    Everything is folded inside the row; pixels share one rest-frame spacing. Moments are taken before the
+    line is solved, so no lambda walks pixels with a value that is itself computed from pixels.
     """
     lo, hi = F.col("lo"), F.col("hi")
     span, mid = hi - lo, (lo + hi) / 2
@@ -68,15 +69,16 @@ def moment_flux(windows: DataFrame) -> DataFrame:
         return F.aggregate(rows, F.lit(0.0), lambda a, p: a + term(p))
 
     sums = windows.filter("status IS NULL").select(
-        "targetid", "line", "z", "n_window", pixels.alias("_p"), mid.alias("_mid"), span.alias("_span"),
+        "targetid", "line", "z", "n_window", span.alias("_span"),
         total(edge, lambda p: p["v"]).alias("_w"), total(edge, lambda p: p["v"] * (p["x"] - mid)).alias("_x"),
         total(edge, lambda p: p["v"] * (p["x"] - mid) * (p["x"] - mid)).alias("_xx"),
-        total(edge, lambda p: p["v"] * p["y"]).alias("_y"), total(edge, lambda p: p["v"] * p["y"] * (p["x"] - mid)).alias("_xy"))
+        total(edge, lambda p: p["v"] * p["y"]).alias("_y"), total(edge, lambda p: p["v"] * p["y"] * (p["x"] - mid)).alias("_xy"),
+        total(pixels, lambda p: p["y"]).alias("_all_y"), total(pixels, lambda p: p["x"] - mid).alias("_all_x"), F.size("x").alias("_n"))
     det = F.col("_w") * F.col("_xx") - F.col("_x") * F.col("_x")
     fitted = sums.filter(det > 0).withColumns({
         "slope": (F.col("_w") * F.col("_xy") - F.col("_x") * F.col("_y")) / det,
         "level": (F.col("_y") * F.col("_xx") - F.col("_x") * F.col("_xy")) / det})
-    over = total(F.col("_p"), lambda p: p["y"] - (F.col("level") + F.col("slope") * (p["x"] - F.col("_mid"))))
+    over = F.col("_all_y") - F.col("level") * F.col("_n") - F.col("slope") * F.col("_all_x")
     step = F.col("_span") / F.col("n_window")
     return fitted.select("targetid", "line", "level", "slope", ((1 + F.col("z")) * over * step).alias("flux"))
 
@@ -203,6 +205,7 @@ def fit_lines(windows: DataFrame) -> DataFrame:
                     yield _fit_complex(pdf.iloc[start:start + 512], names[line])
 
     usable = windows.filter("status IS NULL").select("targetid", "z", "line", "x", "y", "v", "noise", "c0", "peak")
+    usable = usable.repartition("targetid", "line")  # fits cost far more than moving their pixels; spread them evenly
     fitted = usable.mapInPandas(fit, FIT_SCHEMA)
     gated = windows.filter("status IS NOT NULL").select("targetid", "z", "line", "status")
     return fitted.unionByName(gated, allowMissingColumns=True)

@@ -1 +1,321 @@
-"""Registered queries."""
+"""Densities, quadrature and scores."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from skyframe.functions import poisson as po
+from skyframe.functions.core import computed_once
+from skyframe.operators import density as dn
+from skyframe.operators import linear
+from skyframe.operators import sample as sm
+from skyframe.operators import scoring as sc
+from skyframe.params import Head
+from skyframe.plans import scoring as ps
+from skyframe.registry.base import query
+from skyframe.registry.sampling import SUBSETS_SQL
+
+SCORES = f"""
+scores AS (SELECT b.source_id, h.head, x.subset, x.ordinal, b.redshift, b.spectype, b.common,
+  CASE WHEN h.head = 'lx' THEN b.prior_lx ELSE b.prior_flux END AS prior,
+  (CASE WHEN h.head = 'lx' THEN b.prior_lx ELSE b.prior_flux END) + x.ordinal * 0.05e0 + ((b.source_id * 7 + x.ordinal * 13) % 29) / 40.0e0 AS ll
+  FROM v_score_base b, {SUBSETS_SQL} x, (SELECT unnest(['lx', 'flux']) AS head) h)"""
+
+
+def scores(v):
+    rows = sm.with_subsets(v.score_base)
+    rows = rows.withColumn("head", F.explode(F.array(F.lit("lx"), F.lit("flux"))))
+    prior = F.when(F.col("head") == "lx", F.col("prior_lx")).otherwise(F.col("prior_flux"))
+    rows = rows.withColumn("prior", prior)
+    return rows.withColumn("ll", F.col("prior") + F.expr("ordinal * 0.05e0 + ((source_id * 7 + ordinal * 13) % 29) / 40.0e0")).drop("prior_lx", "prior_flux")
+
+
+def rounded(df, digits=6, **special):
+    numeric = [n for n, k in df.dtypes if k == "double"]
+    return df.withColumns({n: F.round(n, special.get(n, digits)) for n in numeric})
+
+
+# ---- Poisson pieces; the checking engine has lgamma
+
+LN10 = math.log(10.0)
+PMF = "({n} * ln({mu}) - ({mu}) - lgamma({n} + 1.0e0))"
+CENTRE = f"""
+c AS (SELECT *, ln(10.0e0) AS l10, greatest(counts - bkg, 0.5e0) AS net FROM v_counts),
+w AS (SELECT *, (log10(net / expo) + 0.8e0) / 0.6e0 AS uhat, sqrt(greatest(counts, 1)) / (l10 * 0.6e0 * net) AS sg FROM c),
+p AS (SELECT *, uhat / (1 + sg * sg) AS centre, sg / sqrt(1 + sg * sg) AS width FROM w)"""
+KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("fn_poisson_log_pmf", f"""
+SELECT {KEY}, round({PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * 0.3e0 - 0.8e0) + bkg')}, 6) AS log_pmf,
+  round(lgamma(counts + 1.0e0), 6) AS log_factorial FROM v_counts""")
+def fn_poisson_log_pmf(v):
+    return v.counts.select(*KEYS, F.round(po.log_pmf("counts", "bkg", "expo", F.lit(0.3), -0.8, 0.6), 6).alias("log_pmf"),
+                           F.round(po.log_factorial(F.col("counts").cast("double")), 6).alias("log_factorial"))
+
+
+@query("fn_laplace_proposal", f"WITH {CENTRE} SELECT {KEY}, round(centre, 6) AS centre, round(width, 6) AS width FROM p")
+def fn_laplace_proposal(v):
+    centre, width = po.proposal("counts", "bkg", "expo", -0.8, 0.6)
+    return v.counts.select(*KEYS, F.round(centre, 6).alias("centre"), F.round(width, 6).alias("width"))
+
+
+@query("fn_log_sum_exp", """
+SELECT vec_id, round(m + ln(s), 6) AS log_sum FROM (SELECT vec_id, list_max(embedding)::DOUBLE AS m,
+  list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) AS s FROM embeddings)""")
+def fn_log_sum_exp(v):
+    e = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return e.select("vec_id", F.round(po.log_sum_exp(F.col("x")), 6).alias("log_sum"))
+
+
+@query("stat_prior_axis", """
+SELECT s_suppkey, i, round(-5.0e0 + i * 10.0e0 / 11, 9) AS node, round(ln(10.0e0 / 11), 9) AS spacing FROM supplier, (SELECT unnest(range(0, 12)) AS i)""")
+def stat_prior_axis(v):
+    axis = po.prior_axis(12, 5.0)
+    s = v.table("supplier").select("s_suppkey", axis.log_spacing.alias("spacing"), F.posexplode(axis.nodes).alias("i", "node"))
+    return rounded(s, 9)
+
+
+NODES = f"""{CENTRE}, n AS (SELECT *, unnest(range(0, 12)) AS i FROM p), nodes AS (SELECT *, centre + width * (-5.0e0 + i * 10.0e0 / 11) AS node FROM n)"""
+
+
+@query("stat_rate_axis", f"""
+WITH {NODES} SELECT {KEY}, i, round(node, 6) AS node, round(ln(width) + ln(10.0e0 / 11), 6) AS spacing,
+  round({PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')}, 5) AS log_like FROM nodes""")
+def stat_rate_axis(v):
+    axis = po.rate_axis("counts", "bkg", "expo", -0.8, 0.6)
+    held = computed_once(v.counts.select(*KEYS, "counts", "bkg", "expo"), {"a": axis.struct()})
+    out = held.select(*KEYS, F.col("a.spacing").alias("spacing"), F.posexplode(F.arrays_zip(F.col("a.nodes").alias("n"), F.col("a.like").alias("l"))).alias("i", "p"))
+    return out.select(*KEYS, "i", F.round("p.n", 6).alias("node"), F.round("spacing", 6).alias("spacing"), F.round("p.l", 5).alias("log_like"))
+
+
+@query("stat_pinned_axis", f"""
+SELECT {KEY}, round(-0.5e0 * pow((l_extendedprice / 50000.0e0 - 0.2e0) / 1.3e0, 2) - ln(1.3e0) - 0.5e0 * ln(2 * pi()), 6) AS ll FROM v_counts""")
+def stat_pinned_axis(v):
+    axis = po.pinned_axis(F.col("l_extendedprice") / 50000.0)
+    out = sc.log_marginal(v.counts, [axis], dn.NormalDensity((0.2,), (1.3,)), "ll")
+    return out.select(*KEYS, F.round("ll", 6).alias("ll"))
+
+
+_NORMAL = "(-0.5e0 * pow(({u} - {m}) / {s}, 2) - ln({s}) - 0.5e0 * ln(2 * pi()))"
+
+
+@query("stat_poisson_marginal", f"""
+WITH {NODES}, t AS (SELECT {KEY}, width, {_NORMAL.format(u='node', m='0.1e0', s='1.2e0')}
+  + {PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')} AS term FROM nodes),
+m AS (SELECT {KEY}, width, max(term) AS top FROM t GROUP BY {KEY}, width)
+SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + ln(10.0e0 / 11), 5) AS ll
+FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
+def stat_poisson_marginal(v):
+    rows = v.counts.dropDuplicates(KEYS)
+    out = sc.log_marginal(rows, [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6)], dn.NormalDensity((0.1,), (1.2,)), "ll")
+    return out.select(*KEYS, F.round("ll", 5).alias("ll"))
+
+
+@query("stat_product_marginal", f"""
+WITH {NODES}, u AS (SELECT unnest(range(0, 12)) AS j), t AS (SELECT {KEY}, width,
+  {_NORMAL.format(u='node', m='0.1e0', s='1.2e0')} + {_NORMAL.format(u='(-5.0e0 + j * 10.0e0 / 11)', m='-0.2e0', s='0.9e0')}
+  + {_NORMAL.format(u='(l_extendedprice / 50000.0e0)', m='0.0e0', s='1.1e0')}
+  + {PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')} AS term FROM nodes, u),
+m AS (SELECT {KEY}, max(term) AS top FROM t GROUP BY {KEY})
+SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + 2 * ln(10.0e0 / 11), 5) AS ll
+FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
+def stat_product_marginal(v):
+    axes = [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6), po.prior_axis(), po.pinned_axis(F.col("l_extendedprice") / 50000.0)]
+    out = sc.log_marginal(v.counts.dropDuplicates(KEYS), axes, dn.NormalDensity((0.1, -0.2, 0.0), (1.2, 0.9, 1.1)), "ll")
+    return out.select(*KEYS, F.round("ll", 5).alias("ll"))
+
+
+UNIT = sm.Standardizer({"sfr": 0.2, "mstar": 10.0, "rate_p2": -0.8, "rate_p3": -0.7}, {"sfr": 0.7, "mstar": 0.6, "rate_p2": 0.6, "rate_p3": 0.5})
+PAIR = Head("sfr_mstar", ("sfr", "mstar"))
+RATES = Head("joint", ("rate_p2", "sfr"))
+
+_PATTERN = f"""
+WITH x AS (SELECT source_id, (log_sfr - 0.2e0) / 0.7e0 AS s, ape_cts_p2 AS n, ape_bkg_p2 AS b, CASE WHEN ape_exp_p2 > 0 THEN ape_exp_p2 END AS t,
+    ape_cts_p2 IS NOT NULL AND ape_exp_p2 > 0 AS r_ok, log_sfr IS NOT NULL AS s_ok FROM v_labels),
+p AS (SELECT *, (log10(greatest(n - b, 0.5e0) / t) + 0.8e0) / 0.6e0 AS uhat, sqrt(greatest(n, 1)) / (ln(10.0e0) * 0.6e0 * greatest(n - b, 0.5e0)) AS sg FROM x WHERE s_ok),
+g AS (SELECT *, unnest(range(0, {{k}})) AS i FROM p),
+h AS (SELECT *, CASE WHEN r_ok THEN uhat / (1 + sg * sg) + sg / sqrt(1 + sg * sg) * (-5.0e0 + i * 10.0e0 / ({{k}} - 1)) ELSE -5.0e0 + i * 10.0e0 / ({{k}} - 1) END AS u FROM g),
+t AS (SELECT source_id, {_NORMAL.format(u='u', m='0.1e0', s='1.2e0')} + {_NORMAL.format(u='s', m='-0.2e0', s='0.9e0')}
+    + CASE WHEN r_ok THEN n * ln(t * pow(10.0e0, 0.6e0 * u - 0.8e0) + b) - (t * pow(10.0e0, 0.6e0 * u - 0.8e0) + b) - lgamma(n + 1.0e0) ELSE 0 END AS term,
+    CASE WHEN r_ok THEN ln(sg / sqrt(1 + sg * sg)) ELSE 0 END + ln(10.0e0 / ({{k}} - 1)) AS spacing FROM h),
+m AS (SELECT source_id, max(term) AS top FROM t GROUP BY source_id),
+ll AS (SELECT source_id, any_value(top) + ln(sum(exp(term - top))) + any_value(spacing) AS ll FROM t JOIN m USING (source_id) GROUP BY source_id)
+"""
+
+
+@query("stat_head_likelihood", _PATTERN.format(k=12) + "SELECT v.source_id, round(ll, 5) AS ll FROM v_labels v LEFT JOIN ll USING (source_id)")
+def stat_head_likelihood(v):
+    out = sc.head_log_likelihood(sm.with_masks(v.labels), RATES, UNIT, dn.NormalDensity((0.1, -0.2), (1.2, 0.9)))
+    return out.select("source_id", F.round("ll", 5).alias("ll"))
+
+
+@query("stat_quadrature_sweep", " UNION ALL ".join(
+    f"SELECT {k} AS nodes, n, mean_ll FROM ({_PATTERN.format(k=k).strip()} SELECT count(*) AS n, round(avg(ll), 5) AS mean_ll FROM ll)" for k in (12, 24, 48)))
+def stat_quadrature_sweep(v):
+    out = sc.quadrature_sweep(sm.with_masks(v.labels), RATES, UNIT, dn.NormalDensity((0.1, -0.2), (1.2, 0.9)))
+    return rounded(out, 5)
+
+
+# ---- kernel density
+
+def _kde_sql(columns: str, bandwidth: float) -> str:
+    if columns == "a":
+        return f"""
+s AS (SELECT count(*) AS n, stddev_samp(a) * pow(count(*), -0.2e0) * {bandwidth}e0 AS h FROM v_kde_train),
+d AS (SELECT e.id, -0.5e0 * pow((e.a - t.a) / h, 2) AS x, h, n FROM v_kde_eval e, v_kde_train t, s),
+l AS (SELECT id, ln(sum(exp(x - m))) + any_value(m) - ln(any_value(h)) - 0.5e0 * ln(2 * pi()) - ln(any_value(n)) AS log_prob
+  FROM (SELECT *, max(x) OVER (PARTITION BY id) AS m FROM d) GROUP BY id)"""
+    return f"""
+s AS (SELECT count(*) AS n, var_samp(a) AS p, covar_samp(a, b) AS q, var_samp(b) AS r, pow(count(*), -1.0e0 / 3) * {bandwidth ** 2}e0 AS f FROM v_kde_train),
+d AS (SELECT e.id, -0.5e0 * (r * pow(e.a - t.a, 2) - 2 * q * (e.a - t.a) * (e.b - t.b) + p * pow(e.b - t.b, 2)) / ((p * r - q * q) * f) AS x,
+  p, q, r, f, n FROM v_kde_eval e, v_kde_train t, s),
+l AS (SELECT id, ln(sum(exp(x - m))) + any_value(m) - 0.5e0 * ln(any_value((p * r - q * q) * f * f)) - ln(2 * pi()) - ln(any_value(n)) AS log_prob
+  FROM (SELECT *, max(x) OVER (PARTITION BY id) AS m FROM d) GROUP BY id)"""
+
+
+@query("stat_kde_one", f"WITH {_kde_sql('a', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
+def stat_kde_one(v):
+    kde = dn.GaussianKDE.fit(v.kde_train, ["a"])
+    return v.kde_eval.select("id", F.round(kde.log_prob([F.col("a")]), 6).alias("log_prob"))
+
+
+@query("stat_kde_two", f"WITH {_kde_sql('ab', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
+def stat_kde_two(v):
+    kde = dn.GaussianKDE.fit(v.kde_train, ["a", "b"])
+    return v.kde_eval.select("id", F.round(kde.log_prob([F.col("a"), F.col("b")]), 6).alias("log_prob"))
+
+
+@query("join_kernel_blocks", f"WITH {_kde_sql('ab', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
+def join_kernel_blocks(v):
+    kde = dn.GaussianKDE.fit(v.kde_train, ["a", "b"])
+    return kde.log_prob_join(v.kde_eval, "id", ["a", "b"], 500).select("id", F.round("log_prob", 6).alias("log_prob"))
+
+
+@query("stat_bandwidth_sweep", " UNION ALL ".join(
+    f"SELECT {b}e0 AS bandwidth, count(*) AS n, round(avg(log_prob), 6) AS mean_log_prob FROM (WITH {_kde_sql('a', b)} SELECT * FROM l)" for b in (0.3, 1.0, 3.0)))
+def stat_bandwidth_sweep(v):
+    return rounded(sc.bandwidth_sweep(v.kde_train, v.kde_eval, ["a"], [0.3, 1.0, 3.0]))
+
+
+@query("agg_covariance", """
+SELECT 'a' AS a, 'a' AS b, round(covar_samp(a, a), 6) AS covariance FROM v_kde_train UNION ALL
+SELECT 'a', 'b', round(covar_samp(a, b), 6) FROM v_kde_train UNION ALL SELECT 'b', 'b', round(covar_samp(b, b), 6) FROM v_kde_train""")
+def agg_covariance(v):
+    return rounded(dn.covariance_long(v.kde_train, ["a", "b"]))
+
+
+@query("stat_prior_likelihood")
+def stat_prior_likelihood(v):
+    """The kernel prior of a pair with a rate, through the quadrature."""
+    masked = sm.with_masks(v.labels)
+    standardizer = sm.fit_standardizer(v.labels, RATES.targets)
+    prior = sc.fit_prior(v.labels, RATES, standardizer)
+    return sc.head_log_likelihood(masked, RATES, standardizer, prior).select("source_id", "ll")
+
+
+@query("stat_specific_rate")
+def stat_specific_rate(v):
+    """Density of the specific rate under the pair against its two margins, on the test split."""
+    standardizer = sm.fit_standardizer(v.labels, PAIR.targets)
+    joint = sc.fit_prior(v.labels, PAIR, standardizer)
+    sfr, mstar = (sc.fit_prior(v.labels, Head(t, (t,)), standardizer) for t in PAIR.targets)
+    test = v.labels.filter("split = 'test' AND log_sfr IS NOT NULL AND logmstar_cigale IS NOT NULL")
+    test = test.select("source_id", (F.col("log_sfr") - F.col("logmstar_cigale")).alias("s"))
+    return sc.specific_rate_densities(test, "s", standardizer, joint, sfr, mstar)
+
+
+@query("stat_line_baseline", """
+WITH t AS (SELECT regr_slope(log_sfr, redshift) AS b, regr_intercept(log_sfr, redshift) AS a, count(log_sfr) AS n FROM v_labels WHERE split = 'train'),
+s AS (SELECT sqrt(avg(pow(log_sfr - a - b * redshift, 2))) AS sigma FROM v_labels, t WHERE split = 'train' AND log_sfr IS NOT NULL)
+SELECT source_id, round(a + b * redshift, 6) AS mean, round(-0.5e0 * pow((log_sfr - a - b * redshift) / sigma, 2) - ln(sigma) - 0.5e0 * ln(2 * pi()), 6) AS ll
+FROM v_labels, t, s WHERE split = 'test'""")
+def stat_line_baseline(v):
+    named = v.labels.withColumn("sfr", F.col("log_sfr"))
+    heads = linear.fit_heads(named.filter("split = 'train'"), {"Z": ["redshift"]}, ["sfr"], ["Z"])
+    out = linear.score_heads(named.filter("split = 'test'"), heads)
+    return out.select("source_id", F.round("mean", 6).alias("mean"), F.round("ll", 6).alias("ll"))
+
+
+FEATURES = {"Z": ["f_z"], "S": ["f_s1", "f_s2"], "I": ["f_i"], "W": ["f_w1", "f_w2"]}
+
+
+def feature_labels(v):
+    k = F.col("source_id")
+    return v.labels.withColumns({
+        "f_z": F.col("redshift"), "f_s1": (k * 31 % 1009) / 400.0 + (k % 7), "f_s2": (k * 13 % 331) / 100.0, "f_i": (k * 17 % 1013) / 600.0,
+        "f_w1": (k % 17) / 40.0, "f_w2": (k * 5 % 97) / 30.0})
+
+
+@query("stat_subset_heads")
+def stat_subset_heads(v):
+    labels = feature_labels(v).withColumns({"sfr": F.col("log_sfr"), "mstar": F.col("logmstar_cigale")})
+    heads = linear.fit_heads(labels.filter("split = 'train'"), FEATURES, ["sfr", "mstar"])
+    return linear.score_heads(labels.filter("split = 'test'"), heads)
+
+
+@query("job_evaluate")
+def job_evaluate(v):
+    done = ps.evaluate(feature_labels(v), FEATURES)
+    return done.gains().join(done.r_squared().drop("n"), ["head", "subset"])
+
+
+# ---- summaries of scores
+
+@query("agg_information_gain", f"""
+WITH {SCORES} SELECT head, subset, count(*) AS n, round(avg(ll - prior), 6) AS information_gain FROM scores WHERE common GROUP BY head, subset""")
+def agg_information_gain(v):
+    return rounded(sc.information_gain(scores(v)))
+
+
+@query("agg_score_grid", f"""
+WITH {SCORES}, g AS (SELECT head, subset, ordinal, avg(ll - prior) AS ig FROM scores WHERE common GROUP BY head, subset, ordinal)
+SELECT subset, ordinal, round(max(CASE WHEN head = 'flux' THEN ig END), 6) AS flux_information_gain, round(max(CASE WHEN head = 'lx' THEN ig END), 6) AS lx_information_gain
+FROM g GROUP BY subset, ordinal""")
+def agg_score_grid(v):
+    return rounded(sc.score_grid(sc.information_gain(scores(v)), ["flux", "lx"]))
+
+
+@query("agg_wide_scores", f"""
+WITH {SCORES} SELECT source_id, round(max(CASE WHEN head = 'lx' AND subset = 'Z' THEN ll END), 6) AS ll_lx_Z,
+  round(max(CASE WHEN head = 'flux' AND subset = 'ZSIW' THEN ll END), 6) AS ll_flux_ZSIW FROM scores GROUP BY source_id""")
+def agg_wide_scores(v):
+    wide = sc.wide_scores(scores(v), ["lx", "flux"])
+    return rounded(wide.select("source_id", "ll_lx_Z", "ll_flux_ZSIW"))
+
+
+@query("agg_r_squared", f"""
+WITH {SCORES} SELECT head, subset, count(*) AS n, round(1 - sum(pow(redshift - ll, 2)) / (var_pop(redshift) * count(*)), 6) AS r2 FROM scores WHERE common GROUP BY head, subset""")
+def agg_r_squared(v):
+    return rounded(sc.r_squared(scores(v).filter("common"), "redshift", "ll", ["head", "subset"]))
+
+
+@query("agg_coverage", " UNION ALL ".join(f"""
+SELECT {level}e0 AS level, count(*) AS n, round(avg(CAST(truth BETWEEN lo AND hi AS DOUBLE)), 6) AS coverage FROM v_draw_sources JOIN (
+  SELECT source_id, quantile_cont(u1, {(1 - level) / 2!r}) AS lo, quantile_cont(u1, {(1 + level) / 2!r}) AS hi FROM v_draws GROUP BY source_id) USING (source_id)"""
+    for level in (0.68, 0.9, 0.95)))
+def agg_coverage(v):
+    return rounded(sc.interval_coverage(v.draws, v.draw_sources, "source_id", "u1", "truth"))
+
+
+@query("agg_validation_metric", f"""
+WITH {SCORES} SELECT count(*) AS heads, round(avg(nll), 6) AS metric FROM (SELECT head, avg(-ll) AS nll FROM scores WHERE common GROUP BY head)""")
+def agg_validation_metric(v):
+    return rounded(sc.validation_metric(scores(v).withColumn("ll", F.when(F.col("common"), F.col("ll")))))
+
+
+@query("agg_ranked_combinations", f"""
+WITH {SCORES}, g AS (SELECT subset, avg(ll - prior) AS ig FROM scores WHERE common AND head = 'flux' GROUP BY subset)
+SELECT subset, round(ig, 6) AS information_gain, 0.5e0 AS baseline, ig > 0.5e0 AS above FROM g""")
+def agg_ranked_combinations(v):
+    return rounded(sc.ranked_combinations(sc.information_gain(scores(v)), "flux", 0.5))
+
+
+@query("dq_incomplete_heads", f"""
+WITH {SCORES} SELECT 'lx' AS head, 15 - count(DISTINCT subset) AS missing FROM scores WHERE head = 'lx' AND length(subset) > 1 UNION ALL SELECT 'sfr', 15""")
+def dq_incomplete_heads(v):
+    gains = sc.information_gain(scores(v).filter("head = 'flux' OR length(subset) > 1"))
+    return sc.incomplete_heads(gains, ["lx", "flux", "sfr"])
