@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,3 +128,9 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     held = F.struct(*[c.alias(name) for name, c in columns.items()])
     out = df.withColumn("_held", F.explode(F.array(held)))
     return out.select(*[c for c in df.columns if c not in columns], *[F.col(f"_held.{name}").alias(name) for name in columns])
+
+
+def bind(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of values that are evaluated once per row, for use inside lambdas over arrays."""
+    held = F.struct(*[c.alias(name) for name, c in values.items()])
+    return F.get(F.transform(F.array(held), body), F.lit(0))

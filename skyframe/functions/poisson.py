@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skyframe.functions.core import as_col
+from skyframe.functions.core import as_col, bind
 from skyframe.params import COUNT_FLOOR, NET_COUNT_FLOOR, QUADRATURE_NODES, QUADRATURE_SPAN
 
 LN10 = math.log(10.0)
@@ -44,52 +43,44 @@ def proposal(counts: Column | str, background: Column | str, exposure: Column |
     return peak / (1.0 + variance), F.sqrt(variance / (1.0 + variance))
 
 
-@dataclass(frozen=True)
-class Axis:
-    """One dimension at quadrature time: nodes, log node spacing, and log likelihood at the nodes."""
-
-    nodes: Column
-    log_spacing: Column
-    log_like: Column
-
-    def struct(self) -> Column:
-        return F.struct(self.nodes.alias("nodes"), self.log_spacing.alias("spacing"), self.log_like.alias("like"))
-
-
 def _offsets(k: int, span: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i * F.lit(2.0 * span / (k - 1)) - span)
 
 
-def pinned_axis(value: Column) -> Axis:
+def axis(nodes: Column, log_spacing: Column, log_like: Column) -> Column:
+    """One dimension at quadrature time: nodes, log of their spacing, log likelihood at the nodes."""
+    return F.struct(nodes.alias("nodes"), log_spacing.alias("spacing"), log_like.alias("like"))
+
+
+def pinned_axis(value: Column) -> Column:
     """An observed scalar: one node, no spacing."""
-    return Axis(F.array(value.cast("double")), F.lit(0.0), F.array(F.lit(0.0)))
+    return axis(F.array(value.cast("double")), F.lit(0.0), F.array(F.lit(0.0)))
 
 
-def prior_axis(k: int = QUADRATURE_NODES, span: float = QUADRATURE_SPAN) -> Axis:
+def prior_axis(k: int = QUADRATURE_NODES, span: float = QUADRATURE_SPAN) -> Column:
     """No measurement: closed nodes over the span."""
-    return Axis(_offsets(k, span), F.lit(math.log(2.0 * span / (k - 1))), F.array_repeat(F.lit(0.0), k))
+    return axis(_offsets(k, span), F.lit(math.log(2.0 * span / (k - 1))), F.array_repeat(F.lit(0.0), k))
 
 
 def rate_axis(counts: Column | str, background: Column | str, exposure: Column | str, mean: float, scale: float,
-              k: int = QUADRATURE_NODES, span: float = QUADRATURE_SPAN) -> Axis:
+              k: int = QUADRATURE_NODES, span: float = QUADRATURE_SPAN) -> Column:
     """A measured rate: nodes recentred on the proposal, with the count likelihood at each."""
-    centre, width = proposal(counts, background, exposure, mean, scale)
-    nodes = F.transform(_offsets(k, span), lambda o: centre + width * o)
-    like = F.transform(_offsets(k, span), lambda o: log_pmf(counts, background, exposure, centre + width * o, mean, scale))
-    return Axis(nodes, F.ln(width) + math.log(2.0 * span / (k - 1)), like)
+    n, b, t = (as_col(c).cast("double") for c in (counts, background, exposure))
+    centre, width = proposal(n, b, t, mean, scale)
+
+    def place(held: Column) -> Column:
+        def like(o: Column) -> Column:
+            expected = held["t"] * F.pow(F.lit(10.0), (held["centre"] + held["width"] * o) * scale + mean) + held["b"]
+            return held["n"] * F.ln(expected) - expected - held["factorial"]
+
+        return axis(F.transform(_offsets(k, span), lambda o: held["centre"] + held["width"] * o),
+                    F.ln(held["width"]) + math.log(2.0 * span / (k - 1)), F.transform(_offsets(k, span), like))
+
+    return bind({"n": n, "b": b, "t": t, "centre": centre, "width": width, "factorial": log_factorial(n)}, place)
 
 
 def log_sum_exp(values: Column) -> Column:
-    """ln of the sum of exponentials of an array column; pass a column, not an expression."""
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-
-
-def product_nodes(axes: list[Column]) -> Column:
-    """Outer product of axis structs: an array of (u: array of coordinates, like)."""
-    def widen(grid: Column, axis: Column) -> Column:
-        pairs = F.arrays_zip(axis["nodes"].alias("n"), axis["like"].alias("l"))
-        return F.flatten(F.transform(grid, lambda g: F.transform(pairs, lambda p: F.struct(
-            F.concat(g["u"], F.array(p["n"])).alias("u"), (g["like"] + p["l"]).alias("like")))))
-    start = F.array(F.struct(F.array().cast("array<double>").alias("u"), F.lit(0.0).alias("like")))
-    return reduce(widen, axes, start)
+    """ln of the sum of exponentials of an array."""
+    def shifted(held: Column) -> Column:
+        return held["top"] + F.ln(F.aggregate(held["x"], F.lit(0.0), lambda a, x: a + F.exp(x - held["top"])))
+    return bind({"x": values, "top": F.array_max(values)}, shifted)

@@ -35,7 +35,7 @@ def any_nonzero(values: Column | str) -> Column:
 
 def array_median(values: Column) -> Column:
     """Exact median of a short array; NULL when empty."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     n = F.size(values)
     lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
     upper = F.get(ordered, F.floor(n / 2).cast("int"))

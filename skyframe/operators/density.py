@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -25,11 +25,11 @@ MAX_TERMS = 2_000_000
 
 
 class Density(Protocol):
-    """What scoring asks of a density: ln p at points given as one column per dimension."""
+    """What scoring asks of a density: ln p of columns, and of an array of points (rows, d) inside a task."""
 
     def log_prob(self, columns: Sequence[Column]) -> Column: ...
 
-    def log_prob_arrays(self, nodes: Column) -> Column: ...
+    def of_points(self) -> Callable[[np.ndarray], np.ndarray]: ...
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,8 +61,8 @@ def _kernel_sums(u: np.ndarray, summary: dict) -> np.ndarray:
         x = u[start:start + width]
         terms = []
         if len(points):
-            gap = x[:, None, :] - points[None, :, :]
-            terms.append(summary["weights"] - 0.5 * (gap * gap).sum(axis=2))
+            square = (x * x).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2.0 * (x @ points.T)
+            terms.append(summary["weights"] - 0.5 * np.maximum(square, 0.0))
         if len(centres):
             y = x[:, None, :] - centres[None, :, :]
             square = (y * y).sum(axis=2)
@@ -127,7 +127,7 @@ class GaussianKDE:
 
     def log_prob(self, columns: Sequence[Column]) -> Column:
         """ln density at points given as one column per dimension; NULL where a coordinate is missing."""
-        score = self._scorer(self._require_summary())
+        score = self.of_points()
 
         @F.pandas_udf("double")
         def density(*u: pd.Series) -> pd.Series:
@@ -140,22 +140,8 @@ class GaussianKDE:
 
         return density(*columns)
 
-    def log_prob_arrays(self, nodes: Column) -> Column:
-        """ln density at each point of an array of points (arrays of coordinates)."""
-        score = self._scorer(self._require_summary())
-
-        @F.pandas_udf("array<double>")
-        def density(nodes: pd.Series) -> pd.Series:
-            sizes = [0 if row is None else len(row) for row in nodes]
-            points = [np.stack(row) for row in nodes if row is not None and len(row)]
-            values = score(np.concatenate(points)) if points else np.empty(0)
-            pieces = iter(np.split(values, np.cumsum([s for s in sizes if s])[:-1])) if points else iter(())
-            return pd.Series([next(pieces) if s else None for s in sizes])
-
-        return density(nodes)
-
-    def _scorer(self, summary: dict):
-        whitener, log_norm = self.whitener, self.log_norm
+    def of_points(self) -> Callable[[np.ndarray], np.ndarray]:
+        whitener, log_norm, summary = self.whitener, self.log_norm, self._require_summary()
         return lambda points: _kernel_sums(points @ whitener.T, summary) + log_norm
 
     def log_prob_join(self, points: DataFrame, key: str, columns: Sequence[str], rows_per_block: int = 20_000) -> DataFrame:
@@ -249,5 +235,7 @@ class NormalDensity:
     def log_prob(self, columns: Sequence[Column]) -> Column:
         return reduce(lambda a, b: a + b, [self._one(c, i) for i, c in enumerate(columns)])
 
-    def log_prob_arrays(self, nodes: Column) -> Column:
-        return F.transform(nodes, lambda p: self.log_prob([F.get(p, F.lit(i)) for i in range(len(self.mean))]))
+    def of_points(self) -> Callable[[np.ndarray], np.ndarray]:
+        mean, scale = np.array(self.mean), np.array(self.scale)
+        level = -np.log(scale).sum() - 0.5 * len(mean) * math.log(2 * math.pi)
+        return lambda points: level - 0.5 * (((points - mean) / scale) ** 2).sum(axis=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions.core import computed_once
 from skyframe.operators.joins import DataError
 from skyframe.operators.sample import subset_names
 
@@ -26,16 +28,6 @@ class LinearHead:
     coefficients: tuple[float, ...]
     sigma: float
 
-    def mean(self) -> Column:
-        out = F.lit(self.intercept)
-        for name, b in zip(self.features, self.coefficients):
-            out = out + F.col(name).cast("double") * b
-        return out
-
-    def log_prob(self, y: Column) -> Column:
-        t = (y - self.mean()) / self.sigma
-        return -0.5 * t * t - (math.log(self.sigma) + 0.5 * math.log(2 * math.pi))
-
 
 def gram(train: DataFrame, features: Sequence[str], targets: Sequence[str]) -> dict[str, np.ndarray]:
     """Per target, the products of (1, features, y) summed over the rows where the target is present.
@@ -89,11 +81,30 @@ def fit_heads(train: DataFrame, blocks: dict[str, Sequence[str]], targets: Seque
             for t in targets for s in (subsets or subset_names())]
 
 
+HEADS_TYPE = "array<struct<head string, subset string, target int, intercept double, sigma double, beta array<double>>>"
+
+
 def score_heads(rows: DataFrame, heads: Sequence[LinearHead], key: str = "source_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(key, keep..., head, subset, ll, mean): every row under every head."""
-    entries = [F.struct(F.lit(h.target).alias("head"), F.lit(h.subset).alias("subset"), h.log_prob(F.col(h.target)).alias("ll"),
-                        h.mean().alias("mean"), F.col(h.target).cast("double").alias("truth")) for h in heads]
-    return rows.select(key, *keep, F.explode(F.array(*entries)).alias("_e")).select(key, *keep, "_e.*")
+    """(key, keep..., head, subset, ll, mean, truth): every row under every head.
+
+    The coefficients form one literal table that each row walks; absent features have coefficient 0.
+    """
+    features = sorted({f for h in heads for f in h.features})
+    targets = sorted({h.target for h in heads})
+    table = [{"head": h.target, "subset": h.subset, "target": targets.index(h.target), "intercept": h.intercept, "sigma": h.sigma,
+              "beta": [dict(zip(h.features, h.coefficients)).get(f, 0.0) for f in features]} for h in heads]
+    held = computed_once(rows, {"_x": F.array(*[F.col(f).cast("double") for f in features]),
+                                "_y": F.array(*[F.col(t).cast("double") for t in targets])})
+
+    def score(h: Column) -> Column:
+        mean = F.aggregate(F.zip_with("_x", h["beta"], lambda x, b: x * b), h["intercept"], lambda a, p: a + p)
+        return F.struct(h["head"].alias("head"), h["subset"].alias("subset"), h["sigma"].alias("sigma"), mean.alias("mean"),
+                        F.get("_y", h["target"]).alias("truth"))
+
+    out = held.select(key, *keep, F.explode(F.transform(F.from_json(F.lit(json.dumps(table)), HEADS_TYPE), score)).alias("_e"))
+    t = (F.col("_e.truth") - F.col("_e.mean")) / F.col("_e.sigma")
+    ll = -0.5 * t * t - F.ln("_e.sigma") - 0.5 * math.log(2 * math.pi)
+    return out.select(key, *keep, "_e.head", "_e.subset", ll.alias("ll"), "_e.mean", "_e.truth")
 
 
 def image_features(image: Column | str, size: int, bands: str = "griz") -> dict[str, Column]:

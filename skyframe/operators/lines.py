@@ -15,6 +15,7 @@ from skyframe.functions.spectra import array_median, in_window, window_pixels
 from skyframe.params import (
     LIGHT_KMS, LINE_COMPLEXES, LINE_EDGE, LINE_MIN_COVER, LINE_MIN_PIXELS, LINE_MIN_WIDTH, LINE_START_WIDTHS, Grid, LineComplex,
 )
+from skyframe.session import spread
 
 FIT_COLUMNS = ("n", "noise", "c0", "slope", "v_kms", "sigma_kms", "amp", "an", "flux", "flux_err", "chi2", "rchi2", "at_bound")
 FIT_SCHEMA = ("targetid long, z double, line string, status string, n int, noise double, c0 double, slope double, v_kms double, "
@@ -62,18 +63,21 @@ def moment_flux(windows: DataFrame) -> DataFrame:
     """
     lo, hi = F.col("lo"), F.col("hi")
     span, mid = hi - lo, (lo + hi) / 2
-    pixels = F.arrays_zip("x", "y", "v")
-    edge = F.filter(pixels, lambda p: (p["x"] < lo + LINE_EDGE * span) | (p["x"] > hi - LINE_EDGE * span))
+    zipped = F.arrays_zip("x", "y", "v")
+    edge = F.filter(zipped, lambda p: (p["x"] < lo + LINE_EDGE * span) | (p["x"] > hi - LINE_EDGE * span))
+    rows = windows.filter("status IS NULL").select("targetid", "line", "z", "n_window", "lo", "hi", "x", "y", "v")
+    rows = computed_once(rows, {"_edge": edge})
 
-    def total(rows: Column, term) -> Column:
-        return F.aggregate(rows, F.lit(0.0), lambda a, p: a + term(p))
+    def total(pixels: Column | str, term) -> Column:
+        return F.aggregate(pixels, F.lit(0.0), lambda a, p: a + term(p))
 
-    sums = windows.filter("status IS NULL").select(
+    sums = rows.select(
         "targetid", "line", "z", "n_window", span.alias("_span"),
-        total(edge, lambda p: p["v"]).alias("_w"), total(edge, lambda p: p["v"] * (p["x"] - mid)).alias("_x"),
-        total(edge, lambda p: p["v"] * (p["x"] - mid) * (p["x"] - mid)).alias("_xx"),
-        total(edge, lambda p: p["v"] * p["y"]).alias("_y"), total(edge, lambda p: p["v"] * p["y"] * (p["x"] - mid)).alias("_xy"),
-        total(pixels, lambda p: p["y"]).alias("_all_y"), total(pixels, lambda p: p["x"] - mid).alias("_all_x"), F.size("x").alias("_n"))
+        total("_edge", lambda p: p["v"]).alias("_w"), total("_edge", lambda p: p["v"] * (p["x"] - mid)).alias("_x"),
+        total("_edge", lambda p: p["v"] * (p["x"] - mid) * (p["x"] - mid)).alias("_xx"),
+        total("_edge", lambda p: p["v"] * p["y"]).alias("_y"), total("_edge", lambda p: p["v"] * p["y"] * (p["x"] - mid)).alias("_xy"),
+        total("y", lambda y: y).alias("_all_y"), total("x", lambda x: x - mid).alias("_all_x"), F.size("x").alias("_n"))
+    sums = computed_once(sums, {c: F.col(c) for c in ("_w", "_x", "_xx", "_y", "_xy")})
     det = F.col("_w") * F.col("_xx") - F.col("_x") * F.col("_x")
     fitted = sums.filter(det > 0).withColumns({
         "slope": (F.col("_w") * F.col("_xy") - F.col("_x") * F.col("_y")) / det,
@@ -205,8 +209,7 @@ def fit_lines(windows: DataFrame) -> DataFrame:
                     yield _fit_complex(pdf.iloc[start:start + 512], names[line])
 
     usable = windows.filter("status IS NULL").select("targetid", "z", "line", "x", "y", "v", "noise", "c0", "peak")
-    usable = usable.repartition("targetid", "line")  # fits cost far more than moving their pixels; spread them evenly
-    fitted = usable.mapInPandas(fit, FIT_SCHEMA)
+    fitted = spread(usable, "targetid", "line").mapInPandas(fit, FIT_SCHEMA)
     gated = windows.filter("status IS NOT NULL").select("targetid", "z", "line", "status")
     return fitted.unionByName(gated, allowMissingColumns=True)
 

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.functions.core import as_col, hash_uniform
-from skyframe.session import settle
+from skyframe.functions.core import hash_uniform
+from skyframe.session import settle, spread
 
 BUCKET_DIGITS = 3
 ROW_BITS = 33
@@ -121,20 +121,18 @@ def quantile_columns(df: DataFrame, value: str, named: dict[str, float], by: Seq
 def poisson_weight(*parts: Column | str | int) -> Column:
     """A reproducible Poisson(1) weight: the inverse distribution function at a hashed uniform."""
     u = hash_uniform(*parts)
-    through, weight = 0.0, F.lit(0)
-    steps = []
+    through, weight = 0.0, None
     for k in range(12):
         through += math.exp(-1.0) / math.factorial(k)
-        steps.append(through)
-    for edge in steps:
-        weight = weight + F.when(u >= F.lit(edge), 1).otherwise(0)
-    return weight
+        below = u < F.lit(through)
+        weight = F.when(below, k) if weight is None else weight.when(below, k)
+    return weight.otherwise(12)
 
 
 def with_replicates(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """One row per (row, replicate) with its resampling weight `w`; rows of weight 0 are left out."""
-    copies = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return copies.withColumn("w", poisson_weight(seed, "rep", key)).filter("w > 0")
+    """One row per (row, replicate) with its resampling weight `w`; rows are spread before they multiply."""
+    copies = spread(df, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return copies.withColumn("w", poisson_weight(seed, "rep", key))
 
 
 def bootstrap_se(df: DataFrame, value: str, key: str, by: Sequence[str] = (), replicates: int = 1000,
@@ -186,8 +184,7 @@ def rolling_band(df: DataFrame, x: str, y: str, key: str, window: float, replica
     ranked = ordered_rank(df.select(key, x, y), [x, key])
     rows = ranked.count()
     half = half_window(rows, window)
-    copies = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    copies = copies.withColumn("w", poisson_weight(seed, "rep", key))
+    copies = with_replicates(ranked, key, replicates, seed)
     copies = copies.withColumn("_g", F.col("rep").cast("long") * rows + F.col("rank") + 1)
     totals = running_total(copies.select(key, x, y, "rep", "rank", "_g", "w"), ["_g"],
                            {"_w": F.col("w"), "_wy": F.col("w") * F.col(y)})

@@ -6,32 +6,63 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import computed_once
-from skyframe.functions.poisson import Axis, log_sum_exp, pinned_axis, prior_axis, product_nodes, rate_axis
+from skyframe.functions.poisson import pinned_axis, prior_axis, rate_axis
 from skyframe.operators.density import Density, GaussianKDE
 from skyframe.operators.rank import quantile_columns
 from skyframe.operators.sample import Standardizer, scorable, subset_names, target_value
 from skyframe.params import (
     COVERAGE_LEVELS, MASS_NODES, MASS_SPAN, QUADRATURE_NODES, QUADRATURE_SPAN, TARGETS, Head,
 )
-
-
-def log_marginal(df: DataFrame, axes: Sequence[Axis | Column], density: Density, name: str) -> DataFrame:
+from skyframe.session import spread
+
+MAX_NODES = 262_144
+
+
+def _grid_sums(score, d: int):
+    """Task-side sum over the product grid: axis columns in, one log marginal per row out."""
+
+    def marginal(*parts: pd.Series) -> pd.Series:
+        nodes, spacing, like = parts[:d], parts[d:2 * d], parts[2 * d:]
+        sizes = np.column_stack([[-1 if n is None else len(n) for n in axis] for axis in nodes])
+        out = np.full(len(sizes), np.nan)
+        for shape in np.unique(sizes, axis=0):
+            if (shape < 1).any():
+                continue
+            rows = np.flatnonzero((sizes == shape).all(axis=1))
+            step = max(1, MAX_NODES // int(shape.prod()))
+            for at in range(0, len(rows), step):
+                some = rows[at:at + step]
+                grid, terms = [], np.zeros((len(some), *shape))
+                for i in range(d):
+                    view = [len(some)] + [1] * d
+                    view[i + 1] = shape[i]
+                    grid.append(np.broadcast_to(np.stack(nodes[i].iloc[some]).reshape(view), terms.shape).ravel())
+                    terms = terms + np.stack(like[i].iloc[some]).reshape(view)
+                terms = terms.reshape(len(some), -1) + score(np.column_stack(grid)).reshape(len(some), -1)
+                top = terms.max(axis=1)
+                jacobian = sum(s.iloc[some].to_numpy(float) for s in spacing)
+                out[some] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1)) + jacobian
+        return pd.Series(out).where(np.isfinite(out), None)
+
+    return marginal
+
+
+def log_marginal(df: DataFrame, axes: Sequence[Column], density: Density, name: str) -> DataFrame:
     """Add the log of the density times the count likelihood, integrated over the product of the axes.
 
-    Axes, nodes and terms stay in arrays of the row, so nothing is shuffled.
+    Axes are short arrays built by expressions; only they cross to the task-side sum, and the product grid
+    never leaves a batch. Nothing is shuffled.
     """
-    structs = {f"_axis{i}": a.struct() if isinstance(a, Axis) else a for i, a in enumerate(axes)}
-    held = computed_once(df, structs)
-    held = computed_once(held, {"_grid": product_nodes([F.col(a) for a in structs])})
-    held = computed_once(held, {"_q": density.log_prob_arrays(F.col("_grid.u"))})
-    held = computed_once(held, {"_terms": F.zip_with("_q", F.col("_grid.like"), lambda q, l: q + l)})
-    spacing = reduce(lambda a, b: a + b, [F.col(f"{a}.spacing") for a in structs])
-    out = held.withColumn(name, log_sum_exp(F.col("_terms")) + spacing)
-    return out.drop("_grid", "_q", "_terms", *structs)
+    held = computed_once(df, {f"_axis{i}": a for i, a in enumerate(axes)})
+    parts = [F.col(f"_axis{i}.{field}") for field in ("nodes", "spacing", "like") for i in range(len(axes))]
+    sums = F.pandas_udf(_grid_sums(density.of_points(), len(axes)), "double", F.PandasUDFType.SCALAR)
+    return held.withColumn(name, sums(*parts)).drop(*[f"_axis{i}" for i in range(len(axes))])
 
 
 def head_axis(target: str, standardizer: Standardizer, nodes: int, span: float) -> Column:
@@ -41,7 +72,7 @@ def head_axis(target: str, standardizer: Standardizer, nodes: int, span: float)
         seen = rate_axis(*columns, standardizer.mean[target], standardizer.scale[target], nodes, span)
     else:
         seen = pinned_axis(standardizer.encode(target, F.col(columns[0])))
-    return F.when(F.col(f"{target}_ok"), seen.struct()).otherwise(prior_axis(nodes, span).struct())
+    return F.when(F.col(f"{target}_ok"), seen).otherwise(prior_axis(nodes, span))
 
 
 def head_log_likelihood(masked: DataFrame, head: Head, standardizer: Standardizer, density: Density,
@@ -52,6 +83,8 @@ def head_log_likelihood(masked: DataFrame, head: Head, standardizer: Standardize
     in one pass, each with its own axes.
     """
     rows = masked.filter(scorable(head))
+    if isinstance(density, GaussianKDE):
+        rows = spread(rows, *[c for c in rows.columns if c in ("targetid", "source_id")][:1])
     scored = log_marginal(rows, [head_axis(t, standardizer, nodes, span) for t in head.targets], density, name)
     rest = masked.filter(~scorable(head)).withColumn(name, F.lit(None).cast("double"))
     return scored.unionByName(rest)
@@ -152,17 +185,6 @@ def validation_metric(scores: DataFrame) -> DataFrame:
 
 # ---- specific star-formation rate from the pair
 
-def _mass_nodes(s: Column, standardizer: Standardizer, nodes: int) -> tuple[Column, Column, float]:
-    step = 2 * MASS_SPAN / (nodes - 1)
-    mass = standardizer.scale["mstar"]
-    grid = F.transform(F.sequence(F.lit(0), F.lit(nodes - 1)), lambda i: i * F.lit(step) - MASS_SPAN)
-
-    def rate(u: Column) -> Column:
-        return (s + (u * mass + standardizer.mean["mstar"]) - standardizer.mean["sfr"]) / standardizer.scale["sfr"]
-
-    return F.transform(grid, rate), grid, mass * step
-
-
 def specific_rate_densities(df: DataFrame, s: str, standardizer: Standardizer, joint: Density, sfr: Density, mstar: Density,
                             nodes: int = MASS_NODES) -> DataFrame:
     """Add `log_p_joint` and `log_p_independent`: ln p(log SFR - log M*) under the pair, and under its two margins.
@@ -170,13 +192,24 @@ def specific_rate_densities(df: DataFrame, s: str, standardizer: Standardizer, j
     The density of the difference is the integral over mass of the pair's density along the line that
     keeps the difference fixed.
     """
-    rate, mass, spacing = _mass_nodes(F.col(s), standardizer, nodes)
-    held = computed_once(df, {"_u1": rate, "_u2": mass})
-    pairs = F.transform(F.arrays_zip("_u1", "_u2"), lambda p: F.array(p["_u1"], p["_u2"]))
-    singles = {c: F.transform(c, lambda u: F.array(u)) for c in ("_u1", "_u2")}
-    held = computed_once(held, {"_q": joint.log_prob_arrays(pairs), "_q1": sfr.log_prob_arrays(singles["_u1"]),
-                                "_q2": mstar.log_prob_arrays(singles["_u2"])})
-    held = computed_once(held, {"_q12": F.zip_with("_q1", "_q2", lambda a, b: a + b)})
-    shift = math.log(spacing) - math.log(standardizer.scale["sfr"]) - math.log(standardizer.scale["mstar"])
-    out = held.withColumns({"log_p_joint": log_sum_exp(F.col("_q")) + shift, "log_p_independent": log_sum_exp(F.col("_q12")) + shift})
-    return out.drop("_u1", "_u2", "_q", "_q1", "_q2", "_q12")
+    mean, scale = standardizer.mean, standardizer.scale
+    mass = np.linspace(-MASS_SPAN, MASS_SPAN, nodes)
+    shift = math.log(2 * MASS_SPAN / (nodes - 1)) - math.log(scale["sfr"])
+    pair, first, second = joint.of_points(), sfr.of_points(), mstar.of_points()
+
+    def integrals(values: pd.Series) -> pd.DataFrame:
+        out = np.full((len(values), 2), np.nan)
+        of_mass = second(mass[:, None])
+        known = np.flatnonzero(np.isfinite(values.to_numpy(float)))
+        for at in range(0, len(known), max(1, MAX_NODES // nodes)):
+            some = known[at:at + max(1, MAX_NODES // nodes)]
+            rate = (values.to_numpy(float)[some, None] + mass * scale["mstar"] + mean["mstar"] - mean["sfr"]) / scale["sfr"]
+            points = np.column_stack([rate.ravel(), np.tile(mass, len(some))])
+            for k, terms in enumerate((pair(points).reshape(rate.shape), first(points[:, :1]).reshape(rate.shape) + of_mass)):
+                top = terms.max(axis=1)
+                out[some, k] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1)) + shift
+        return pd.DataFrame(out, columns=["joint", "independent"])
+
+    both = F.pandas_udf(integrals, "joint double, independent double", F.PandasUDFType.SCALAR)
+    scored = spread(df).withColumn("_b", both(F.col(s)))
+    return scored.select(*df.columns, F.col("_b.joint").alias("log_p_joint"), F.col("_b.independent").alias("log_p_independent"))

@@ -76,10 +76,10 @@ roll AS (SELECT c.k, c.x, c.rank, (a.total - coalesce(b.total, 0)) / (least(c.ra
   FROM c CROSS JOIN h JOIN c a ON a.rank = least(c.rank + half, n) LEFT JOIN c b ON b.rank = c.rank - half - 1)"""
 
 
-@query("win_rolling_mean", f"WITH {GAINS}, {_rolling_sql('wide', 'redshift', 's', 'source_id')} SELECT k AS source_id, round(x, 6) AS redshift, rank, round(mean, 5) AS mean FROM roll")
+@query("win_rolling_mean", f"WITH {GAINS}, {_rolling_sql('wide', 'redshift', 's', 'source_id')} SELECT k AS source_id, x AS redshift, rank, round(mean, 9) AS mean FROM roll")
 def win_rolling_mean(v):
     out = an.gain_trend(an.source_gains(scores(v), "lx"), "S")
-    return rounded(out, 5, redshift=6)
+    return out.withColumn("mean", F.round("mean", 9))
 
 
 @query("win_rolling_events", """
@@ -98,10 +98,10 @@ w AS (SELECT *, {weight_sql('rep', 'event_id', 3)} AS w FROM (SELECT *, unnest(r
 c AS (SELECT event_id, rep, rank, sum(w) OVER (PARTITION BY rep ORDER BY rank) AS tw, sum(w * value) OVER (PARTITION BY rep ORDER BY rank) AS ty FROM w),
 m AS (SELECT c.event_id, c.rank, (a.ty - coalesce(b.ty, 0)) / (a.tw - coalesce(b.tw, 0)) AS mean FROM c CROSS JOIN h JOIN c a ON a.rep = c.rep AND a.rank = least(c.rank + half, n)
   LEFT JOIN c b ON b.rep = c.rep AND b.rank = c.rank - half - 1)
-SELECT event_id, rank - 1 AS rank, round(quantile_cont(mean, 0.025), 5) AS lo, round(quantile_cont(mean, 0.975), 5) AS hi FROM m GROUP BY event_id, rank""")
+SELECT event_id, rank - 1 AS rank, round(quantile_cont(mean, 0.025), 8) AS lo, round(quantile_cont(mean, 0.975), 8) AS hi FROM m GROUP BY event_id, rank""")
 def win_rolling_band(v):
     out = rank.rolling_band(v.table("events").select("event_id", "ts", "value"), "ts", "value", "event_id", 0.08, 20, 3)
-    return out.select("event_id", "rank", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
+    return out.select("event_id", "rank", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
 # ---- draws

@@ -15,6 +15,7 @@ from skyframe.operators import scoring as sc
 from skyframe.params import Head
 from skyframe.plans import scoring as ps
 from skyframe.registry.base import query
+from skyframe.session import spread
 from skyframe.registry.sampling import SUBSETS_SQL
 
 SCORES = f"""
@@ -75,7 +76,7 @@ def fn_log_sum_exp(v):
 SELECT s_suppkey, i, round(-5.0e0 + i * 10.0e0 / 11, 9) AS node, round(ln(10.0e0 / 11), 9) AS spacing FROM supplier, (SELECT unnest(range(0, 12)) AS i)""")
 def stat_prior_axis(v):
     axis = po.prior_axis(12, 5.0)
-    s = v.table("supplier").select("s_suppkey", axis.log_spacing.alias("spacing"), F.posexplode(axis.nodes).alias("i", "node"))
+    s = v.table("supplier").select("s_suppkey", axis["spacing"].alias("spacing"), F.posexplode(axis["nodes"]).alias("i", "node"))
     return rounded(s, 9)
 
 
@@ -87,7 +88,7 @@ WITH {NODES} SELECT {KEY}, i, round(node, 6) AS node, round(ln(width) + ln(10.0e
   round({PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')}, 5) AS log_like FROM nodes""")
 def stat_rate_axis(v):
     axis = po.rate_axis("counts", "bkg", "expo", -0.8, 0.6)
-    held = computed_once(v.counts.select(*KEYS, "counts", "bkg", "expo"), {"a": axis.struct()})
+    held = computed_once(v.counts.select(*KEYS, "counts", "bkg", "expo"), {"a": axis})
     out = held.select(*KEYS, F.col("a.spacing").alias("spacing"), F.posexplode(F.arrays_zip(F.col("a.nodes").alias("n"), F.col("a.like").alias("l"))).alias("i", "p"))
     return out.select(*KEYS, "i", F.round("p.n", 6).alias("node"), F.round("spacing", 6).alias("spacing"), F.round("p.l", 5).alias("log_like"))
 
@@ -110,7 +111,7 @@ m AS (SELECT {KEY}, width, max(term) AS top FROM t GROUP BY {KEY}, width)
 SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + ln(10.0e0 / 11), 5) AS ll
 FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
 def stat_poisson_marginal(v):
-    rows = v.counts.dropDuplicates(KEYS)
+    rows = spread(v.counts.dropDuplicates(KEYS), *KEYS)
     out = sc.log_marginal(rows, [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6)], dn.NormalDensity((0.1,), (1.2,)), "ll")
     return out.select(*KEYS, F.round("ll", 5).alias("ll"))
 
@@ -125,7 +126,7 @@ SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(te
 FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
 def stat_product_marginal(v):
     axes = [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6), po.prior_axis(), po.pinned_axis(F.col("l_extendedprice") / 50000.0)]
-    out = sc.log_marginal(v.counts.dropDuplicates(KEYS), axes, dn.NormalDensity((0.1, -0.2, 0.0), (1.2, 0.9, 1.1)), "ll")
+    out = sc.log_marginal(spread(v.counts.dropDuplicates(KEYS), *KEYS), axes, dn.NormalDensity((0.1, -0.2, 0.0), (1.2, 0.9, 1.1)), "ll")
     return out.select(*KEYS, F.round("ll", 5).alias("ll"))
 
 

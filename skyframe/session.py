@@ -1,11 +1,10 @@
-"""Session helpers: where stage tables go, and a checked broadcast."""
+"""Session helpers: where stage tables go, and how rows are spread before costly steps."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,6 +31,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_within(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
-    """Hint a broadcast when the known row count is inside the bound; otherwise leave the plan alone."""
-    return F.broadcast(df) if rows <= max_rows else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the session's shuffle partitions before a step that costs far more than moving them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
