@@ -2,9 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions.core import is_finite
+from skyframe.functions.labels import has_redshift
+from skyframe.functions.spectra import all_finite, any_nonzero
+from skyframe.operators.sample import cut_points
+from skyframe.params import COUNTED_LABELS, IMAGE_BANDS, SPLITS, Grid, SplitParams
+
+# The columns and types of a staged split.
+STAGED_CONTRACT = {
+    "targetid": "bigint", "spectra": "array<float>", "spectra_ivar": "array<float>", "redshift": "float", "flux_w1": "float",
+    "flux_w2": "float", "flux_w3": "float", "image_flux": "array<float>", "has_z": "boolean", "has_wise": "boolean",
+}
+PLACEMENT = ("split", "source_row")
+
+
+def verdict(name: str, totals: DataFrame) -> DataFrame:
+    """Turn one row of problem counts into a check: passed when every count is 0, else the non-zero ones."""
+    named = [F.when(F.col(c) > 0, F.format_string(f"{c}: %d", F.col(c).cast("long"))) for c in totals.columns]
+    found = F.concat_ws("; ", *named)
+    return totals.select(F.lit(name).alias("check"), (found == "").alias("passed"), F.when(found == "", "ok").otherwise(found).alias("detail"))
+
+
+def fact(spark, name: str, problems: Sequence[str]) -> DataFrame:
+    """A check decided on the driver from metadata."""
+    return spark.createDataFrame([(name, not problems, "; ".join(problems) or "ok")], "check string, passed boolean, detail string")
+
+
+def report(checks: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, checks)
+
+
+def overall(checks: DataFrame) -> DataFrame:
+    """(passed, failed): whether every check passed, and the names of those that did not."""
+    return checks.agg(F.every("passed").alias("passed"), F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("check")))).alias("failed"))
+
 
 def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only; `only_expected` marks those of the right side."""
@@ -12,3 +49,89 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     b = right.select(key).distinct().withColumn("_r", F.lit(True))
     return (a.join(b, key, "full_outer").filter("_l IS NULL OR _r IS NULL")
             .select(key, F.col("_l").isNull().alias("only_expected")))
+
+
+def check_files(statuses: DataFrame) -> DataFrame:
+    """No expected file missing, short or long, and no leftover."""
+    kinds = ("missing", "partial", "wrong_size", "unexpected")
+    return verdict("files_present", statuses.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds]))
+
+
+def check_schema(staged: DataFrame, grid: Grid, size: int, contract: dict[str, str] = STAGED_CONTRACT) -> DataFrame:
+    """Exact columns and types, and array lengths of every row."""
+    have = {n: k for n, k in staged.dtypes if n not in PLACEMENT}
+    problems = [f"column {n}" for n in sorted(set(have) ^ set(contract))]
+    problems += [f"{n} is {have[n]}, not {k}" for n, k in contract.items() if n in have and have[n] != k]
+    if problems:
+        return fact(staged.sparkSession, "schema", problems)
+    wrong = F.size("spectra") != grid.nbin, F.size("spectra_ivar") != grid.nbin, F.size("image_flux") != len(IMAGE_BANDS) * size * size
+    return verdict("schema", staged.agg(*[F.count_if(F.coalesce(w, F.lit(True))).alias(n) for n, w in
+                                          zip(("spectra_shape", "ivar_shape", "image_shape"), wrong)]))
+
+
+def check_targetids(staged: DataFrame, split_table: DataFrame) -> DataFrame:
+    """Ids unique within a split, in one split only, and the same set as the split table."""
+    per = staged.groupBy("targetid", "split").agg(F.count(F.lit(1)).alias("_rows"))
+    expected = split_table.select("targetid", "split").withColumn("_expected", F.lit(True))
+    both = per.join(expected, ["targetid", "split"], "full_outer")
+    ids = both.groupBy("targetid").agg(
+        F.count_if(F.col("_rows") > 1).alias("_dup"), F.count("_rows").alias("_in"),
+        F.count_if(F.col("_rows").isNull() | F.col("_expected").isNull()).alias("_diff"))
+    return verdict("targetids", ids.agg(F.sum("_dup").alias("duplicates"), F.count_if(F.col("_in") > 1).alias("in_two_splits"),
+                                        F.sum("_diff").alias("differ_from_split_table")))
+
+
+def check_split_sizes(staged: DataFrame, params: SplitParams = SplitParams()) -> DataFrame:
+    """Sizes within one row of the rounded cumulative fractions."""
+    sizes = staged.agg(F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in params.names])
+    edges = [F.lit(0).cast("long"), *cut_points(params.fractions, F.col("_total")), F.col("_total")]
+    off = [F.when(F.abs(F.col(f"_{s}") - (hi - lo)) > 1, 1).otherwise(0).alias(s) for s, lo, hi in zip(params.names, edges, edges[1:])]
+    return verdict("split_sizes", sizes.select(*off))
+
+
+def check_manifest_agreement(staged: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Split, flags and redshift equal to the manifest's sample rows."""
+    sample = manifest.filter("in_sample").select("targetid", F.col("split").alias("_split"), F.col("has_z").alias("_has_z"),
+                                                 F.col("has_wise").alias("_has_wise"), F.col("z").cast("float").alias("_z"))
+    joined = staged.select("targetid", "split", "has_z", "has_wise", "redshift").join(sample, "targetid", "left")
+    known = F.col("_split").isNotNull()
+    def differs(a: str, b: str) -> Column:
+        return known & ~F.col(a).eqNullSafe(F.col(b))
+    return verdict("manifest_agreement", joined.agg(
+        F.count_if(~known).alias("absent"), F.count_if(differs("split", "_split")).alias("split"), F.count_if(differs("has_z", "_has_z")).alias("has_z"),
+        F.count_if(differs("has_wise", "_has_wise")).alias("has_wise"), F.count_if(differs("redshift", "_z")).alias("redshift")))
+
+
+def check_detections(manifest: DataFrame) -> DataFrame:
+    """No detection reaches two splits."""
+    per = manifest.filter("in_sample").groupBy("ero_detuid").agg(F.count_distinct("split").alias("_n"))
+    return verdict("detections_in_one_split", per.agg(F.count_if(F.col("_n") > 1).alias("detections")))
+
+
+def check_content(staged: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Finite non-zero images, usable spectra, the redshift rule, plausible redshifts; one pass over the arrays."""
+    warn = manifest.filter("in_sample").select("targetid", F.col("zwarn").alias("_zwarn"))
+    joined = staged.join(warn, "targetid", "left")
+    bad_flux = F.exists(F.arrays_zip("spectra", "spectra_ivar"), lambda p: (p["spectra_ivar"] > 0) & ~is_finite(p["spectra"]))
+    bad_ivar = F.exists("spectra_ivar", lambda v: ~is_finite(v) | (v < 0))
+    z = F.col("redshift")
+    return verdict("content", joined.agg(
+        F.count_if(~all_finite("image_flux")).alias("image_not_finite"), F.count_if(~any_nonzero("image_flux")).alias("image_all_zero"),
+        F.count_if(bad_ivar).alias("bad_ivar"), F.count_if(bad_flux).alias("bad_flux"),
+        F.count_if(has_redshift(z, "_zwarn") != F.col("has_z")).alias("has_z_rule"),
+        F.count_if(~is_finite(z) | (F.abs(z) >= 10)).alias("implausible_redshift")))
+
+
+def check_labels(staged: DataFrame, labels: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Required columns present and a label row for every staged target."""
+    lacking = [c for c in ["targetid", *required] if c not in labels.columns]
+    if lacking:
+        return fact(staged.sparkSession, "labels", [f"lacks {c}" for c in lacking])
+    absent = staged.select("targetid").join(labels.select("targetid"), "targetid", "left_anti")
+    return verdict("labels", absent.agg(F.count(F.lit(1)).alias("without_label")))
+
+
+def staged_label_counts(staged: DataFrame, labels: DataFrame, columns: Sequence[str] = COUNTED_LABELS) -> DataFrame:
+    """(label, finite) over the staged targets, one label row per target."""
+    rows = labels.join(staged.select("targetid"), "targetid", "left_semi").dropDuplicates(["targetid"])
+    return rows.agg(*[F.count_if(is_finite(c)).alias(c) for c in columns]).unpivot([], list(columns), "label", "finite")
