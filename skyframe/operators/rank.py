@@ -143,7 +143,7 @@ def bootstrap_se(df: DataFrame, value: str, key: str, by: Sequence[str] = (), re
     """
     by = list(by)
     copies = with_replicates(df.select(*by, key, value), key, replicates, seed)
-    means = copies.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_mean"))
+    means = copies.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("_mean"))
     spread = means.groupBy(*by).agg(F.stddev_samp("_mean").alias("se"))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     joined = sizes.join(spread, by, "left") if by else sizes.join(F.broadcast(spread))

@@ -61,7 +61,7 @@ def log_marginal(df: DataFrame, axes: Sequence[Column], density: Density, name:
     """
     held = computed_once(df, {f"_axis{i}": a for i, a in enumerate(axes)})
     parts = [F.col(f"_axis{i}.{field}") for field in ("nodes", "spacing", "like") for i in range(len(axes))]
-    sums = F.pandas_udf(_grid_sums(density.of_points(), len(axes)), "double", F.PandasUDFType.SCALAR)
+    sums = F.pandas_udf(_grid_sums(density.of_points(), len(axes)), "double")
     return held.withColumn(name, sums(*parts)).drop(*[f"_axis{i}" for i in range(len(axes))])
 
 
@@ -210,6 +210,6 @@ def specific_rate_densities(df: DataFrame, s: str, standardizer: Standardizer, j
                 out[some, k] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1)) + shift
         return pd.DataFrame(out, columns=["joint", "independent"])
 
-    both = F.pandas_udf(integrals, "joint double, independent double", F.PandasUDFType.SCALAR)
+    both = F.pandas_udf(integrals, "joint double, independent double")
     scored = spread(df).withColumn("_b", both(F.col(s)))
     return scored.select(*df.columns, F.col("_b.joint").alias("log_p_joint"), F.col("_b.independent").alias("log_p_independent"))

@@ -12,10 +12,6 @@ from skyframe.registry.base import query
 from skyframe.sources.catalog import scan_catalogue
 
 
-def ordered_columns(expression: str) -> str:
-    return expression
-
-
 # ---- the same steps in SQL
 
 HAVERSINE = """degrees(2 * asin(least(1.0e0, sqrt(

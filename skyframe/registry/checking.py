@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +15,12 @@ from skyframe.plans import spectra as ps
 from skyframe.registry.base import query
 from skyframe.registry.sampling import IN_SAMPLE, SHUFFLE
 from skyframe.registry.scoring import SCORES, rounded, scores
+from skyframe.session import stage_path
 from skyframe.sources import catalog, sinks
 
 GRID = Grid(3600.0, 0.8, 64)
 
 
-def scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix="run-") + "/" + name
-
-
 # ---- sources
 
 @query("src_file_inventory", """
@@ -64,7 +59,7 @@ def src_ids_from_names(v):
 
 @query("src_csv_scan", "SELECT s_suppkey, s_acctbal FROM supplier")
 def src_csv_scan(v):
-    path = scratch("supplier")
+    path = stage_path(v.spark, "supplier")
     table = v.table("supplier")
     sinks.write_csv(table, path)
     schema = T.StructType([f for f in table.schema])
@@ -73,7 +68,7 @@ def src_csv_scan(v):
 
 @query("src_listing", "SELECT TRUE AS known, count(*) > 0 AS any_file FROM region")
 def src_listing(v):
-    path = scratch("region")
+    path = stage_path(v.spark, "region")
     v.table("region").write.parquet(path)
     files = catalog.listing(v.spark, path, "*.parquet")
     return files.agg(F.every(F.col("length") > 0).alias("known"), (F.count(F.lit(1)) > 0).alias("any_file"))
@@ -83,14 +78,14 @@ def src_listing(v):
 
 @query("snk_sorted_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def snk_sorted_parquet(v):
-    path = scratch("orders")
+    path = stage_path(v.spark, "orders")
     sinks.write_sorted(v.table("orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, "o_custkey", "o_orderkey")
     return v.spark.read.parquet(path)
 
 
 @query("snk_csv", "SELECT targetid, split_source, has_z, spectype, redshift FROM v_sample")
 def snk_csv(v):
-    path = scratch("sample")
+    path = stage_path(v.spark, "sample")
     rows = v.sample.select("targetid", "split_source", "has_z", "spectype", "redshift")
     sinks.write_csv(rows, path)
     return catalog.scan_csv(v.spark, path, rows.schema)
@@ -99,7 +94,7 @@ def snk_csv(v):
 @query("snk_ledger", """
 SELECT 'sample' AS step, 1 AS ord, 'split_source_pairs_excluded' AS filter, count_if(NOT split_source) AS kept, count(*) AS rows_in FROM v_sample""")
 def snk_ledger(v):
-    path = scratch("ledger")
+    path = stage_path(v.spark, "ledger")
     counts = lg.named_counts(v.sample.agg(F.count(F.lit(1)).alias("rows_in")))
     record = lg.ledger_record("sample", counts, lg.cut_ledger(v.sample, sm.sample_cuts()), {"sample": "given"}, {"seed": "42"})
     sinks.write_ledger(record, path)
@@ -110,7 +105,7 @@ def snk_ledger(v):
 
 @query("src_ledger_read", "SELECT 'sample' AS step, 'has_image' AS filter, count_if(NOT split_source AND has_spectrum AND has_image) AS kept FROM v_sample")
 def src_ledger_read(v):
-    path = scratch("ledger")
+    path = stage_path(v.spark, "ledger")
     counts = lg.named_counts(v.sample.agg(F.count(F.lit(1)).alias("rows_in")))
     sinks.write_ledger(lg.ledger_record("sample", counts, lg.cut_ledger(v.sample, sm.sample_cuts())), path)
     return sinks.read_ledger(v.spark, path).select("step", F.explode("filters").alias("f")).filter("f.filter = 'has_image'").select("step", "f.filter", "f.kept")
@@ -131,7 +126,7 @@ SELECT 0 AS ord, '| subset | flux_information_gain | lx_information_gain |' AS l
 UNION ALL SELECT ordinal + 2, concat('| ', subset, ' | ', printf('%.3f', f), ' | ', printf('%.3f', l), ' |') FROM w""")
 def snk_markdown_table(v):
     grid = sc.score_grid(sc.information_gain(scores(v)), ["flux", "lx"])
-    path = scratch("table")
+    path = stage_path(v.spark, "table")
     lines = sinks.markdown_rows(grid, "ordinal", ["subset", "flux_information_gain", "lx_information_gain"])
     sinks.write_text(lines, path)
     return lines
@@ -266,7 +261,7 @@ def job_validate(v):
 
 @query("snk_staged_split", f"WITH {M_SQL} SELECT split, count(*) AS rows, min(targetid) AS first_row, max(targetid) AS last_row FROM m GROUP BY split")
 def snk_staged_split(v):
-    path = scratch("staged")
+    path = stage_path(v.spark, "staged")
     sinks.write_staged(staged(v, clean=True), path, 128)
     back = v.spark.read.parquet(path)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"))

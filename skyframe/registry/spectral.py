@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from skyframe.functions import spectra as fs
@@ -15,6 +13,7 @@ from skyframe.operators.rank import order_breaks
 from skyframe.params import LINE_COMPLEXES, Grid
 from skyframe.plans import spectra as ps
 from skyframe.registry.base import query
+from skyframe.session import stage_path
 
 CAMERA_GRID = Grid(3600.0, 0.8, 176)
 LINE_GRID = Grid(3600.0, 2.0, 3100)
@@ -100,7 +99,7 @@ def job_coadd_spectra(v):
 @query("src_shard_store", f"WITH {COADD} SELECT survey, program, healpix, count(*) AS rows FROM shards GROUP BY survey, program, healpix")
 def src_shard_store(v):
     from skyframe.sources.sinks import write_shards
-    folder = tempfile.mkdtemp(prefix="run-") + "/shards"
+    folder = stage_path(v.spark, "shards")
     write_shards(shards(v), folder)
     return v.spark.read.parquet(folder).groupBy("survey", "program", "healpix").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -218,7 +217,6 @@ _MOMENT = """
 m AS (SELECT targetid, line, round(sum(y - level - slope * d) * (1 + any_value(z)) * any_value(hi - lo) / any_value(n_window), 4) AS flux
   FROM good JOIN c USING (targetid, line) GROUP BY targetid, line),
 s AS (SELECT g.targetid, g.line, coalesce(g.status, 'ok') AS status, m.flux FROM gated g LEFT JOIN m USING (targetid, line))"""
-from skyframe.registry.base import SQL as _SQL  # noqa: E402
 
 _GOOD = """good AS (SELECT i.*, i.x - (i.lo + i.hi) / 2 AS d, x < i.lo + 0.22e0 * (i.hi - i.lo) OR x > i.hi - 0.22e0 * (i.hi - i.lo) AS edge, g.n_window
   FROM inside i JOIN gated g USING (targetid, line) WHERE g.status IS NULL AND v > 0),

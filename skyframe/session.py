@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,8 @@ def settle(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the session's shuffle partitions before a step that costs far more than moving them."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a stage table in the folder that checkpoints go to."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
