@@ -116,8 +116,8 @@ class GaussianKDE:
         log_norm = -0.5 * d * math.log(2 * math.pi) - float(np.log(np.diag(lower)).sum()) - math.log(row["n"])
         whitened = complete.select(*[_combine(columns, whitener[i]).alias(f"_w{i}") for i in range(d)])
         cells = _summarize(whitened, d)
-        size = cells.count()
-        summary = _load(cells, d) if size <= MAX_SUMMARY else None
+        found = cells.select("cell", "n", "values").limit(MAX_SUMMARY + 1).toPandas()  # bounded, whatever the table
+        summary = _tables(found, d) if len(found) <= MAX_SUMMARY else None
         return cls(tuple(columns), row["n"], whitener, log_norm, cells, summary)
 
     def _require_summary(self) -> dict:
@@ -216,11 +216,6 @@ def _tables(pdf: pd.DataFrame, d: int) -> dict:
             "variance": np.maximum(second - first * first, 0.0)}
 
 
-def _load(cells: DataFrame, d: int) -> dict:
-    """Bring a size-checked summary to the driver, to travel with the scoring tasks."""
-    return _tables(cells.select("cell", "n", "values").toPandas(), d)
-
-
 @dataclass(frozen=True)
 class NormalDensity:
     """Independent normal densities, one per dimension."""

@@ -58,11 +58,14 @@ def best_host_fit(fits: DataFrame, observed: DataFrame) -> DataFrame:
     """One fit per observed target: same observation, then main survey, then the lowest chi2.
 
     `observed` has one (targetid, survey, program) per target. Remaining ties fall to the fit's own columns.
+    Fits are first cut to the best one per (target, survey, program), before any join, so a target with a
+    great many fits sends only a handful of rows on.
     """
+    rest = [F.col(c).asc_nulls_last() for c in sorted(set(fits.columns) - {"targetid", "chi2"})]
+    few = best_per_key(fits, ["targetid", "survey", "program"], [F.col("chi2").asc_nulls_last(), *rest])
     seen = observed.select("targetid", F.col("survey").alias("_survey"), F.col("program").alias("_program"))
-    joined = fits.join(seen, "targetid", "inner")
+    joined = few.join(seen, "targetid", "inner")
     same = F.coalesce((F.col("survey") == F.col("_survey")) & (F.col("program") == F.col("_program")), F.lit(False))
-    rest = [F.col(c).asc_nulls_last() for c in sorted(set(fits.columns) - {"targetid", "chi2"})]
     order = [same.desc(), F.coalesce(F.col("survey") == "main", F.lit(False)).desc(),
              F.col("chi2").asc_nulls_last(), *rest]
     return best_per_key(joined, ["targetid"], order).drop("_survey", "_program")

@@ -144,7 +144,7 @@ def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineCo
         new_residual, new_jac = _evaluate(trial, x[i], y[i], w[i], cx)
         new_cost = 0.5 * (new_residual**2).sum(axis=1)
         better = np.isfinite(new_cost) & (new_cost <= cost[i])
-        settled = better & (cost[i] - new_cost <= 1e-10 * cost[i]) & (damping[i] <= 1.0)
+        settled = better & (cost[i] - new_cost <= 1e-8 * cost[i]) & (damping[i] <= 1.0)
         took = i[better]
         p[took], residual[took], jac[took], cost[took] = trial[better], new_residual[better], new_jac[better], new_cost[better]
         damping[i] = np.where(better, np.maximum(damping[i] / 5.0, 1e-12), damping[i] * 4.0)

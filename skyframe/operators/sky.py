@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,7 +142,7 @@ def shared_groups(matched: DataFrame, split_max_sep_arcsec: float) -> DataFrame:
     A group is a split source when no two of its X-ray positions are farther apart than the limit. The
     extent of the group along x, y and z decides almost every group inside one aggregation (for two
     members it is exact); the rest, all smaller than the limit in every axis, are reduced to their hull
-    in pieces of bounded size before the widest pair is measured.
+    in pieces of bounded size, then in pieces of pieces, before the widest pair is measured.
     """
     x, y, z = unit_vector(F.col("xray_ra"), F.col("xray_dec"))
     placed = matched.select("targetid", "ero_detuid", x.alias("_x"), y.alias("_y"), z.alias("_z"))
@@ -159,9 +158,10 @@ def shared_groups(matched: DataFrame, split_max_sep_arcsec: float) -> DataFrame:
     unclear = groups.filter(~inside & ~outside).select("targetid", "members")
     pieces = placed.join(unclear, "targetid").withColumn(
         "_piece", F.pmod(F.xxhash64("ero_detuid"), F.ceil(F.col("members") / 4096)))
-    schema = pieces.select("targetid", "members", "_x", "_y", "_z").schema
-    hulls = pieces.groupBy("targetid", "_piece").applyInPandas(
-        lambda pdf: _hull_rows(pdf)[["targetid", "members", "_x", "_y", "_z"]], schema)
+    pieces = pieces.select("targetid", "_piece", "_x", "_y", "_z")
+    hulls = pieces.groupBy("targetid", "_piece").applyInPandas(_hull_rows, pieces.schema)
+    hulls = hulls.withColumn("_piece", F.floor(F.col("_piece") / 512))
+    hulls = hulls.groupBy("targetid", "_piece").applyInPandas(_hull_rows, pieces.schema)
     widest = hulls.groupBy("targetid").applyInPandas(
         _widest, T.StructType([T.StructField("targetid", T.LongType()), T.StructField("_widest", T.DoubleType())]))
     measured = unclear.join(widest, "targetid").select(

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyframe.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -247,4 +249,6 @@ class Views:
             raise AttributeError(name)
         body = body if isinstance(body, str) else body[0]
         used = {t: self.table(t) for t in set(_TABLE.findall(body))}
+        if name == "spectra":  # short vectors become long arrays: spread them first
+            used = {t: spread(df, "vec_id") for t, df in used.items()}
         return self.spark.sql(body, **used)

@@ -13,6 +13,7 @@ from skyframe.params import LIGHT_KMS, PLANCK18_H0
 from skyframe.plans import labels as lb
 from skyframe.registry.base import TARGET_ID, query
 from skyframe.registry.catalog import STEPS, run
+from skyframe.session import settle
 
 
 def r(*names, digits=6):
@@ -77,7 +78,7 @@ def seen(v):
 @query("join_strict_lookup", f"""
 WITH {STEPS} SELECT r.ero_detuid, r.targetid, m.ml_flux_1 FROM resolved r JOIN v_main m USING (ero_detuid) WHERE kept""")
 def join_strict_lookup(v):
-    out = joins.strict_lookup(run(v).matched.select("ero_detuid", "targetid"), v.main, ["ero_detuid"], "source catalogue")
+    out = joins.strict_lookup(settle(run(v).matched.select("ero_detuid", "targetid")), v.main, ["ero_detuid"], "source catalogue")
     return out.select("ero_detuid", "targetid", "ml_flux_1")
 
 
@@ -269,6 +270,6 @@ SELECT r.ero_detuid, r.targetid, det_like_0, det_like_p2, round(log_flux_1, 6) A
   h.log_sfr, h.logmstar_cigale
 FROM (SELECT * FROM resolved WHERE kept) r JOIN x USING (ero_detuid) LEFT JOIN host h USING (targetid)""")
 def job_derive_labels(v):
-    out = lb.derive_labels(run(v).matched, v.main, v.host_fits).labels
+    out = lb.derive_labels(settle(run(v).matched), v.main, v.host_fits).labels  # jobs hand over written tables
     return out.select("ero_detuid", "targetid", "det_like_0", "det_like_p2", *r("log_flux_1", "log_flux_p2_sig_hi"),
                       "ape_cts_1", "ape_bkg_1", "ape_exp_1", *r("log_lx", digits=5), "log_sfr", "logmstar_cigale")

@@ -13,6 +13,7 @@ from skyframe.params import Head, SplitParams
 from skyframe.plans import sample as sp
 from skyframe.registry.base import query
 from skyframe.registry.catalog import STEPS, run
+from skyframe.session import settle
 
 IN_SAMPLE = "NOT split_source AND has_spectrum AND has_image"
 HEADS = (Head("flux", ("flux",)), Head("lx", ("lx",)), Head("sfr", ("sfr",)), Head("mstar", ("mstar",)),
@@ -201,7 +202,7 @@ SELECT f.targetid, f.ero_detuid, d.targetid IS NOT NULL AS in_sample, CASE WHEN
 def job_build_manifest(v):
     spectra = v.targets.filter("targetid % 5 <> 0").select("targetid")
     images = v.targets.filter("targetid % 7 <> 0").select("targetid")
-    out = sp.build_manifest(run(v).matched, spectra, images).manifest
+    out = sp.build_manifest(settle(run(v).matched), spectra, images).manifest  # jobs hand over written tables
     return out.select("targetid", "ero_detuid", "in_sample", "split", "has_spectrum", "has_z", "has_wise", "has_image", "split_source")
 
 

@@ -80,6 +80,9 @@ def stat_prior_axis(v):
     return rounded(s, 9)
 
 
+UNIQUE = CENTRE.replace("FROM v_counts", "FROM (SELECT DISTINCT * FROM v_counts)")
+ALL_KEYS = f"{KEY}, l_extendedprice, counts, bkg"
+ALL = [*KEYS, "l_extendedprice", "counts", "bkg"]
 NODES = f"""{CENTRE}, n AS (SELECT *, unnest(range(0, 12)) AS i FROM p), nodes AS (SELECT *, centre + width * (-5.0e0 + i * 10.0e0 / 11) AS node FROM n)"""
 
 
@@ -105,29 +108,29 @@ _NORMAL = "(-0.5e0 * pow(({u} - {m}) / {s}, 2) - ln({s}) - 0.5e0 * ln(2 * pi()))
 
 
 @query("stat_poisson_marginal", f"""
-WITH {NODES}, t AS (SELECT {KEY}, width, {_NORMAL.format(u='node', m='0.1e0', s='1.2e0')}
+WITH {NODES.replace(CENTRE, UNIQUE)}, t AS (SELECT {ALL_KEYS}, width, {_NORMAL.format(u='node', m='0.1e0', s='1.2e0')}
   + {PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')} AS term FROM nodes),
-m AS (SELECT {KEY}, width, max(term) AS top FROM t GROUP BY {KEY}, width)
-SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + ln(10.0e0 / 11), 5) AS ll
-FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
+m AS (SELECT {ALL_KEYS}, width, max(term) AS top FROM t GROUP BY {ALL_KEYS}, width)
+SELECT {", ".join("t." + k for k in ALL)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + ln(10.0e0 / 11), 5) AS ll
+FROM t JOIN m USING ({ALL_KEYS}) GROUP BY {", ".join("t." + k for k in ALL)}""")
 def stat_poisson_marginal(v):
-    rows = spread(v.counts.dropDuplicates(KEYS), *KEYS)
+    rows = spread(v.counts.distinct(), *KEYS)
     out = sc.log_marginal(rows, [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6)], dn.NormalDensity((0.1,), (1.2,)), "ll")
-    return out.select(*KEYS, F.round("ll", 5).alias("ll"))
+    return out.select(*ALL, F.round("ll", 5).alias("ll"))
 
 
 @query("stat_product_marginal", f"""
-WITH {NODES}, u AS (SELECT unnest(range(0, 12)) AS j), t AS (SELECT {KEY}, width,
+WITH {NODES.replace(CENTRE, UNIQUE)}, u AS (SELECT unnest(range(0, 12)) AS j), t AS (SELECT {ALL_KEYS}, width,
   {_NORMAL.format(u='node', m='0.1e0', s='1.2e0')} + {_NORMAL.format(u='(-5.0e0 + j * 10.0e0 / 11)', m='-0.2e0', s='0.9e0')}
   + {_NORMAL.format(u='(l_extendedprice / 50000.0e0)', m='0.0e0', s='1.1e0')}
   + {PMF.format(n='counts', mu='expo * pow(10.0e0, 0.6e0 * node - 0.8e0) + bkg')} AS term FROM nodes, u),
-m AS (SELECT {KEY}, max(term) AS top FROM t GROUP BY {KEY})
-SELECT {", ".join("t." + k for k in KEYS)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + 2 * ln(10.0e0 / 11), 5) AS ll
-FROM t JOIN m USING ({KEY}) GROUP BY {", ".join("t." + k for k in KEYS)}""")
+m AS (SELECT {ALL_KEYS}, max(term) AS top FROM t GROUP BY {ALL_KEYS})
+SELECT {", ".join("t." + k for k in ALL)}, round(any_value(top) + ln(sum(exp(term - top))) + ln(any_value(t.width)) + 2 * ln(10.0e0 / 11), 5) AS ll
+FROM t JOIN m USING ({ALL_KEYS}) GROUP BY {", ".join("t." + k for k in ALL)}""")
 def stat_product_marginal(v):
     axes = [po.rate_axis("counts", "bkg", "expo", -0.8, 0.6), po.prior_axis(), po.pinned_axis(F.col("l_extendedprice") / 50000.0)]
-    out = sc.log_marginal(spread(v.counts.dropDuplicates(KEYS), *KEYS), axes, dn.NormalDensity((0.1, -0.2, 0.0), (1.2, 0.9, 1.1)), "ll")
-    return out.select(*KEYS, F.round("ll", 5).alias("ll"))
+    out = sc.log_marginal(spread(v.counts.distinct(), *KEYS), axes, dn.NormalDensity((0.1, -0.2, 0.0), (1.2, 0.9, 1.1)), "ll")
+    return out.select(*ALL, F.round("ll", 5).alias("ll"))
 
 
 UNIT = sm.Standardizer({"sfr": 0.2, "mstar": 10.0, "rate_p2": -0.8, "rate_p3": -0.7}, {"sfr": 0.7, "mstar": 0.6, "rate_p2": 0.6, "rate_p3": 0.5})
