@@ -43,7 +43,7 @@ def _before(column: str, order: str) -> Column:
 def ordered_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
     """Add the exact 0-based position of each row in the total order of `order` (which must be unique).
 
-    One range shuffle; positions inside a partition are written down by a checkpoint before the
+    One range shuffle; positions inside a partition are written down in a stage table before the
     partition offsets are counted, so retries cannot renumber rows.
     """
     placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -59,7 +59,7 @@ def ordered_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Dat
 def running_total(df: DataFrame, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Add running totals (doubles) of never-NULL numbers along the global order of `order`.
 
-    Totals run inside each range partition, are written down by a checkpoint, and are then shifted by
+    Totals run inside each range partition, are written down in a stage table, and are then shifted by
     the sums of the partitions before theirs.
     """
     names = list(sums)

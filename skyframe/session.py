@@ -23,20 +23,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a stage table in the folder that checkpoints go to."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and read it from there afterwards.
+    """Write `df` once as a stage table in the shared folder and read it from there afterwards.
 
-    Row numbers derived from partition positions stay the same however often tasks are retried.
+    Row numbers derived from partition positions stay the same however often tasks are retried, and each
+    reader scans only the columns it needs.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = stage_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the session's shuffle partitions before a step that costs far more than moving them."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a stage table in the folder that checkpoints go to."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"

@@ -172,3 +172,53 @@ def test_subset_draws(spark):
     assert out.filter("(NOT z AND contains(subset, 'Z')) OR (NOT w AND contains(subset, 'W'))").isEmpty()
     sizes = {r[0]: r[1] for r in out.filter("z AND w").groupBy(F.length("subset")).count().collect()}
     assert set(sizes) == {1, 2, 3, 4} and max(sizes.values()) < 1.3 * min(sizes.values())
+
+
+def test_kernel_prior_through_quadrature(spark):
+    """The prior of a rate and a scalar, against sums over all training rows and nodes."""
+    df = labels(spark)
+    head = Head("pair", ("rate_p2", "sfr"))
+    s = sm.fit_standardizer(df, head.targets)
+    prior = sc.fit_prior(df, head, s)
+    got = sc.head_log_likelihood(sm.with_masks(df), head, s, prior).collect()
+
+    def rate(r):
+        return (math.log10(max(r["ape_cts_p2"] - r["ape_bkg_p2"], 0.5) / r["ape_exp_p2"]) - s.mean["rate_p2"]) / s.scale["rate_p2"]
+
+    def scalar(r):
+        return (r["log_sfr"] - s.mean["sfr"]) / s.scale["sfr"]
+
+    train = np.array([(rate(r), scalar(r)) for r in got if r["split"] == "train" and r["rate_p2_ok"] and r["sfr_ok"]])
+    offsets = np.linspace(-5, 5, 12)
+    for r in got:
+        if not r["sfr_ok"]:
+            assert r["ll"] is None
+            continue
+        if r["rate_p2_ok"]:
+            n, b, t = r["ape_cts_p2"], r["ape_bkg_p2"], r["ape_exp_p2"]
+            sigma = math.sqrt(max(n, 1)) / (math.log(10) * s.scale["rate_p2"] * max(n - b, 0.5))
+            nodes = rate(r) / (1 + sigma**2) + sigma / math.sqrt(1 + sigma**2) * offsets
+            mu = t * 10 ** (s.scale["rate_p2"] * nodes + s.mean["rate_p2"]) + b
+            like, spacing = n * np.log(mu) - mu - math.lgamma(n + 1), nodes[1] - nodes[0]
+        else:
+            nodes, like, spacing = offsets, np.zeros(12), offsets[1] - offsets[0]
+        terms = brute_kde(train, np.column_stack([nodes, np.full(12, scalar(r))])) + like
+        want = terms.max() + math.log(np.exp(terms - terms.max()).sum()) + math.log(spacing)
+        assert r["ll"] == pytest.approx(want, abs=1e-6)
+
+
+def test_specific_rate_under_kernel_densities(spark):
+    rng = np.random.default_rng(9)
+    pair = rng.normal(size=(200, 2)) @ [[1.0, 0.6], [0.0, 0.8]]
+    s = sm.Standardizer({"sfr": 0.3, "mstar": 10.0}, {"sfr": 0.7, "mstar": 0.4})
+    train = table(spark, pair, ["sfr", "mstar"])
+    densities = [dn.GaussianKDE.fit(train, c) for c in (["sfr", "mstar"], ["sfr"], ["mstar"])]
+    df = spark.createDataFrame([(-10.5,), (-9.7,), (-9.0,), (None,)], "s double")
+    got = {r["s"]: r for r in sc.specific_rate_densities(df, "s", s, *densities).collect()}
+    assert got[None]["log_p_joint"] is None or math.isnan(got[None]["log_p_joint"])
+    mass = np.linspace(-8, 8, 256)
+    for value in (-10.5, -9.7, -9.0):
+        u = np.column_stack([(value + mass * 0.4 + 10.0 - 0.3) / 0.7, mass])
+        for name, terms in (("log_p_joint", brute_kde(pair, u)), ("log_p_independent", brute_kde(pair[:, :1], u[:, :1]) + brute_kde(pair[:, 1:], u[:, 1:]))):
+            want = terms.max() + math.log(np.exp(terms - terms.max()).sum()) + math.log(mass[1] - mass[0]) - math.log(0.7)
+            assert got[value][name] == pytest.approx(want, abs=1e-6)
