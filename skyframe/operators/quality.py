@@ -12,7 +12,7 @@ from skyframe.functions.core import is_finite
 from skyframe.functions.labels import has_redshift
 from skyframe.functions.spectra import all_finite, any_nonzero
 from skyframe.operators.sample import cut_points
-from skyframe.params import COUNTED_LABELS, IMAGE_BANDS, SPLITS, Grid, SplitParams
+from skyframe.params import COUNTED_LABELS, IMAGE_BANDS, Grid, SplitParams
 
 # The columns and types of a staged split.
 STAGED_CONTRACT = {

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions.core import finite_or_null, is_finite, on_main_survey, trimmed
+from skyframe.functions.core import is_finite, on_main_survey, trimmed
 from skyframe.operators.joins import best_per_key
 from skyframe.operators.ledger import counts_to_ledger
 from skyframe.operators.rank import exact_quantiles

@@ -13,8 +13,8 @@ from skyframe.params import Grid, SplitParams
 from skyframe.plans import quality as pq
 from skyframe.plans import spectra as ps
 from skyframe.registry.base import query
-from skyframe.registry.sampling import IN_SAMPLE, SHUFFLE
-from skyframe.registry.scoring import SCORES, rounded, scores
+from skyframe.registry.sampling import SHUFFLE
+from skyframe.registry.scoring import SCORES, scores
 from skyframe.session import stage_path
 from skyframe.sources import catalog, sinks
 

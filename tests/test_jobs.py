@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skyframe.operators.joins import DataError, strict_lookup
 from skyframe.plans import crossmatch as xm
