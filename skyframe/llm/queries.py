@@ -32,3 +32,19 @@ def simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_pii_deobfuscated")
+def pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of every document, and all spans; n_added counts those that only the rewriting shows."""
+    from skyframe.llm.pii import KINDS, find_pii, joined_spans
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
