@@ -48,3 +48,11 @@ def pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [number(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+@query("op4_embedding_itq")
+def embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector: cosine of at least 0.98 within a label."""
+    from skyframe.llm.itq import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
