@@ -84,13 +84,13 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarra
             yield row, q_ids, c_ids, scores(q, c), q_ids[:, None] != c_ids[None, :]
 
 
-def _count(k: int, bins: int):
+def _count(k: int, bins: int, width: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, q_ids, _, found, counts in _scored(batches):
-            low, width, above = (np.array(row[x], dtype=np.int64)[:, None] for x in ("low", "width", "above"))
+            low, above = (np.array(row[x], dtype=np.int64)[:, None] for x in ("low", "above"))
             # differences are taken as unsigned numbers, which hold the distance of any two longs
-            place = (found.view(np.uint64) - low.view(np.uint64)) // width.astype(np.uint64)
-            inside = counts & (found >= low) & (place < bins)
+            gap = found.view(np.uint64) - low.view(np.uint64)
+            inside, place = counts & (found >= low) & (gap < np.uint64(span)), gap // np.uint64(width)
             flat = (place.astype(np.int64) + bins * np.arange(len(q_ids))[:, None])[inside]
             table = np.bincount(flat, minlength=bins * len(q_ids)).reshape(len(q_ids), bins)
             before = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
@@ -144,31 +144,29 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
         low = -min(LONGEST, int(longest * widest) + 1)
         reach = max(reach, -2 * low + 1)
         start.append((block, n, low))
-    width = -(-reach // bins)
+    span, width = reach, -(-reach // bins)
     state = spark.createDataFrame(start, "q_block long, n int, low long").select(
-        "q_block", F.posexplode(F.array_repeat("low", F.col("n"))).alias("q", "low"), F.lit(width).alias("width"), F.lit(0).cast("long").alias("above"))
+        "q_block", F.posexplode(F.array_repeat("low", F.col("n"))).alias("q", "low"), F.lit(0).cast("long").alias("above"))
     while True:
-        counted = _with_state(pairs, state).mapInArrow(_count(k, bins), "q_block long, q int, bin int, n long")
+        counted = _with_state(pairs, state).mapInArrow(_count(k, bins, width, span), "q_block long, q int, bin int, n long")
         counts = counted.groupBy("q_block", "q", "bin").agg(F.sum("n").alias("n"))
         order = Window.partitionBy("q_block", "q").orderBy(F.col("bin").desc())
         higher = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).join(state, ["q_block", "q"])
         hit = higher.filter((F.col("above") + F.col("before") < k) & (F.col("above") + F.col("before") + F.col("n") >= k)).select(
             "q_block", "q", F.col("bin").alias("at"), "before")
-        finer = -(-width // bins)
         # queries without a k-th score keep their interval's low end, so that all their candidates are returned
         state = settle(state.join(hit, ["q_block", "q"], "left").select(
             "q_block", "q", F.expr(f"CAST(low + CAST(coalesce(at, 0) AS DECIMAL(10)) * CAST({width} AS DECIMAL(20)) AS LONG)").alias("low"),
-            F.lit(finer).cast("long").alias("width"),
             (F.col("above") + F.coalesce("before", F.lit(0))).alias("above")))
         if width == 1:
             break
-        width = finer
+        span, width = width, -(-width // bins)
     kept = _with_state(pairs, state).mapInArrow(_keep(k), "q_block long, q int, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_block", "q").orderBy(F.col("score").desc(), "vec_id")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _with_state(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    packed = state.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("q", "low", "width", "above"))).alias("s"))
+    packed = state.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("q", "low", "above"))).alias("s"))
     return pairs.join(packed, "q_block").select("q_block", "dim", "ids", "data", "q_ids", "q_data", F.col("s.low").alias("low"),
-                                                F.col("s.width").alias("width"), F.col("s.above").alias("above"))
+                                                F.col("s.above").alias("above"))
