@@ -66,7 +66,21 @@ SPELLED = re.compile(
     rf"|(?P<at>{BRACKETED % 'at'})"
     rf"|(?P<dot>{BRACKETED % '(?:dot|point|[.])'}|{GAP}dot{GAP}|{GAP}point{GAP}(?={DIGIT}(?![A-Za-z])|[0-9]))"
     rf"|(?P<spaced>{GAP}at{GAP}(?=[A-Za-z0-9-]+(?:(?:{GAP}|[ \t]{{0,3}}[\[({{<][ \t]{{0,3}})dot[ \t\])}}>])))", re.IGNORECASE)
-CLUE = re.compile(rf"(?<![A-Za-z])(?:{DIGIT}|dot|point|plus)(?![A-Za-z])|[\[({{<][ \t]{{0,3}}(?:at|[.])[ \t]{{0,3}}[\])}}>]", re.IGNORECASE)
+# What makes a text worth rewriting, on lower-case UTF-8: patterns that start with plain bytes, since most texts hold none of these.
+NEXT = rb"[ \t,.-]{1,3}(?:%s|dot|point|[0-9])" % DIGIT.encode()
+CLUES = {w.encode(): re.compile(b"%s(?<![a-z]%s)(?![a-z])%s" % (w.encode(), w.encode(), NEXT)) for w in [*DIGITS, "plus"]}
+CLUES |= {w: re.compile(b"%s(?<=[ \t]%s)[ \t]" % (w, w)) for w in (b"dot", b"point")}
+OTHER_CLUES = re.compile(rb"[\[({<0-9](?:(?<![0-9])[ \t]{0,3}(?:at|dot|point|[.][ \t]{0,3}[\])}>])|(?<=[0-9])[ \t,.-]{1,3}%s(?![a-z]))" % DIGIT.encode())
+OFTEN = bytes(b for b in range(256) if b < 0xC0 or b == 0xC3)
+CLUSTER = re.compile(r"[+0-9][\x20().0-9-]*")
+SHORTEST = 7
+
+
+def _clue(text: str) -> bool:
+    low = text.encode("utf-8", "surrogatepass").lower()
+    return any(w in low and p.search(low) for w, p in CLUES.items()) or OTHER_CLUES.search(low) is not None
+
+
 BETWEEN = re.compile(r"[ \t,-]{1,3}\Z")
 
 
@@ -92,24 +106,28 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         else:
             end = sign + 1
         sign = text.find("@", end)
-    for m in ADDRESS.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            found.append(("ip", m.start(), m.end()))
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 13:
-            digits = re.sub("[ -]", "", m[0])
-            if 13 <= len(digits) <= 19 and _luhn(digits):
-                found.append(("card", m.start(), m.end()))
-    for m in PHONE.finditer(text):
-        if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+    runs = [(m.start(), m.end()) for m in CLUSTER.finditer(text) if m.end() - m.start() >= SHORTEST]
+    for lo, hi in runs:
+        for m in ADDRESS.finditer(text, lo, hi):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                found.append(("ip", m.start(), m.end()))
+    for lo, hi in runs:
+        for m in CARD.finditer(text, lo, hi):
+            if m.end() - m.start() >= 13:
+                digits = re.sub("[ -]", "", m[0])
+                if 13 <= len(digits) <= 19 and _luhn(digits):
+                    found.append(("card", m.start(), m.end()))
+    for lo, hi in runs:
+        m = PHONE.match(text, lo, hi)
+        if m and 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             found.append(("phone", m.start(), m.end()))
     return found
 
 
 def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None:
     """The rewritten text with, per written character, source start, source end and whether it was rewritten; None if there is nothing to rewrite."""
-    traced = None if text.isascii() else TRACE.search(text)
-    if not traced and not CLUE.search(text):
+    traced = not text.isascii() and text.encode("utf-8", "surrogatepass").translate(None, OFTEN) and TRACE.search(text)
+    if not traced and not _clue(text):
         return None
     start = np.arange(len(text), dtype=np.int64)
     end, changed, plain = start + 1, np.zeros(len(text), dtype=bool), text
@@ -124,7 +142,7 @@ def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None:
             changed[after] = True
             start, end, changed = start[kept], end[kept], changed[kept]
             plain = HIDDEN.sub("", plain)
-    if not CLUE.search(plain):
+    if not _clue(plain):
         return plain, start, end, changed
     out, parts, at, last_digit = [], [], 0, None
 
