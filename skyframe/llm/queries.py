@@ -75,3 +75,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
+
+
+@query("op6_pieces_ffbs")
+def pieces_ffbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pieces, lossless and n_pieces of every document: one sampled segmentation, seeded by doc_id."""
+    from skyframe.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents")).select("doc_id", "pieces", "lossless", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"))
