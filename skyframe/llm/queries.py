@@ -83,3 +83,11 @@ def pieces_ffbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyframe.llm.pieces import encode
 
     return encode(table(spark, sf_dir, "documents")).select("doc_id", "pieces", "lossless", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"))
+
+
+@query("op10_katz_scores")
+def katz_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a word-pair model learned from those not held out."""
+    from skyframe.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
