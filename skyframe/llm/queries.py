@@ -91,3 +91,12 @@ def katz_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyframe.llm.katz import katz_scores
 
     return katz_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pfair_mix")
+def pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in the mix of all sources, to weights in proportion to count ** 0.7."""
+    from skyframe.llm.mixing import mix
+
+    placed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
