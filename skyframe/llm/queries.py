@@ -100,3 +100,12 @@ def pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return placed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
+
+
+@query("op3_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, p_poor, p_toxic, toxic of every document, by a chain fitted on the labelled ones."""
+    from skyframe.llm.toxicity import THRESHOLD, fit_chain, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels"))).withColumn("toxic", F.col("p_toxic") > THRESHOLD)
