@@ -29,7 +29,7 @@ from skyframe.session import settle
 FOLDS = 5
 HELD_OUT = 1
 LARGEST = 5
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_200_000
 PART_BYTES = 8 << 20
 START, END = b" S", b" E"  # no word holds a space
 ROW = "block long, kind int, part int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -106,7 +106,7 @@ class Block:
         self.number = row["block"]
         plain = unpacked(row["a"]).astype(np.uint8).view("<i8")
         self.ids = [int(i) if k else None for i, k in zip(plain, unpacked(row["b"]))]
-        self.sizes, self.tokens, self.part = unpacked(row["c"]), unpacked(row["d"]), unpacked(row["f"])
+        self.sizes, self.tokens, self.part = unpacked(row["c"]), unpacked(row["d"]).astype(np.int32), unpacked(row["f"])
         self.out = np.array([held_out(i) for i in self.ids])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~self.out, self.sizes)
@@ -164,12 +164,13 @@ class Pairs:
             self.name[which], self.count[which] = unpacked(row["a"]), unpacked(row["b"])
         before = np.empty_like(block.tokens)
         before[1:] = block.tokens[:-1]
-        before[block.starts] = 0
+        before[block.starts] = 0  # the start
         self.context = before
         self.known = (self.count[before] > 0) & (self.count[block.tokens] > 0)
         width = len(block.part)
-        key = before[self.known] * width + block.tokens[self.known]
-        pair, self.place = np.unique(key, return_inverse=True)
+        key = before[self.known].astype(np.int64) * width + block.tokens[self.known]
+        pair, place = np.unique(key, return_inverse=True)
+        self.place = place.astype(np.int32)
         learned = np.bincount(self.place[block.train[self.known]], minlength=len(pair))
         context, word = pair // width, pair % width
         splits = 1 + self.count // max(1, total // (2 * parts))

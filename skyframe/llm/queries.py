@@ -109,3 +109,11 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_chain(docs, table(spark, sf_dir, "labels"))).withColumn("toxic", F.col("p_toxic") > THRESHOLD)
+
+
+@query("op1_token_lengths")
+def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source and every encoded length that occurs: documents, and what a context limit of that length keeps and cuts."""
+    from skyframe.llm.tokens import histogram, suffix_sums
+
+    return suffix_sums(histogram(table(spark, sf_dir, "documents"), ["source"]), ["source"])
