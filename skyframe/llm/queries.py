@@ -117,3 +117,11 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyframe.llm.tokens import histogram, suffix_sums
 
     return suffix_sums(histogram(table(spark, sf_dir, "documents"), ["source"]), ["source"])
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in the documents with its coverage and its characters."""
+    from skyframe.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
