@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.operators.rank import bootstrap_se, exact_quantiles, quantile_columns, rolling_band, rolling_mean
+from skyframe.operators.rank import bootstrap_se, exact_quantiles, rolling_band, rolling_mean, small_group_quantiles
 from skyframe.operators.sample import Standardizer
 from skyframe.operators.scoring import information_gain
 from skyframe.params import BOOTSTRAP_REPLICATES, NEARBY_REDSHIFT, RHO_BIN, ROLLING_WINDOW
@@ -111,7 +111,7 @@ def population_shares(rho: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, se
 
 def hardness_summary(draws: DataFrame, standardizer: Standardizer) -> DataFrame:
     """Median and 16/84 % points of the hardness ratio of each source."""
-    return quantile_columns(with_hardness(draws, standardizer), "hr", {"hr_median": 0.5, "hr_lo": 0.16, "hr_hi": 0.84}, ["source_id"])
+    return small_group_quantiles(with_hardness(draws, standardizer), "hr", {"hr_median": 0.5, "hr_lo": 0.16, "hr_hi": 0.84}, ["source_id"])
 
 
 def fixed_width_histogram(df: DataFrame, value: str, width: float = RHO_BIN) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -11,25 +11,28 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.operators.joins import DataError
+from skyframe.session import settle
 
 CELL = 0.125          # cell side, in bandwidths
 ORDER = 12            # highest moment kept of a dense cell
-FEW = 16              # cells with at most this many points keep the points
+FEW = 16              # cells with at most this many points keep the points, which is as exact and cheaper
 FAR = 30.0            # beyond this many bandwidths a dense cell is taken to second order
-MAX_SUMMARY = 200_000
+REGION = 6.0          # side of the regions that blocks stay within, in bandwidths
+BLOCK_ROWS = 4096     # rows of a block of points or summary rows
+TOLERANCE = 1e-7      # share of a kernel sum that blocks too far away to be looked at may hold
 MAX_TERMS = 2_000_000
 
 
 class Density(Protocol):
-    """What scoring asks of a density: ln p of columns, and of an array of points (rows, d) inside a task."""
+    """What scoring asks of a density: ln p at points given by columns, NULL where a coordinate is missing."""
 
-    def log_prob(self, columns: Sequence[Column]) -> Column: ...
-
-    def of_points(self) -> Callable[[np.ndarray], np.ndarray]: ...
+    def scored(self, df: DataFrame, columns: Sequence[Column], name: str) -> DataFrame: ...
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,22 +90,22 @@ def _kernel_sums(u: np.ndarray, summary: dict) -> np.ndarray:
 class GaussianKDE:
     """Gaussian kernel estimate at Scott's bandwidth times a multiplier, in one to four dimensions.
 
-    Training points are whitened so the kernel is round, and counted in cells an eighth of a bandwidth
-    wide. A crowded cell is replaced by its moments (Hermite series, relative error below 1e-6 out to 30
-    bandwidths), a sparse one keeps its points. In one and two dimensions the summary is bounded by the
-    spread of the data in bandwidths, not by the number of rows; its size is checked before it is sent
-    to tasks, and `log_prob_join` serves a larger one.
+    Training points are whitened so the kernel is round. In one and two dimensions they are counted in cells an eighth of a bandwidth wide, and a
+    crowded cell is replaced by its moments (Hermite series, relative error below 1e-6 out to 30 bandwidths); in three and four, equal points are
+    merged. What is left is written as a stage table of blocks, each within one region of space. Points are scored against blocks by joins: a block
+    meets another only if its box is near enough to hold more than a tolerated share of the sum. Nothing is collected and no table is sent to
+    tasks whole, so the same path serves every number of rows and of dimensions.
     """
 
     columns: tuple[str, ...]
     n: int
     whitener: np.ndarray
     log_norm: float
-    cells: DataFrame
-    summary: dict | None
+    blocks: DataFrame
+    tolerance: float = TOLERANCE
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: Sequence[str], bandwidth: float = 1.0) -> GaussianKDE:
+    def fit(cls, train: DataFrame, columns: Sequence[str], bandwidth: float = 1.0, tolerance: float = TOLERANCE) -> GaussianKDE:
         if not bandwidth > 0:
             raise ValueError(f"bandwidth must be positive, got {bandwidth}")
         d = len(columns)
@@ -114,66 +117,123 @@ class GaussianKDE:
         lower = np.linalg.cholesky(matrix * (row["n"] ** (-1.0 / (d + 4)) * bandwidth) ** 2)
         whitener = np.linalg.inv(lower)
         log_norm = -0.5 * d * math.log(2 * math.pi) - float(np.log(np.diag(lower)).sum()) - math.log(row["n"])
-        whitened = complete.select(*[_combine(columns, whitener[i]).alias(f"_w{i}") for i in range(d)])
+        whitened = complete.select(*[_combine([F.col(c) for c in columns], whitener[i]).alias(f"_w{i}") for i in range(d)])
         cells = _summarize(whitened, d)
-        found = cells.select("cell", "n", "values").limit(MAX_SUMMARY + 1).toPandas()  # bounded, whatever the table
-        summary = _tables(found, d) if len(found) <= MAX_SUMMARY else None
-        return cls(tuple(columns), row["n"], whitener, log_norm, cells, summary)
-
-    def _require_summary(self) -> dict:
-        if self.summary is None:
-            raise DataError("the density summary is too large to send to tasks; use log_prob_join")
-        return self.summary
-
-    def log_prob(self, columns: Sequence[Column]) -> Column:
-        """ln density at points given as one column per dimension; NULL where a coordinate is missing."""
-        score = self.of_points()
-
-        @F.pandas_udf("double")
-        def density(*u: pd.Series) -> pd.Series:
-            points = np.column_stack([s.to_numpy(float) for s in u])
-            known = np.isfinite(points).all(axis=1)
-            out = np.full(len(points), np.nan)
-            if known.any():
-                out[known] = score(points[known])
-            return pd.Series(out).where(pd.Series(known), None)
-
-        return density(*columns)
-
-    def of_points(self) -> Callable[[np.ndarray], np.ndarray]:
-        whitener, log_norm, summary = self.whitener, self.log_norm, self._require_summary()
-        return lambda points: _kernel_sums(points @ whitener.T, summary) + log_norm
-
-    def log_prob_join(self, points: DataFrame, key: str, columns: Sequence[str], rows_per_block: int = 20_000) -> DataFrame:
-        """(key, log_prob) without sending the summary to every task.
-
-        Summary and points are hashed into blocks of bounded size; each pair of blocks is scored in one
-        group, which returns one partial sum per point rather than one row per pair.
-        """
-        d, whitener, log_norm = len(self.columns), self.whitener, self.log_norm
-        spark_points = points.select(key, *[_combine(columns, whitener[i]).alias(f"_w{i}") for i in range(d)]).dropna()
-        n_cells, n_points = max(1, self.cells.count()), max(1, spark_points.count())
-        left, right = math.ceil(n_points / rows_per_block), math.ceil(n_cells / rows_per_block)
-        a = spark_points.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(left)).cast("int")).withColumn(
-            "_c", F.explode(F.sequence(F.lit(0), F.lit(right - 1))))
-        b = self.cells.withColumn("_c", F.pmod(F.xxhash64(F.col("cell")), F.lit(right)).cast("int")).withColumn(
-            "_p", F.explode(F.sequence(F.lit(0), F.lit(left - 1))))
-
-        def score(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-            if not len(mine) or not len(theirs):
-                return pd.DataFrame({key: [], "part": []})
-            found = _kernel_sums(mine[[f"_w{i}" for i in range(d)]].to_numpy(float), _tables(theirs, d))
-            return pd.DataFrame({key: mine[key], "part": found})
-
-        kind = dict(points.dtypes)[key]
-        parts = a.groupBy("_p", "_c").cogroup(b.groupBy("_p", "_c")).applyInPandas(score, f"{key} {kind}, part double")
-        tops = parts.groupBy(key).agg(F.max("part").alias("_top"))
-        summed = parts.join(tops, key).groupBy(key, "_top").agg(F.sum(F.exp(F.col("part") - F.col("_top"))).alias("_s"))
-        return summed.select(key, (F.col("_top") + F.ln("_s") + log_norm).alias("log_prob"))
-
-
-def _combine(columns: Sequence[str], weights: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w) for c, w in zip(columns, weights)])
+        centre = [(F.get("cell", F.lit(i)) + 0.5) * CELL for i in range(d)]
+        return cls(tuple(columns), row["n"], whitener, log_norm, settle(_blocks(cells, centre, d, _summary_block(d))), tolerance)
+
+    def scored(self, df: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
+        """df with ln density at the points that the columns give. Equal points are scored once."""
+        d = len(self.columns)
+        white = [_combine(columns, self.whitener[i]) for i in range(d)]
+        # rows without a point get keys of their own, which no point has
+        apart = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")]).cast("double")
+        apart = (F.abs(apart) + 1.0e10) * 1.0e30
+        keyed = df.withColumns({f"_k{i}": F.coalesce(white[i], apart) for i in range(d)})
+        points = df.select(*[white[i].alias(f"_w{i}") for i in range(d)]).dropna().distinct()
+        found = self._sums(points).select(*[F.col(f"_w{i}").alias(f"_f{i}") for i in range(d)], (F.col("log_sum") + self.log_norm).alias(name))
+        same = reduce(lambda a, b: a & b, [F.col(f"_k{i}") == F.col(f"_f{i}") for i in range(d)])
+        return keyed.join(found, same, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+    def _sums(self, points: DataFrame) -> DataFrame:
+        """(_w0.., log_sum) of distinct whitened points."""
+        d, tolerance = len(self.columns), self.tolerance
+        asked = settle(_blocks(points, [F.col(f"_w{i}") for i in range(d)], d, _point_block(d)))
+        mine = asked.select(F.col("block").alias("q"), F.col("low").alias("q_low"), F.col("high").alias("q_high"))
+        theirs = self.blocks.select("block", F.ln("n").alias("ln_n"), "low", "high")
+        gaps = [F.greatest(F.lit(0.0), F.get("low", F.lit(i)) - F.get("q_high", F.lit(i)), F.get("q_low", F.lit(i)) - F.get("high", F.lit(i))) for i in range(d)]
+        spans = [F.greatest(F.get("high", F.lit(i)) - F.get("q_low", F.lit(i)), F.get("q_high", F.lit(i)) - F.get("low", F.lit(i))) for i in range(d)]
+        # one row per pair of blocks, boxes only: the most and the least that a block adds to a point of another
+        boxes = mine.crossJoin(theirs).select("q", "block", (F.col("ln_n") - 0.5 * _square(gaps)).alias("most"), (F.col("ln_n") - 0.5 * _square(spans)).alias("least"))
+        floor = boxes.groupBy("q").agg((F.max("least") + math.log(tolerance) - F.ln(F.count(F.lit(1)))).alias("floor"))
+        near = boxes.join(floor, "q").filter("most >= floor").select("q", "block")
+        pairs = near.join(self.blocks.select("block", "points", "moments"), "block").join(
+            asked.select(F.col("block").alias("q"), F.col("points").alias("q_points")), "q").select("q", "q_points", "points", "moments")
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q, x, points, moments = (batch.column(k)[i].as_py() for k in range(4))
+                    part = _kernel_sums(np.frombuffer(x).reshape(-1, d + 1)[:, :d], _tables(points, moments, d))
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["q", "part"])
+
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            parts = np.stack([np.frombuffer(p) for p in table.column("part").to_pylist()])
+            top = parts.max(axis=0)
+            return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([(top + np.log(np.exp(parts - top).sum(axis=0))).tobytes()], pa.binary())})
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    x, total = np.frombuffer(batch.column(0)[i].as_py()).reshape(-1, d + 1), np.frombuffer(batch.column(1)[i].as_py())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(d)), pa.array(total)], names=[*[f"_w{k}" for k in range(d)], "log_sum"])
+
+        # a group holds one row per near block, each as long as the block of points
+        totals = pairs.mapInArrow(sums, "q long, part binary").groupBy("q").applyInArrow(add, "q long, total binary")
+        both = asked.select(F.col("block").alias("q"), "points").join(totals, "q").select("points", "total")
+        return both.mapInArrow(spell, ", ".join(f"_w{k} double" for k in range(d)) + ", log_sum double")
+
+
+def _square(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [p * p for p in parts])
+
+
+def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[list[pd.DataFrame]], list]) -> DataFrame:
+    """Rows in blocks within one region each: block, n, low, high, points, moments. Range partitions split a crowded region."""
+    named = rows.withColumns({f"_x{i}": p for i, p in enumerate(place)})
+    regions = [f"_r{i}" for i in range(d)]
+    named = named.withColumns({r: F.floor(F.col(f"_x{i}") / REGION) for i, r in enumerate(regions)})
+    order = [*regions, *[f"_x{i}" for i in range(d)]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, number, held, rows_held, last = ["block", "n", "low", "high", "points", "moments"], TaskContext.get().partitionId() << 32, [], 0, None
+        for pdf in batches:
+            out = []
+            change = np.flatnonzero((pdf[regions].to_numpy()[1:] != pdf[regions].to_numpy()[:-1]).any(axis=1)) + 1
+            cuts = [0, *change.tolist(), len(pdf)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                for at in range(lo, hi, BLOCK_ROWS):
+                    part = pdf.iloc[at:min(hi, at + BLOCK_ROWS)]
+                    region = tuple(part.iloc[0][regions])
+                    if held and (region != last or rows_held + len(part) > BLOCK_ROWS):
+                        out.append([number, *pack(held)])
+                        number, held, rows_held = number + 1, [], 0
+                    held.append(part)
+                    rows_held, last = rows_held + len(part), region
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([[number, *pack(held)]], columns=names)
+
+    return named.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        run, "block long, n double, low array<double>, high array<double>, points binary, moments binary")
+
+
+def _point_block(d: int) -> Callable[[list[pd.DataFrame]], list]:
+    def pack(parts: list[pd.DataFrame]) -> list:
+        x = pd.concat(parts)[[f"_w{i}" for i in range(d)]].to_numpy(float)
+        return [float(len(x)), x.min(axis=0), x.max(axis=0), np.column_stack((x, np.zeros(len(x)))).tobytes(), b""]
+
+    return pack
+
+
+def _summary_block(d: int) -> Callable[[list[pd.DataFrame]], list]:
+    """points: coordinates and the log of the copies; moments: cell centre and moments."""
+
+    def pack(parts: list[pd.DataFrame]) -> list:
+        pdf = pd.concat(parts)
+        single = pdf["values"].map(len).to_numpy() == d if d > 2 else pdf["n"].to_numpy() == 1
+        points = np.stack(pdf["values"][single]) if single.any() else np.empty((0, d))
+        centre = pdf[[f"_x{i}" for i in range(d)]].to_numpy(float)[~single]
+        moments = np.column_stack((centre, np.stack(pdf["values"][~single]))) if len(centre) else np.empty((0, 0))
+        corners = np.concatenate((points, centre - CELL / 2, centre + CELL / 2))
+        return [float(pdf["n"].sum()), corners.min(axis=0), corners.max(axis=0),
+                np.column_stack((points, np.log(pdf["n"].to_numpy(float)[single]))).tobytes(), moments.tobytes()]
+
+    return pack
+
+
+def _combine(columns: Sequence[Column], weights: np.ndarray) -> Column:
+    return reduce(lambda a, b: a + b, [c.cast("double") * float(w) for c, w in zip(columns, weights)])
 
 
 def _summarize(whitened: DataFrame, d: int) -> DataFrame:
@@ -196,24 +256,21 @@ def _summarize(whitened: DataFrame, d: int) -> DataFrame:
     return moments.unionByName(sparse)
 
 
-def _tables(pdf: pd.DataFrame, d: int) -> dict:
-    """Numpy tables of summary rows: points with the log of their copies, and moments of dense cells."""
-    powers = _powers(d) if d <= 2 else []
-    sizes = pdf["values"].map(len).to_numpy()
-    is_point = (sizes == d) if d > 2 else (pdf["n"].to_numpy() == 1)
-    points = np.stack(pdf["values"][is_point]).reshape(-1, d) if is_point.any() else np.empty((0, d))
-    weights = np.log(pdf["n"][is_point].to_numpy(float))
-    dense = pdf[~is_point]
-    if not len(dense):
-        return {"points": points, "weights": weights, "centres": np.empty((0, d)), "moments": {}}
-    values = np.stack(dense["values"])
+def _tables(points: bytes, moments: bytes, d: int) -> dict:
+    """Numpy tables of a block: points with the log of their copies, and moments of dense cells."""
+    x = np.frombuffer(points).reshape(-1, d + 1)
+    out = {"points": x[:, :d], "weights": x[:, d], "centres": np.empty((0, d)), "moments": {}}
+    if not moments:
+        return out
+    powers = _powers(d)
+    rows = np.frombuffer(moments).reshape(-1, d + len(powers))
+    values = rows[:, d:]
     n = values[:, powers.index((0,) * d)]
     unit = [tuple(int(i == k) for i in range(d)) for k in range(d)]
     first = np.column_stack([values[:, powers.index(a)] for a in unit]) / n[:, None]
     second = np.column_stack([values[:, powers.index(tuple(2 * i for i in a))] * 2.0 for a in unit]) / n[:, None]
-    return {"points": points, "weights": weights, "centres": (np.stack(dense["cell"]) + 0.5) * CELL,
-            "moments": {a: values[:, k] for k, a in enumerate(powers)}, "count": n, "mean": first,
-            "variance": np.maximum(second - first * first, 0.0)}
+    return out | {"centres": rows[:, :d], "moments": {a: values[:, k] for k, a in enumerate(powers)}, "count": n, "mean": first,
+                  "variance": np.maximum(second - first * first, 0.0)}
 
 
 @dataclass(frozen=True)
@@ -230,7 +287,23 @@ class NormalDensity:
     def log_prob(self, columns: Sequence[Column]) -> Column:
         return reduce(lambda a, b: a + b, [self._one(c, i) for i, c in enumerate(columns)])
 
+    def scored(self, df: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
+        return df.withColumn(name, self.log_prob(columns))
+
     def of_points(self) -> Callable[[np.ndarray], np.ndarray]:
         mean, scale = np.array(self.mean), np.array(self.scale)
         level = -np.log(scale).sum() - 0.5 * len(mean) * math.log(2 * math.pi)
         return lambda points: level - 0.5 * (((points - mean) / scale) ** 2).sum(axis=1)
+
+
+@dataclass(frozen=True)
+class CorrelatedNormal:
+    """A normal density around zero with a full covariance."""
+
+    covariance: tuple[tuple[float, ...], ...]
+
+    def of_points(self) -> Callable[[np.ndarray], np.ndarray]:
+        lower = np.linalg.cholesky(np.array(self.covariance))
+        inverse = np.linalg.inv(lower)
+        level = -np.log(np.diag(lower)).sum() - 0.5 * len(lower) * math.log(2 * math.pi)
+        return lambda points: level - 0.5 * ((points @ inverse.T) ** 2).sum(axis=1)

@@ -29,33 +29,73 @@ class LinearHead:
     sigma: float
 
 
-def gram(train: DataFrame, features: Sequence[str], targets: Sequence[str]) -> dict[str, np.ndarray]:
-    """Per target, the products of (1, features, y) summed over the rows where the target is present.
+def _product_sums(train: DataFrame, features: Sequence[str], groups: dict[str, Sequence[str]]) -> dict[str, np.ndarray]:
+    """Per group of targets, the products of (1, features, targets) summed over the rows where all of them are present.
 
     One pass: each task adds up its own matrices, and only matrices are shuffled.
     """
-    width = len(features) + 2
-    names = list(targets)
+    widths = {name: 1 + len(features) + len(targets) for name, targets in groups.items()}
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), width, width))
+        total = {name: np.zeros((width, width)) for name, width in widths.items()}
         for pdf in batches:
             x = pdf[list(features)].to_numpy(float)
-            for k, t in enumerate(names):
-                y = pdf[t].to_numpy(float)
-                known = np.isfinite(y) & np.isfinite(x).all(axis=1)
+            for name, targets in groups.items():
+                y = pdf[list(targets)].to_numpy(float)
+                known = np.isfinite(y).all(axis=1) & np.isfinite(x).all(axis=1)
                 rows = np.column_stack([np.ones(known.sum()), x[known], y[known]])
-                total[k] += rows.T @ rows
-        yield pd.DataFrame({"target": np.repeat(names, width * width), "at": np.tile(np.arange(width * width), len(names)),
-                            "value": total.ravel()})
+                total[name] += rows.T @ rows
+        yield pd.DataFrame({"name": np.repeat(list(total), [w * w for w in widths.values()]),
+                            "at": np.concatenate([np.arange(w * w) for w in widths.values()]), "value": np.concatenate([m.ravel() for m in total.values()])})
 
-    parts = train.select(*features, *names).mapInPandas(add_up, "target string, at int, value double")
-    sums = parts.groupBy("target", "at").agg(F.sum("value").alias("value")).toPandas()  # (features + 2)^2 numbers per target
+    columns = sorted({t for targets in groups.values() for t in targets})
+    parts = train.select(*features, *columns).mapInPandas(add_up, "name string, at int, value double")
+    sums = parts.groupBy("name", "at").agg(F.sum("value").alias("value")).toPandas()  # (features + targets + 1)^2 numbers per group
     out = {}
-    for t, rows in sums.groupby("target"):
-        flat = np.zeros(width * width)
+    for name, rows in sums.groupby("name"):
+        flat = np.zeros(widths[name] ** 2)
         flat[rows["at"].to_numpy()] = rows["value"].to_numpy()
-        out[t] = flat.reshape(width, width)
+        out[name] = flat.reshape(widths[name], widths[name])
+    return out
+
+
+def gram(train: DataFrame, features: Sequence[str], targets: Sequence[str]) -> dict[str, np.ndarray]:
+    """Per target, the products of (1, features, y) summed over the rows where the target is present."""
+    return _product_sums(train, features, {t: [t] for t in targets})
+
+
+@dataclass(frozen=True)
+class JointHead:
+    """Several targets, normal around their regressions with the covariance of the residuals. One row of coefficients per target."""
+
+    head: str
+    subset: str
+    coefficients: tuple[tuple[float, ...], ...]
+    covariance: tuple[tuple[float, ...], ...]
+
+
+def fit_joint_heads(train: DataFrame, blocks: dict[str, Sequence[str]], groups: dict[str, Sequence[str]]) -> list[JointHead]:
+    """For each named group of targets one head per combination of inputs, from the rows that carry every target of the group.
+
+    Coefficients cover the constant and all features; features outside the combination have 0.
+    """
+    features = [c for names in blocks.values() for c in names]
+    out = []
+    for name, matrix in _product_sums(train, features, groups).items():
+        n, d = matrix[0, 0], len(groups[name])
+        if n <= d:
+            raise DataError(f"targets {list(groups[name])} have {int(n)} usable training rows")
+        yy = matrix[-d:, -d:]
+        for subset in subset_names():
+            keep = [0] + [1 + features.index(c) for m in subset for c in blocks[m]]
+            a, b = matrix[np.ix_(keep, keep)], matrix[keep][:, -d:]
+            scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+            beta = np.linalg.lstsq(a / np.outer(scale, scale), b / scale[:, None], rcond=1e-12)[0] / scale[:, None]
+            residual = (yy - beta.T @ b - b.T @ beta + beta.T @ a @ beta) / n
+            residual = (residual + residual.T) / 2 + np.diag(1e-12 * np.maximum(np.diag(yy) / n, 1e-300))
+            full = np.zeros((d, 1 + len(features)))
+            full[:, keep] = beta.T
+            out.append(JointHead(name, subset, tuple(map(tuple, full)), tuple(map(tuple, residual))))
     return out
 
 

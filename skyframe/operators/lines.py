@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.core import computed_once, is_finite
 from skyframe.functions.spectra import array_median, in_window, window_pixels
 from skyframe.params import (
-    LIGHT_KMS, LINE_COMPLEXES, LINE_EDGE, LINE_MIN_COVER, LINE_MIN_PIXELS, LINE_MIN_WIDTH, LINE_START_WIDTHS, Grid, LineComplex,
+    LIGHT_KMS, LINE_COMPLEXES, LINE_EDGE, LINE_MIN_COVER, LINE_MAX_STEPS, LINE_MIN_PIXELS, LINE_MIN_WIDTH, LINE_START_WIDTHS, Grid, LineComplex,
 )
 from skyframe.session import spread
 
@@ -120,7 +120,7 @@ def _evaluate(p: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, cx: Li
     return (model - y) * w, jac * w[..., None]
 
 
-def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineComplex, steps: int = 120):
+def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineComplex, steps: int = LINE_MAX_STEPS):
     """Levenberg-Marquardt with steps clipped to the bounds and bound parameters held while they push outward."""
     residual, jac = _evaluate(p, x, y, w, cx)
     cost = 0.5 * (residual**2).sum(axis=1)
@@ -149,6 +149,7 @@ def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineCo
         p[took], residual[took], jac[took], cost[took] = trial[better], new_residual[better], new_jac[better], new_cost[better]
         damping[i] = np.where(better, np.maximum(damping[i] / 5.0, 1e-12), damping[i] * 4.0)
         active[i] = ~settled & (damping[i] < 1e12)
+    cost[active] = np.inf  # not settled: never the best of the starts, and a failed fit if no start settles
     return p, cost, jac
 
 
@@ -199,19 +200,21 @@ def _fit_complex(pdf: pd.DataFrame, cx: LineComplex) -> pd.DataFrame:
 
 
 def fit_lines(windows: DataFrame) -> DataFrame:
-    """Fit every usable window; gated windows keep their status and carry no numbers."""
+    """Fit every usable window in one pass; gated windows keep their status, and they and unsettled fits carry no numbers."""
     names = {c.name: c for c in LINE_COMPLEXES}
+    columns = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for line, pdf in batch.groupby("line"):
+            gated = batch["status"].notna()
+            yield batch.loc[gated, ["targetid", "z", "line", "status"]].reindex(columns=columns)
+            for line, pdf in batch[~gated].groupby("line"):
                 for start in range(0, len(pdf), 512):
                     yield _fit_complex(pdf.iloc[start:start + 512], names[line])
 
-    usable = windows.filter("status IS NULL").select("targetid", "z", "line", "x", "y", "v", "noise", "c0", "peak")
-    fitted = spread(usable, "targetid", "line").mapInPandas(fit, FIT_SCHEMA)
-    gated = windows.filter("status IS NOT NULL").select("targetid", "z", "line", "status")
-    return fitted.unionByName(gated, allowMissingColumns=True)
+    pixels = [F.when(F.col("status").isNull(), F.col(c)).alias(c) for c in ("x", "y", "v")]
+    rows = windows.select("targetid", "z", "line", "status", *pixels, "noise", "c0", "peak")
+    return spread(rows, "targetid", "line").mapInPandas(fit, FIT_SCHEMA)
 
 
 # ---- features

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import hash_uniform
+from skyframe.operators.joins import require_unique
 from skyframe.session import settle, spread
 
 BUCKET_DIGITS = 3
@@ -17,11 +18,12 @@ ROW_BITS = 33
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Add `rank` (0-based, a seeded shuffle of unique keys) and `total`.
+    """Add `rank` (0-based, a seeded shuffle of unique keys) and `total`; repeated keys are an error.
 
     The order is md5(seed:key). Its leading digits are 4,096 even buckets: one count per bucket gives
     each bucket's offset, and rows are numbered inside their bucket only.
     """
+    require_unique(df, [key], "keys to shuffle")
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -109,8 +111,15 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: S
     return hits.groupBy(*by, "n", F.col("_e.q").alias("q")).agg(F.sum(F.col("_e.w") * F.col("_v")).alias("value"))
 
 
+def small_group_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """As `quantile_columns`, in one shuffle by group: for many groups of bounded size, such as the draws of a source."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.lit(list(named.values()))).alias("_q"))
+    return found.select(*by, "n", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(named)])
+
+
 def quantile_columns(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str]) -> DataFrame:
-    """Quantiles per group as named columns (by..., n, names...)."""
+    """Quantiles per group as named columns (by..., n, names...), for groups of any size."""
     long = exact_quantiles(df, value, list(named.values()), by)
     picks = [F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(name) for name, q in named.items()]
     return long.groupBy(*by, "n").agg(*picks)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,23 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import computed_once
-from skyframe.functions.poisson import pinned_axis, prior_axis, rate_axis
-from skyframe.operators.density import Density, GaussianKDE
-from skyframe.operators.rank import quantile_columns
+from skyframe.functions.poisson import log_sum_exp, pinned_axis, prior_axis, rate_axis
+from skyframe.operators.density import CorrelatedNormal, Density, GaussianKDE
+from skyframe.operators.linear import JointHead
+from skyframe.operators.rank import small_group_quantiles
 from skyframe.operators.sample import Standardizer, scorable, subset_names, target_value
 from skyframe.params import (
     COVERAGE_LEVELS, MASS_NODES, MASS_SPAN, QUADRATURE_NODES, QUADRATURE_SPAN, TARGETS, Head,
 )
-from skyframe.session import spread
+from skyframe.session import settle, spread
 
 MAX_NODES = 262_144
 
 
 def _grid_sums(score, d: int):
-    """Task-side sum over the product grid: axis columns in, one log marginal per row out."""
+    """Task-side sum over the product grid: axis columns in, one log marginal per row out.
+
+    A further column, if given, holds the point that each row's density is centred on.
+    """
 
     def marginal(*parts: pd.Series) -> pd.Series:
-        nodes, spacing, like = parts[:d], parts[d:2 * d], parts[2 * d:]
+        nodes, spacing, like = parts[:d], parts[d:2 * d], parts[2 * d:3 * d]
+        centre = np.stack(parts[3 * d]) if len(parts) > 3 * d and len(parts[0]) else None
         sizes = np.column_stack([[-1 if n is None else len(n) for n in axis] for axis in nodes])
         out = np.full(len(sizes), np.nan)
         for shape in np.unique(sizes, axis=0):
@@ -44,7 +49,10 @@ def _grid_sums(score, d: int):
                     view[i + 1] = shape[i]
                     grid.append(np.broadcast_to(np.stack(nodes[i].iloc[some]).reshape(view), terms.shape).ravel())
                     terms = terms + np.stack(like[i].iloc[some]).reshape(view)
-                terms = terms.reshape(len(some), -1) + score(np.column_stack(grid)).reshape(len(some), -1)
+                points = np.column_stack(grid)
+                if centre is not None:
+                    points = points - np.repeat(centre[some], len(points) // len(some), axis=0)
+                terms = terms.reshape(len(some), -1) + score(points).reshape(len(some), -1)
                 top = terms.max(axis=1)
                 jacobian = sum(s.iloc[some].to_numpy(float) for s in spacing)
                 out[some] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1)) + jacobian
@@ -56,15 +64,38 @@ def _grid_sums(score, d: int):
 def log_marginal(df: DataFrame, axes: Sequence[Column], density: Density, name: str) -> DataFrame:
     """Add the log of the density times the count likelihood, integrated over the product of the axes.
 
-    Axes are short arrays built by expressions; only they cross to the task-side sum, and the product grid
-    never leaves a batch. Nothing is shuffled.
+    Axes are short arrays built by expressions. Under a density in closed form only they cross to the task-side sum, and the product grid never
+    leaves a batch. Under a kernel density the nodes become rows, which are scored by its joins, equal nodes once, and summed up per row.
     """
     held = computed_once(df, {f"_axis{i}": a for i, a in enumerate(axes)})
     parts = [F.col(f"_axis{i}.{field}") for field in ("nodes", "spacing", "like") for i in range(len(axes))]
+    if isinstance(density, GaussianKDE):
+        return _summed_over_nodes(held, parts, len(axes), density, name).drop(*[f"_axis{i}" for i in range(len(axes))])
     sums = F.pandas_udf(_grid_sums(density.of_points(), len(axes)), "double")
     return held.withColumn(name, sums(*parts)).drop(*[f"_axis{i}" for i in range(len(axes))])
 
 
+def _summed_over_nodes(held: DataFrame, parts: Sequence[Column], d: int, density: Density, name: str) -> DataFrame:
+    """The quadrature of `log_marginal` with one row per node; a row's nodes, a product of short axes, meet again as one array."""
+    rows = settle(held.withColumn("_rid", F.monotonically_increasing_id()))
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                rid, nodes, spacing, like = row[0], row[1:d + 1], row[d + 1:2 * d + 1], row[2 * d + 1:]
+                if any(n is None or not len(n) for n in nodes):
+                    continue
+                grid = np.meshgrid(*nodes, indexing="ij")
+                terms = sum(np.meshgrid(*like, indexing="ij")) + sum(spacing)
+                yield pd.DataFrame({"_rid": rid, **{f"_u{i}": g.ravel() for i, g in enumerate(grid)}, "_term": terms.ravel()})
+
+    kinds = "_rid long, " + ", ".join(f"_u{i} double" for i in range(d)) + ", _term double"
+    nodes = spread(rows.select("_rid", *[p.alias(f"_p{i}") for i, p in enumerate(parts)]), "_rid").mapInPandas(expand, kinds)
+    scored = density.scored(nodes, [F.col(f"_u{i}") for i in range(d)], "_lp")
+    sums = scored.groupBy("_rid").agg(log_sum_exp(F.collect_list(F.col("_term") + F.col("_lp"))).alias(name))
+    return rows.drop(name).join(sums, "_rid", "left").drop("_rid")
+
+
 def head_axis(target: str, standardizer: Standardizer, nodes: int, span: float) -> Column:
     """The axis of one target of each row: pinned where a scalar is observed, recentred where a rate is, else the prior grid."""
     columns = TARGETS[target].columns
@@ -82,12 +113,33 @@ def head_log_likelihood(masked: DataFrame, head: Head, standardizer: Standardize
     `masked` carries the label columns and `<target>_ok`. Rows of every observation pattern are handled
     in one pass, each with its own axes.
     """
-    rows = masked.filter(scorable(head))
-    if isinstance(density, GaussianKDE):
-        rows = spread(rows, *[c for c in rows.columns if c in ("targetid", "source_id")][:1])
-    scored = log_marginal(rows, [head_axis(t, standardizer, nodes, span) for t in head.targets], density, name)
-    rest = masked.filter(~scorable(head)).withColumn(name, F.lit(None).cast("double"))
-    return scored.unionByName(rest)
+    axes = [F.when(scorable(head), head_axis(t, standardizer, nodes, span)) for t in head.targets]
+    return log_marginal(masked, axes, density, name)
+
+
+def joint_log_likelihood(masked: DataFrame, head: Head, standardizer: Standardizer, features: Sequence[str], fits: Sequence[JointHead],
+                         key: str = "source_id", keep: Sequence[str] = (), nodes: int = QUADRATURE_NODES, span: float = QUADRATURE_SPAN) -> DataFrame:
+    """(key, keep..., head, subset, ll): a head of several targets, or of a rate, under every combination of inputs.
+
+    The axes are built once per row; a task integrates them under each combination's density around the row's own regression.
+    """
+    d = len(head.targets)
+    axes = {f"_axis{i}": F.when(scorable(head), head_axis(t, standardizer, nodes, span)) for i, t in enumerate(head.targets)}
+    held = computed_once(masked, axes | {"_x": F.array(*[F.col(f).cast("double") for f in features])})
+    parts = [F.col(f"_axis{i}.{field}") for field in ("nodes", "spacing", "like") for i in range(d)]
+    models = [(np.array(f.coefficients), _grid_sums(CorrelatedNormal(f.covariance).of_points(), d)) for f in fits]
+
+    @F.pandas_udf("array<double>")
+    def every(*columns: pd.Series) -> pd.Series:
+        *grid, x = columns
+        rows = np.column_stack([np.ones(len(x)), np.stack(x) if len(x) else np.empty((0, len(features)))])
+        found = [marginal(*grid, pd.Series(list(rows @ beta.T))) for beta, marginal in models]
+        return pd.Series([list(v) for v in zip(*found)], dtype=object)
+
+    scored = held.withColumn("_ll", every(*parts, "_x"))
+    entries = F.arrays_zip(F.array(*[F.lit(f.subset) for f in fits]).alias("subset"), F.col("_ll").alias("ll"))
+    out = scored.select(key, *keep, F.explode(entries).alias("_e"))
+    return out.select(key, *keep, F.lit(head.name).alias("head"), "_e.subset", "_e.ll")
 
 
 def fit_prior(labels: DataFrame, head: Head, standardizer: Standardizer, bandwidth: float = 1.0) -> GaussianKDE:
@@ -109,7 +161,7 @@ def bandwidth_sweep(train: DataFrame, points: DataFrame, columns: Sequence[str],
     """Mean log density of the points under several bandwidths: (bandwidth, n, mean_log_prob)."""
     parts = []
     for b in bandwidths:
-        scored = points.select(GaussianKDE.fit(train, columns, b).log_prob([F.col(c) for c in columns]).alias("_l"))
+        scored = GaussianKDE.fit(train, columns, b).scored(points.select(*columns), [F.col(c) for c in columns], "_l")
         parts.append(scored.agg(F.count("_l").alias("n"), F.avg("_l").alias("mean_log_prob")).withColumn("bandwidth", F.lit(float(b))))
     return reduce(DataFrame.unionByName, parts)
 
@@ -169,7 +221,7 @@ def interval_coverage(draws: DataFrame, truths: DataFrame, key: str, draw: str,
     named = {}
     for i, level in enumerate(levels):
         named |= {f"lo{i}": (1 - level) / 2, f"hi{i}": (1 + level) / 2}
-    edges = quantile_columns(draws, draw, named, [key]).drop("n")
+    edges = small_group_quantiles(draws, draw, named, [key]).drop("n")
     joined = truths.select(key, truth).join(edges, key)
     inside = [F.struct(F.lit(float(level)).alias("level"),
                        ((F.col(truth) >= F.col(f"lo{i}")) & (F.col(truth) <= F.col(f"hi{i}"))).alias("inside")) for i, level in enumerate(levels)]
@@ -193,23 +245,22 @@ def specific_rate_densities(df: DataFrame, s: str, standardizer: Standardizer, j
     keeps the difference fixed.
     """
     mean, scale = standardizer.mean, standardizer.scale
-    mass = np.linspace(-MASS_SPAN, MASS_SPAN, nodes)
-    shift = math.log(2 * MASS_SPAN / (nodes - 1)) - math.log(scale["sfr"])
-    pair, first, second = joint.of_points(), sfr.of_points(), mstar.of_points()
-
-    def integrals(values: pd.Series) -> pd.DataFrame:
-        out = np.full((len(values), 2), np.nan)
-        of_mass = second(mass[:, None])
-        known = np.flatnonzero(np.isfinite(values.to_numpy(float)))
-        for at in range(0, len(known), max(1, MAX_NODES // nodes)):
-            some = known[at:at + max(1, MAX_NODES // nodes)]
-            rate = (values.to_numpy(float)[some, None] + mass * scale["mstar"] + mean["mstar"] - mean["sfr"]) / scale["sfr"]
-            points = np.column_stack([rate.ravel(), np.tile(mass, len(some))])
-            for k, terms in enumerate((pair(points).reshape(rate.shape), first(points[:, :1]).reshape(rate.shape) + of_mass)):
-                top = terms.max(axis=1)
-                out[some, k] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1)) + shift
-        return pd.DataFrame(out, columns=["joint", "independent"])
-
-    both = F.pandas_udf(integrals, "joint double, independent double")
-    scored = spread(df).withColumn("_b", both(F.col(s)))
-    return scored.select(*df.columns, F.col("_b.joint").alias("log_p_joint"), F.col("_b.independent").alias("log_p_independent"))
+    step = 2 * MASS_SPAN / (nodes - 1)
+    rows = settle(df.withColumn("_rid", F.monotonically_increasing_id()))
+    mass = F.explode(F.transform(F.sequence(F.lit(0), F.lit(nodes - 1)), lambda i: F.lit(-float(MASS_SPAN)) + i * step))
+    rate = (F.col(s) + F.col("_m") * scale["mstar"] + mean["mstar"] - mean["sfr"]) / scale["sfr"]
+    points = spread(rows.select("_rid", s), "_rid").filter(F.col(s).isNotNull()).withColumn("_m", mass).withColumn("_r", rate).select("_rid", "_m", "_r")
+    scored = joint.scored(points, [F.col("_r"), F.col("_m")], "_pair")
+    scored = mstar.scored(sfr.scored(scored, [F.col("_r")], "_first"), [F.col("_m")], "_second")
+    shift = math.log(step) - math.log(scale["sfr"])
+    sums = scored.groupBy("_rid").agg((log_sum_exp(F.collect_list("_pair")) + shift).alias("log_p_joint"),
+                                      (log_sum_exp(F.collect_list(F.col("_first") + F.col("_second"))) + shift).alias("log_p_independent"))
+    return rows.join(sums, "_rid", "left").select(*df.columns, "log_p_joint", "log_p_independent")
+
+
+def specific_rate_gain(densities: DataFrame) -> DataFrame:
+    """n, both means, and the gain of the pair over its margins in nats with its standard error, over rows where both are known."""
+    gain = F.col("log_p_joint") - F.col("log_p_independent")
+    known = densities.filter(gain.isNotNull() & ~F.isnan(gain))
+    return known.agg(F.count(F.lit(1)).alias("n"), F.avg("log_p_joint").alias("mean_joint"), F.avg("log_p_independent").alias("mean_independent"),
+                     F.avg(gain).alias("gain"), (F.stddev_samp(gain) / F.sqrt(F.count(F.lit(1)))).alias("gain_se"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions.core import is_finite
-from skyframe.functions.spectra import count_positive, grid_bin
+from skyframe.functions.spectra import count_positive
 from skyframe.operators.joins import best_per_key
 from skyframe.params import Grid
+from skyframe.session import spread
 
 SHARD_KEYS = ("survey", "program", "healpix")
 
@@ -21,39 +23,72 @@ def wanted_spectra(camera: DataFrame, targets: DataFrame) -> DataFrame:
     return camera.join(targets.select(*keys), keys, "left_semi")
 
 
-def coadd_pixels(camera: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
-    """Weighted sums per (keys, bin) over all cameras: `num` = sum of flux x ivar, `den` = sum of ivar.
-
-    A pixel counts only with a finite flux and a positive finite ivar. Sums combine before the shuffle.
-    """
-    pixel = camera.select(*keys, F.explode(F.arrays_zip("wave", "flux", "ivar")).alias("_p"))
-    f, v = F.col("_p.flux").cast("double"), F.col("_p.ivar").cast("double")
-    good = is_finite(f) & is_finite(v) & F.coalesce(v > 0, F.lit(False))
-    rows = pixel.select(*keys, grid_bin("_p.wave", grid).alias("bin"), F.when(good, f * v).otherwise(0.0).alias("_fv"),
-                        F.when(good, v).otherwise(0.0).alias("_v")).filter("bin IS NOT NULL")
-    return rows.groupBy(*keys, "bin").agg(F.sum("_fv").alias("num"), F.sum("_v").alias("den"))
-
-
-def dense(entries: Column, value: str, nbin: int) -> Column:
-    """A full-length float array from sorted (bin, value) entries, with zeros in the gaps."""
-    zero = F.lit(0.0).cast("float")
-
-    def with_gap(e: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(entries, i - 1)["bin"]).otherwise(-1)
-        return F.concat(F.array_repeat(zero, e["bin"] - before - 1), F.array(e[value].cast("float")))
-
-    filled = F.flatten(F.transform(entries, with_gap))
-    return F.concat(filled, F.array_repeat(zero, F.lit(nbin) - F.size(filled)))
+def _sums_of_rows(keys: Sequence[str], grid: Grid):
+    """In a task: per key of a batch the weighted sums of its pixels between the first and the last bin that it touches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held: dict[tuple, list[np.ndarray]] = {}
+            for key, wave, flux, ivar in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf["wave"], pdf["flux"], pdf["ivar"]):
+                if wave is None or flux is None or ivar is None:
+                    continue
+                n = max(len(wave), len(flux), len(ivar))
+                w, f, v = (np.pad(np.asarray(x, dtype=float), (0, n - len(x)), constant_values=np.nan) for x in (wave, flux, ivar))
+                place = np.rint((w - grid.lam0) / grid.dlam)
+                on = np.isfinite(place) & (place >= 0) & (place < grid.nbin)
+                good = np.isfinite(f) & np.isfinite(v) & (v > 0)
+                at = place[on].astype(np.int64)
+                sums = held.setdefault(key, [np.zeros(grid.nbin), np.zeros(grid.nbin), np.zeros(grid.nbin, dtype=bool)])
+                sums[0] += np.bincount(at, np.where(good, f * v, 0.0)[on], grid.nbin)
+                sums[1] += np.bincount(at, np.where(good, v, 0.0)[on], grid.nbin)
+                sums[2][at] = True
+            rows = []
+            for key, (num, den, touched) in held.items():
+                if touched.any():
+                    bins = np.flatnonzero(touched)
+                    rows.append((*key, int(bins[0]), num[bins[0]:bins[-1] + 1], den[bins[0]:bins[-1] + 1]))
+            yield pd.DataFrame(rows, columns=[*keys, "first", "num", "den"])
+
+    return run
+
+
+def _merged_sums(keys: Sequence[str], grid: Grid):
+    """In a task over rows sorted by key: add up the sums of a key, however many rows hold them, and divide."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, num, den = None, np.zeros(grid.nbin), np.zeros(grid.nbin)
+
+        def spectrum() -> tuple:
+            flux = np.divide(num, den, out=np.zeros(grid.nbin), where=den > 0)
+            return (*key, flux.astype(np.float32), den.astype(np.float32))
+
+        for pdf in batches:
+            rows = []
+            for own, first, n, d in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf["first"], pdf["num"], pdf["den"]):
+                if own != key:
+                    if key is not None:
+                        rows.append(spectrum())
+                    key, num, den = own, np.zeros(grid.nbin), np.zeros(grid.nbin)
+                num[first:first + len(n)] += n
+                den[first:first + len(d)] += d
+            yield pd.DataFrame(rows, columns=[*keys, "flux", "ivar"])
+        if key is not None:
+            yield pd.DataFrame([spectrum()], columns=[*keys, "flux", "ivar"])
+
+    return run
 
 
 def coadd(camera: DataFrame, grid: Grid, keys: Sequence[str] = (*SHARD_KEYS, "targetid")) -> DataFrame:
-    """One spectrum per key on the grid: inverse-variance mean flux and summed ivar, zero where empty."""
-    sums = coadd_pixels(camera, grid, keys)
-    flux = F.when(F.col("den") > 0, F.col("num") / F.when(F.col("den") > 0, F.col("den"))).otherwise(0.0)
-    entry = F.struct("bin", flux.alias("flux"), F.col("den").alias("ivar"))
-    gathered = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_e"))  # at most nbin entries
-    return gathered.select(*keys, dense(F.col("_e"), "flux", grid.nbin).alias("flux"),
-                           dense(F.col("_e"), "ivar", grid.nbin).alias("ivar"))
+    """One spectrum per key on the grid: inverse-variance mean flux and summed ivar, zero where empty.
+
+    A pixel counts only with a finite flux and a positive finite ivar; keys without a pixel on the grid are left out. Sums of arrays are formed
+    before the only shuffle and added up in sorted order after it, so a task holds one spectrum whatever the number of exposures.
+    """
+    keys = list(keys)
+    kinds = ", ".join(f"`{k}` {camera.schema[k].dataType.simpleString()}" for k in keys)
+    rows = camera.select(*keys, "wave", "flux", "ivar")
+    parts = rows.mapInPandas(_sums_of_rows(keys, grid), f"{kinds}, first int, num array<double>, den array<double>")
+    return spread(parts, *keys).sortWithinPartitions(*keys).mapInPandas(_merged_sums(keys, grid), f"{kinds}, flux array<float>, ivar array<float>")
 
 
 def with_shard(spectra: DataFrame) -> DataFrame:
@@ -63,12 +98,10 @@ def with_shard(spectra: DataFrame) -> DataFrame:
 def merge_best(spectra: DataFrame) -> DataFrame:
     """One spectrum per target: the copy with the most positive-ivar pixels, ties to the first shard name.
 
-    Copies are ranked on (target, shard, count) alone; arrays are fetched for the winners only.
+    One pass over the copies: each task keeps its best one per target before the shuffle.
     """
-    shards = with_shard(spectra)
-    ranked = best_per_key(shards.select("targetid", "shard", count_positive("ivar").alias("n_good")), ["targetid"],
-                          [F.col("n_good").desc(), F.col("shard")])
-    return shards.join(ranked, ["targetid", "shard"]).select("targetid", "shard", "n_good", "flux", "ivar")
+    copies = with_shard(spectra).select("targetid", "shard", count_positive("ivar").alias("n_good"), "flux", "ivar")
+    return best_per_key(copies, ["targetid"], [F.col("n_good").desc(), F.col("shard")])
 
 
 def merge_counts(spectra: DataFrame) -> DataFrame:

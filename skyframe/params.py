@@ -84,6 +84,7 @@ LINE_MIN_PIXELS = 60
 LINE_MIN_COVER = 0.80
 LINE_EDGE = 0.22
 LINE_START_WIDTHS = (120.0, 300.0, 700.0)
+LINE_MAX_STEPS = 3000
 LINE_MIN_WIDTH = 25.0
 
 

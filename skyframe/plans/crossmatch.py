@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import is_finite, on_main_survey, trimmed
-from skyframe.operators.joins import best_per_key
+from skyframe.operators.joins import DataError, best_per_key, require_unique
 from skyframe.operators.ledger import counts_to_ledger
 from skyframe.operators.rank import exact_quantiles
 from skyframe.operators.sky import counterparts, resolve_shared_targets
@@ -140,14 +140,20 @@ def crossmatch(detections: DataFrame, targets: DataFrame, params: CrossmatchPara
     primaries = primary_detections(detections).withColumn(
         "placed", is_finite("ls10_ra") & is_finite("ls10_dec")).drop("nway_match_flag")
     pool = primary_targets(targets, params.main_releases)
+    require_unique(pool, ["targetid"], "primary targets")
     found = counterparts(primaries.filter("placed"), pool.select("targetid", "target_ra", "target_dec", "is_main"),
                          params.radius_arcsec, params.cell_per_radius)
-    staged = (primaries.join(found, ["ls10_ra", "ls10_dec"], "left")
-              .join(pool.select("targetid", *TARGET_COLUMNS), "targetid", "left")
+    # a target's columns join the few positions that found one; rows without a position get keys of their own outside the sky
+    known = found.join(pool.select("targetid", *TARGET_COLUMNS), "targetid").withColumnsRenamed({"ls10_ra": "_ra", "ls10_dec": "_dec"})
+    apart = F.xxhash64("ero_detuid").cast("double") * 2.0 + 1.0e6
+    ra, dec = (F.when(F.col("placed"), F.col(c)).otherwise(apart) for c in ("ls10_ra", "ls10_dec"))
+    staged = (primaries.join(known, (ra == F.col("_ra")) & (dec == F.col("_dec")), "left").drop("_ra", "_dec")
               .withColumn("matched", F.col("targetid").isNotNull())
               .withColumn("not_excluded", not_excluded())
               .withColumn("reliable", reliable(params.uncalibrated_min)))
     staged = settle(staged)  # one row per detection; every result below reads it, none repeats the sky join
+    if staged.filter("matched").isEmpty():
+        raise DataError(f"no detection has a target within {params.radius_arcsec} arcsec")
     resolved = resolve_shared_targets(staged.filter("matched AND not_excluded AND reliable"), params.split_max_sep_arcsec)
     matched = resolved.filter("kept").select(*MATCHED_COLUMNS)
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.operators import analysis as an
 from skyframe.operators import linear, scoring
 from skyframe.operators import sample as sm
-from skyframe.params import TARGETS, ScoreParams
+from skyframe.operators.density import Density
+from skyframe.operators.joins import DataError, strict_lookup
+from skyframe.params import COVERAGE_LEVELS, TARGETS, Head, ScoreParams
 from skyframe.session import settle
 
 PRESENCE = ("has_z", "has_spectrum", "has_image", "has_wise")
@@ -24,40 +27,103 @@ class Evaluation:
 
     scores: DataFrame
     standardizer: sm.Standardizer
+    fitted: list[linear.LinearHead]
 
     def gains(self) -> DataFrame:
         return scoring.information_gain(self.scores)
 
     def r_squared(self) -> DataFrame:
-        return scoring.r_squared(self.scores.filter("common"), "truth", "mean", ["head", "subset"])
+        """Of heads with one scalar target; the others have no single truth."""
+        return scoring.r_squared(self.scores.filter("common AND truth IS NOT NULL"), "truth", "mean", ["head", "subset"])
+
+    def coverage(self, levels: Sequence[float] = COVERAGE_LEVELS) -> DataFrame:
+        """(head, level, n, coverage) under the full combination: how often central intervals of the predictive normal hold the truth."""
+        full = sm.subset_names()[-1]
+        sigma = {h.target: h.sigma for h in self.fitted if h.subset == full}
+        deviation = reduce(lambda c, t: c.when(F.col("head") == t, F.lit(sigma[t])), sigma, F.when(F.lit(False), F.lit(0.0)))
+        rows = self.scores.filter((F.col("subset") == full) & F.col("common") & F.col("truth").isNotNull())
+        entries = F.array(*[F.struct(F.lit(float(v)).alias("level"), (F.abs(F.col("truth") - F.col("mean")) <= deviation * NormalDist().inv_cdf((1 + v) / 2)).alias("inside"))
+                            for v in levels])
+        return rows.select("head", F.explode(entries).alias("_e")).groupBy("head", F.col("_e.level").alias("level")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(F.col("_e.inside").cast("double")).alias("coverage"))
+
+
+def require_columns(labels: DataFrame, heads: Sequence[Head]) -> None:
+    """Every head's label columns must be there: a head is scored or refused, never left out."""
+    absent = {h.name: sorted({c for t in h.targets for c in TARGETS[t].columns} - set(labels.columns)) for h in heads}
+    absent = {name: columns for name, columns in absent.items() if columns}
+    if absent:
+        raise DataError(f"label columns of heads are absent: {absent}")
 
 
 def evaluate(labels: DataFrame, blocks: dict[str, Sequence[str]], params: ScoreParams = ScoreParams()) -> Evaluation:
-    """Score scalar heads on the test split under every combination of inputs.
+    """Score every head on the test split under every combination of inputs.
 
-    `labels` carries split, label columns, presence flags and the feature columns that `blocks` names by
-    modality. Heads are linear-Gaussian; each is compared with the kernel prior of its own target. Scores
-    are written once as a stage table, since every summary reads them.
+    `labels` carries split, label columns, presence flags and the feature columns that `blocks` names by modality. A head of one scalar target is
+    linear-Gaussian; one of several targets, or of a rate, is normal around its regressions with the residuals' covariance, integrated over what
+    is not observed. Each is compared with the kernel prior of its own targets, through the same quadrature. A head whose label columns are absent
+    or that can score no row is an error. Scores are written once as a stage table, since every summary reads them.
     """
-    heads = [h for h in params.heads if len(h.targets) == 1 and not TARGETS[h.targets[0]].is_rate]
+    require_columns(labels, params.heads)
     masked = sm.with_masks(labels)
-    sm.require_live_heads(sm.scorable_counts(masked.filter("split = 'train'"), heads))
-    standardizer = sm.fit_standardizer(labels, [h.targets[0] for h in heads])
-    encoded = masked.withColumns({h.targets[0]: standardizer.encode(h.targets[0], sm.target_value(h.targets[0])) for h in heads})
-    fitted = linear.fit_heads(encoded.filter("split = 'train'"), blocks, [h.targets[0] for h in heads])
-    test = encoded.filter("split = 'test'")
-    priors = {h.name: scoring.fit_prior(labels, h, standardizer, params.bandwidth) for h in heads}
-    known = test.withColumns({f"prior_{h.name}": priors[h.name].log_prob([F.col(h.targets[0])]) for h in heads})
-    known = known.withColumns({f"common_{h.name}": sm.common_rows(h, PRESENCE) for h in heads})
-    keep = ["redshift", "spectype", *[f"prior_{h.name}" for h in heads], *[f"common_{h.name}" for h in heads]]
-    scored = linear.score_heads(known, fitted, "source_id", keep)
+    sm.require_live_heads(sm.scorable_counts(masked.filter("split = 'train'"), params.heads))
+    targets = sorted({t for h in params.heads for t in h.targets})
+    standardizer = sm.fit_standardizer(labels, targets)
+    encoded = masked.withColumns({t: standardizer.encode(t, sm.target_value(t)) for t in targets})
+    train, test = encoded.filter("split = 'train'"), encoded.filter("split = 'test'")
+    scalar = [h for h in params.heads if len(h.targets) == 1 and h.scalars()]
+    joint = [h for h in params.heads if h not in scalar]
+    keep = ["redshift", "spectype"]
+    results, fitted = [], []
+    if scalar:
+        fitted = linear.fit_heads(train, blocks, [h.targets[0] for h in scalar])
+        known = test.withColumns({f"common_{h.name}": sm.common_rows(h, PRESENCE) for h in scalar})
+        for h in scalar:
+            known = scoring.fit_prior(labels, h, standardizer, params.bandwidth).scored(known, [F.col(h.targets[0])], f"prior_{h.name}")
+        scored = linear.score_heads(known, fitted, "source_id", [*keep, *[f"{p}_{h.name}" for h in scalar for p in ("prior", "common")]])
+
+        def of_head(prefix: str):
+            return reduce(lambda c, h: c.when(F.col("head") == h.targets[0], F.col(f"{prefix}_{h.name}")), scalar, F.when(F.lit(False), None))
+
+        results.append(scored.select("source_id", "head", "subset", "ll", "mean", "truth", of_head("prior").alias("prior"), of_head("common").alias("common"), *keep))
+    if joint:
+        fits = linear.fit_joint_heads(train, blocks, {h.name: h.targets for h in joint})
+        features = [c for names in blocks.values() for c in names]
+        for h in joint:
+            prior = scoring.fit_prior(labels, h, standardizer, params.bandwidth)
+            known = scoring.head_log_likelihood(test.withColumn("common", sm.common_rows(h, PRESENCE)), h, standardizer, prior, "prior", params.nodes, params.span)
+            scored = scoring.joint_log_likelihood(known, h, standardizer, features, [f for f in fits if f.head == h.name], "source_id", [*keep, "prior", "common"],
+                                                  params.nodes, params.span)
+            results.append(scored.withColumns({"mean": F.lit(None).cast("double"), "truth": F.lit(None).cast("double")}))
+    return Evaluation(settle(reduce(DataFrame.unionByName, results)), standardizer, fitted)
+
+
+def line_baseline(labels: DataFrame, fluxes: DataFrame, columns: Sequence[str], target: str, standardizer: sm.Standardizer, prior: Density) -> DataFrame:
+    """A linear head on measured line fluxes alone: (source_id, ll, mean, truth, prior, common), on the rows that the other heads are scored on.
+
+    Every source needs its fluxes. They are standardized on the training split.
+    """
+    head = Head(target, (target,))
+    joined = strict_lookup(sm.with_masks(labels), fluxes.select("source_id", *columns), ["source_id"], "line fluxes")
+    found = {r["target"]: r for r in sm.moments(joined.filter("split = 'train'"), {c: F.col(c) for c in columns}).collect()}
+    scaled = {c: (F.col(c) - found[c]["mean"]) / (found[c]["scale"] or 1.0) for c in columns}
+    encoded = joined.withColumns(scaled | {target: standardizer.encode(target, sm.target_value(target)), "common": sm.common_rows(head, PRESENCE)})
+    fitted = linear.fit_heads(encoded.filter("split = 'train'"), {"L": columns}, [target], ["L"])
+    known = prior.scored(encoded.filter("split = 'test'"), [F.col(target)], "prior")
+    return linear.score_heads(known, fitted, "source_id", ["prior", "common"]).drop("head", "subset")
+
 
-    def of_head(prefix: str):
-        return reduce(lambda c, h: c.when(F.col("head") == h.targets[0], F.col(f"{prefix}_{h.name}")), heads, F.when(F.lit(False), None))
+def fold_scores(labels: DataFrame, blocks: dict[str, Sequence[str]], flagged: Column, params: ScoreParams = ScoreParams(), folds: int = 5) -> DataFrame:
+    """Scores of every fold's test rows by heads fitted on its training rows, tagged with `fold`. `labels` carries `block`.
 
-    columns = ["source_id", "head", "subset", "ll", "mean", "truth", of_head("prior").alias("prior"), of_head("common").alias("common"),
-               "redshift", "spectype"]
-    return Evaluation(settle(scored.select(*columns)), standardizer)
+    Flagged rows are withheld from training: their labels are NULL there and kept where they are scored.
+    """
+    parts = []
+    for fold in range(folds):
+        roles = labels.withColumn("split", sm.fold_role("block", fold, folds))
+        held = sm.withhold(roles, flagged & (F.col("split") == "train"), sorted({t for h in params.heads for t in h.targets}))
+        parts.append(evaluate(held, blocks, params).scores.withColumn("fold", F.lit(fold)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass
@@ -65,16 +131,28 @@ class Analysis:
     table: DataFrame
     modality_gains: DataFrame
     trends: dict[str, DataFrame]
+    bands: dict[str, DataFrame]
     rho: DataFrame
     shares: DataFrame
     hardness: DataFrame
+    withheld_shares: DataFrame | None = None
+    specific_rate: DataFrame | None = None
 
 
 def analyse(scores: DataFrame, draws: DataFrame, sources: DataFrame, standardizer: sm.Standardizer, head: str = "lx",
-            replicates: int = 1000) -> Analysis:
-    """Combination table, modality gains and trends from scores; correlations and hardness from draws."""
+            replicates: int = 1000, withheld_draws: DataFrame | None = None, rate_densities: DataFrame | None = None) -> Analysis:
+    """Combination table, modality gains, trends and their bands from scores; correlations, shares and hardness from draws.
+
+    `withheld_draws`: draws made without the photometry, summarized like the others. `rate_densities`: rows of `specific_rate_densities`.
+    """
     gains = settle(an.source_gains(scores, head))
-    rho = an.within_object_correlation(draws, standardizer).join(sources, "source_id")
+
+    def correlations(rows: DataFrame) -> DataFrame:
+        return an.within_object_correlation(rows, standardizer).join(sources, "source_id")
+
+    rho = correlations(draws)
     return Analysis(an.combination_table(scores, replicates), an.modality_gains(scores, head, replicates),
-                    {m: an.gain_trend(gains, m) for m in ("S", "I", "W")}, rho, an.population_shares(rho, replicates),
-                    an.hardness_summary(draws, standardizer))
+                    {m: an.gain_trend(gains, m) for m in ("S", "I", "W")}, {m: an.gain_band(gains, m, replicates=replicates) for m in ("S", "I", "W")},
+                    rho, an.population_shares(rho, replicates), an.hardness_summary(draws, standardizer),
+                    None if withheld_draws is None else an.population_shares(correlations(withheld_draws), replicates),
+                    None if rate_densities is None else scoring.specific_rate_gain(rate_densities))

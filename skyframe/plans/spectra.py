@@ -28,7 +28,7 @@ class MergedSpectra:
 
 def coadd_spectra(camera: DataFrame, targets: DataFrame, grid: Grid = Grid()) -> MergedSpectra:
     """Coadd the wanted targets group by group and keep the best copy of each."""
-    shards = sp.coadd(sp.wanted_spectra(camera, targets), grid)
+    shards = settle(sp.coadd(sp.wanted_spectra(camera, targets), grid))  # two results read it
     return MergedSpectra(sp.merge_best(shards), shards, targets)
 
 

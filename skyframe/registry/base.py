@@ -154,6 +154,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS counts, l_discount * 200 AS bkg,
     100.0e0 + l_linenumber AS expo, l_extendedprice
   FROM {lineitem}""",
+    # training rows of a prior and the rows it is asked about
+    "v_prior_labels": """
+  SELECT c_custkey AS source_id, 'train' AS split, CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE c_acctbal / 3000.0e0 END AS log_sfr,
+    9.0e0 + c_acctbal / 9000.0e0 + (c_custkey * 37 % 1009) / 400.0e0 AS logmstar_cigale, c_custkey % 60 AS ape_cts_p2, (c_custkey * 7 % 50) / 10.0e0 AS ape_bkg_p2,
+    CASE WHEN c_custkey % 43 = 0 THEN 0.0e0 ELSE 100.0e0 + c_custkey % 17 END AS ape_exp_p2 FROM {customer}
+  UNION ALL SELECT 1000000 + s_suppkey AS source_id, 'test' AS split, CASE WHEN s_suppkey % 9 = 4 THEN NULL ELSE s_acctbal / 3000.0e0 END AS log_sfr,
+    9.0e0 + s_acctbal / 9000.0e0 + (s_suppkey * 37 % 1009) / 400.0e0 AS logmstar_cigale, s_suppkey % 60 AS ape_cts_p2, (s_suppkey * 7 % 50) / 10.0e0 AS ape_bkg_p2,
+    CASE WHEN s_suppkey % 43 = 0 THEN 0.0e0 ELSE 100.0e0 + s_suppkey % 17 END AS ape_exp_p2 FROM {supplier}""",
     "v_kde_train": "SELECT c_custkey AS id, c_acctbal / 3000.0e0 AS a, (c_custkey * 37 % 1009) / 400.0e0 + c_acctbal / 9000.0e0 AS b FROM {customer}",
     "v_kde_eval": "SELECT s_suppkey AS id, s_acctbal / 3000.0e0 AS a, (s_suppkey * 53 % 997) / 300.0e0 AS b FROM {supplier}",
     # arrays: cameras, spectra and images from the vectors

@@ -184,19 +184,19 @@ l AS (SELECT id, ln(sum(exp(x - m))) + any_value(m) - 0.5e0 * ln(any_value((p *
 @query("stat_kde_one", f"WITH {_kde_sql('a', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
 def stat_kde_one(v):
     kde = dn.GaussianKDE.fit(v.kde_train, ["a"])
-    return v.kde_eval.select("id", F.round(kde.log_prob([F.col("a")]), 6).alias("log_prob"))
+    return kde.scored(v.kde_eval, [F.col("a")], "log_prob").select("id", F.round("log_prob", 6).alias("log_prob"))
 
 
 @query("stat_kde_two", f"WITH {_kde_sql('ab', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
 def stat_kde_two(v):
     kde = dn.GaussianKDE.fit(v.kde_train, ["a", "b"])
-    return v.kde_eval.select("id", F.round(kde.log_prob([F.col("a"), F.col("b")]), 6).alias("log_prob"))
+    return kde.scored(v.kde_eval, [F.col("a"), F.col("b")], "log_prob").select("id", F.round("log_prob", 6).alias("log_prob"))
 
 
 @query("join_kernel_blocks", f"WITH {_kde_sql('ab', 1.0)} SELECT id, round(log_prob, 6) AS log_prob FROM l")
 def join_kernel_blocks(v):
     kde = dn.GaussianKDE.fit(v.kde_train, ["a", "b"])
-    return kde.log_prob_join(v.kde_eval, "id", ["a", "b"], 500).select("id", F.round("log_prob", 6).alias("log_prob"))
+    return kde.scored(v.kde_eval.withColumn("c", F.col("a")), [F.col("c"), F.col("b")], "log_prob").select("id", F.round("log_prob", 6).alias("log_prob"))
 
 
 @query("stat_bandwidth_sweep", " UNION ALL ".join(
@@ -212,26 +212,93 @@ def agg_covariance(v):
     return rounded(dn.covariance_long(v.kde_train, ["a", "b"]))
 
 
-@query("stat_prior_likelihood")
-def stat_prior_likelihood(v):
-    """The kernel prior of a pair with a rate, through the quadrature."""
-    masked = sm.with_masks(v.labels)
-    standardizer = sm.fit_standardizer(v.labels, RATES.targets)
-    prior = sc.fit_prior(v.labels, RATES, standardizer)
-    return sc.head_log_likelihood(masked, RATES, standardizer, prior).select("source_id", "ll")
+def _kernel_pair(points: str, keys: str, name: str) -> str:
+    """CTEs for ln density of the pair (a, b) of `train` at (u, w) of `points`; `spread` holds its covariance."""
+    return f"""
+{name}_x AS (SELECT {keys}, -0.5e0 * (vb * pow(u - a, 2) - 2 * cab * (u - a) * (w - b) + va * pow(w - b, 2)) / ((va * vb - cab * cab) * f) AS x,
+  -0.5e0 * ln((va * vb - cab * cab) * f * f) - ln(2 * pi()) - ln(cn) AS norm FROM {points}, train, spread),
+{name}_m AS (SELECT {keys}, max(x) AS top FROM {name}_x GROUP BY {keys}),
+{name} AS (SELECT {keys}, any_value(top) + ln(sum(exp(x - top))) + any_value(norm) AS lp FROM {name}_x JOIN {name}_m USING ({keys}) GROUP BY {keys})"""
 
 
-@query("stat_specific_rate")
-def stat_specific_rate(v):
+def _kernel_single(points: str, column: str, value: str, keys: str, name: str) -> str:
+    """The same for one column of `train` at `value` of `points`."""
+    return f"""
+{name}_s AS (SELECT count(*) AS sn, stddev_samp({column}) * pow(count(*), -0.2e0) AS h FROM train),
+{name}_x AS (SELECT {keys}, -0.5e0 * pow(({value} - {column}) / h, 2) AS x, -ln(h) - 0.5e0 * ln(2 * pi()) - ln(sn) AS norm FROM {points}, train, {name}_s),
+{name}_m AS (SELECT {keys}, max(x) AS top FROM {name}_x GROUP BY {keys}),
+{name} AS (SELECT {keys}, any_value(top) + ln(sum(exp(x - top))) + any_value(norm) AS lp FROM {name}_x JOIN {name}_m USING ({keys}) GROUP BY {keys})"""
+
+
+_SPREAD = "spread AS (SELECT count(*) AS cn, var_samp(a) AS va, covar_samp(a, b) AS cab, var_samp(b) AS vb, pow(count(*), -1.0e0 / 3) AS f FROM train)"
+_PRIOR_SQL = f"""
+WITH r AS (SELECT source_id, split, log_sfr AS y, ape_cts_p2 AS n, ape_bkg_p2 AS k, CASE WHEN ape_exp_p2 > 0 THEN ape_exp_p2 END AS t,
+    ape_cts_p2 IS NOT NULL AND ape_exp_p2 > 0 AS r_ok, log_sfr IS NOT NULL AS s_ok FROM v_prior_labels),
+l AS (SELECT *, CASE WHEN r_ok THEN log10(greatest(n - k, 0.5e0) / t) END AS lr FROM r),
+st AS (SELECT avg(lr) AS mr, stddev_pop(lr) AS sr, avg(y) AS my, stddev_pop(y) AS sy FROM l WHERE split = 'train'),
+train AS (SELECT (lr - mr) / sr AS a, (y - my) / sy AS b FROM l, st WHERE split = 'train' AND r_ok AND s_ok), {_SPREAD},
+p AS (SELECT source_id, n, k, t, r_ok, mr, sr, (y - my) / sy AS w, (lr - mr) / sr AS uhat, sqrt(greatest(n, 1)) / (ln(10.0e0) * sr * greatest(n - k, 0.5e0)) AS sg
+  FROM l, st WHERE s_ok),
+g AS (SELECT *, unnest(range(0, 12)) AS i FROM p),
+nodes AS (SELECT *, CASE WHEN r_ok THEN uhat / (1 + sg * sg) + sg / sqrt(1 + sg * sg) * (-5.0e0 + i * 10.0e0 / 11) ELSE -5.0e0 + i * 10.0e0 / 11 END AS u FROM g),
+{_kernel_pair("nodes", "source_id, i", "d")},
+t AS (SELECT source_id, lp + CASE WHEN r_ok THEN n * ln(t * pow(10.0e0, sr * u + mr) + k) - (t * pow(10.0e0, sr * u + mr) + k) - lgamma(n + 1.0e0) ELSE 0 END AS term,
+  CASE WHEN r_ok THEN ln(sg / sqrt(1 + sg * sg)) ELSE 0 END + ln(10.0e0 / 11) AS spacing FROM nodes JOIN d USING (source_id, i)),
+m AS (SELECT source_id, max(term) AS top FROM t GROUP BY source_id),
+ll AS (SELECT source_id, any_value(top) + ln(sum(exp(term - top))) + any_value(spacing) AS ll FROM t JOIN m USING (source_id) GROUP BY source_id)
+SELECT v.source_id, round(ll, 5) AS ll FROM v_prior_labels v LEFT JOIN ll USING (source_id)"""
+
+
+@query("stat_prior_likelihood", _PRIOR_SQL)
+def stat_prior_likelihood(v):
+    """The kernel prior of a pair with a rate, through the quadrature."""
+    masked = sm.with_masks(v.prior_labels)
+    standardizer = sm.fit_standardizer(v.prior_labels, RATES.targets)
+    prior = sc.fit_prior(v.prior_labels, RATES, standardizer)
+    return sc.head_log_likelihood(masked, RATES, standardizer, prior).select("source_id", F.round("ll", 5).alias("ll"))
+
+
+_RATE_SQL = f"""
+WITH st AS (SELECT avg(log_sfr) AS my, stddev_pop(log_sfr) AS sy, avg(logmstar_cigale) AS mm, stddev_pop(logmstar_cigale) AS sm FROM v_prior_labels WHERE split = 'train'),
+both AS (SELECT source_id, split, (log_sfr - my) / sy AS a, (logmstar_cigale - mm) / sm AS b, log_sfr, logmstar_cigale FROM v_prior_labels, st),
+train AS (SELECT a, b FROM both WHERE split = 'train' AND a IS NOT NULL AND b IS NOT NULL), {_SPREAD},
+p AS (SELECT source_id, log_sfr - logmstar_cigale AS s, unnest(range(0, 256)) AS i FROM both WHERE split = 'test' AND a IS NOT NULL AND b IS NOT NULL),
+nodes AS (SELECT source_id, i, -8.0e0 + i * 16.0e0 / 255 AS w, (s + (-8.0e0 + i * 16.0e0 / 255) * sm + mm - my) / sy AS u FROM p, st),
+{_kernel_pair("nodes", "source_id, i", "d")},
+ta AS (SELECT (log_sfr - my) / sy AS a FROM v_prior_labels, st WHERE split = 'train' AND log_sfr IS NOT NULL),
+tb AS (SELECT (logmstar_cigale - mm) / sm AS b FROM v_prior_labels, st WHERE split = 'train' AND logmstar_cigale IS NOT NULL),
+{_kernel_single("nodes", "a", "u", "source_id, i", "da").replace("FROM train", "FROM ta").replace(", train,", ", ta,")},
+masses AS (SELECT DISTINCT i, w FROM nodes),
+{_kernel_single("masses", "b", "w", "i", "db").replace("FROM train", "FROM tb").replace(", train,", ", tb,")},
+t AS (SELECT source_id, d.lp AS pair, da.lp + db.lp AS apart FROM d JOIN da USING (source_id, i) JOIN db USING (i)),
+m AS (SELECT source_id, max(pair) AS top, max(apart) AS high FROM t GROUP BY source_id),
+densities AS (SELECT source_id, any_value(top) + ln(sum(exp(pair - top))) + ln(16.0e0 / 255) - ln(any_value(sy)) AS log_p_joint,
+  any_value(high) + ln(sum(exp(apart - high))) + ln(16.0e0 / 255) - ln(any_value(sy)) AS log_p_independent FROM t JOIN m USING (source_id), st GROUP BY source_id)"""
+
+
+def specific_rates(v):
     """Density of the specific rate under the pair against its two margins, on the test split."""
-    standardizer = sm.fit_standardizer(v.labels, PAIR.targets)
-    joint = sc.fit_prior(v.labels, PAIR, standardizer)
-    sfr, mstar = (sc.fit_prior(v.labels, Head(t, (t,)), standardizer) for t in PAIR.targets)
-    test = v.labels.filter("split = 'test' AND log_sfr IS NOT NULL AND logmstar_cigale IS NOT NULL")
+    standardizer = sm.fit_standardizer(v.prior_labels, PAIR.targets)
+    joint = sc.fit_prior(v.prior_labels, PAIR, standardizer)
+    sfr, mstar = (sc.fit_prior(v.prior_labels, Head(t, (t,)), standardizer) for t in PAIR.targets)
+    test = v.prior_labels.filter("split = 'test' AND log_sfr IS NOT NULL AND logmstar_cigale IS NOT NULL")
     test = test.select("source_id", (F.col("log_sfr") - F.col("logmstar_cigale")).alias("s"))
     return sc.specific_rate_densities(test, "s", standardizer, joint, sfr, mstar)
 
 
+@query("stat_specific_rate_gain", _RATE_SQL + """
+SELECT count(*) AS n, round(avg(log_p_joint), 5) AS mean_joint, round(avg(log_p_independent), 5) AS mean_independent,
+  round(avg(log_p_joint - log_p_independent), 5) AS gain, round(stddev_samp(log_p_joint - log_p_independent) / sqrt(count(*)), 5) AS gain_se FROM densities""")
+def stat_specific_rate_gain(v):
+    return rounded(sc.specific_rate_gain(specific_rates(v)), 5)
+
+
+@query("stat_specific_rate", _RATE_SQL + """
+SELECT source_id, round(log_p_joint, 5) AS log_p_joint, round(log_p_independent, 5) AS log_p_independent FROM densities""")
+def stat_specific_rate(v):
+    return rounded(specific_rates(v).drop("s"), 5)
+
+
 @query("stat_line_baseline", """
 WITH t AS (SELECT regr_slope(log_sfr, redshift) AS b, regr_intercept(log_sfr, redshift) AS a, count(log_sfr) AS n FROM v_labels WHERE split = 'train'),
 s AS (SELECT sqrt(avg(pow(log_sfr - a - b * redshift, 2))) AS sigma FROM v_labels, t WHERE split = 'train' AND log_sfr IS NOT NULL)
@@ -254,17 +321,40 @@ def feature_labels(v):
         "f_w1": (k % 17) / 40.0, "f_w2": (k * 5 % 97) / 30.0})
 
 
-@query("stat_subset_heads")
+_FEATURE_SQL = {"f_z": "redshift", "f_s1": "(source_id * 31 % 1009) / 400.0e0 + (source_id % 7)", "f_s2": "(source_id * 13 % 331) / 100.0e0",
+                "f_i": "(source_id * 17 % 1013) / 600.0e0", "f_w1": "(source_id % 17) / 40.0e0", "f_w2": "(source_id * 5 % 97) / 30.0e0"}
+
+
+def _regression_sql(target: str, column: str, subset: str) -> str:
+    """Least squares by orthogonalising one feature after the other on the training rows; window sums over them are constants."""
+    rows = f"(SELECT source_id, split = 'test' AS te, split = 'train' AND {column} IS NOT NULL AS tr, {column} AS y, " + ", ".join(
+        f"{sql} AS {f}" for f, sql in _FEATURE_SQL.items()) + " FROM v_labels)"
+    names = [f for m in subset for f in FEATURES[m]]
+
+    def over(e: str) -> str:
+        return f"sum({e}) FILTER (WHERE tr) OVER ()"
+
+    for k, f in enumerate(names):
+        parts = "".join(f" - {over(f'{f} * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(k))
+        rows = f"(SELECT *, {f} - avg({f}) FILTER (WHERE tr) OVER (){parts} AS q{k} FROM {rows})"
+    fit = "".join(f" + {over(f'y * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(len(names)))
+    rows = f"(SELECT *, avg(y) FILTER (WHERE tr) OVER (){fit} AS mean FROM {rows})"
+    rows = f"(SELECT *, sqrt(avg(pow(y - mean, 2)) FILTER (WHERE tr) OVER ()) AS sigma FROM {rows})"
+    return (f"SELECT source_id, '{target}' AS head, '{subset}' AS subset, round(-0.5e0 * pow((y - mean) / sigma, 2) - ln(sigma) - 0.5e0 * ln(2 * pi()), 5) AS ll, "
+            f"round(mean, 5) AS mean, round(y, 5) AS truth FROM {rows} WHERE te")
+
+
+@query("stat_subset_heads", " UNION ALL ".join(_regression_sql(t, c, s) for t, c in (("sfr", "log_sfr"), ("mstar", "logmstar_cigale")) for s in sm.subset_names()))
 def stat_subset_heads(v):
     labels = feature_labels(v).withColumns({"sfr": F.col("log_sfr"), "mstar": F.col("logmstar_cigale")})
     heads = linear.fit_heads(labels.filter("split = 'train'"), FEATURES, ["sfr", "mstar"])
-    return linear.score_heads(labels.filter("split = 'test'"), heads)
+    return rounded(linear.score_heads(labels.filter("split = 'test'"), heads), 5)
 
 
 @query("job_evaluate")
 def job_evaluate(v):
     done = ps.evaluate(feature_labels(v), FEATURES)
-    return done.gains().join(done.r_squared().drop("n"), ["head", "subset"])
+    return done.gains().join(done.r_squared().drop("n"), ["head", "subset"], "left")
 
 
 # ---- summaries of scores

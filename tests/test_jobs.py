@@ -132,3 +132,20 @@ def test_manifest(spark, done):
 def test_fetch_plan(spark, done):
     plan = sp.fetch_plan(done.matched, done.matched.filter("survey = 'main'").select("survey", "program", "healpix"), "u/{survey}/{group}/{pix}").collect()
     assert {r["survey"] for r in plan} <= {"backup", "main"} and all(r["survey"] != "main" for r in plan)
+
+
+def test_repeated_targets_and_empty_matches_are_errors(spark):
+    detections, targets = spark.createDataFrame(DETECTIONS, DETECTION), spark.createDataFrame(TARGETS, TARGET)
+    with pytest.raises(DataError, match="primary targets: targetid is not unique"):
+        xm.crossmatch(detections, targets.union(targets.filter(f"targetid = {MAIN + 1}")))
+    with pytest.raises(DataError, match="no detection has a target"):
+        xm.crossmatch(detections, targets.withColumn("target_dec", targets.target_dec + 5.0))
+
+
+def test_repeated_keys_cannot_be_split_or_folded(spark):
+    from skyframe.operators import sample as sm
+
+    rows = spark.createDataFrame([(1,), (1,), (2,)], "targetid long")
+    for job in (sm.assign_split, sm.assign_blocks):
+        with pytest.raises(DataError, match="not unique"):
+            job(rows)

@@ -10,10 +10,18 @@ from skyframe.operators import linear
 from skyframe.operators import sample as sm
 from skyframe.operators import scoring as sc
 from skyframe.operators.joins import DataError
-from skyframe.params import Head
+from skyframe.params import Head, ScoreParams
+from skyframe.plans import scoring as ps
+from skyframe.session import settle
 
 
 def brute_kde(train, points, bandwidth=1.0):
+    if len(train) * len(points) > 1_000_000:
+        return np.concatenate([brute_kde_of(train, p[None], bandwidth) for p in points])
+    return brute_kde_of(train, points, bandwidth)
+
+
+def brute_kde_of(train, points, bandwidth):
     n, d = train.shape
     cov = np.cov(train.T).reshape(d, d) * (n ** (-1 / (d + 4)) * bandwidth) ** 2
     white = np.linalg.inv(np.linalg.cholesky(cov))
@@ -37,10 +45,36 @@ def test_kde_equals_brute_force(spark, d, n):
     kde = dn.GaussianKDE.fit(table(spark, train, names), names)
     pts = table(spark, points, names)
     want = brute_kde(train, points)
-    got = [r[1] for r in pts.select("id", kde.log_prob([F.col(c) for c in names])).orderBy("id").collect()]
+    got = [r["lp"] for r in kde.scored(pts, [F.col(c) for c in names], "lp").orderBy("id").collect()]
     assert np.allclose(got, want, atol=2e-6)
-    joined = [r[1] for r in kde.log_prob_join(pts, "id", names, 97).orderBy("id").collect()]
-    assert np.allclose(joined, want, atol=2e-6)
+    missing = kde.scored(pts.withColumn("a", F.when(F.col("id") > 2, F.col("a"))).union(pts.filter("id = 5")), [F.col(c) for c in names], "lp")
+    rows = missing.orderBy("id").collect()
+    assert missing.columns == ["id", *names, "lp"] and [r["lp"] is None for r in rows[:4]] == [True, True, True, False] and len(rows) == 43
+    assert rows[5]["lp"] == rows[6]["lp"]
+
+
+@pytest.mark.parametrize("d,n", [(2, 400_000), (4, 250_000)])
+def test_kde_of_many_rows(spark, d, n):
+    """Far more rows than a task could be handed, with a tail point, on both sides of the cell and distance rules."""
+    names = list("abcd")[:d]
+    drawn = spark.range(n, numPartitions=8).select(*[(F.randn(7 + i) + (F.randn(1) if i else 0)).alias(c) for i, c in enumerate(names)])
+    train = settle(drawn)
+    x = train.toPandas().to_numpy()
+    points = np.vstack([np.random.default_rng(1).normal(size=(6, d)), np.full((1, d), 4.0), np.full((1, d), -9.0)])
+    kde = dn.GaussianKDE.fit(train, names)
+    got = [r["lp"] for r in kde.scored(table(spark, points, names), [F.col(c) for c in names], "lp").orderBy("id").collect()]
+    assert np.allclose(got, brute_kde(x, points), atol=5e-6)
+
+
+def test_near_blocks_hold_what_matters(spark):
+    """The share of far blocks stays below the tolerance, and blocks are really left out."""
+    x = np.concatenate([np.random.default_rng(3).normal(size=3000), [60.0, 61.0]])
+    points = np.array([[-1.0], [0.0], [30.0], [60.5]])
+    for tolerance in (1e-3, 1e-9):
+        kde = dn.GaussianKDE.fit(table(spark, x[:, None], ["a"]), ["a"], 0.2, tolerance)
+        assert kde.blocks.count() > 4
+        got = [r["lp"] for r in kde.scored(table(spark, points, ["a"]), [F.col("a")], "lp").orderBy("id").collect()]
+        assert np.allclose(got, brute_kde(x[:, None], points, 0.2), atol=max(2e-6, 2 * tolerance))
 
 
 def test_kde_needs_rows(spark):
@@ -222,3 +256,71 @@ def test_specific_rate_under_kernel_densities(spark):
         for name, terms in (("log_p_joint", brute_kde(pair, u)), ("log_p_independent", brute_kde(pair[:, :1], u[:, :1]) + brute_kde(pair[:, 1:], u[:, 1:]))):
             want = terms.max() + math.log(np.exp(terms - terms.max()).sum()) + math.log(mass[1] - mass[0]) - math.log(0.7)
             assert got[value][name] == pytest.approx(want, abs=1e-6)
+
+
+BLOCKS = {"Z": ["redshift"], "S": ["f_s"], "I": ["f_i"], "W": ["f_w"]}
+
+
+def evaluation_labels(spark, n=240):
+    rows = labels(spark, n).withColumns({c: F.lit(True) for c in ("has_z", "has_spectrum", "has_image", "has_wise")})
+    k = F.col("source_id")
+    return rows.withColumns({"spectype": F.lit("QSO"), "f_s": (k * 31 % 101) / 50.0, "f_i": (k * 17 % 97) / 40.0, "f_w": (k * 7 % 89) / 30.0})
+
+
+def test_evaluate_scores_every_head(spark):
+    heads = (Head("sfr", ("sfr",)), Head("sfr_mstar", ("sfr", "mstar")), Head("rate", ("rate_p2",)), Head("mixed", ("rate_p2", "sfr")))
+    done = ps.evaluate(evaluation_labels(spark), BLOCKS, ScoreParams(heads=heads))
+    gains = done.gains().collect()
+    assert {(r["head"], r["subset"]) for r in gains} == {(h.name, s) for h in heads for s in sm.subset_names()}
+    assert all(math.isfinite(r["information_gain"]) for r in gains)
+    assert {r["head"] for r in done.r_squared().collect()} == {"sfr"}
+    for r in done.coverage().collect():
+        assert 0 <= r["coverage"] <= 1 and r["n"] > 10
+    with pytest.raises(DataError, match="absent"):
+        ps.evaluate(evaluation_labels(spark), BLOCKS, ScoreParams(heads=(Head("flux", ("flux",)),)))
+
+
+def test_joint_head_equals_plain_sums(spark):
+    """A pair's likelihood under one combination: least squares, residual covariance, and integrals over the missing target."""
+    df = evaluation_labels(spark)
+    head = Head("pair", ("sfr", "mstar"))
+    done = ps.evaluate(df, BLOCKS, ScoreParams(heads=(head,)))
+    s, rows = done.standardizer, df.collect()
+    value = {r["source_id"]: [None if r[c] is None else (r[c] - s.mean[t]) / s.scale[t] for t, c in (("sfr", "log_sfr"), ("mstar", "logmstar_cigale"))] for r in rows}
+    train = [r for r in rows if r["split"] == "train" and None not in value[r["source_id"]]]
+    x, y = np.array([[1.0, r["redshift"]] for r in train]), np.array([value[r["source_id"]] for r in train])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    cov = (y - x @ beta).T @ (y - x @ beta) / len(y)
+    inverse, level = np.linalg.inv(cov), -math.log(2 * math.pi) - 0.5 * np.linalg.slogdet(cov)[1]
+    redshift, grid = {r["source_id"]: r["redshift"] for r in rows}, np.linspace(-5, 5, 12)
+    for r in done.scores.filter("subset = 'Z'").collect():
+        a, b = value[r["source_id"]]
+        if a is None and b is None:
+            assert r["ll"] is None
+            continue
+        points = np.array([[u if a is None else a, w if b is None else b] for u in (grid if a is None else [0]) for w in (grid if b is None else [0])])
+        gap = points - np.array([1.0, redshift[r["source_id"]]]) @ beta
+        terms = level - 0.5 * np.einsum("ij,jk,ik->i", gap, inverse, gap)
+        want = math.log(np.exp(terms).sum()) + (math.log(grid[1] - grid[0]) if len(points) > 1 else 0.0)
+        assert r["ll"] == pytest.approx(want, abs=1e-6)
+
+
+def test_line_baseline_and_fold_scores(spark):
+    df = evaluation_labels(spark)
+    fluxes = df.select("source_id", F.col("f_s").alias("la"), F.col("f_i").alias("lb"))
+    s = sm.fit_standardizer(df, ["sfr"])
+    prior = sc.fit_prior(df, Head("sfr", ("sfr",)), s)
+    out = ps.line_baseline(df, fluxes, ["la", "lb"], "sfr", s, prior)
+    assert out.columns == ["source_id", "prior", "common", "ll", "mean", "truth"] and out.count() == df.filter("split = 'test'").count()
+    with pytest.raises(DataError, match="line fluxes"):
+        ps.line_baseline(df, fluxes.filter("source_id <> 3"), ["la", "lb"], "sfr", s, prior)
+    blocked = df.withColumn("block", (F.col("source_id") % 10).cast("int"))
+    scores = ps.fold_scores(blocked, BLOCKS, F.col("source_id") % 5 == 0, ScoreParams(heads=(Head("sfr", ("sfr",)),)))
+    counts = {r["fold"]: r["count"] for r in scores.filter("subset = 'Z'").groupBy("fold").count().collect()}
+    assert counts == {f: 48 for f in range(5)}
+
+
+def test_specific_rate_gain(spark):
+    rows = spark.createDataFrame([(-1.0, -2.0), (-3.0, -3.5), (None, -1.0)], "log_p_joint double, log_p_independent double")
+    got = sc.specific_rate_gain(rows).first()
+    assert (got["n"], got["mean_joint"], got["gain"]) == (2, -2.0, 0.75) and got["gain_se"] == pytest.approx(0.25)
