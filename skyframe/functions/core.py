@@ -103,8 +103,9 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def utc_seconds() -> Column:
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
+def utc_seconds(moment: Column | None = None) -> Column:
+    """A moment, by default now, as text in UTC to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if moment is None else moment, F.current_timezone()),
                          "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 

@@ -97,6 +97,11 @@ def band_factor(band: tuple[float, float]) -> float:
     return math.log(SOFT_BAND[1] / SOFT_BAND[0]) / math.log(band[1] / band[0])
 
 
+def band_factor_of(low: Column, high: Column) -> Column:
+    """`band_factor` of bands held in columns; NULL unless 0 < low < high."""
+    return F.when((low > 0) & (high > low), math.log(SOFT_BAND[1] / SOFT_BAND[0]) / F.ln(high / low))
+
+
 def lehmer_log_lx(band: tuple[float, float], log_mass: Column, log_sfr: Column, z: Column) -> Column:
     alpha, gamma, beta, delta = LEHMER_2016[band]
     binaries = F.pow(F.lit(10.0), log_mass + alpha) * F.pow(1 + z, F.lit(gamma))

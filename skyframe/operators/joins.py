@@ -38,6 +38,16 @@ def strict_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], what:
     return left.join(right, list(keys), "inner")
 
 
+def two_hop_lookup(staged: DataFrame, manifest: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Label columns of staged targets through the manifest's detection; both hops are strict, and both must agree on the split."""
+    own = staged.select("targetid", F.col("split").alias("_staged_split"))
+    hop = strict_lookup(own, manifest.select("targetid", "ero_detuid", "split"), ["targetid"], "manifest")
+    if not hop.filter(~F.col("split").eqNullSafe(F.col("_staged_split"))).isEmpty():
+        raise DataError("the manifest puts staged rows in another split")
+    out = strict_lookup(hop.drop("_staged_split"), labels.select("ero_detuid", *columns), ["ero_detuid"], "labels")
+    return out.select("targetid", "ero_detuid", "split", *columns)
+
+
 def with_membership(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
     """Add a boolean saying whether the key occurs in `members`."""
     known = members.select(key).distinct().withColumn(flag, F.lit(True))

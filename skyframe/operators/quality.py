@@ -102,9 +102,14 @@ def check_manifest_agreement(staged: DataFrame, manifest: DataFrame) -> DataFram
         F.count_if(differs("has_wise", "_has_wise")).alias("has_wise"), F.count_if(differs("redshift", "_z")).alias("redshift")))
 
 
+def values_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): how many different values a key has."""
+    return df.groupBy(key).agg(F.count_distinct(value).alias(name))
+
+
 def check_detections(manifest: DataFrame) -> DataFrame:
     """No detection reaches two splits."""
-    per = manifest.filter("in_sample").groupBy("ero_detuid").agg(F.count_distinct("split").alias("_n"))
+    per = values_per_key(manifest.filter("in_sample"), "ero_detuid", "split", "_n")
     return verdict("detections_in_one_split", per.agg(F.count_if(F.col("_n") > 1).alias("detections")))
 
 

@@ -139,9 +139,9 @@ def poisson_weight(*parts: Column | str | int) -> Column:
 
 
 def with_replicates(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """One row per (row, replicate) with its resampling weight `w`; rows are spread before they multiply."""
+    """One row per (row, replicate) with its resampling weight `_weight`; rows are spread before they multiply."""
     copies = spread(df, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return copies.withColumn("w", poisson_weight(seed, "rep", key))
+    return copies.withColumn("_weight", poisson_weight(seed, "rep", key))
 
 
 def bootstrap_se(df: DataFrame, value: str, key: str, by: Sequence[str] = (), replicates: int = 1000,
@@ -152,7 +152,7 @@ def bootstrap_se(df: DataFrame, value: str, key: str, by: Sequence[str] = (), re
     """
     by = list(by)
     copies = with_replicates(df.select(*by, key, value), key, replicates, seed)
-    means = copies.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("_mean"))
+    means = copies.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_weight") * F.col(value)), F.sum("_weight")).alias("_mean"))
     spread = means.groupBy(*by).agg(F.stddev_samp("_mean").alias("se"))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     joined = sizes.join(spread, by, "left") if by else sizes.join(F.broadcast(spread))
@@ -195,8 +195,8 @@ def rolling_band(df: DataFrame, x: str, y: str, key: str, window: float, replica
     half = half_window(rows, window)
     copies = with_replicates(ranked, key, replicates, seed)
     copies = copies.withColumn("_g", F.col("rep").cast("long") * rows + F.col("rank") + 1)
-    totals = running_total(copies.select(key, x, y, "rep", "rank", "_g", "w"), ["_g"],
-                           {"_w": F.col("w"), "_wy": F.col("w") * F.col(y)})
+    totals = running_total(copies.select(key, x, y, "rep", "rank", "_g", "_weight"), ["_g"],
+                           {"_w": F.col("_weight"), "_wy": F.col("_weight") * F.col(y)})
     first = F.col("rep").cast("long") * rows
     spans = totals.select(key, x, "rank",
                           (first + F.least(F.col("rank") + 1 + half, F.lit(rows))).alias("_hi"),

@@ -85,7 +85,7 @@ def with_folds(blocked: DataFrame, folds: int = 5) -> DataFrame:
 def fold_view(parts: Sequence[DataFrame], fold: int, role: str) -> DataFrame:
     """Rows of one fold role from all splits; the parts carry `block`."""
     if not 0 <= fold < 5:
-        raise DataError(f"fold must be 0-4, got {fold}")
+        raise DataError(f"there is no fold {fold}: folds are numbered from 0 to 4")
     everything = reduce(DataFrame.unionByName, parts)
     return everything.filter(fold_role("block", fold) == role)
 
@@ -146,7 +146,7 @@ def scorable_counts(masked: DataFrame, heads: Sequence[Head]) -> DataFrame:
 def require_live_heads(counts: DataFrame) -> None:
     dead = sorted(r["head"] for r in counts.filter("rows = 0").collect())
     if dead:
-        raise DataError(f"heads {dead} can score no row; check the label columns their targets name")
+        raise DataError(f"no row is scorable for heads {dead}: their targets' labels are missing everywhere")
 
 
 # ---- standardization
@@ -197,7 +197,7 @@ def fit_standardizer(labels: DataFrame, targets: Sequence[str]) -> Standardizer:
         if r["n"] < 2:
             raise DataError(f"target {r['target']!r} has {r['n']} usable training rows")
         if not r["scale"] > 0 or not math.isfinite(r["scale"]):
-            raise DataError(f"non-positive standardizer scale for {r['target']!r}")
+            raise DataError(f"the training values of {r['target']!r} have no finite spread")
     return Standardizer({r["target"]: r["mean"] for r in rows}, {r["target"]: r["scale"] for r in rows})
 
 

@@ -180,7 +180,6 @@ class Target:
 
     name: str
     columns: tuple[str, ...]
-    title: str
 
     @property
     def is_rate(self) -> bool:
@@ -190,12 +189,12 @@ class Target:
 TARGETS = {
     t.name: t
     for t in (
-        Target("flux", ("log_flux_1",), "X-ray flux"),
-        Target("lx", ("log_lx",), "log LX"),
-        Target("sfr", ("log_sfr",), "log SFR"),
-        Target("mstar", ("logmstar_cigale",), "log M*"),
-        Target("rate_p2", ("ape_cts_p2", "ape_bkg_p2", "ape_exp_p2"), "lambda_P2"),
-        Target("rate_p3", ("ape_cts_p3", "ape_bkg_p3", "ape_exp_p3"), "lambda_P3"),
+        Target("flux", ("log_flux_1",)),
+        Target("lx", ("log_lx",)),
+        Target("sfr", ("log_sfr",)),
+        Target("mstar", ("logmstar_cigale",)),
+        Target("rate_p2", ("ape_cts_p2", "ape_bkg_p2", "ape_exp_p2")),
+        Target("rate_p3", ("ape_cts_p3", "ape_bkg_p3", "ape_exp_p3")),
     )
 }
 

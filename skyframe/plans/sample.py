@@ -60,7 +60,7 @@ def build_manifest(matched: DataFrame, spectra: DataFrame, images: DataFrame,
     sample = flagged.filter("in_sample")
     require_unique(sample, ["targetid"], "sample")
     if sample.isEmpty():
-        raise DataError("every row was filtered out")
+        raise DataError("no row passes the sample cuts")
     drawn = sm.assign_split(sample.select("targetid", "ero_detuid"), "targetid", params)
     manifest = flagged.join(drawn, ["targetid", "ero_detuid"], "left").select(*MANIFEST_COLUMNS)
     return Manifest(manifest, cut_ledger(flagged, cuts))

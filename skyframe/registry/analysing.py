@@ -10,7 +10,7 @@ from skyframe.operators import analysis as an
 from skyframe.operators import rank
 from skyframe.operators import sample as sm
 from skyframe.plans import scoring as ps
-from skyframe.registry.base import query
+from skyframe.registry.base import SQL, query
 from skyframe.registry.scoring import SCORES, rounded, scores
 
 _edges = []
@@ -172,8 +172,57 @@ def job_analyse(v):
     return rounded(done.rho)
 
 
+def analysed(v):
+    return ps.analyse(scores(v), v.draws, v.draw_sources.drop("truth"), UNIT, "lx", 20)
+
+
+@query("job_analyse_table")
+def job_analyse_table(v):
+    return rounded(analysed(v).table)
+
+
+@query("job_analyse_gains")
+def job_analyse_gains(v):
+    return rounded(analysed(v).modality_gains, attributed_fraction=5)
+
+
+@query("job_analyse_trend")
+def job_analyse_trend(v):
+    return analysed(v).trends["S"].withColumn("mean", F.round("mean", 9))
+
+
+@query("job_analyse_band", f"""
+WITH {GAINS}, h AS (SELECT {_HALF.format(t="wide")} AS half, count(*) AS n FROM wide),
+r AS (SELECT source_id, redshift, s AS value, row_number() OVER (ORDER BY redshift, source_id) AS rank FROM wide),
+q AS (SELECT *, {weight_sql('rep', 'source_id')} AS w FROM (SELECT *, unnest(range(0, 20)) AS rep FROM r)),
+c AS (SELECT source_id, rep, rank, sum(w) OVER (PARTITION BY rep ORDER BY rank) AS tw, sum(w * value) OVER (PARTITION BY rep ORDER BY rank) AS ty FROM q),
+m AS (SELECT c.source_id, c.rank, (a.ty - coalesce(b.ty, 0)) / (a.tw - coalesce(b.tw, 0)) AS mean FROM c CROSS JOIN h JOIN c a ON a.rep = c.rep AND a.rank = least(c.rank + half, n)
+  LEFT JOIN c b ON b.rep = c.rep AND b.rank = c.rank - half - 1)
+SELECT source_id, rank - 1 AS rank, round(quantile_cont(mean, 0.025), 9) AS lo, round(quantile_cont(mean, 0.975), 9) AS hi FROM m GROUP BY source_id, rank""")
+def job_analyse_band(v):
+    return analysed(v).bands["S"].select("source_id", "rank", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query("job_analyse_shares")
+def job_analyse_shares(v):
+    return rounded(analysed(v).shares)
+
+
+@query("job_analyse_hardness")
+def job_analyse_hardness(v):
+    return rounded(analysed(v).hardness)
+
+
 @query("agg_exact_quantiles", """
 SELECT 0.16e0 AS q, count(*) AS n, round(quantile_cont(l_extendedprice, 0.16), 6) AS value FROM lineitem UNION ALL
 SELECT 0.5e0, count(*), round(quantile_cont(l_extendedprice, 0.5), 6) FROM lineitem UNION ALL SELECT 0.99e0, count(*), round(quantile_cont(l_extendedprice, 0.99), 6) FROM lineitem""")
 def agg_exact_quantiles(v):
     return rounded(rank.exact_quantiles(v.table("lineitem"), "l_extendedprice", [0.16, 0.5, 0.99])).withColumn("n", F.col("n").cast("long"))
+
+
+# outputs of the job that an operator's SQL already states, some at the job's number of replicates
+SQL["job_analyse_table"] = SQL["agg_combination_table"]
+SQL["job_analyse_gains"] = SQL["agg_modality_gains"].replace("range(0, 50)", "range(0, 20)")
+SQL["job_analyse_trend"] = SQL["win_rolling_mean"]
+SQL["job_analyse_shares"] = SQL["agg_population_shares"].replace("range(0, 200)", "range(0, 20)")
+SQL["job_analyse_hardness"] = SQL["agg_hardness_summary"]

@@ -129,7 +129,8 @@ def snk_markdown_table(v):
     path = stage_path(v.spark, "table")
     lines = sinks.markdown_rows(grid, "ordinal", ["subset", "flux_information_gain", "lx_information_gain"])
     sinks.write_text(lines, path)
-    return lines
+    back = v.spark.read.text(path)  # one small file
+    return back.select(F.monotonically_increasing_id().cast("int").alias("ord"), F.col("value").alias("line"))
 
 
 # ---- staged rows with planted faults
@@ -259,6 +260,40 @@ def job_validate(v):
     return pq.validate(staged(v, clean=True), m, m.filter("in_sample"), labels(v), GRID, 4, SplitParams(), None, ["log_flux_1", "log_sfr"])
 
 
+def worse(v):
+    """Staged rows with a fault for every count that `staged` leaves at 0."""
+    k = F.col("targetid")
+    rows = staged(v).withColumns({
+        "spectra": F.when(k % 53 == 4, F.slice("spectra", 1, 63)).otherwise(F.col("spectra")), "has_wise": (k % 59 == 7) != F.col("has_wise"),
+        "spectra_ivar": F.when(k % 47 == 6, F.slice("spectra_ivar", 1, 63)).otherwise(F.col("spectra_ivar"))})
+    other = F.when(F.col("split") == "train", "val").otherwise("train")
+    again = rows.filter(k % 43 == 2)
+    return rows.union(again).union(rows.filter(k % 41 == 3).withColumn("split", other)).union(rows.filter(k % 37 == 5).withColumn("targetid", k + 10_000_000))
+
+
+W_SQL = """wx AS (SELECT *, targetid % 53 = 4 AS s_bad, targetid % 47 = 6 AS v_bad, targetid % 59 = 7 AS w_bad, targetid AS old FROM st),
+w AS (SELECT * FROM wx UNION ALL SELECT * FROM wx WHERE targetid % 43 = 2
+  UNION ALL SELECT * REPLACE (CASE WHEN split = 'train' THEN 'val' ELSE 'train' END AS split) FROM wx WHERE targetid % 41 = 3
+  UNION ALL SELECT * REPLACE (targetid + 10000000 AS targetid) FROM wx WHERE targetid % 37 = 5),
+wk AS (SELECT *, targetid < 10000000 AS known FROM w)"""
+WORSE_SCHEMA = _check("schema", "wk", ("spectra_shape", "count_if(s_bad)"), ("ivar_shape", "count_if(v_bad)"), ("image_shape", "count_if(len(image) <> 64)"))
+WORSE_AGREE = _check("manifest_agreement", "wk", ("absent", "count_if(NOT known)"), ("split", "count_if(known AND split <> m_split)"),
+                     ("has_z", "count_if(known AND has_z <> m_has_z)"), ("has_wise", "count_if(known AND w_bad)"), ("redshift", "count_if(known AND redshift <> z)"))
+
+
+@query("dq_every_fault", f"""
+WITH {M_SQL}, {W_SQL},
+per AS (SELECT targetid, split, count(*) AS n FROM wk GROUP BY targetid, split),
+ids AS (SELECT coalesce(p.targetid, m.targetid) AS k, count_if(n > 1) AS dup, count(n) AS held, count_if(n IS NULL OR m.targetid IS NULL) AS diff
+  FROM per p FULL JOIN m ON p.targetid = m.targetid AND p.split = m.split GROUP BY 1)
+{WORSE_SCHEMA} UNION ALL {WORSE_AGREE} UNION ALL
+{_check("targetids", "ids", ("duplicates", "sum(dup)"), ("in_two_splits", "count_if(held > 1)"), ("differ_from_split_table", "sum(diff)"))}""")
+def dq_every_fault(v):
+    rows, m = worse(v), manifest(v)
+    checks = [q.check_schema(rows, GRID, 4), q.check_manifest_agreement(rows, m), q.check_targetids(rows, m.filter("in_sample"))]
+    return q.report(checks)
+
+
 @query("snk_staged_split", f"WITH {M_SQL} SELECT split, count(*) AS rows, min(targetid) AS first_row, max(targetid) AS last_row FROM m GROUP BY split")
 def snk_staged_split(v):
     path = stage_path(v.spark, "staged")

@@ -190,6 +190,16 @@ def fn_finite(v):
     return v.targets.select("targetid", is_finite("targetid").alias("targetid_ok"), is_finite(finite_or_null("target_ra")).alias("ra_ok"))
 
 
+@query("fn_not_finite", """
+SELECT c_custkey, c_custkey % 7 > 3 AS finite, CASE WHEN c_custkey % 7 > 3 THEN round(c_acctbal, 2) END AS kept FROM customer""")
+def fn_not_finite(v):
+    """NaN, both infinities and NULL planted in a column."""
+    k = F.col("c_custkey") % 7
+    planted = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k > 3, F.col("c_acctbal"))
+    rows = v.table("customer").select("c_custkey", planted.alias("x"))
+    return rows.select("c_custkey", is_finite("x").alias("finite"), F.round(finite_or_null("x"), 2).alias("kept"))
+
+
 @query("fn_specific_rate", "SELECT source_id, round(log_sfr - logmstar_cigale, 6) AS log_ssfr FROM v_labels")
 def fn_specific_rate(v):
     return v.labels.select("source_id", F.round(F.col("log_sfr") - F.col("logmstar_cigale"), 6).alias("log_ssfr"))
@@ -204,8 +214,7 @@ log10(ln(2.3e0 / 0.2e0) / ln(8.0e0 / 0.5e0) * 4.0e39 * pow(10.0e0, s) / 0.63e0)
 @query("fn_band_factor", """
 SELECT n_nationkey, round(ln(2.3e0 / 0.2e0) / ln((2.0e0 + n_nationkey) / 0.5e0), 9) AS factor FROM nation""")
 def fn_band_factor(v):
-    column = F.coalesce(*[F.when(F.col("n_nationkey") == k, fl.band_factor((0.5, 2.0 + k))) for k in range(25)])
-    return v.table("nation").select("n_nationkey", F.round(column, 9).alias("factor"))
+    return v.table("nation").select("n_nationkey", F.round(fl.band_factor_of(F.lit(0.5), F.col("n_nationkey") + 2.0), 9).alias("factor"))
 
 
 @query("fn_predicted_luminosity", f"""
@@ -261,6 +270,11 @@ def fn_utc_timestamp(v):
     return v.table("nation").select("n_nationkey", utc_seconds().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$").alias("well_formed"))
 
 
+@query("fn_utc_of_time", "SELECT event_id, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '+00:00') AS stamp FROM events")
+def fn_utc_of_time(v):
+    return v.table("events").select("event_id", utc_seconds(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
 @query("job_derive_labels", f"""
 WITH {STEPS}, {HOST.replace("obs AS (SELECT targetid, trim(survey) AS s, trim(program) AS p FROM v_targets)",
                             "obs AS (SELECT DISTINCT targetid, survey AS s, program AS p FROM resolved WHERE kept)")},

@@ -9,6 +9,7 @@ from skyframe.functions.labels import has_infrared, has_redshift
 from skyframe.operators import joins
 from skyframe.operators import sample as sm
 from skyframe.operators.ledger import cut_ledger
+from skyframe.operators.quality import values_per_key
 from skyframe.params import Head
 from skyframe.plans import sample as sp
 from skyframe.registry.base import query
@@ -105,13 +106,7 @@ def join_anti_resume(v):
 WITH {SPLIT} SELECT s.targetid, s.ero_detuid, s.split, m.det_like_0 FROM split s JOIN v_main m USING (ero_detuid) WHERE s.split = 'test'""")
 def join_two_hop(v):
     manifest = sm.assign_split(sample(v))
-    staged = manifest.filter("split = 'test'").select("targetid", F.col("split").alias("staged_split"))
-    hop = joins.strict_lookup(staged, manifest.select("targetid", "ero_detuid", "split"), ["targetid"], "manifest")
-    wrong = hop.filter("split <> staged_split").limit(1).count()
-    if wrong:
-        raise joins.DataError("staged rows the manifest puts in another split")
-    out = joins.strict_lookup(hop, v.main.select("ero_detuid", "det_like_0"), ["ero_detuid"], "labels")
-    return out.select("targetid", "ero_detuid", "split", "det_like_0")
+    return joins.two_hop_lookup(manifest.filter("split = 'test'"), manifest, v.main, ["det_like_0"])
 
 
 @query("agg_group_plan", """
@@ -186,7 +181,7 @@ def agg_split_census(v):
 @query("agg_splits_per_detection", """
 SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
 def agg_splits_per_detection(v):
-    return (v.table("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds")).filter("kinds > 1"))
+    return values_per_key(v.table("events"), "user_id", "event_type", "kinds").filter("kinds > 1")
 
 
 @query("job_build_manifest", f"""

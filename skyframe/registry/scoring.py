@@ -260,9 +260,9 @@ def stat_prior_likelihood(v):
 
 _RATE_SQL = f"""
 WITH st AS (SELECT avg(log_sfr) AS my, stddev_pop(log_sfr) AS sy, avg(logmstar_cigale) AS mm, stddev_pop(logmstar_cigale) AS sm FROM v_prior_labels WHERE split = 'train'),
-both AS (SELECT source_id, split, (log_sfr - my) / sy AS a, (logmstar_cigale - mm) / sm AS b, log_sfr, logmstar_cigale FROM v_prior_labels, st),
-train AS (SELECT a, b FROM both WHERE split = 'train' AND a IS NOT NULL AND b IS NOT NULL), {_SPREAD},
-p AS (SELECT source_id, log_sfr - logmstar_cigale AS s, unnest(range(0, 256)) AS i FROM both WHERE split = 'test' AND a IS NOT NULL AND b IS NOT NULL),
+paired AS (SELECT source_id, split, (log_sfr - my) / sy AS a, (logmstar_cigale - mm) / sm AS b, log_sfr, logmstar_cigale FROM v_prior_labels, st),
+train AS (SELECT a, b FROM paired WHERE split = 'train' AND a IS NOT NULL AND b IS NOT NULL), {_SPREAD},
+p AS (SELECT source_id, log_sfr - logmstar_cigale AS s, unnest(range(0, 256)) AS i FROM paired WHERE split = 'test' AND a IS NOT NULL AND b IS NOT NULL),
 nodes AS (SELECT source_id, i, -8.0e0 + i * 16.0e0 / 255 AS w, (s + (-8.0e0 + i * 16.0e0 / 255) * sm + mm - my) / sy AS u FROM p, st),
 {_kernel_pair("nodes", "source_id, i", "d")},
 ta AS (SELECT (log_sfr - my) / sy AS a FROM v_prior_labels, st WHERE split = 'train' AND log_sfr IS NOT NULL),
@@ -341,14 +341,14 @@ def _regression_sql(target: str, column: str, subset: str) -> str:
     rows = f"(SELECT *, avg(y) FILTER (WHERE tr) OVER (){fit} AS mean FROM {rows})"
     rows = f"(SELECT *, sqrt(avg(pow(y - mean, 2)) FILTER (WHERE tr) OVER ()) AS sigma FROM {rows})"
     return (f"SELECT source_id, '{target}' AS head, '{subset}' AS subset, round(-0.5e0 * pow((y - mean) / sigma, 2) - ln(sigma) - 0.5e0 * ln(2 * pi()), 5) AS ll, "
-            f"round(mean, 5) AS mean, round(y, 5) AS truth FROM {rows} WHERE te")
+            f"round(mean, 5) AS mean, round(y, 9) AS truth FROM {rows} WHERE te")
 
 
 @query("stat_subset_heads", " UNION ALL ".join(_regression_sql(t, c, s) for t, c in (("sfr", "log_sfr"), ("mstar", "logmstar_cigale")) for s in sm.subset_names()))
 def stat_subset_heads(v):
     labels = feature_labels(v).withColumns({"sfr": F.col("log_sfr"), "mstar": F.col("logmstar_cigale")})
     heads = linear.fit_heads(labels.filter("split = 'train'"), FEATURES, ["sfr", "mstar"])
-    return rounded(linear.score_heads(labels.filter("split = 'test'"), heads), 5)
+    return rounded(linear.score_heads(labels.filter("split = 'test'"), heads), 5, truth=9)
 
 
 @query("job_evaluate")
@@ -373,12 +373,11 @@ def agg_score_grid(v):
     return rounded(sc.score_grid(sc.information_gain(scores(v)), ["flux", "lx"]))
 
 
-@query("agg_wide_scores", f"""
-WITH {SCORES} SELECT source_id, round(max(CASE WHEN head = 'lx' AND subset = 'Z' THEN ll END), 6) AS ll_lx_Z,
-  round(max(CASE WHEN head = 'flux' AND subset = 'ZSIW' THEN ll END), 6) AS ll_flux_ZSIW FROM scores GROUP BY source_id""")
+@query("agg_wide_scores", f"WITH {SCORES} SELECT source_id, " + ", ".join(
+    f"round(max(CASE WHEN head = '{h}' AND subset = '{s}' THEN ll END), 6) AS ll_{h}_{s}" for h in ("lx", "flux") for s in sm.subset_names()) +
+    " FROM scores GROUP BY source_id")
 def agg_wide_scores(v):
-    wide = sc.wide_scores(scores(v), ["lx", "flux"])
-    return rounded(wide.select("source_id", "ll_lx_Z", "ll_flux_ZSIW"))
+    return rounded(sc.wide_scores(scores(v), ["lx", "flux"]))
 
 
 @query("agg_r_squared", f"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyframe.operators.joins import DataError
+from skyframe.session import spread
 
 
 def require_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
@@ -97,7 +98,7 @@ def file_digests(paths: DataFrame, chunk_bytes: int = 1 << 22) -> DataFrame:
                 rows.append((path, size, hashes[0].hexdigest(), hashes[1].hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "length", "md5", "sha256"])
 
-    return paths.select("path").mapInPandas(digest, "path string, length long, md5 string, sha256 string")
+    return spread(paths.select("path")).mapInPandas(digest, "path string, length long, md5 string, sha256 string")
 
 
 def sidecar_digests(lines: DataFrame, column: str = "value") -> DataFrame:
