@@ -198,9 +198,9 @@ q AS (SELECT *, {weight_sql('rep', 'source_id')} AS w FROM (SELECT *, unnest(ran
 c AS (SELECT source_id, rep, rank, sum(w) OVER (PARTITION BY rep ORDER BY rank) AS tw, sum(w * value) OVER (PARTITION BY rep ORDER BY rank) AS ty FROM q),
 m AS (SELECT c.source_id, c.rank, (a.ty - coalesce(b.ty, 0)) / (a.tw - coalesce(b.tw, 0)) AS mean FROM c CROSS JOIN h JOIN c a ON a.rep = c.rep AND a.rank = least(c.rank + half, n)
   LEFT JOIN c b ON b.rep = c.rep AND b.rank = c.rank - half - 1)
-SELECT source_id, rank - 1 AS rank, round(quantile_cont(mean, 0.025), 9) AS lo, round(quantile_cont(mean, 0.975), 9) AS hi FROM m GROUP BY source_id, rank""")
+SELECT source_id, rank - 1 AS rank, round(quantile_cont(mean, 0.025) + 1.0e-10, 7) AS lo, round(quantile_cont(mean, 0.975) + 1.0e-10, 7) AS hi FROM m GROUP BY source_id, rank""")
 def job_analyse_band(v):
-    return analysed(v).bands["S"].select("source_id", "rank", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+    return analysed(v).bands["S"].select("source_id", "rank", F.round(F.col("lo") + 1e-10, 7).alias("lo"), F.round(F.col("hi") + 1e-10, 7).alias("hi"))  # no ties
 
 
 @query("job_analyse_shares")
