@@ -23,7 +23,7 @@ CELL = 0.125          # cell side, in bandwidths
 ORDER = 12            # highest moment kept of a dense cell
 FEW = 16              # cells with at most this many points keep the points, which is as exact and cheaper
 FAR = 30.0            # beyond this many bandwidths a dense cell is taken to second order
-REGION = 6.0          # side of the regions that blocks stay within, in bandwidths
+REGION = 3.0          # side of the regions that blocks stay within, in bandwidths
 BLOCK_ROWS = 4096     # rows of a block of points or summary rows
 TOLERANCE = 1e-7      # share of a kernel sum that blocks too far away to be looked at may hold
 MAX_TERMS = 2_000_000
