@@ -125,3 +125,37 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyframe.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_embedding_itq"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+  AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+# One step of the recursion fills one slot: of the sources' next blocks that are released, the one that is due first.
+SQL["op8_pfair_mix"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s,
+    md5(concat('42:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS h FROM documents),
+ranked AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 4096, h) - 1 AS n FROM d),
+powers AS (SELECT s, pow(count(*), 0.7e0) AS p FROM d GROUP BY s),
+scaled AS (SELECT s, p * (1000 / sum(p) OVER ()) AS x FROM powers),
+whole AS (SELECT s, greatest(1, CAST(floor(x) AS BIGINT)) AS w, x - floor(x) AS rest FROM scaled),
+weights AS (SELECT s, w + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= 1000 - sum(w) OVER () THEN 1 ELSE 0 END AS w FROM whole),
+total AS (SELECT CAST(sum(w) AS BIGINT) AS t FROM weights),
+start AS (SELECT list({'s': s, 'w': CAST(w AS BIGINT), 'j': CAST(0 AS BIGINT)} ORDER BY s) AS state FROM weights),
+run AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS BIGINT) AS nth, state FROM start
+  UNION ALL
+  SELECT slot + 1, pick.s, pick.j, [CASE WHEN x.s = pick.s THEN {'s': x.s, 'w': x.w, 'j': x.j + 1} ELSE x END FOR x IN state]
+  FROM (SELECT slot, state, t, list_min([{'due': -((-(x.j + 1) * t) // x.w), 'heavy': -x.w, 's': x.s, 'j': x.j} FOR x IN state
+      IF x.j < x.w AND (x.j * t) // x.w <= slot + 1]) AS pick FROM run, total WHERE slot + 1 < t))
+SELECT r.doc_id, r.source, r.n // 8 + 1 AS block, (r.n // 8) // w.w * t + run.slot AS slot,
+  ((r.n // 8) // w.w * t + run.slot) * 8 + r.n % 8 AS position
+FROM ranked r JOIN weights w USING (s) JOIN total ON TRUE JOIN run ON run.s = r.s AND run.nth = (r.n // 8) % w.w
+"""
