@@ -23,7 +23,7 @@ from skyframe.llm.common import pieces as cut
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
 SEED = 42
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
