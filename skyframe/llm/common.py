@@ -6,30 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.session import settle
 
 
-def partitions_for(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Every node that has a link, with the smallest node reachable from it: columns node, root (long).
 
     Large and small star steps alternate until nothing changes, about log(n) rounds. Each round writes its links as a stage table, so that no
-    lineage grows and a lost executor recomputes one round. A node with very many links is a skewed join key only, never one group in a task.
+    lineage grows and a lost executor recomputes one round. A node with very many links is a skewed join key only, never one group in a task; the
+    sides of the joins are written first, since Spark splits a skewed partition only between plain shuffles.
     """
     edges = settle(links.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("u")).filter("v <> u").distinct())
     mark = _mark(edges)
     while mark[0]:
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m"))
+        least = settle(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m")))
         large = both.filter("y > x").join(least, F.col("x") == F.col("k")).select(F.col("y").alias("v"), F.col("m").alias("u"))
-        lower = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), "m")
+        large = settle(large)
+        lower = settle(large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), "m"))
         small = large.join(lower, F.col("v") == F.col("k")).filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         edges = settle(small.union(lower.select(F.col("k").alias("v"), F.col("m").alias("u"))).distinct())
         before, mark = mark, _mark(edges)
@@ -66,8 +64,6 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         lo = 0

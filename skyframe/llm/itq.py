@@ -143,7 +143,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     told = numbered.select("class_id", "label", "digest", "n", "first_id").join(degrees, "class_id", "left").join(roots, "class_id", "left")
     told = told.select("label", "digest", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
                        F.coalesce("least_id", "first_id").alias("component_id"))
-    linked = marked.select("vec_id", "label", "digest").join(told, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    linked = marked.select("vec_id", "label", "digest").join(settle(told), ["label", "digest"]).select("vec_id", "n_links", "component_id")
     alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), *([F.col(label_col).alias("l")] if label_col else []))
     bare = alone.filter(~_links_at_all(alone, label_col)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(bare).withColumn("kept", F.col("vec_id") == F.col("component_id"))

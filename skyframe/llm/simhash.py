@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import components, pieces, runs
+from skyframe.llm.common import components, runs
 from skyframe.session import settle
 
 SEED = 42
@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = joined.join(fps, F.col("node") == F.col("fp")).select("node", "root", "first_id")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("least_id")).select(F.col("root").alias("k"), "least_id")
     linked = named.join(smallest, F.col("root") == F.col("k")).select(F.col("node").alias("fp"), "least_id")
-    ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # written, so that the join below is between plain shuffles, whose skewed partitions (a fingerprint of many copies) Spark splits
+    ids = settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
