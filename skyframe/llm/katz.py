@@ -29,8 +29,8 @@ from skyframe.session import settle
 FOLDS = 5
 HELD_OUT = 1
 LARGEST = 5
-BLOCK_TOKENS = 1_200_000
-PART_BYTES = 8 << 20
+BLOCK_TOKENS = 1_000_000
+PART_BYTES = 6 << 20
 START, END = b" S", b" E"  # no word holds a space
 ROW = "block long, kind int, part int, a binary, b binary, c binary, d binary, e binary, f binary"
 NAMES = ["block", "kind", "part", "a", "b", "c", "d", "e", "f"]
