@@ -115,3 +115,15 @@ def test_staged_files_keep_order(spark, tmp_path):
     for f in files:
         rows = [r[0] for r in spark.read.parquet(str(f)).select("source_row").collect()]
         assert rows == sorted(rows) and len(rows) <= 100
+
+
+def test_stage_tables_of_a_run_can_be_dropped(spark):
+    import os
+
+    from skyframe import session
+
+    other = spark.newSession()
+    written = session.settle(other.range(10).toDF("n"))
+    folder = session.run_folder(other)
+    assert written.count() == 10 and os.path.isdir(folder) and folder != session.run_folder(spark)
+    assert session.drop_stages(other) and not os.path.isdir(folder)

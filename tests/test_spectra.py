@@ -133,3 +133,17 @@ def test_moment_flux_of_an_isolated_line(spark):
     got = {r["line"]: r["flux"] for r in ln.moment_flux(ln.line_windows(df, WIDE)).collect()}
     want = (1 + z) * 4.0 * 3426.85 * 300 / LIGHT_KMS * np.sqrt(2 * np.pi)
     assert got["nev"] == pytest.approx(want, rel=0.03)
+
+
+def test_coadd_shuffles_arrays_once(spark):
+    """One exchange, no sums by pixel; exposures without a usable array are left out."""
+    from skyframe.operators.spectra import coadd
+    from skyframe.params import Grid
+
+    rows = [(1, [3600.0, 3600.8, 3599.0], [2.0, 4.0, 9.0], [1.0, 1.0, 1.0]), (1, [3600.0], [6.0], [3.0]), (2, [3600.8], [float("nan")], [1.0]),
+            (3, None, [1.0], [1.0]), (4, [10.0], [1.0], [1.0])]
+    camera = spark.createDataFrame(rows, "targetid long, wave array<double>, flux array<double>, ivar array<double>").repartition(3)
+    out = coadd(camera, Grid(3600.0, 0.8, 3), ["targetid"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r["targetid"]: (r["flux"], r["ivar"]) for r in out.collect()} == {1: ([5.0, 4.0, 0.0], [4.0, 1.0, 0.0]), 2: ([0.0, 0.0, 0.0], [0.0, 0.0, 0.0])}
