@@ -105,10 +105,11 @@ def pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity_chain")
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_poor, p_toxic, toxic of every document, by a chain fitted on the labelled ones."""
-    from skyframe.llm.toxicity import THRESHOLD, fit_chain, score
+    from skyframe.llm.toxicity import fit_chain, score
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels"))).withColumn("toxic", F.col("p_toxic") > THRESHOLD)
+    chain = fit_chain(docs, table(spark, sf_dir, "labels"))
+    return score(docs, chain).withColumn("toxic", F.col("p_toxic") > chain.threshold("toxic"))
 
 
 @query("op1_token_lengths")

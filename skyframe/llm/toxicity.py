@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: categories one after the other, each a linear model that also sees the earlier categories' probabilities.
 
 While training, a row's earlier probabilities come from models that were fitted without its fold (out-of-fold), so that later models see such values
-as they will meet. The words that serve as features are chosen from all rows of a bounded sample of labelled documents (a parameter) by how far
-their document frequencies differ; the fits of the folds run side by side, each in a task that holds the sample's features. The model has a fixed
+as they will meet. Features are words and word beginnings, so that unseen forms of toxic words count. They are chosen from all rows of a bounded
+sample of labelled documents (a parameter) by how far their document frequencies differ; each category's threshold is chosen from the probabilities
+of rows that the model was fitted without; the fits of the folds run side by side, each in a task that holds the sample's features. The model has a fixed
 size. Whole texts of all documents are scored in one pass without a shuffle.
 """
 
@@ -26,17 +27,25 @@ WORDS = 192
 RIDGE = 1.0
 ROUNDS = 25
 THRESHOLD = 0.5
+THRESHOLDS = tuple(round(0.5 - 0.05 * k, 2) for k in range(10))
+MISS_WEIGHT = 1  # a missed document counts as much as so many wrongly found ones
+BEGINNINGS = (5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
 
 
 @dataclass(frozen=True)
 class Chain:
-    """Categories in order, the words, and per category the weights of: constant, shape of the text, words, earlier categories."""
+    """Categories in order, the words ("begin*" is a word beginning), and per category the weights of: constant, shape of the text, words, earlier
+    categories; and per category the probability above which a document has it."""
 
     categories: tuple[str, ...]
     words: tuple[str, ...]
     weights: tuple[np.ndarray, ...]
+    thresholds: tuple[float, ...] = ()
+
+    def threshold(self, category: str) -> float:
+        return self.thresholds[self.categories.index(category)] if self.thresholds else THRESHOLD
 
     def probabilities(self, features: np.ndarray) -> np.ndarray:
         """One column per category for rows of `features_of`."""
@@ -50,16 +59,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def terms_of(word: str) -> list[str]:
+    """The word, and its beginnings of the lengths it has."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
+
+
 def features_of(text: str | None, place: Mapping[str, int]) -> np.ndarray:
-    """Constant, log length, letters and words per character, then log(1 + count) of each word. Null texts count as empty."""
+    """Constant, log length, letters and words per character, then log(1 + count) of each word or beginning. Null texts count as empty."""
     text = text or ""
     out = np.zeros(4 + len(place))
     found = WORD.findall(text.lower())
     letters = sum(map(len, found))
     out[:3] = 1.0, np.log1p(len(found)) / 10, letters / max(1, len(text))
     out[3] = len(found) / max(1, len(text))
-    for i in [i for i in map(place.get, found) if i is not None]:
-        out[4 + i] += 1
+    for word, n in Counter(found).items():
+        for term in terms_of(word):
+            i = place.get(term)
+            if i is not None:
+                out[4 + i] += n
     out[4:] = np.log1p(out[4:])
     return out
 
@@ -82,15 +99,22 @@ def _fit(rows: np.ndarray, truth: np.ndarray, ridge: float = RIDGE, rounds: int
     return weights
 
 
+def _best_threshold(yes: np.ndarray, no: np.ndarray, total: int) -> float:
+    """Of THRESHOLDS the one with the best F score at MISS_WEIGHT, the largest of equals; yes, no: rows of each class above each, total: of the category."""
+    if not yes.any():
+        return THRESHOLD
+    return THRESHOLDS[int(np.argmax((1 + MISS_WEIGHT) * yes / ((1 + MISS_WEIGHT) * yes + MISS_WEIGHT * (total - yes) + no)))]
+
+
 def chosen_words(labelled: DataFrame, categories: list[str], words: int) -> list[str]:
-    """For each category the words whose document frequency differs most between its two classes (normal deviate), then in name order."""
+    """For each category the words and word beginnings whose document frequency differs most between its two classes (normal deviate), then in name order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, int], Counter] = {}
             marks = [batch.column(i + 1).to_pylist() for i in range(len(categories))]
             for r, text in enumerate(batch.column(0).to_pylist()):
-                own = set(WORD.findall((text or "").lower()))
+                own = {t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)}
                 for c in range(len(categories)):
                     if marks[c][r] is not None:
                         seen.setdefault((c, marks[c][r]), Counter()).update(own)
@@ -140,6 +164,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str]
     # fit number k < folds leaves fold k out; fit number `folds` sees all
     fits = rows.select(F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("fit"), "*")
     by_fit: list[list[np.ndarray]] = []
+    thresholds: list[float] = []
 
     def train(category: int, earlier: list[list[np.ndarray]]):
         def run(key: tuple, part: pa.Table) -> pa.Table:
@@ -151,17 +176,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str]
                     p[fold == k] = _sigmoid(x[fold == k] @ models[k])
                 x = np.column_stack((x, p))
             y = part.column(names[category]).to_pylist()
-            use = np.array([v is not None for v in y]) & (fold != fit)
-            weights = _fit(x[use], np.array([v or 0 for v in y], dtype=float)[use])
-            return pa.table({"fit": pa.array([fit], pa.int32()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
+            known, truth = np.array([v is not None for v in y]), np.array([v or 0 for v in y], dtype=float)
+            use, out = known & (fold != fit), known & (fold == fit)
+            weights = _fit(x[use], truth[use])
+            above = _sigmoid(x[out] @ weights)[:, None] > np.array(THRESHOLDS)
+            yes, no = (above[truth[out] == m].sum(axis=0).tolist() for m in (1, 0))
+            return pa.table({"fit": pa.array([fit], pa.int32()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())),
+                             "yes": pa.array([yes], pa.list_(pa.int64())), "no": pa.array([no], pa.list_(pa.int64())),
+                             "total": pa.array([int(truth[out].sum())], pa.int64())})
 
         return run
 
     for category in range(len(names)):
-        found = {r["fit"]: np.array(r["weights"]) for r in fits.groupBy("fit").applyInArrow(train(category, by_fit), "fit int, weights array<double>").collect()}
+        fitted = fits.groupBy("fit").applyInArrow(train(category, by_fit), "fit int, weights array<double>, yes array<long>, no array<long>, total long").collect()
+        found = {r["fit"]: np.array(r["weights"]) for r in fitted}
+        yes, no = (np.array([r[k] for r in fitted], dtype=float).reshape(-1, len(THRESHOLDS)).sum(axis=0) for k in ("yes", "no"))
+        thresholds.append(_best_threshold(yes, no, sum(r["total"] for r in fitted)))
         flat = np.zeros(width + category)
         by_fit.append([found.get(k, flat) for k in range(folds + 1)])
-    return Chain(tuple(names), tuple(chosen), tuple(models[folds] for models in by_fit))
+    return Chain(tuple(names), tuple(chosen), tuple(models[folds] for models in by_fit), tuple(thresholds))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,13 +212,14 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"`{c}` double" for c in outs))
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs whose probability of the category is at most the threshold."""
+def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows and columns of docs whose probability of the category is at most the threshold, by default the chain's."""
+    most = chain.threshold(category) if threshold is None else threshold
     at = chain.categories.index(category)
     place = {w: i for i, w in enumerate(chain.words)}
 
     @F.udf("boolean", useArrow=True)
     def stays(text):
-        return bool(chain.probabilities(features_of(text, place)[None, :])[0, at] <= threshold)
+        return bool(chain.probabilities(features_of(text, place)[None, :])[0, at] <= most)
 
     return docs.filter(stays(F.col(text_col)))
