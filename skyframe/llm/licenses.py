@@ -161,13 +161,17 @@ def scan(text: str | None, index: Index, band: int = BAND, coverage: float = COV
                 groups.append([])
             groups[-1].append(s)
         for group in groups:
-            lo = max(0, group[0] - band)
-            part = numbers[lo:group[-1] + len(template) + band]
-            if np.minimum(own, np.bincount(part[part >= 0], minlength=len(own))).sum() < coverage * len(template):
-                continue  # not enough of the template's words stand here, in whatever order
-            matched, first, last = align(template, part, (group[0] + group[-1]) // 2 - lo, band)
-            if matched >= coverage * len(template):
-                told.append((-matched, lo + first, lo + last))
+            shift = (group[0] + group[-1]) // 2
+            open_parts = [(max(0, group[0] - band), min(len(numbers), group[-1] + len(template) + band))]
+            while open_parts:  # one place per alignment; what is left of the group lies before and behind it
+                lo, hi = open_parts.pop()
+                part = numbers[lo:hi]
+                if np.minimum(own, np.bincount(part[part >= 0], minlength=len(own))).sum() < coverage * len(template):
+                    continue  # not enough of the template's words stand here, in whatever order
+                matched, first, last = align(template, part, shift - lo, band)
+                if matched >= coverage * len(template):
+                    told.append((-matched, lo + first, lo + last))
+                    open_parts += [(lo, lo + first), (lo + last + 1, hi)]
         taken: list[tuple[int, int]] = []
         for minus, first, last in sorted(told):
             if all(last < a or first > b for a, b in taken):

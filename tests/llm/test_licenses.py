@@ -88,3 +88,15 @@ def test_frame(spark):
     assert [(r["doc_id"], r["license"], r["start"], r["end"]) for r in got] == [(None, "MIT notice", 3, 33), (1, "MIT notice", 3, 33), (1, "MIT notice", 3, 33),
                                                                                (4, "MIT notice", 60_003, 60_033)]
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_on_consecutive_lines():
+    index = Index.of(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        for n in (2, 3, 7):
+            lines = f"start {text} " + "\n".join([text] * (n - 1)) + " end"
+            got = [r for r in scan(lines, index) if r[0] == name]
+            assert len(got) == n and all(r[3] == 1.0 for r in got), (name, n, got)
+            assert all(a[5] <= b[4] for a, b in zip(got, got[1:]))
+    listed = "".join(f"file{i}.py: Released under the MIT License.\n" for i in range(40))
+    assert len([r for r in scan(listed, index) if r[0] == "MIT notice"]) == 40
