@@ -160,3 +160,11 @@ SELECT r.doc_id, r.source, r.n // 8 + 1 AS block, (r.n // 8) // w.w * t + run.sl
   ((r.n // 8) // w.w * t + run.slot) * 8 + r.n % 8 AS position
 FROM ranked r JOIN weights w USING (s) JOIN total ON TRUE JOIN run ON run.s = r.s AND run.nth = (r.n // 8) % w.w
 """
+
+
+@query("op11_spelling_trie")
+def spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the documents with at least 7 letters and 2 occurrences, after planted slips."""
+    from skyframe.llm.spelling import SLIP, count_words, group_variants
+
+    return group_variants(count_words(table(spark, sf_dir, "documents"), slip=SLIP))
