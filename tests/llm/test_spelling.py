@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from skyframe.llm.spelling import count_words, group_variants, near_words
+from skyframe.llm.spelling import count_words, group_variants, near_pairs
 
 SCHEMA = "doc_id long, text string, word string, n string, root int"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,4 +107,4 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert count_words(docs, slip=31).count() == 0
     assert group_variants(count_words(docs)).count() == 0
-    assert near_words(spark.createDataFrame([(None, 3)], "word string, n long").filter("word is not null")).count() == 0
+    assert near_pairs(spark.createDataFrame([(None, 3)], "word string, n long").filter("word is not null")).count() == 0
