@@ -168,3 +168,58 @@ def spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyframe.llm.spelling import SLIP, count_words, group_variants
 
     return group_variants(count_words(table(spark, sf_dir, "documents"), slip=SLIP))
+
+
+@query("op13_quality_cascade")
+def quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document, whether they fail it, and whether the cascade of all rules keeps it."""
+    from skyframe.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_quality_cascade"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+windows AS (SELECT k, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+told AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i:i+4]) AS n FROM windows),
+again AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest([i, i+1, i+2, i+3, i+4]) AS p FROM told WHERE n > 1) GROUP BY k),
+m AS (SELECT doc_id, t, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(list_aggregate(words, 'string_agg', '')) AS BIGINT) AS wc,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN again USING (k)),
+c AS (SELECT *, coalesce(wc, 0) AS word_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+    OR 10 * len([x FOR x IN words IF NOT regexp_matches(x, '\p{L}')]) > 3 * n_words
+    OR 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
+    OR 2 * length(regexp_replace(t, '[^!?]+', '', 'g')) > n_words
+    OR (n_words >= 50 AND len(list_distinct([lower(x) FOR x IN words IF lower(x) IN ('the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'for', 'with', 'on',
+      'as', 'was', 'are', 'this', 'it', 'der', 'die', 'das', 'und', 'den', 'von', 'zu', 'mit', 'ein', 'eine', 'nicht', 'im', 'de', 'la', 'que', 'el', 'en',
+      'y', 'los', 'por', 'con', 'una', 'para', 'las', 'le', 'les', 'des', 'et', 'un', 'une', 'est', 'dans', 'qui', 'pas')])) < 2)) AS kept
+FROM c
+"""
+
+
+@query("op12_hard_negatives")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose vec_id is divisible by 100; labels of ids divisible by 7 move on by one first."""
+    from skyframe.llm.negatives import mine_hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE alike) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.r ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
