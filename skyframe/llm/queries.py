@@ -181,8 +181,10 @@ def quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op13_quality_cascade"] = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
-windows AS (SELECT k, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
-told AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i:i+4]) AS n FROM windows),
+one AS (SELECT k, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS i FROM w),
+grams AS (SELECT k, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g, lead(x, 4) OVER o IS NOT NULL AS whole
+  FROM one WINDOW o AS (PARTITION BY k ORDER BY i)),
+told AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM grams WHERE whole),
 again AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest([i, i+1, i+2, i+3, i+4]) AS p FROM told WHERE n > 1) GROUP BY k),
 m AS (SELECT doc_id, t, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(list_aggregate(words, 'string_agg', '')) AS BIGINT) AS wc,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
