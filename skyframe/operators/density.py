@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyframe.operators.joins import DataError
 from skyframe.session import settle
@@ -23,9 +24,13 @@ CELL = 0.125          # cell side, in bandwidths
 ORDER = 12            # highest moment kept of a dense cell
 FEW = 16              # cells with at most this many points keep the points, which is as exact and cheaper
 FAR = 30.0            # beyond this many bandwidths a dense cell is taken to second order
-REGION = 3.0          # side of the regions that blocks stay within, in bandwidths
-BLOCK_ROWS = 4096     # rows of a block of points or summary rows
-TOLERANCE = 1e-7      # share of a kernel sum that blocks too far away to be looked at may hold
+PLACE = 0.75          # side of the cells whose interleaved numbers put rows in order, in bandwidths
+BLOCK_ROWS = 4096     # most rows of a block of points or summary rows
+BOX_ROWS = 128        # rows of a box within a block
+FAN_BITS = 4          # a box of the tree covers 16 boxes of the level below
+HOME = 2              # blocks nearest to a block of points, which bound its sums from below
+SLOTS = 16            # tasks among which a block of points deals what it meets
+TOLERANCE = 1e-7      # share of a kernel sum that what is too far away to be looked at may hold
 MAX_TERMS = 2_000_000
 
 
@@ -54,7 +59,7 @@ def _powers(d: int) -> list[tuple[int, ...]]:
     return [a for a in product(range(ORDER + 1), repeat=d) if sum(a) <= ORDER]
 
 
-def _kernel_sums(u: np.ndarray, summary: dict) -> np.ndarray:
+def _kernel_sums(u: np.ndarray, summary: dict, far: float = FAR) -> np.ndarray:
     """ln of the kernel sum at whitened points u (rows, d), over exact points and dense-cell moments."""
     points, centres, moments = summary["points"], summary["centres"], summary["moments"]
     d = u.shape[1]
@@ -78,7 +83,7 @@ def _kernel_sums(u: np.ndarray, summary: dict) -> np.ndarray:
                 series += weight * reduce(np.multiply, [hermite[a][..., i] for i, a in enumerate(alpha)])
             n, mean, variance = summary["count"], summary["mean"], summary["variance"]
             second = np.log(n) + (y * mean).sum(axis=2) + 0.5 * (y * y * variance).sum(axis=2)
-            near = (square <= FAR * FAR) & (series > 0)
+            near = (square <= far * far) & (series > 0)
             terms.append(np.where(near, np.log(np.where(near, series, 1.0)), second) - 0.5 * square)
         every = np.concatenate(terms, axis=1)
         top = every.max(axis=1)
@@ -91,10 +96,12 @@ class GaussianKDE:
     """Gaussian kernel estimate at Scott's bandwidth times a multiplier, in one to four dimensions.
 
     Training points are whitened so the kernel is round. In one and two dimensions they are counted in cells an eighth of a bandwidth wide, and a
-    crowded cell is replaced by its moments (Hermite series, relative error below 1e-6 out to 30 bandwidths); in three and four, equal points are
-    merged. What is left is written as a stage table of blocks, each within one region of space. Points are scored against blocks by joins: a block
-    meets another only if its box is near enough to hold more than a tolerated share of the sum. Nothing is collected and no table is sent to
-    tasks whole, so the same path serves every number of rows and of dimensions.
+    cell of more than `few` points is replaced by its moments (Hermite series, relative error below 1e-6 out to `far` bandwidths); in three and four,
+    equal points are merged. What is left is put in the order of interleaved cell numbers and written as a stage table of blocks of near rows, each
+    with the boxes of its runs of 128 rows. Points to be scored become blocks in the same way. The two trees of boxes meet level by level in equality
+    joins, from one pair of roots down; a pair that can't hold a tolerated share of a sum goes no further. Each block of points first adds up its
+    nearest blocks, which bounds its sums from below and tells what else it must look at, down to single boxes. Nothing is collected and no table is
+    sent to tasks whole, so one path serves every number of rows and of dimensions.
     """
 
     columns: tuple[str, ...]
@@ -102,10 +109,13 @@ class GaussianKDE:
     whitener: np.ndarray
     log_norm: float
     blocks: DataFrame
+    size: int
     tolerance: float = TOLERANCE
+    far: float = FAR
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: Sequence[str], bandwidth: float = 1.0, tolerance: float = TOLERANCE) -> GaussianKDE:
+    def fit(cls, train: DataFrame, columns: Sequence[str], bandwidth: float = 1.0, tolerance: float = TOLERANCE, few: int = FEW,
+            far: float = FAR) -> GaussianKDE:
         if not bandwidth > 0:
             raise ValueError(f"bandwidth must be positive, got {bandwidth}")
         d = len(columns)
@@ -118,9 +128,10 @@ class GaussianKDE:
         whitener = np.linalg.inv(lower)
         log_norm = -0.5 * d * math.log(2 * math.pi) - float(np.log(np.diag(lower)).sum()) - math.log(row["n"])
         whitened = complete.select(*[_combine([F.col(c) for c in columns], whitener[i]).alias(f"_w{i}") for i in range(d)])
-        cells = _summarize(whitened, d)
+        cells = _summarize(whitened, d, few)
         centre = [(F.get("cell", F.lit(i)) + 0.5) * CELL for i in range(d)]
-        return cls(tuple(columns), row["n"], whitener, log_norm, settle(_blocks(cells, centre, d, _summary_block(d))), tolerance)
+        blocks, size = _numbered(_blocks(cells, centre, d, _summary_block(d)))
+        return cls(tuple(columns), row["n"], whitener, log_norm, blocks, size, tolerance, far)
 
     def scored(self, df: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
         """df with ln density at the points that the columns give. Equal points are scored once."""
@@ -137,40 +148,31 @@ class GaussianKDE:
 
     def _sums(self, points: DataFrame) -> DataFrame:
         """(_w0.., log_sum) of distinct whitened points."""
-        d, tolerance = len(self.columns), self.tolerance
-        asked = settle(_blocks(points, [F.col(f"_w{i}") for i in range(d)], d, _point_block(d)))
-        mine = asked.select(F.col("block").alias("q"), F.col("low").alias("q_low"), F.col("high").alias("q_high"))
-        theirs = self.blocks.select("block", F.ln("n").alias("ln_n"), "low", "high")
-        gaps = [F.greatest(F.lit(0.0), F.get("low", F.lit(i)) - F.get("q_high", F.lit(i)), F.get("q_low", F.lit(i)) - F.get("high", F.lit(i))) for i in range(d)]
-        spans = [F.greatest(F.get("high", F.lit(i)) - F.get("q_low", F.lit(i)), F.get("q_high", F.lit(i)) - F.get("low", F.lit(i))) for i in range(d)]
-        # one row per pair of blocks, boxes only: the most and the least that a block adds to a point of another
-        boxes = mine.crossJoin(theirs).select("q", "block", (F.col("ln_n") - 0.5 * _square(gaps)).alias("most"), (F.col("ln_n") - 0.5 * _square(spans)).alias("least"))
-        floor = boxes.groupBy("q").agg((F.max("least") + math.log(tolerance) - F.ln(F.count(F.lit(1)))).alias("floor"))
-        near = boxes.join(floor, "q").filter("most >= floor").select("q", "block")
-        pairs = near.join(self.blocks.select("block", "points", "moments"), "block").join(
-            asked.select(F.col("block").alias("q"), F.col("points").alias("q_points")), "q").select("q", "q_points", "points", "moments")
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    q, x, points, moments = (batch.column(k)[i].as_py() for k in range(4))
-                    part = _kernel_sums(np.frombuffer(x).reshape(-1, d + 1)[:, :d], _tables(points, moments, d))
-                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["q", "part"])
-
-        def add(key: tuple, table: pa.Table) -> pa.Table:
-            parts = np.stack([np.frombuffer(p) for p in table.column("part").to_pylist()])
-            top = parts.max(axis=0)
-            return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([(top + np.log(np.exp(parts - top).sum(axis=0))).tobytes()], pa.binary())})
+        d = len(self.columns)
+        asked, size = _numbered(_blocks(points, [F.col(f"_w{i}") for i in range(d)], d, _point_block(d)))
+        levels = max(1, math.ceil(math.log(max(size, self.size, 2), 1 << FAN_BITS)))
+        spare = math.log(self.tolerance / (levels + 1))
+        near = _near_blocks(asked, self.blocks, d, levels, spare)
+        order = Window.partitionBy("q").orderBy(F.col("most").desc(), "apart", "t")
+        placed = settle(near.withColumn("_rank", F.row_number().over(order)))
+        home = _added(_met(placed.filter(F.col("_rank") <= HOME).select("q", "t"), asked.withColumn("floor", F.lit(b"")), self.blocks), d, -math.inf, self.far)
+        ready = settle(asked.join(home, F.col("node") == F.col("q")).select("node", "low", "high", "points", "moments", "boxes", F.col("total").alias("floor")))
+        # at most this share may be lost in each of all boxes together
+        rest = spare - math.log(max(1, self.size) * (BLOCK_ROWS / BOX_ROWS + 2))
+        others = placed.filter(F.col("_rank") > HOME).select("q", "t")
+        others = others.join(ready.select(F.col("node").alias("q"), "boxes", "floor"), "q").join(
+            self.blocks.select(F.col("node").alias("t"), "n", "low", "high"), "t").mapInArrow(_may_matter(d, rest), "q long, t long")
+        more = _added(_met(others, ready, self.blocks), d, rest, self.far)
+        both = ready.join(more, F.col("node") == F.col("q"), "left").select("points", "floor", "total")
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     x, total = np.frombuffer(batch.column(0)[i].as_py()).reshape(-1, d + 1), np.frombuffer(batch.column(1)[i].as_py())
+                    further = batch.column(2)[i].as_py()
+                    total = total if further is None else np.logaddexp(total, np.frombuffer(further))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(d)), pa.array(total)], names=[*[f"_w{k}" for k in range(d)], "log_sum"])
 
-        # a group holds one row per near block, each as long as the block of points
-        totals = pairs.mapInArrow(sums, "q long, part binary").groupBy("q").applyInArrow(add, "q long, total binary")
-        both = asked.select(F.col("block").alias("q"), "points").join(totals, "q").select("points", "total")
         return both.mapInArrow(spell, ", ".join(f"_w{k} double" for k in range(d)) + ", log_sum double")
 
 
@@ -178,56 +180,202 @@ def _square(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[list[pd.DataFrame]], list]) -> DataFrame:
-    """Rows in blocks within one region each: block, n, low, high, points, moments. Range partitions split a crowded region."""
-    named = rows.withColumns({f"_x{i}": p for i, p in enumerate(place)})
-    regions = [f"_r{i}" for i in range(d)]
-    named = named.withColumns({r: F.floor(F.col(f"_x{i}") / REGION) for i, r in enumerate(regions)})
-    order = [*regions, *[f"_x{i}" for i in range(d)]]
+def _code(place: Sequence[str], d: int) -> Column:
+    """Interleaved bits of the numbers of the cell that holds a place: near places have near codes. Cells beyond the last number share it."""
+    bits = min(20, 60 // d)
+    middle = 1 << (bits - 1)
+    cells = [F.least(F.greatest(F.floor(F.col(p) / PLACE), F.lit(-middle)), F.lit(middle - 1)) + middle for p in place]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")), k * d + i)
+                                                for i, c in enumerate(cells) for k in range(bits)])
+
+
+BLOCK = "part int, number long, n double, low array<double>, high array<double>, points binary, moments binary, boxes binary"
+
+
+def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[pd.DataFrame], list]) -> DataFrame:
+    """Rows as blocks of near rows. A block ends where the code jumps most, between half and all of its allowed rows."""
+    names = [f"_x{i}" for i in range(d)]
+    coded = rows.withColumns(dict(zip(names, place)))
+    coded = coded.withColumn("_code", _code(names, d))
+    order = ["_code", *names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, number, held, rows_held, last = ["block", "n", "low", "high", "points", "moments"], TaskContext.get().partitionId() << 32, [], 0, None
-        for pdf in batches:
-            out = []
-            change = np.flatnonzero((pdf[regions].to_numpy()[1:] != pdf[regions].to_numpy()[:-1]).any(axis=1)) + 1
-            cuts = [0, *change.tolist(), len(pdf)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                for at in range(lo, hi, BLOCK_ROWS):
-                    part = pdf.iloc[at:min(hi, at + BLOCK_ROWS)]
-                    region = tuple(part.iloc[0][regions])
-                    if held and (region != last or rows_held + len(part) > BLOCK_ROWS):
-                        out.append([number, *pack(held)])
-                        number, held, rows_held = number + 1, [], 0
-                    held.append(part)
-                    rows_held, last = rows_held + len(part), region
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame([[number, *pack(held)]], columns=names)
-
-    return named.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
-        run, "block long, n double, low array<double>, high array<double>, points binary, moments binary")
-
-
-def _point_block(d: int) -> Callable[[list[pd.DataFrame]], list]:
-    def pack(parts: list[pd.DataFrame]) -> list:
-        x = pd.concat(parts)[[f"_w{i}" for i in range(d)]].to_numpy(float)
-        return [float(len(x)), x.min(axis=0), x.max(axis=0), np.column_stack((x, np.zeros(len(x)))).tobytes(), b""]
+        part, number, held, waiting = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal number
+            number += 1
+            return pd.DataFrame([[part, number - 1, *pack(pdf)]], columns=["part", "number", "n", "low", "high", "points", "moments", "boxes"])
+
+        for batch in batches:
+            held.append(batch)
+            waiting += len(batch)
+            if waiting <= BLOCK_ROWS:
+                continue
+            pdf, at = pd.concat(held, ignore_index=True), 0
+            codes = pdf["_code"].to_numpy(np.int64)
+            jumps = np.concatenate(([0], codes[1:] ^ codes[:-1]))
+            while len(pdf) - at > BLOCK_ROWS:
+                cut = at + BLOCK_ROWS // 2 + int(np.argmax(jumps[at + BLOCK_ROWS // 2:at + BLOCK_ROWS + 1]))
+                yield packed(pdf.iloc[at:cut])
+                at = cut
+            held, waiting = [pdf.iloc[at:]], len(pdf) - at
+        if waiting:
+            yield packed(pd.concat(held, ignore_index=True))
+
+    return coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, BLOCK)
+
+
+def _numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks as a stage table with consecutive numbers (node) along their order, and how many there are."""
+    kept, total, offsets = settle(blocks), 0, []
+    for row in kept.groupBy("part").count().orderBy("part").collect():  # one row per partition
+        offsets.append((row["part"], total))
+        total += row["count"]
+    first = kept.sparkSession.createDataFrame(offsets, "part int, _offset long")
+    return kept.join(F.broadcast(first), "part").select((F.col("_offset") + F.col("number")).alias("node"), "n", "low", "high", "points", "moments", "boxes"), total
+
+
+def _level(blocks: DataFrame, d: int, height: int, name: str) -> DataFrame:
+    """Boxes of one level of the tree: name, its parent, rows, corners."""
+    corners = [f(F.get(side, F.lit(i))).alias(f"{name}_{side}{i}") for f, side in ((F.min, "low"), (F.max, "high")) for i in range(d)]
+    boxes = blocks.groupBy(F.shiftright("node", FAN_BITS * height).alias(name)).agg(F.sum("n").alias(f"{name}_n"), *corners)
+    return boxes.withColumn(f"{name}_parent", F.shiftright(name, FAN_BITS))
+
+
+def _near_blocks(asked: DataFrame, held: DataFrame, d: int, levels: int, spare: float) -> DataFrame:
+    """q, t, most, apart: pairs of a block of points and a block of data that may hold more than the tolerated share of a sum.
+
+    Level by level from the roots, by equality with the pairs of parents: `most` and `least` bound what a box adds to any point of the other.
+    """
+    near = None
+    for height in reversed(range(levels)):
+        mine, theirs = _level(asked, d, height, "q"), _level(held, d, height, "t")
+        if near is None:
+            met = mine.join(theirs, F.col("q_parent") == F.col("t_parent"))  # the roots: both parents are 0
+        else:
+            above = near.select(F.col("q").alias("q_parent"), F.col("t").alias("t_parent"))
+            met = above.join(mine, "q_parent").join(theirs, "t_parent")
+        corner = lambda side, name, i: F.col(f"{name}_{side}{i}")
+        gaps = [F.greatest(F.lit(0.0), corner("low", "t", i) - corner("high", "q", i), corner("low", "q", i) - corner("high", "t", i)) for i in range(d)]
+        spans = [F.greatest(corner("high", "t", i) - corner("low", "q", i), corner("high", "q", i) - corner("low", "t", i)) for i in range(d)]
+        between = [(corner("high", "t", i) + corner("low", "t", i) - corner("high", "q", i) - corner("low", "q", i)) / 2 for i in range(d)]
+        bounds = met.select("q", "t", (F.ln("t_n") - 0.5 * _square(gaps)).alias("most"), (F.ln("t_n") - 0.5 * _square(spans)).alias("least"),
+                            _square(between).alias("apart"))
+        every = Window.partitionBy("q")
+        floor = F.max("least").over(every) + spare - F.ln(F.count(F.lit(1)).over(every))
+        near = bounds.withColumn("_floor", floor).filter(F.col("most") >= F.col("_floor")).select("q", "t", "most", "apart")
+    return near
+
+
+def _met(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """q, slot, kind, points, moments, boxes, floor: a block of points (kind 0) once per slot, then the blocks it meets there (kind 1)."""
+    dealt = pairs.withColumn("slot", F.pmod("t", F.lit(SLOTS)).cast("int"))
+    first = asked.join(dealt.select("q", "slot").distinct(), F.col("node") == F.col("q")).select(
+        "q", "slot", F.lit(0).alias("kind"), "points", "moments", "boxes", "floor")
+    then = held.join(dealt, F.col("node") == F.col("t")).select("q", "slot", F.lit(1).alias("kind"), "points", "moments", "boxes", F.lit(b"").alias("floor"))
+    return first.union(then).repartition("q", "slot").sortWithinPartitions("q", "slot", "kind")
+
+
+def _added(met: DataFrame, d: int, rest: float, far: float) -> DataFrame:
+    """(q, total): the log of what the met blocks add to each point of block q. Boxes that can't hold a share of exp(rest) of a sum are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, points, own, floor, total = None, None, None, None, None
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["q", "part"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, slot, kind, data, moments, boxes, bound = (batch.column(k)[i].as_py() for k in range(7))
+                if kind == 0:
+                    if last is not None:
+                        yield found()
+                    last, points = (q, slot), np.frombuffer(data).reshape(-1, d + 1)[:, :d]
+                    own, total = _box_table(boxes, d), np.full(len(points), -np.inf)
+                    sums = np.frombuffer(bound) if bound else np.full(len(points), -np.inf)
+                    floor = np.array([sums[int(b[1]):int(b[2])].min() + rest if bound else -np.inf for b in own])
+                    continue
+                tables, theirs = _tables(data, moments, d), _box_table(boxes, d)
+                near = _most(own, theirs, d) >= floor[:, None]
+                for box, row in zip(own, near):
+                    if row.any():
+                        lo, hi = int(box[1]), int(box[2])
+                        total[lo:hi] = np.logaddexp(total[lo:hi], _kernel_sums(points[lo:hi], _part_of(tables, theirs[row]), far))
+        if last is not None:
+            yield found()
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        parts = np.stack([np.frombuffer(p) for p in table.column("part").to_pylist()])  # one row per slot
+        return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([np.logaddexp.reduce(parts, axis=0).tobytes()], pa.binary())})
+
+    return met.mapInArrow(run, "q long, part binary").groupBy("q").applyInArrow(add, "q long, total binary")
+
+
+def _may_matter(d: int, rest: float):
+    """Of pairs (t, q, boxes and sums so far of q, rows and corners of t) those where t may hold a share of exp(rest) of the sum of some point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for row in batch.to_pylist():
+                own, sums = _box_table(row["boxes"], d), np.frombuffer(row["floor"])
+                floor = np.array([sums[int(b[1]):int(b[2])].min() + rest for b in own])
+                theirs = np.array([[0.0, 0.0, 0.0, row["n"], *row["low"], *row["high"]]])
+                keep.append(bool((_most(own, theirs, d)[:, 0] >= floor).any()))
+            good = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([good.column("q"), good.column("t")], names=["q", "t"])
+
+    return run
+
+
+def _box_table(boxes: bytes, d: int) -> np.ndarray:
+    """Rows: whether moments (1) or points (0), first and last row, training rows, low corner, high corner."""
+    return np.frombuffer(boxes).reshape(-1, 4 + 2 * d)
+
+
+def _most(mine: np.ndarray, theirs: np.ndarray, d: int) -> np.ndarray:
+    """The log of the most that each of their boxes adds to a point of each of mine."""
+    gap = np.maximum(0.0, np.maximum(theirs[None, :, 4:4 + d] - mine[:, None, 4 + d:], mine[:, None, 4:4 + d] - theirs[None, :, 4 + d:]))
+    return np.log(theirs[:, 3])[None, :] - 0.5 * (gap * gap).sum(axis=2)
+
+
+def _boxes(kind: int, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+    rows = [[kind, at, min(len(n), at + BOX_ROWS), n[at:at + BOX_ROWS].sum(), *low[at:at + BOX_ROWS].min(axis=0), *high[at:at + BOX_ROWS].max(axis=0)]
+            for at in range(0, len(n), BOX_ROWS)]
+    return np.array(rows, dtype=float).reshape(len(rows), 4 + 2 * low.shape[1])
+
+
+def _part_of(tables: dict, boxes: np.ndarray) -> dict:
+    """The tables' rows that lie in these boxes."""
+    points, dense = (np.concatenate([np.arange(int(b[1]), int(b[2])) for b in boxes if b[0] == kind] or [np.zeros(0, dtype=int)]) for kind in (0, 1))
+    out = {"points": tables["points"][points], "weights": tables["weights"][points], "centres": tables["centres"][dense], "moments": {}}
+    if len(dense):
+        out |= {"moments": {a: v[dense] for a, v in tables["moments"].items()}} | {k: tables[k][dense] for k in ("count", "mean", "variance")}
+    return out
+
+
+def _point_block(d: int) -> Callable[[pd.DataFrame], list]:
+    def pack(pdf: pd.DataFrame) -> list:
+        x = pdf[[f"_w{i}" for i in range(d)]].to_numpy(float)
+        return [float(len(x)), x.min(axis=0), x.max(axis=0), np.column_stack((x, np.zeros(len(x)))).tobytes(), b"", _boxes(0, x, x, np.ones(len(x))).tobytes()]
 
     return pack
 
 
-def _summary_block(d: int) -> Callable[[list[pd.DataFrame]], list]:
+def _summary_block(d: int) -> Callable[[pd.DataFrame], list]:
     """points: coordinates and the log of the copies; moments: cell centre and moments."""
 
-    def pack(parts: list[pd.DataFrame]) -> list:
-        pdf = pd.concat(parts)
-        single = pdf["values"].map(len).to_numpy() == d if d > 2 else pdf["n"].to_numpy() == 1
+    def pack(pdf: pd.DataFrame) -> list:
+        n = pdf["n"].to_numpy(float)
+        single = pdf["values"].map(len).to_numpy() == d if d > 2 else n == 1
         points = np.stack(pdf["values"][single]) if single.any() else np.empty((0, d))
         centre = pdf[[f"_x{i}" for i in range(d)]].to_numpy(float)[~single]
         moments = np.column_stack((centre, np.stack(pdf["values"][~single]))) if len(centre) else np.empty((0, 0))
-        corners = np.concatenate((points, centre - CELL / 2, centre + CELL / 2))
-        return [float(pdf["n"].sum()), corners.min(axis=0), corners.max(axis=0),
-                np.column_stack((points, np.log(pdf["n"].to_numpy(float)[single]))).tobytes(), moments.tobytes()]
+        boxes = np.concatenate((_boxes(0, points, points, n[single]), _boxes(1, centre - CELL / 2, centre + CELL / 2, n[~single])))
+        return [float(n.sum()), boxes[:, 4:4 + d].min(axis=0), boxes[:, 4 + d:].max(axis=0), np.column_stack((points, np.log(n[single]))).tobytes(),
+                moments.tobytes(), boxes.tobytes()]
 
     return pack
 
@@ -236,7 +384,7 @@ def _combine(columns: Sequence[Column], weights: np.ndarray) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("double") * float(w) for c, w in zip(columns, weights)])
 
 
-def _summarize(whitened: DataFrame, d: int) -> DataFrame:
+def _summarize(whitened: DataFrame, d: int, few: int = FEW) -> DataFrame:
     """Rows (cell, n, values): the points of sparse cells one by one (n = 1), the moments of dense ones."""
     coordinates = [F.col(f"_w{i}") for i in range(d)]
     placed = whitened.withColumn("cell", F.array(*[F.floor(c / CELL) for c in coordinates]))
@@ -250,9 +398,9 @@ def _summarize(whitened: DataFrame, d: int) -> DataFrame:
         scale = math.prod(math.factorial(a) for a in alpha)
         sums.append(F.sum(reduce(lambda x, y: x * y, factors, F.lit(1.0))) / float(scale))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    dense = placed.join(counts.filter(F.col("_n") > FEW), "cell")
+    dense = placed.join(counts.filter(F.col("_n") > few), "cell")
     moments = dense.groupBy("cell").agg(F.array(*sums).alias("values"), F.count(F.lit(1)).alias("n"))
-    sparse = placed.join(counts.filter(F.col("_n") <= FEW), "cell").select("cell", point.alias("values"), F.lit(1).cast("long").alias("n"))
+    sparse = placed.join(counts.filter(F.col("_n") <= few), "cell").select("cell", point.alias("values"), F.lit(1).cast("long").alias("n"))
     return moments.unionByName(sparse)
 
 

@@ -99,6 +99,12 @@ def fit_joint_heads(train: DataFrame, blocks: dict[str, Sequence[str]], groups:
     return out
 
 
+def marginal_heads(fits: Sequence[JointHead], targets: Sequence[str], features: Sequence[str], chosen: Sequence[str]) -> list[LinearHead]:
+    """Each chosen target of joint heads by itself: normal around its own regression with its own deviation, whatever the others are."""
+    return [LinearHead(t, f.subset, tuple(features), f.coefficients[i][0], f.coefficients[i][1:], math.sqrt(f.covariance[i][i]))
+            for f in fits for i, t in enumerate(targets) if t in chosen]
+
+
 def fit_head(matrix: np.ndarray, features: Sequence[str], chosen: Sequence[str], target: str, subset: str) -> LinearHead:
     """Solve one regression from a shared product matrix; deviation is the residual's, over n."""
     keep = [0] + [1 + list(features).index(c) for c in chosen]
@@ -125,7 +131,7 @@ HEADS_TYPE = "array<struct<head string, subset string, target int, intercept dou
 
 
 def score_heads(rows: DataFrame, heads: Sequence[LinearHead], key: str = "source_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(key, keep..., head, subset, ll, mean, truth): every row under every head.
+    """(key, keep..., head, subset, ll, mean, truth, sigma): every row under every head.
 
     The coefficients form one literal table that each row walks; absent features have coefficient 0.
     """
@@ -144,7 +150,7 @@ def score_heads(rows: DataFrame, heads: Sequence[LinearHead], key: str = "source
     out = held.select(key, *keep, F.explode(F.transform(F.from_json(F.lit(json.dumps(table)), HEADS_TYPE), score)).alias("_e"))
     t = (F.col("_e.truth") - F.col("_e.mean")) / F.col("_e.sigma")
     ll = -0.5 * t * t - F.ln("_e.sigma") - 0.5 * math.log(2 * math.pi)
-    return out.select(key, *keep, "_e.head", "_e.subset", ll.alias("ll"), "_e.mean", "_e.truth")
+    return out.select(key, *keep, "_e.head", "_e.subset", ll.alias("ll"), "_e.mean", "_e.truth", "_e.sigma")
 
 
 def image_features(image: Column | str, size: int, bands: str = "griz") -> dict[str, Column]:

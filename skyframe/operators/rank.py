@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from skyframe.session import settle, spread
 
 BUCKET_DIGITS = 3
 ROW_BITS = 33
+KEYS_AT_ONCE = 512    # keys whose weights a task draws at once
+GROUPS_HELD = 512     # groups whose sums a task holds
+BAND_ROWS = 512       # ranks of a block of the rolling band
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -138,24 +143,66 @@ def poisson_weight(*parts: Column | str | int) -> Column:
     return weight.otherwise(12)
 
 
-def with_replicates(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """One row per (row, replicate) with its resampling weight `_weight`; rows are spread before they multiply."""
-    copies = spread(df, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return copies.withColumn("_weight", poisson_weight(seed, "rep", key))
+def replicate_weights(keys: Sequence[str], replicates: int, seed: int) -> np.ndarray:
+    """`poisson_weight(seed, replicate, key)` of every key and replicate, as small whole numbers: (keys, replicates)."""
+    heads = [f"{seed}:{r}:".encode() for r in range(replicates)]
+    digest = hashlib.md5
+    raw = b"".join([digest(head + key).digest()[:4] for key in [k.encode() for k in keys] for head in heads])
+    through = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])
+    u = np.frombuffer(raw, dtype=">u4").reshape(len(keys), replicates) / 4294967296.0
+    return np.searchsorted(through, u, side="right").astype(np.uint8)
+
+
+def _resampled_sums(by: list[str], replicates: int, seed: int):
+    """Per task and group the weighted sums and the weights of every replicate, as two vectors. Rows of a key follow each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=by) if by else pd.DataFrame(index=range(len(held)))
+            return out.assign(_wy=[list(v[0]) for v in held.values()], _w=[list(v[1]) for v in held.values()])
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes, names = pd.factorize(pdf["_key"])
+            for at in range(0, len(names), KEYS_AT_ONCE):
+                weights = replicate_weights(names[at:at + KEYS_AT_ONCE], replicates, seed).astype(float)
+                some = np.flatnonzero((codes >= at) & (codes < at + KEYS_AT_ONCE))
+                part = pdf.iloc[some].reset_index(drop=True)
+                groups = part.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(part))}
+                own, values = codes[some] - at, part["_y"].to_numpy(float)
+                for group, which in groups.items():
+                    name = group if isinstance(group, tuple) else (group,)
+                    total = held.setdefault(name, np.zeros((2, replicates)))
+                    total[0] += np.bincount(own[which], np.nan_to_num(values[which]), len(weights)) @ weights
+                    total[1] += np.bincount(own[which], minlength=len(weights)) @ weights
+                if len(held) > GROUPS_HELD:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    return run
 
 
 def bootstrap_se(df: DataFrame, value: str, key: str, by: Sequence[str] = (), replicates: int = 1000,
                  seed: int = 0) -> DataFrame:
     """Standard error of the group mean by Poisson resampling; NULL for a group of one row.
 
-    Weighted sums combine before the shuffle, so only (group, replicate) sums travel.
+    Rows are spread by key, so that a key's weights are drawn once for all groups it is in; a task adds up vectors of replicates per group, and only
+    (task, group, replicate) sums travel.
     """
     by = list(by)
-    copies = with_replicates(df.select(*by, key, value), key, replicates, seed)
-    means = copies.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_weight") * F.col(value)), F.sum("_weight")).alias("_mean"))
-    spread = means.groupBy(*by).agg(F.stddev_samp("_mean").alias("se"))
+    rows = spread(df.select(*by, F.col(key).cast("string").alias("_key"), F.col(value).cast("double").alias("_y")), "_key").sortWithinPartitions("_key")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema) if by else ""
+    sums = rows.mapInPandas(_resampled_sums(by, replicates, seed), f"{kinds}_wy array<double>, _w array<double>")
+    long = sums.select(*by, F.posexplode(F.arrays_zip("_wy", "_w")).alias("rep", "_s"))
+    means = long.groupBy(*by, "rep").agg(F.try_divide(F.sum("_s._wy"), F.sum("_s._w")).alias("_mean"))
+    errors = means.groupBy(*by).agg(F.stddev_samp("_mean").alias("se"))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = sizes.join(spread, by, "left") if by else sizes.join(F.broadcast(spread))
+    joined = sizes.join(errors, by, "left") if by else sizes.join(F.broadcast(errors))
     return joined.select(*by, "n", F.when(F.col("n") >= 2, F.col("se")).alias("se"))
 
 
@@ -184,30 +231,109 @@ def rolling_mean(df: DataFrame, x: str, y: str, key: str, window: float) -> Data
 
 
 def rolling_band(df: DataFrame, x: str, y: str, key: str, window: float, replicates: int, seed: int,
-                 levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+                 levels: tuple[float, float] = (0.025, 0.975), block_rows: int = BAND_ROWS) -> DataFrame:
     """Bootstrap band of the rolling mean: quantiles over replicates of the resampled window means.
 
-    A replicate's weights are shared by all windows. Rows hold (replicate, rank) totals; the quantiles
-    gather `replicates` numbers per centre, a fixed bound.
+    A replicate's weights are shared by all windows. Ranks are cut into blocks; a row keeps its weights as one short binary, a block its sums as a
+    vector of replicates, and running totals of these vectors give what lies before every block. A window then needs only the block at each of its
+    ends, so a block goes to the two or so blocks of centres whose windows end in it, and no row is multiplied by the replicates.
     """
-    ranked = ordered_rank(df.select(key, x, y), [x, key])
-    rows = ranked.count()
+    ranked = ordered_rank(df.select(key, x, F.col(y).cast("double").alias("_y")), [x, key])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, max(1, len(pdf)), KEYS_AT_ONCE):
+                part = pdf.iloc[at:at + KEYS_AT_ONCE]
+                yield part.assign(_w=[w.tobytes() for w in replicate_weights(part["_key"].tolist(), replicates, seed)]).drop(columns="_key")
+
+    kept = ranked.select(key, x, "_y", "rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", _w binary"
+    weighted = settle(spread(ranked.select(key, x, "_y", "rank", F.col(key).cast("string").alias("_key")), "_key").mapInPandas(draw, kinds))
+    weighted = weighted.withColumn("_block", F.expr(f"rank DIV {block_rows}"))
+    rows = weighted.count()
     half = half_window(rows, window)
-    copies = with_replicates(ranked, key, replicates, seed)
-    copies = copies.withColumn("_g", F.col("rep").cast("long") * rows + F.col("rank") + 1)
-    totals = running_total(copies.select(key, x, y, "rep", "rank", "_g", "_weight"), ["_g"],
-                           {"_w": F.col("_weight"), "_wy": F.col("_weight") * F.col(y)})
-    first = F.col("rep").cast("long") * rows
-    spans = totals.select(key, x, "rank",
-                          (first + F.least(F.col("rank") + 1 + half, F.lit(rows))).alias("_hi"),
-                          (first + F.greatest(F.col("rank") - half, F.lit(0))).alias("_lo"))
-    sums = totals.select(F.col("_g").alias("_hi"), F.col("_w").alias("_w1"), F.col("_wy").alias("_y1"))
-    out = spans.join(sums, "_hi").join(sums.toDF("_lo", "_w0", "_y0"), "_lo", "left")
-    weight = F.round(F.col("_w1") - F.coalesce("_w0", F.lit(0.0)))
-    mean = F.when(weight > 0, (F.col("_y1") - F.coalesce("_y0", F.lit(0.0))) / weight)
-    return (out.withColumn("_mean", mean).groupBy(key, x, "rank")
-            .agg(F.percentile("_mean", F.lit(levels[0])).alias("lo"),
-                 F.percentile("_mean", F.lit(levels[1])).alias("hi")))
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, part in pdf.groupby("_block"):
+                held.setdefault(int(block), np.zeros((2, replicates)))
+                held[int(block)] += _both_sums(part, replicates)
+            if len(held) > GROUPS_HELD:
+                yield _vectors(held)
+                held.clear()
+        if held:
+            yield _vectors(held)
+
+    pieces = spread(weighted.select("_block", "_y", "_w"), "_block").mapInPandas(add_up, "_block long, _wy array<double>, _n array<double>")
+    sums = settle(pieces.select("_block", F.posexplode(F.arrays_zip("_wy", "_n")).alias("rep", "_s")).groupBy("_block", "rep").agg(
+        F.sum("_s._wy").alias("_wy"), F.sum("_s._n").alias("_n")))
+    ends = sums.groupBy("rep").agg(F.sum("_wy").alias("_wy"), F.sum("_n").alias("_n")).orderBy("rep").collect()  # one row per replicate
+    whole = np.array([[r["_wy"] for r in ends], [r["_n"] for r in ends]])
+    earlier = Window.partitionBy("rep").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_block", "rep", F.coalesce(F.sum("_wy").over(earlier), F.lit(0.0)).alias("_wy"), F.coalesce(F.sum("_n").over(earlier), F.lit(0.0)).alias("_n"))
+    starts = before.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("rep", "_wy", "_n"))).alias("_v"))
+
+    # blocks of centres whose windows end, or begin, in a block
+    first, last = F.col("_block") * block_rows, F.least((F.col("_block") + 1) * block_rows, F.lit(rows)) - 1
+    centres = [F.greatest(first - half, F.lit(0)), F.greatest(last - half, F.lit(0)), F.least(first + half + 1, F.lit(rows - 1)), F.least(last + half + 1, F.lit(rows - 1))]
+    places = F.explode(F.array_distinct(F.array(*[F.floor(c / block_rows) for c in centres]))).alias("_c")
+    nothing = {name: F.lit(None).cast(kind) for name, kind in (("_y", "double"), ("_w", "binary"), ("_wy", "array<double>"), ("_n", "array<double>"))}
+    columns = ["_c", "_kind", "_block", key, x, "rank", "_y", "_w", "_wy", "_n"]
+    empty = {key: F.lit(None).cast(kept.schema[key].dataType), x: F.lit(None).cast(kept.schema[x].dataType)}
+    own = weighted.select(F.col("_block").alias("_c"), F.lit(0).alias("_kind"), "_block", key, x, "rank").withColumns(nothing).select(*columns)
+    near = weighted.select(places, F.lit(1).alias("_kind"), "_block", "rank", "_y", "_w").withColumns(empty | {k: nothing[k] for k in ("_wy", "_n")}).select(*columns)
+    base = starts.select(places, F.lit(2).alias("_kind"), "_block", F.col("_v._wy").alias("_wy"), F.col("_v._n").alias("_n")).withColumns(
+        empty | {"rank": F.lit(0).cast("long"), "_y": nothing["_y"], "_w": nothing["_w"]}).select(*columns)
+
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        middle = pdf[pdf["_kind"] == 0]
+        base_of = {int(r["_block"]): np.array([r["_wy"], r["_n"]]) for _, r in pdf[pdf["_kind"] == 2].iterrows()}
+        ranks = middle["rank"].to_numpy(np.int64)
+        top, bottom = np.repeat(whole[:, None, :], len(ranks), axis=1), np.zeros((2, len(ranks), replicates))
+        for block, part in pdf[pdf["_kind"] == 1].groupby("_block"):
+            totals = base_of[int(block)][:, None, :] + np.cumsum(_products(part.sort_values("rank"), replicates), axis=1)
+            for out, at in ((top, ranks + half), (bottom, ranks - half - 1)):
+                inside = np.flatnonzero((at >= 0) & (at < rows) & (at // block_rows == int(block)))
+                out[:, inside] = totals[:, at[inside] - int(block) * block_rows]
+        weight = np.round(top[1] - bottom[1])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = np.where(weight > 0, (top[0] - bottom[0]) / weight, np.nan)
+        lo, hi = _quantiles(means, levels)
+        return middle[[key, x, "rank"]].assign(lo=lo, hi=hi)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(key, x, "rank").schema) + ", lo double, hi double"
+    return own.union(near).union(base).groupBy("_c").applyInPandas(band, kinds)
+
+
+def _products(part: pd.DataFrame, replicates: int) -> np.ndarray:
+    """(2, rows, replicates): weight times value, and weight, of rows with their weights as binaries."""
+    weights = np.frombuffer(b"".join(part["_w"]), dtype=np.uint8).reshape(-1, replicates).astype(float)
+    return np.stack((weights * part["_y"].to_numpy(float)[:, None], weights))
+
+
+def _both_sums(part: pd.DataFrame, replicates: int) -> np.ndarray:
+    weights = np.frombuffer(b"".join(part["_w"]), dtype=np.uint8).reshape(-1, replicates).astype(float)
+    return np.stack((part["_y"].to_numpy(float), np.ones(len(part)))) @ weights
+
+
+def _vectors(held: dict[int, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"_block": list(held), "_wy": [list(v[0]) for v in held.values()], "_n": [list(v[1]) for v in held.values()]})
+
+
+def _quantiles(rows: np.ndarray, levels: Sequence[float]) -> list[np.ndarray]:
+    """Interpolated quantiles of each row over its known values, NaN for a row without one."""
+    known = ~np.isnan(rows)
+    if known.all():
+        return list(np.quantile(rows, levels, axis=1))
+    ordered, n = np.sort(rows, axis=1), known.sum(axis=1)
+    out = []
+    for level in levels:
+        place = level * np.maximum(n - 1, 0)
+        low = np.floor(place).astype(int)
+        a, b = (np.take_along_axis(ordered, np.minimum(i, np.maximum(n - 1, 0))[:, None], axis=1)[:, 0] for i in (low, low + 1))
+        out.append(a + (place - low) * (b - a))
+    return out
 
 
 def order_breaks(df: DataFrame, column: str, by: Sequence[str], key: str) -> DataFrame:

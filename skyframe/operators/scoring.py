@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -81,13 +82,20 @@ def _summed_over_nodes(held: DataFrame, parts: Sequence[Column], d: int, density
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                rid, nodes, spacing, like = row[0], row[1:d + 1], row[d + 1:2 * d + 1], row[2 * d + 1:]
-                if any(n is None or not len(n) for n in nodes):
+            nodes, spacing, like = (pdf.iloc[:, 1 + k * d:1 + (k + 1) * d] for k in range(3))
+            sizes = np.column_stack([[-1 if n is None else len(n) for n in nodes.iloc[:, i]] for i in range(d)])
+            for shape in np.unique(sizes, axis=0):
+                if (shape < 1).any():
                     continue
-                grid = np.meshgrid(*nodes, indexing="ij")
-                terms = sum(np.meshgrid(*like, indexing="ij")) + sum(spacing)
-                yield pd.DataFrame({"_rid": rid, **{f"_u{i}": g.ravel() for i, g in enumerate(grid)}, "_term": terms.ravel()})
+                rows = np.flatnonzero((sizes == shape).all(axis=1))
+                step = max(1, MAX_NODES // int(shape.prod()))
+                for at in range(0, len(rows), step):
+                    some = rows[at:at + step]
+                    views = [[len(some)] + [int(shape[i]) if k == i else 1 for k in range(d)] for i in range(d)]
+                    grid = {f"_u{i}": np.broadcast_to(np.stack(nodes.iloc[some, i]).reshape(views[i]), (len(some), *shape)).ravel() for i in range(d)}
+                    terms = sum(np.stack(like.iloc[some, i]).reshape(views[i]) for i in range(d)) + spacing.iloc[some].to_numpy(float).sum(axis=1).reshape([-1] + [1] * d)
+                    yield pd.DataFrame({"_rid": np.repeat(pdf.iloc[some, 0].to_numpy(), int(shape.prod())), **grid,
+                                        "_term": np.broadcast_to(terms, (len(some), *shape)).ravel()})
 
     kinds = "_rid long, " + ", ".join(f"_u{i} double" for i in range(d)) + ", _term double"
     nodes = spread(rows.select("_rid", *[p.alias(f"_p{i}") for i, p in enumerate(parts)]), "_rid").mapInPandas(expand, kinds)
@@ -229,6 +237,14 @@ def interval_coverage(draws: DataFrame, truths: DataFrame, key: str, draw: str,
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_e.inside").cast("double")).alias("coverage")))
 
 
+def predicted_coverage(predictions: DataFrame, by: Sequence[str], levels: Sequence[float] = COVERAGE_LEVELS) -> DataFrame:
+    """(by..., level, n, coverage): share of truths inside the central interval of their predictive normal (columns truth, mean, sigma)."""
+    gap = F.abs(F.col("truth") - F.col("mean"))
+    entries = F.array(*[F.struct(F.lit(float(v)).alias("level"), (gap <= F.col("sigma") * NormalDist().inv_cdf((1 + v) / 2)).alias("inside")) for v in levels])
+    return predictions.select(*by, F.explode(entries).alias("_e")).groupBy(*by, F.col("_e.level").alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("_e.inside").cast("double")).alias("coverage"))
+
+
 def validation_metric(scores: DataFrame) -> DataFrame:
     """Unweighted mean over heads of the mean negative log likelihood on scorable rows."""
     heads = scores.filter("ll IS NOT NULL").groupBy("head").agg(F.avg(-F.col("ll")).alias("_nll"))

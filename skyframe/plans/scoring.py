@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,29 +22,38 @@ PRESENCE = ("has_z", "has_spectrum", "has_image", "has_wise")
 
 @dataclass
 class Evaluation:
-    """Scores per (source, head, combination), and their summaries."""
+    """Scores per (source, head, combination), predictions per scalar target of each head, and their summaries.
+
+    `predictions`: source_id, head, subset, target, mean, truth, sigma, common, in standardized units. A target of a joint head is predicted by its
+    margin: the normal around its own regression, whatever the other targets are.
+    """
 
     scores: DataFrame
     standardizer: sm.Standardizer
-    fitted: list[linear.LinearHead]
+    predictions: DataFrame
+    heads: Sequence[Head]
 
     def gains(self) -> DataFrame:
         return scoring.information_gain(self.scores)
 
+    def known(self) -> DataFrame:
+        return self.predictions.filter("common AND truth IS NOT NULL")
+
     def r_squared(self) -> DataFrame:
-        """Of heads with one scalar target; the others have no single truth."""
-        return scoring.r_squared(self.scores.filter("common AND truth IS NOT NULL"), "truth", "mean", ["head", "subset"])
+        """(head, subset, target, n, r2) of every scalar target of every head; standardizing does not change it."""
+        return scoring.r_squared(self.known(), "truth", "mean", ["head", "subset", "target"])
 
     def coverage(self, levels: Sequence[float] = COVERAGE_LEVELS) -> DataFrame:
-        """(head, level, n, coverage) under the full combination: how often central intervals of the predictive normal hold the truth."""
-        full = sm.subset_names()[-1]
-        sigma = {h.target: h.sigma for h in self.fitted if h.subset == full}
-        deviation = reduce(lambda c, t: c.when(F.col("head") == t, F.lit(sigma[t])), sigma, F.when(F.lit(False), F.lit(0.0)))
-        rows = self.scores.filter((F.col("subset") == full) & F.col("common") & F.col("truth").isNotNull())
-        entries = F.array(*[F.struct(F.lit(float(v)).alias("level"), (F.abs(F.col("truth") - F.col("mean")) <= deviation * NormalDist().inv_cdf((1 + v) / 2)).alias("inside"))
-                            for v in levels])
-        return rows.select("head", F.explode(entries).alias("_e")).groupBy("head", F.col("_e.level").alias("level")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(F.col("_e.inside").cast("double")).alias("coverage"))
+        """(head, target, level, n, coverage) under the full combination: how often central intervals of the predictive normal hold the truth."""
+        full = self.known().filter(F.col("subset") == sm.subset_names()[-1])
+        return scoring.predicted_coverage(full, ["head", "target"], levels)
+
+    def summary(self) -> DataFrame:
+        """One row per head and combination: n, information_gain, and r2_<target> for every scalar target."""
+        targets = sorted({t for h in self.heads for t in h.scalars()})
+        picks = [F.max(F.when(F.col("target") == t, F.col("r2"))).alias(f"r2_{t}") for t in targets]
+        wide = self.r_squared().groupBy("head", "subset").agg(*picks) if picks else None
+        return self.gains() if wide is None else self.gains().join(wide, ["head", "subset"], "left")
 
 
 def require_columns(labels: DataFrame, heads: Sequence[Head]) -> None:
@@ -62,7 +70,7 @@ def evaluate(labels: DataFrame, blocks: dict[str, Sequence[str]], params: ScoreP
     `labels` carries split, label columns, presence flags and the feature columns that `blocks` names by modality. A head of one scalar target is
     linear-Gaussian; one of several targets, or of a rate, is normal around its regressions with the residuals' covariance, integrated over what
     is not observed. Each is compared with the kernel prior of its own targets, through the same quadrature. A head whose label columns are absent
-    or that can score no row is an error. Scores are written once as a stage table, since every summary reads them.
+    or that can score no row is an error. Scores and predictions are written once as stage tables, since every summary reads them.
     """
     require_columns(labels, params.heads)
     masked = sm.with_masks(labels)
@@ -74,7 +82,7 @@ def evaluate(labels: DataFrame, blocks: dict[str, Sequence[str]], params: ScoreP
     scalar = [h for h in params.heads if len(h.targets) == 1 and h.scalars()]
     joint = [h for h in params.heads if h not in scalar]
     keep = ["redshift", "spectype"]
-    results, fitted = [], []
+    results, predictions = [], []
     if scalar:
         fitted = linear.fit_heads(train, blocks, [h.targets[0] for h in scalar])
         known = test.withColumns({f"common_{h.name}": sm.common_rows(h, PRESENCE) for h in scalar})
@@ -85,7 +93,10 @@ def evaluate(labels: DataFrame, blocks: dict[str, Sequence[str]], params: ScoreP
         def of_head(prefix: str):
             return reduce(lambda c, h: c.when(F.col("head") == h.targets[0], F.col(f"{prefix}_{h.name}")), scalar, F.when(F.lit(False), None))
 
-        results.append(scored.select("source_id", "head", "subset", "ll", "mean", "truth", of_head("prior").alias("prior"), of_head("common").alias("common"), *keep))
+        told = settle(scored.select("source_id", "head", "subset", "ll", "mean", "truth", "sigma", of_head("prior").alias("prior"), of_head("common").alias("common"), *keep))
+        # a scalar head is told apart by its target, which is also the name of its score
+        results.append(told.select("source_id", "head", "subset", "ll", "prior", "common", *keep))
+        predictions.append(told.select("source_id", "head", "subset", F.col("head").alias("target"), "mean", "truth", "sigma", "common"))
     if joint:
         fits = linear.fit_joint_heads(train, blocks, {h.name: h.targets for h in joint})
         features = [c for names in blocks.values() for c in names]
@@ -94,8 +105,14 @@ def evaluate(labels: DataFrame, blocks: dict[str, Sequence[str]], params: ScoreP
             known = scoring.head_log_likelihood(test.withColumn("common", sm.common_rows(h, PRESENCE)), h, standardizer, prior, "prior", params.nodes, params.span)
             scored = scoring.joint_log_likelihood(known, h, standardizer, features, [f for f in fits if f.head == h.name], "source_id", [*keep, "prior", "common"],
                                                   params.nodes, params.span)
-            results.append(scored.withColumns({"mean": F.lit(None).cast("double"), "truth": F.lit(None).cast("double")}))
-    return Evaluation(settle(reduce(DataFrame.unionByName, results)), standardizer, fitted)
+            results.append(scored)
+            if h.scalars():
+                own = linear.marginal_heads([f for f in fits if f.head == h.name], h.targets, features, h.scalars())
+                told = linear.score_heads(test.withColumn("common", sm.common_rows(h, PRESENCE)), own, "source_id", ["common"])
+                predictions.append(told.select("source_id", F.lit(h.name).alias("head"), "subset", F.col("head").alias("target"), "mean", "truth", "sigma", "common"))
+    none = labels.sparkSession.createDataFrame([], "source_id long, head string, subset string, target string, mean double, truth double, sigma double, common boolean")
+    return Evaluation(settle(reduce(DataFrame.unionByName, results)), standardizer, settle(reduce(DataFrame.unionByName, predictions)) if predictions else none,
+                      params.heads)
 
 
 def line_baseline(labels: DataFrame, fluxes: DataFrame, columns: Sequence[str], target: str, standardizer: sm.Standardizer, prior: Density) -> DataFrame:
@@ -110,7 +127,7 @@ def line_baseline(labels: DataFrame, fluxes: DataFrame, columns: Sequence[str],
     encoded = joined.withColumns(scaled | {target: standardizer.encode(target, sm.target_value(target)), "common": sm.common_rows(head, PRESENCE)})
     fitted = linear.fit_heads(encoded.filter("split = 'train'"), {"L": columns}, [target], ["L"])
     known = prior.scored(encoded.filter("split = 'test'"), [F.col(target)], "prior")
-    return linear.score_heads(known, fitted, "source_id", ["prior", "common"]).drop("head", "subset")
+    return linear.score_heads(known, fitted, "source_id", ["prior", "common"]).drop("head", "subset", "sigma")
 
 
 def fold_scores(labels: DataFrame, blocks: dict[str, Sequence[str]], flagged: Column, params: ScoreParams = ScoreParams(), folds: int = 5) -> DataFrame:

@@ -103,6 +103,17 @@ def win_rolling_band(v):
     return out.select("event_id", "rank", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
+@query("win_rolling_band_1000", SQL["win_rolling_band"].replace("range(0, 20)", "range(0, 1000)"))
+def win_rolling_band_1000(v):
+    out = rank.rolling_band(v.table("events").select("event_id", "ts", "value"), "ts", "value", "event_id", 0.08, 1000, 3)
+    return out.select("event_id", "rank", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
+
+
+@query("agg_combination_table_1000")
+def agg_combination_table_1000(v):
+    return rounded(an.combination_table(scores(v)))
+
+
 # ---- draws
 
 UNIT = sm.Standardizer({"rate_p2": -1.0, "rate_p3": -0.8, "sfr": 0.3, "mstar": 10.2}, {"rate_p2": 0.5, "rate_p3": 0.6, "sfr": 0.7, "mstar": 0.4})
@@ -221,6 +232,7 @@ def agg_exact_quantiles(v):
 
 
 # outputs of the job that an operator's SQL already states, some at the job's number of replicates
+SQL["agg_combination_table_1000"] = SQL["agg_combination_table"].replace("range(0, 20)", "range(0, 1000)")
 SQL["job_analyse_table"] = SQL["agg_combination_table"]
 SQL["job_analyse_gains"] = SQL["agg_modality_gains"].replace("range(0, 50)", "range(0, 20)")
 SQL["job_analyse_trend"] = SQL["win_rolling_mean"]

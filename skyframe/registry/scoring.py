@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -318,11 +319,12 @@ def feature_labels(v):
     k = F.col("source_id")
     return v.labels.withColumns({
         "f_z": F.col("redshift"), "f_s1": (k * 31 % 1009) / 400.0 + (k % 7), "f_s2": (k * 13 % 331) / 100.0, "f_i": (k * 17 % 1013) / 600.0,
-        "f_w1": (k % 17) / 40.0, "f_w2": (k * 5 % 97) / 30.0})
+        "f_w1": (k % 17) / 40.0, "f_w2": (k * 5 % 97) / 30.0, "f_i2": (k * 17 % 1013) / 600.0 + (k % 11) / 4.0, "f_w3": (k % 17) / 40.0 + (k % 5) / 3.0})
 
 
 _FEATURE_SQL = {"f_z": "redshift", "f_s1": "(source_id * 31 % 1009) / 400.0e0 + (source_id % 7)", "f_s2": "(source_id * 13 % 331) / 100.0e0",
-                "f_i": "(source_id * 17 % 1013) / 600.0e0", "f_w1": "(source_id % 17) / 40.0e0", "f_w2": "(source_id * 5 % 97) / 30.0e0"}
+                "f_i": "(source_id * 17 % 1013) / 600.0e0", "f_w1": "(source_id % 17) / 40.0e0", "f_w2": "(source_id * 5 % 97) / 30.0e0",
+                "f_i2": "(source_id * 17 % 1013) / 600.0e0 + (source_id % 11) / 4.0e0", "f_w3": "(source_id % 17) / 40.0e0 + (source_id % 5) / 3.0e0"}
 
 
 def _regression_sql(target: str, column: str, subset: str) -> str:
@@ -348,13 +350,77 @@ def _regression_sql(target: str, column: str, subset: str) -> str:
 def stat_subset_heads(v):
     labels = feature_labels(v).withColumns({"sfr": F.col("log_sfr"), "mstar": F.col("logmstar_cigale")})
     heads = linear.fit_heads(labels.filter("split = 'train'"), FEATURES, ["sfr", "mstar"])
-    return rounded(linear.score_heads(labels.filter("split = 'test'"), heads), 5, truth=9)
+    return rounded(linear.score_heads(labels.filter("split = 'test'"), heads).drop("sigma"), 5, truth=9)
 
 
-@query("job_evaluate")
+EVALUATED = {"flux": ["log_flux_1"], "lx": ["log_lx"], "sfr": ["log_sfr"], "mstar": ["logmstar_cigale"], "sfr_mstar": ["log_sfr", "logmstar_cigale"]}
+# no target is an exact combination of these, so that every deviation is well above rounding
+NOISY = {"Z": ["f_z"], "S": ["f_s1", "f_s2"], "I": ["f_i2"], "W": ["f_w2", "f_w3"]}
+_COMMON = "has_z AND has_spectrum AND has_image AND has_wise"
+
+
+def _fitted_sql(columns: list[str], subset: str) -> str:
+    """Test rows that all heads of these columns are compared on, with y0.., r0.. (residuals) and the sums s00.. of the training residuals' products."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    names = [f for m in subset for f in NOISY[m]]
+    rows = (f"(SELECT source_id, split = 'test' AND {_COMMON} AND {known} AS te, split = 'train' AND {known} AS tr, " + ", ".join(
+        f"{c} AS y{i}" for i, c in enumerate(columns)) + "".join(f", {_FEATURE_SQL[f]} AS {f}" for f in names) + " FROM v_labels)")
+
+    def over(e: str) -> str:
+        return f"sum({e}) FILTER (WHERE tr) OVER ()"
+
+    for k, f in enumerate(names):
+        parts = "".join(f" - {over(f'{f} * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(k))
+        rows = f"(SELECT *, {f} - avg({f}) FILTER (WHERE tr) OVER (){parts} AS q{k} FROM {rows})"
+    for i in range(len(columns)):
+        fit = "".join(f" + {over(f'y{i} * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(len(names)))
+        rows = f"(SELECT *, y{i} - (avg(y{i}) FILTER (WHERE tr) OVER (){fit}) AS r{i} FROM {rows})"
+    moments = ", ".join(f"avg(r{i} * r{j}) FILTER (WHERE tr) OVER () AS s{i}{j}" for i in range(len(columns)) for j in range(i, len(columns)))
+    return f"(SELECT * FROM (SELECT *, {moments} FROM {rows}) WHERE te)"
+
+
+def _prior_parts(head: str, columns: list[str]) -> str:
+    """p_<head>: log of the kernel prior in natural units at the test rows."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    train = f"t_{head} AS (SELECT {', '.join(f'{c} AS y{i}' for i, c in enumerate(columns))} FROM v_labels WHERE split = 'train' AND {known})"
+    if len(columns) == 1:
+        spread = f"h_{head} AS (SELECT count(*) AS n, stddev_samp(y0) * pow(count(*), -0.2e0) AS h FROM t_{head})"
+        gap, norm = f"-0.5e0 * pow((e.{columns[0]} - t.y0) / h, 2)", "ln(h) + 0.5e0 * ln(2 * pi())"
+    else:
+        spread = (f"h_{head} AS (SELECT *, p * r - q * q AS det FROM (SELECT count(*) AS n, var_samp(y0) * pow(count(*), -1.0e0 / 3) AS p, "
+                  f"covar_samp(y0, y1) * pow(count(*), -1.0e0 / 3) AS q, var_samp(y1) * pow(count(*), -1.0e0 / 3) AS r FROM t_{head}))")
+        a, b = f"(e.{columns[0]} - t.y0)", f"(e.{columns[1]} - t.y1)"
+        gap, norm = f"-0.5e0 * (r * {a} * {a} - 2 * q * {a} * {b} + p * {b} * {b}) / det", "0.5e0 * ln(det) + ln(2 * pi())"
+    point = (f"p_{head} AS (SELECT source_id, ln(sum(exp({gap}))) - any_value({norm} + ln(n)) AS prior FROM v_labels e, t_{head} t, h_{head} "
+             f"WHERE e.split = 'test' AND {known} AND {_COMMON} GROUP BY source_id)")
+    return f"{train}, {spread}, {point}"
+
+
+def _evaluated_sql(head: str, columns: list[str], subset: str) -> str:
+    if len(columns) == 1:
+        ll = "-0.5e0 * r0 * r0 / s00 - 0.5e0 * ln(s00) - 0.5e0 * ln(2 * pi())"
+    else:
+        ll = "-0.5e0 * (s11 * r0 * r0 - 2 * s01 * r0 * r1 + s00 * r1 * r1) / (s00 * s11 - s01 * s01) - 0.5e0 * ln(s00 * s11 - s01 * s01) - ln(2 * pi())"
+    place = {c: i for i, c in enumerate(columns)}
+    scores = ", ".join((f"round(1 - sum(r{place[c]} * r{place[c]}) / (var_pop(y{place[c]}) * count(*)), 5)" if c in place else "CAST(NULL AS DOUBLE)") + f" AS r2_{t}"
+                       for t, c in ((t, c[0]) for t, c in EVALUATED.items() if len(c) == 1))
+    return (f"SELECT '{head}' AS head, '{subset}' AS subset, count(*) AS n, round(avg({ll} - prior), 5) AS information_gain, {scores} "
+            f"FROM {_fitted_sql(columns, subset)} JOIN p_{head} USING (source_id)")
+
+
+@query("job_evaluate", "WITH " + ", ".join(_prior_parts(h, c) for h, c in EVALUATED.items()) + " " + " UNION ALL ".join(
+    _evaluated_sql(h, c, s) for h, c in EVALUATED.items() for s in sm.subset_names()))
 def job_evaluate(v):
-    done = ps.evaluate(feature_labels(v), FEATURES)
-    return done.gains().join(done.r_squared().drop("n"), ["head", "subset"], "left")
+    """Every head under every combination: gain over its kernel prior, and R2 of each of its scalar targets."""
+    return rounded(ps.evaluate(feature_labels(v), NOISY).summary(), 5)
+
+
+@query("job_evaluate_coverage", " UNION ALL ".join(
+    f"SELECT '{h}' AS head, '{t}' AS target, {level}e0 AS level, count(*) AS n, round(avg(CAST(abs(r{i}) <= {NormalDist().inv_cdf((1 + level) / 2)!r}e0 * sqrt(s{i}{i}) AS DOUBLE)), 6) AS coverage "
+    f"FROM {_fitted_sql(c, 'ZSIW')}"
+    for h, c in EVALUATED.items() for i, t in enumerate([h] if len(c) == 1 else ["sfr", "mstar"]) for level in (0.68, 0.9, 0.95)))
+def job_evaluate_coverage(v):
+    return rounded(ps.evaluate(feature_labels(v), NOISY).coverage())
 
 
 # ---- summaries of scores

@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +93,50 @@ def test_bootstrap_error_is_near_s_over_root_n(spark):
     assert rank.bootstrap_se(df.limit(1), "v", "id", replicates=10).first()["se"] is None
 
 
+def plain_weights(keys, replicates, seed):
+    through = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    u = [[int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) / 2**32 for r in range(replicates)] for k in keys]
+    return np.searchsorted(through, np.array(u).reshape(len(keys), replicates), side="right")
+
+
+def test_replicate_weights_equal_the_expression(spark):
+    rows = spark.range(40).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("w", rank.poisson_weight(7, "rep", "id"))
+    got = np.zeros((40, 25))
+    for r in rows.collect():
+        got[r["id"], r["rep"]] = r["w"]
+    assert (got == rank.replicate_weights([str(i) for i in range(40)], 25, 7)).all() and (got == plain_weights(range(40), 25, 7)).all()
+
+
+def test_bootstrap_by_groups_with_nulls_and_repeated_keys(spark):
+    rng = np.random.default_rng(6)
+    data = [(i % 70, None if i % 3 == 0 else "ab"[i % 2], i % 2, None if i % 11 == 0 else float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, g string, h int, v double").repartition(5)
+    got = {(r["g"], r["h"]): (r["n"], r["se"]) for r in rank.bootstrap_se(df, "v", "id", ["g", "h"], 60, 2).collect() if r["g"] is not None}
+    weights = plain_weights(range(70), 60, 2).astype(float)
+    for group in {(g, h) for _, g, h, _ in data if g is not None}:
+        rows = [(i, v) for i, g, h, v in data if (g, h) == group]
+        w = weights[[i for i, _ in rows]]
+        values = np.array([0.0 if v is None else v for _, v in rows])
+        assert got[group][0] == len(rows) and got[group][1] == pytest.approx((values @ w / w.sum(axis=0)).std(ddof=1), rel=1e-9)
+
+
+@pytest.mark.parametrize("n,window,block_rows", [(7, 0.9, 3), (90, 0.3, 16), (301, 0.05, 64), (300, 0.7, 50), (33, 0.1, 1)])
+def test_rolling_band_equals_resampling(spark, n, window, block_rows):
+    rng = np.random.default_rng(n)
+    y, x, replicates = rng.normal(size=n), rng.integers(0, n // 2, n).astype(float), 37
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id int, x double, y double").repartition(3)
+    got = {r["id"]: r for r in rank.rolling_band(df, "x", "y", "id", window, replicates, 5, block_rows=block_rows).collect()}
+    order, half = np.lexsort((np.arange(n), x)), rank.half_window(n, window)
+    w = plain_weights(order.tolist(), replicates, 5).astype(float)
+    assert len(got) == n
+    for k, i in enumerate(order.tolist()):
+        inside = slice(max(0, k - half), k + half + 1)
+        total = w[inside].sum(axis=0)
+        means = (y[order][inside] @ w[inside])[total > 0] / total[total > 0]
+        assert got[i]["rank"] == k
+        assert (got[i]["lo"], got[i]["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+
+
 def test_rolling_band_encloses_the_mean(spark):
     df = spark.range(300).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
     band = rank.rolling_band(df, "x", "y", "id", 0.2, 60, 1).join(rank.rolling_mean(df, "x", "y", "id", 0.2).select("id", "mean"), "id")

@@ -273,9 +273,13 @@ def test_evaluate_scores_every_head(spark):
     gains = done.gains().collect()
     assert {(r["head"], r["subset"]) for r in gains} == {(h.name, s) for h in heads for s in sm.subset_names()}
     assert all(math.isfinite(r["information_gain"]) for r in gains)
-    assert {r["head"] for r in done.r_squared().collect()} == {"sfr"}
-    for r in done.coverage().collect():
-        assert 0 <= r["coverage"] <= 1 and r["n"] > 10
+    named = {("sfr", "sfr"), ("sfr_mstar", "sfr"), ("sfr_mstar", "mstar"), ("mixed", "sfr")}
+    assert {(r["head"], r["target"]) for r in done.r_squared().collect()} == named
+    cover = done.coverage().collect()
+    assert {(r["head"], r["target"], r["level"]) for r in cover} == {(*k, level) for k in named for level in (0.68, 0.9, 0.95)}
+    assert all(0 <= r["coverage"] <= 1 and r["n"] > 10 for r in cover)
+    wide = {(r["head"], r["subset"]): r for r in done.summary().collect()}
+    assert len(wide) == 60 and wide["rate", "Z"]["r2_sfr"] is None and wide["sfr_mstar", "Z"]["r2_mstar"] is not None
     with pytest.raises(DataError, match="absent"):
         ps.evaluate(evaluation_labels(spark), BLOCKS, ScoreParams(heads=(Head("flux", ("flux",)),)))
 
@@ -293,6 +297,10 @@ def test_joint_head_equals_plain_sums(spark):
     cov = (y - x @ beta).T @ (y - x @ beta) / len(y)
     inverse, level = np.linalg.inv(cov), -math.log(2 * math.pi) - 0.5 * np.linalg.slogdet(cov)[1]
     redshift, grid = {r["source_id"]: r["redshift"] for r in rows}, np.linspace(-5, 5, 12)
+    for r in done.predictions.filter("subset = 'Z'").collect():
+        i = ["sfr", "mstar"].index(r["target"])
+        assert r["mean"] == pytest.approx((np.array([1.0, redshift[r["source_id"]]]) @ beta)[i], abs=1e-9) and r["sigma"] == pytest.approx(math.sqrt(cov[i, i]), rel=1e-9)
+        assert r["truth"] == (None if value[r["source_id"]][i] is None else pytest.approx(value[r["source_id"]][i]))
     for r in done.scores.filter("subset = 'Z'").collect():
         a, b = value[r["source_id"]]
         if a is None and b is None:
