@@ -1,14 +1,19 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank with the original vectors.
 
-The codes are fitted on a bounded sample (a parameter); every vector gets a code. A code is cut into equal substrings, one table for each; a vector
-is filed under its substrings and asks for each of them and for those one bit away. So pairs whose codes differ in up to 2 * tables - 1 bits
-always meet, others with high probability. Candidates of the same label are reranked by the cosine of the original vectors in double precision,
-so no link below the threshold is returned. Equal vectors of a label are one class with a count: copies are never expanded into pairs.
+The codes are fitted on a bounded sample (a parameter); every vector gets its codes. A code is cut into equal substrings, one table for each; a
+vector is filed under its substrings and asks for each of them and for those one bit away. So pairs whose codes differ in up to 2 * tables - 1 bits
+always meet, others with a probability that depends on how the vectors lie: where all point the same way, near ones differ in many bits. It is
+measured on the sample, with neighbours made at exactly the threshold, and further codes (other rotations) and then shorter substrings are taken
+until the measured recall reaches the target; the shortest make nearly all pairs of a label meet. Candidates of the same label are reranked by the
+cosine of the original vectors in double precision, so no link below the threshold is returned. Equal vectors of a label are one class with a count:
+copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,9 @@ BITS = 64
 TABLES = 4
 SAMPLE_ROWS = 20_000
 ROUNDS = 30
-FARTHEST = 20
+TARGET = 0.985
+MOST_CODES = 8
+NEIGHBOURS = 4000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None) -> DataFrame:
@@ -69,38 +76,99 @@ def codes_of(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.n
     return np.packbits(signs, axis=1, bitorder="little").view("<i8").ravel()
 
 
+@dataclass(frozen=True)
+class Model:
+    """Codes for vectors of one length: their mean, one projection per code, tables per code, and the code distance up to which pairs are reranked."""
+
+    mean: np.ndarray
+    projections: tuple[np.ndarray, ...]
+    tables: int
+    farthest: int
+    recall: float
+
+
+def neighbours(sample: np.ndarray, threshold: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors with exactly this cosine: rows of the sample, turned towards other rows (even places) or at random (odd places)."""
+    x = sample[rng.integers(len(sample), size=n)]
+    away = np.where((np.arange(n) % 2 == 0)[:, None], sample[rng.integers(len(sample), size=n)], rng.standard_normal((n, sample.shape[1])))
+    away = away - (away * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    away = np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0.0)
+    return x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * away
+
+
+def meets(gap: np.ndarray, tables: int) -> np.ndarray:
+    """Whether codes that differ in these bits share a bucket: some substring differs in one bit at most."""
+    width = 64 // tables
+    parts = gap.view(np.uint64)[:, None] >> (np.uint64(width) * np.arange(tables, dtype=np.uint64))
+    return (np.bitwise_count(parts & np.uint64((1 << width) - 1 if width < 64 else (1 << 64) - 1)) <= 1).any(axis=1)
+
+
+def fit_model(sample: np.ndarray, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, target: float = TARGET,
+              most_codes: int = MOST_CODES, seed: int = 7) -> Model:
+    """The cheapest of the schemes whose recall at the threshold, measured on neighbours of the sample's rows, reaches the target."""
+    if 64 % tables:
+        raise ValueError("tables must divide 64")
+    x, y = neighbours(sample, threshold, NEIGHBOURS, np.random.default_rng(seed))
+    even = np.arange(NEIGHBOURS) % 2 == 0
+    projections, gaps, best = [], [], None
+    while tables <= 16:
+        met, far = np.zeros(NEIGHBOURS, dtype=bool), 0
+        for k in range(most_codes):
+            if k == len(projections):
+                mean, projection = fit_codes(sample, bits, seed=seed + k)
+                projections.append(projection)
+                gaps.append(codes_of(x, mean, projection) ^ codes_of(y, mean, projection))
+            distance = np.bitwise_count(gaps[k].view(np.uint64))
+            far = max(far, int(np.quantile(distance, 0.9999)) + 2)
+            met |= meets(gaps[k], tables)
+            # the worse of the two kinds of neighbours counts
+            recall = min(float(met[even].mean()), float(met[~even].mean()))
+            best = Model(mean, tuple(projections[:k + 1]), tables, far, recall)
+            if recall >= target:
+                return best
+        tables *= 2
+    return best
+
+
 def near_pairs(classes: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, sample_rows: int = SAMPLE_ROWS,
-               farthest: int = FARTHEST) -> DataFrame:
+               target: float = TARGET) -> DataFrame:
     """Pairs a < b of class_id (classes: class_id, label, dim, vector) of one label with cosine >= threshold, and their cosine.
 
-    `sample_rows` bounds the rows that fit the codes, taken in the order of a hash of their ids. `farthest` is the code distance beyond which
-    a candidate isn't reranked: for cosine 0.98 and 64 bits about four differ, more than 20 practically never.
+    `sample_rows` bounds the rows that fit the codes, taken in the order of a hash of their ids. `target` is the recall at the threshold that the
+    scheme of tables must reach on neighbours of these rows; pairs above the threshold are nearer and meet more often.
     """
-    if 64 % tables:
-        raise ValueError("tables must divide 64")
     kinds = [r["dim"] for r in classes.select("dim").distinct().collect()]
-    models = {}
+    models: dict[int, Model] = {}
     for dim in kinds:
         picked = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("class_id"), "class_id").limit(sample_rows).select("vector").toArrow()
-        models[dim] = fit_codes(matrix(picked.column(0).combine_chunks()), bits)
+        models[dim] = fit_model(matrix(picked.column(0).combine_chunks()), threshold, bits, tables, target)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(2).to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == dim))
-                codes = codes_of(matrix(part.column(3)), *models[dim])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(codes)], names=["class_id", "label", "dim", "code"])
-
-    coded = settle(classes.select("class_id", "label", "dim", "vector").mapInArrow(encode, "class_id long, label string, dim int, code long"))
-    width = 64 // tables
-    parts = [F.shiftrightunsigned("code", width * t).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for t in range(tables)]
-    filed = coded.select("class_id", "label", "dim", "code", F.posexplode(F.array(*parts)).alias("slot", "part"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+                part, model = batch.filter(pa.array(sizes == dim)), models[dim]
+                rows = matrix(part.column(3))
+                for k, projection in enumerate(model.projections):
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), part.column(2), pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.full(n, model.tables, dtype=np.int32)),
+                         pa.array(np.full(n, model.farthest, dtype=np.int32)), pa.array(codes_of(rows, model.mean, projection))],
+                        names=["class_id", "label", "dim", "nth", "tables", "farthest", "code"])
+
+    coded = settle(classes.select("class_id", "label", "dim", "vector").mapInArrow(
+        encode, "class_id long, label string, dim int, nth int, tables int, farthest int, code long"))
+    filed = coded.select("class_id", "label", "dim", "farthest", "code", "nth", F.expr("64 DIV tables").cast("int").alias("width"),
+                         F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("table"))
+    part = F.expr("shiftrightunsigned(code, width * table) & (shiftleft(1L, width) - 1L)")  # a width of 64 gives -1, all bits
+    filed = filed.select("class_id", "label", "dim", "farthest", "code", "width", (F.col("nth") * 64 + F.col("table")).alias("slot"),
+                         F.when(F.col("width") == 64, F.col("code")).otherwise(part).alias("part"))
+    flips = F.transform(F.sequence(F.lit(-1), F.col("width") - 1), lambda i: F.when(i < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     asks = filed.select(F.col("class_id").alias("b"), "label", "dim", F.col("code").alias("code_b"), "slot", "part", F.explode(flips).alias("flip"))
     asks = asks.select("b", "label", "dim", "code_b", "slot", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
     near = filed.withColumnRenamed("class_id", "a").join(asks, ["label", "dim", "slot", "part"]).filter("a < b")
-    near = near.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= farthest).select("a", "b").distinct()
+    near = near.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= F.col("farthest")).select("a", "b").distinct()
     vectors = classes.select("class_id", "vector")
     both = near.join(vectors.withColumnRenamed("class_id", "a").withColumnRenamed("vector", "va"), "a")
     both = both.join(vectors.withColumnRenamed("class_id", "b").withColumnRenamed("vector", "vb"), "b").select("a", "b", "va", "vb")

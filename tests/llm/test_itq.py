@@ -1,8 +1,9 @@
 """Embedding near-duplicates against all pairs."""
 
 import numpy as np
+import pytest
 
-from skyframe.llm.itq import fit_codes, codes_of, near_duplicates
+from skyframe.llm.itq import codes_of, fit_codes, fit_model, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, code string"
 
@@ -64,6 +65,38 @@ def test_recall_on_borderline_pairs(spark):
     assert found >= 0.97, found
 
 
+@pytest.mark.parametrize("common", [0.0, 0.7, 0.9])
+def test_recall_where_vectors_point_the_same_way(spark, common):
+    """Vectors of mean cosine `common`, each with a partner at 0.981: links found over all links."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((900, 64)) / 8 * np.sqrt(1 - common)
+    base[:, 0] += np.sqrt(common)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((900, 64))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    rows = np.concatenate([base, 0.981 * base + np.sqrt(1 - 0.981**2) * away]).astype(np.float32)
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum() - len(rows)
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int"))
+    found = sum(r["n_links"] for r in got.collect())
+    assert links >= 1800 and 0.95 * links <= found <= links, (found, links)
+
+
+def test_the_scheme_follows_from_measured_recall():
+    rng = np.random.default_rng(5)
+    schemes = []
+    for common in (0.0, 0.8, 0.95):
+        x = rng.standard_normal((3000, 32)) / np.sqrt(32) * np.sqrt(1 - common)
+        x[:, 0] += np.sqrt(common)
+        model = fit_model(x / np.linalg.norm(x, axis=1, keepdims=True))
+        assert model.recall >= 0.985
+        schemes.append((model.tables, len(model.projections)))
+    assert schemes == sorted(schemes) and schemes[0] == (4, 1)
+    same = fit_model(np.ones((5, 8)) / np.sqrt(8))
+    assert 0 <= same.recall <= 1
+
+
 def test_codes_are_balanced_and_close():
     rng = np.random.default_rng(3)
     rows = rng.standard_normal((2000, 48)) @ np.diag(np.linspace(3, 0.5, 48))
