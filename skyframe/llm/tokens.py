@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyframe.session import settle
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKET = 1024
 
@@ -55,6 +57,7 @@ def suffix_sums(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     most n_tokens) and tokens_kept (all tokens if every document is cut at n_tokens)."""
     names = [f"`{k}`" for k in keys]
     tokens = F.col("n_tokens") * F.col("docs")
+    counts = settle(counts)  # read twice below; texts are encoded once
     wide = counts.withColumn("length_bucket", F.floor(F.col("n_tokens") / BUCKET))
     sums = wide.groupBy(*names, "length_bucket").agg(F.sum("docs").alias("bucket_docs"), F.sum(tokens).alias("bucket_tokens"))
     above = Window.partitionBy(*names).orderBy(F.col("length_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
