@@ -136,8 +136,8 @@ class Vocabulary:
             part /= np.repeat(sums, np.diff(np.append(own, hi - lo)))
             share[lo:hi] = part
             forward[end[cuts[first:last]]] = sums
-            if sums.min() < 1e-250:
-                self._raise(forward, end[cuts[first:last]], place)
+            if sums.min() < 1e-250 or sums.max() > 1e250:
+                self._rescale(forward, end[cuts[first:last]], place)
         order = np.argsort(end, kind="stable")
         start, end, name, share, begins = start[order], end[order], name[order], share[order], begins[order]
         cuts = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
@@ -147,9 +147,9 @@ class Vocabulary:
         bounds[np.append(cuts[1:], len(end)) - 1] = end[np.append(cuts[1:], len(end)) - 1] + 1.0
         return bounds, np.where(begins, -1, start - 1), name, after
 
-    def _raise(self, forward: np.ndarray, at: np.ndarray, place: np.ndarray) -> None:
-        """Scale up the last forward sums of long units before they get too small: only ratios within the reach of a piece matter."""
-        for i in at[forward[at] < 1e-200].tolist():
+    def _rescale(self, forward: np.ndarray, at: np.ndarray, place: np.ndarray) -> None:
+        """Scale the last forward sums of long units before they get too small or too large: only ratios within the reach of a piece matter."""
+        for i in at[(forward[at] < 1e-200) | (forward[at] > 1e200)].tolist():
             forward[i - min(int(place[i]), self.longest):i + 1] /= forward[i]
 
 

@@ -68,3 +68,11 @@ def test_same_row_same_pieces_in_any_partitioning(spark):
 
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], SCHEMA), keep=True).count() == 0
+
+
+@pytest.mark.parametrize("sharpness", [0.0, 0.2, 3.0])
+def test_long_units_at_any_sharpness(sharpness):
+    words = vocabulary(sharpness=sharpness)
+    for text in ("ab" * 3000, "xyz" * 2500 + " end", "a" * 5000):
+        ids, offsets = sample([text], [row_key(1)], words)
+        assert decode(ids.tolist(), words) == text and offsets.tolist() == [0, len(ids)]
