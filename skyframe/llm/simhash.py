@@ -186,9 +186,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, once. Rows without an id stay; they can't name a copy."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,8 +219,10 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
     at = chain.categories.index(category)
     place = {w: i for i, w in enumerate(chain.words)}
 
-    @F.udf("boolean", useArrow=True)
-    def stays(text):
-        return bool(chain.probabilities(features_of(text, place)[None, :])[0, at] <= most)
+    @F.pandas_udf("boolean")
+    def stays(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype=bool)
+        return pd.Series(chain.probabilities(np.array([features_of(t, place) for t in texts]))[:, at] <= most)
 
     return docs.filter(stays(F.col(text_col)))
