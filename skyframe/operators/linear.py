@@ -64,6 +64,34 @@ def gram(train: DataFrame, features: Sequence[str], targets: Sequence[str]) -> d
     return _product_sums(train, features, {t: [t] for t in targets})
 
 
+def gram_by_part(rows: DataFrame, part: str, features: Sequence[str], targets: Sequence[str]) -> dict[int, dict[str, np.ndarray]]:
+    """`gram` of every part (a whole-number column of few values) in one pass over the rows; matrices of parts add up."""
+    width = 2 + len(features)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, str], np.ndarray] = {}
+        for pdf in batches:
+            x, parts = pdf[list(features)].to_numpy(float), pdf[part].to_numpy()
+            for t in targets:
+                y = pdf[t].to_numpy(float)
+                known = np.isfinite(y) & np.isfinite(x).all(axis=1)
+                for p in np.unique(parts[known]).tolist():
+                    some = known & (parts == p)
+                    block = np.column_stack([np.ones(some.sum()), x[some], y[some]])
+                    total[p, t] = total.get((p, t), 0.0) + block.T @ block
+        for (p, t), matrix in total.items():
+            yield pd.DataFrame({"part": p, "target": t, "at": np.arange(width * width), "value": matrix.ravel()})
+
+    sums = rows.select(F.col(part).cast("int").alias(part), *features, *targets).filter(F.col(part).isNotNull()).mapInPandas(
+        add_up, "part int, target string, at int, value double")
+    out: dict[int, dict[str, np.ndarray]] = {}
+    for (p, t), found in sums.groupBy("part", "target", "at").agg(F.sum("value").alias("value")).toPandas().groupby(["part", "target"]):
+        flat = np.zeros(width * width)
+        flat[found["at"].to_numpy()] = found["value"].to_numpy()
+        out.setdefault(int(p), {})[t] = flat.reshape(width, width)
+    return out
+
+
 @dataclass(frozen=True)
 class JointHead:
     """Several targets, normal around their regressions with the covariance of the residuals. One row of coefficients per target."""
@@ -135,10 +163,16 @@ def score_heads(rows: DataFrame, heads: Sequence[LinearHead], key: str = "source
 
     The coefficients form one literal table that each row walks; absent features have coefficient 0.
     """
-    features = sorted({f for h in heads for f in h.features})
-    targets = sorted({h.target for h in heads})
-    table = [{"head": h.target, "subset": h.subset, "target": targets.index(h.target), "intercept": h.intercept, "sigma": h.sigma,
-              "beta": [dict(zip(h.features, h.coefficients)).get(f, 0.0) for f in features]} for h in heads]
+    return score_heads_by_part(rows.withColumn("_part", F.lit(0)), {0: heads}, "_part", key, keep).drop("_part")
+
+
+def score_heads_by_part(rows: DataFrame, heads_of: dict[int, Sequence[LinearHead]], part: str, key: str = "source_id", keep: Sequence[str] = ()) -> DataFrame:
+    """As `score_heads`, with (key, keep..., part, ...): each row under the heads of its own part (from 0)."""
+    every = [h for p in sorted(heads_of) for h in heads_of[p]]
+    features = sorted({f for h in every for f in h.features})
+    targets = sorted({h.target for h in every})
+    tables = [[{"head": h.target, "subset": h.subset, "target": targets.index(h.target), "intercept": h.intercept, "sigma": h.sigma,
+              "beta": [dict(zip(h.features, h.coefficients)).get(f, 0.0) for f in features]} for h in heads_of[p]] for p in sorted(heads_of)]
     held = computed_once(rows, {"_x": F.array(*[F.col(f).cast("double") for f in features]),
                                 "_y": F.array(*[F.col(t).cast("double") for t in targets])})
 
@@ -147,10 +181,11 @@ def score_heads(rows: DataFrame, heads: Sequence[LinearHead], key: str = "source
         return F.struct(h["head"].alias("head"), h["subset"].alias("subset"), h["sigma"].alias("sigma"), mean.alias("mean"),
                         F.get("_y", h["target"]).alias("truth"))
 
-    out = held.select(key, *keep, F.explode(F.transform(F.from_json(F.lit(json.dumps(table)), HEADS_TYPE), score)).alias("_e"))
+    own = F.get(F.from_json(F.lit(json.dumps(tables)), f"array<{HEADS_TYPE}>"), F.col(part))
+    out = held.select(key, *keep, part, F.explode(F.transform(own, score)).alias("_e"))
     t = (F.col("_e.truth") - F.col("_e.mean")) / F.col("_e.sigma")
     ll = -0.5 * t * t - F.ln("_e.sigma") - 0.5 * math.log(2 * math.pi)
-    return out.select(key, *keep, "_e.head", "_e.subset", ll.alias("ll"), "_e.mean", "_e.truth", "_e.sigma")
+    return out.select(key, *keep, part, "_e.head", "_e.subset", ll.alias("ll"), "_e.mean", "_e.truth", "_e.sigma")
 
 
 def image_features(image: Column | str, size: int, bands: str = "griz") -> dict[str, Column]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,29 @@ def fold_scores(labels: DataFrame, blocks: dict[str, Sequence[str]], flagged: Co
     return reduce(DataFrame.unionByName, parts)
 
 
+def fold_predictions(labels: DataFrame, blocks: dict[str, Sequence[str]], flagged: Column, targets: Sequence[str], folds: int = 5,
+                     subsets: Sequence[str] | None = None) -> DataFrame:
+    """(source_id, fold, head, subset, ll, mean, truth, sigma): every row under linear heads fitted on the training rows of the fold that tests it.
+
+    `labels` carries `block` (0 to 9) and numeric columns named like the targets, in whose own units all is given. Products of features and targets are
+    added up per block in one pass, and each fold's sums are those of its training blocks, so all folds cost one scan. Flagged rows are tested but
+    never learned from. Rows without a block take no part.
+    """
+    features = [c for names in blocks.values() for c in names]
+    sums = linear.gram_by_part(labels.filter(~F.coalesce(flagged, F.lit(False))), "block", features, targets)
+    width = 10 // folds
+    heads: dict[int, list[linear.LinearHead]] = {}
+    for fold in range(folds):
+        tested = range(fold * width, (fold + 1) * width)
+        learned = [sums[b] for b in sums if b not in tested and b != (fold * width + width) % 10]
+        heads[fold] = []
+        for t in targets:
+            matrix = sum((m[t] for m in learned if t in m), np.zeros((2 + len(features), 2 + len(features))))
+            heads[fold] += [linear.fit_head(matrix, features, [c for m in s for c in blocks[m]], t, s) for s in (subsets or sm.subset_names())]
+    placed = labels.filter(F.col("block").isNotNull()).withColumn("fold", F.floor(F.col("block") / width).cast("int"))
+    return linear.score_heads_by_part(placed, heads, "fold")
+
+
 @dataclass
 class Analysis:
     table: DataFrame

@@ -133,6 +133,11 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     CASE WHEN k % 51 = 0 THEN NULL ELSE k * 13 % 45 END AS ape_cts_p3, (k * 11 % 40) / 10.0e0 AS ape_bkg_p3,
     90.0e0 + k % 23 AS ape_exp_p3
   FROM (SELECT o_orderkey AS k, o_totalprice AS price FROM {{orders}})""",
+    # measured fluxes of four lines, one row per source
+    "v_line_fluxes": """
+  SELECT o_orderkey AS source_id, o_totalprice / 50000.0e0 + (o_orderkey * 31 % 1009) / 300.0e0 AS flux_a, (o_orderkey * 7 % 613) / 200.0e0 AS flux_b,
+    (o_orderkey * 31 % 1009) / 500.0e0 + (o_orderkey % 11) / 3.0e0 AS flux_c, (o_orderkey * 29 % 751) / 250.0e0 - 1.0e0 AS flux_d
+  FROM {orders}""",
     # posterior draws: one row per draw
     "v_draws": """
   SELECT l_suppkey AS source_id, l_quantity / 50.0e0 - 0.5e0 AS u0, l_extendedprice / 50000.0e0 - 1.0e0 AS u1,

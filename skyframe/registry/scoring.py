@@ -300,18 +300,6 @@ def stat_specific_rate(v):
     return rounded(specific_rates(v).drop("s"), 5)
 
 
-@query("stat_line_baseline", """
-WITH t AS (SELECT regr_slope(log_sfr, redshift) AS b, regr_intercept(log_sfr, redshift) AS a, count(log_sfr) AS n FROM v_labels WHERE split = 'train'),
-s AS (SELECT sqrt(avg(pow(log_sfr - a - b * redshift, 2))) AS sigma FROM v_labels, t WHERE split = 'train' AND log_sfr IS NOT NULL)
-SELECT source_id, round(a + b * redshift, 6) AS mean, round(-0.5e0 * pow((log_sfr - a - b * redshift) / sigma, 2) - ln(sigma) - 0.5e0 * ln(2 * pi()), 6) AS ll
-FROM v_labels, t, s WHERE split = 'test'""")
-def stat_line_baseline(v):
-    named = v.labels.withColumn("sfr", F.col("log_sfr"))
-    heads = linear.fit_heads(named.filter("split = 'train'"), {"Z": ["redshift"]}, ["sfr"], ["Z"])
-    out = linear.score_heads(named.filter("split = 'test'"), heads)
-    return out.select("source_id", F.round("mean", 6).alias("mean"), F.round("ll", 6).alias("ll"))
-
-
 FEATURES = {"Z": ["f_z"], "S": ["f_s1", "f_s2"], "I": ["f_i"], "W": ["f_w1", "f_w2"]}
 
 
@@ -408,6 +396,59 @@ def _evaluated_sql(head: str, columns: list[str], subset: str) -> str:
             f"FROM {_fitted_sql(columns, subset)} JOIN p_{head} USING (source_id)")
 
 
+LINES = ["flux_a", "flux_b", "flux_c", "flux_d"]
+
+
+def _least_squares_sql(rows: str, names: list[str], group: str = "") -> str:
+    """rows (with tr, y and the named features) and mean, sigma of the regression on them; with `group`, one regression per value of it."""
+    window = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+
+    def over(e: str) -> str:
+        return f"sum({e}) FILTER (WHERE tr) {window}"
+
+    for k, f in enumerate(names):
+        parts = "".join(f" - {over(f'{f} * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(k))
+        rows = f"(SELECT *, {f} - avg({f}) FILTER (WHERE tr) {window}{parts} AS q{k} FROM {rows})"
+    fit = "".join(f" + {over(f'y * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(len(names)))
+    rows = f"(SELECT *, avg(y) FILTER (WHERE tr) {window}{fit} AS mean FROM {rows})"
+    return f"(SELECT *, sqrt(avg(pow(y - mean, 2)) FILTER (WHERE tr) {window}) AS sigma FROM {rows})"
+
+
+_LL = "-0.5e0 * pow((y - mean) / sigma, 2) - ln(sigma) - 0.5e0 * ln(2 * pi())"
+_WITH_LINES = (f"(SELECT source_id, split = 'test' AS te, split = 'train' AND log_sfr IS NOT NULL AS tr, log_sfr AS y, {_COMMON} AND log_sfr IS NOT NULL AS common, "
+               f"{', '.join(LINES)} FROM v_labels JOIN v_line_fluxes USING (source_id))")
+
+
+@query("stat_line_baseline", f"""
+WITH z AS (SELECT avg(log_sfr) AS m, stddev_pop(log_sfr) AS s FROM v_labels WHERE split = 'train'), {_prior_parts("sfr", ["log_sfr"])}
+SELECT source_id, round({_LL} + ln(s), 5) AS ll, round((mean - m) / s, 5) AS mean, round((y - m) / s, 6) AS truth,
+  CASE WHEN common THEN round(prior + ln(s), 5) END AS prior, common FROM {_least_squares_sql(_WITH_LINES, LINES)} CROSS JOIN z LEFT JOIN p_sfr USING (source_id) WHERE te""")
+def stat_line_baseline(v):
+    """A head on four looked-up line fluxes alone, beside the kernel prior."""
+    standardizer = sm.fit_standardizer(v.labels, ["sfr"])
+    prior = sc.fit_prior(v.labels, Head("sfr", ("sfr",)), standardizer)
+    out = ps.line_baseline(v.labels, v.line_fluxes, LINES, "sfr", standardizer, prior)
+    out = out.withColumn("prior", F.when(F.col("common"), F.col("prior")))
+    return rounded(out.select("source_id", "ll", "mean", "truth", "prior", "common"), 5, truth=6)
+
+
+def _fold_sql(target: str, column: str) -> str:
+    rows = (f"(SELECT *, fold = CAST(floor(block / 2) AS INT) AS te, y IS NOT NULL AND NOT held AND CAST(floor(block / 2) AS INT) <> fold AND block <> (fold * 2 + 2) % 10 AS tr "
+            f"FROM (SELECT source_id, {column} AS y, source_id * 7 % 10 AS block, source_id % 13 = 0 AS held, {', '.join(LINES)}, unnest(range(0, 5)) AS fold "
+            f"FROM v_labels JOIN v_line_fluxes USING (source_id)))")
+    return (f"SELECT source_id, CAST(fold AS INT) AS fold, '{target}' AS head, 'L' AS subset, round({_LL}, 5) AS ll, round(mean, 5) AS mean, round(y, 9) AS truth "
+            f"FROM {_least_squares_sql(rows, LINES, 'fold')} WHERE te")
+
+
+@query("job_fold_scores", " UNION ALL ".join(_fold_sql(t, c) for t, c in (("sfr", "log_sfr"), ("mstar", "logmstar_cigale"))))
+def job_fold_scores(v):
+    """Every source under heads on its line fluxes from the fold that tests it; flagged sources are not learned from."""
+    k = F.col("source_id")
+    rows = v.labels.join(v.line_fluxes, "source_id").withColumns({"block": (k * 7 % 10).cast("int"), "sfr": F.col("log_sfr"), "mstar": F.col("logmstar_cigale")})
+    out = ps.fold_predictions(rows, {"L": LINES}, k % 13 == 0, ["sfr", "mstar"], subsets=["L"])
+    return rounded(out.drop("sigma"), 5, truth=9)
+
+
 @query("job_evaluate", "WITH " + ", ".join(_prior_parts(h, c) for h, c in EVALUATED.items()) + " " + " UNION ALL ".join(
     _evaluated_sql(h, c, s) for h, c in EVALUATED.items() for s in sm.subset_names()))
 def job_evaluate(v):

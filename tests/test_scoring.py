@@ -328,6 +328,25 @@ def test_line_baseline_and_fold_scores(spark):
     assert counts == {f: 48 for f in range(5)}
 
 
+def test_fold_predictions_equal_plain_fits(spark):
+    rng = np.random.default_rng(12)
+    x, y, n = rng.normal(size=(400, 2)), rng.normal(size=400), 400
+    y += x @ [0.5, -1.0]
+    rows = [(i, int(rng.integers(10)), float(x[i, 0]), float(x[i, 1]), None if i % 17 == 0 else float(y[i]), i % 7 == 0) for i in range(n)] + [(n, None, 0.0, 0.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "source_id int, block int, fa double, fb double, t double, held boolean").repartition(4)
+    got = {(r["source_id"], r["subset"]): r for r in ps.fold_predictions(df, {"Z": ["fa"], "S": ["fb"]}, F.col("held"), ["t"], subsets=["Z", "ZS"]).collect()}
+    assert len(got) == 2 * n
+    for fold in range(5):
+        learned = [r for r in rows[:n] if r[1] // 2 != fold and r[1] != (2 * fold + 2) % 10 and r[4] is not None and not r[5]]
+        for subset, width in (("Z", 1), ("ZS", 2)):
+            design = np.array([[1.0, *r[2:2 + width]] for r in learned])
+            beta = np.linalg.lstsq(design, np.array([r[4] for r in learned]), rcond=None)[0]
+            sigma = math.sqrt(np.mean((np.array([r[4] for r in learned]) - design @ beta) ** 2))
+            for r in (r for r in rows[:n] if r[1] // 2 == fold):
+                out = got[r[0], subset]
+                assert out["fold"] == fold and out["mean"] == pytest.approx(np.array([1.0, *r[2:2 + width]]) @ beta, abs=1e-9) and out["sigma"] == pytest.approx(sigma)
+
+
 def test_specific_rate_gain(spark):
     rows = spark.createDataFrame([(-1.0, -2.0), (-3.0, -3.5), (None, -1.0)], "log_p_joint double, log_p_independent double")
     got = sc.specific_rate_gain(rows).first()
