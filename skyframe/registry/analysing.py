@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.operators import analysis as an
@@ -202,6 +204,26 @@ def job_analyse_trend(v):
     return analysed(v).trends["S"].withColumn("mean", F.round("mean", 9))
 
 
+_TRENDS = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_rolling_sql('wide', 'redshift', m.lower(), 'source_id')} SELECT '{m}' AS modality, k AS source_id, rank, round(mean + 1.0e-10, 7) AS mean FROM roll)" for m in "SIW")
+
+
+@query("job_analyse_trends")
+def job_analyse_trends(v):
+    done = analysed(v)
+    parts = [df.select(F.lit(m).alias("modality"), "source_id", "rank", F.round(F.col("mean") + 1e-10, 7).alias("mean")) for m, df in done.trends.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("job_analyse_bands")
+def job_analyse_bands(v):
+    """The bands of all modalities at the job's own number of replicates."""
+    done = ps.analyse(scores(v), v.draws, v.draw_sources.drop("truth"), UNIT, "lx")
+    parts = [df.select(F.lit(m).alias("modality"), "source_id", "rank", F.round(F.col("lo") + 1e-10, 7).alias("lo"), F.round(F.col("hi") + 1e-10, 7).alias("hi"))
+             for m, df in done.bands.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("job_analyse_band", f"""
 WITH {GAINS}, h AS (SELECT {_HALF.format(t="wide")} AS half, count(*) AS n FROM wide),
 r AS (SELECT source_id, redshift, s AS value, row_number() OVER (ORDER BY redshift, source_id) AS rank FROM wide),
@@ -231,6 +253,11 @@ def agg_exact_quantiles(v):
     return rounded(rank.exact_quantiles(v.table("lineitem"), "l_extendedprice", [0.16, 0.5, 0.99])).withColumn("n", F.col("n").cast("long"))
 
 
+_BAND = SQL["job_analyse_band"][SQL["job_analyse_band"].index("h AS (SELECT greatest"):].replace("range(0, 20)", "range(0, 1000)")
+_CHEAD = SQL["job_analyse_band"][:SQL["job_analyse_band"].index("h AS (SELECT greatest")].rstrip().rstrip(",")
+SQL["job_analyse_bands"] = f"{_CHEAD} " + " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_BAND.replace('s AS value', f'{m.lower()} AS value').replace('SELECT source_id, rank - 1', f'SELECT {chr(39)}{m}{chr(39)} AS modality, source_id, rank - 1')})" for m in "SIW")
+SQL["job_analyse_trends"] = f"{_CHEAD} {_TRENDS}"
 # outputs of the job that an operator's SQL already states, some at the job's number of replicates
 SQL["agg_combination_table_1000"] = SQL["agg_combination_table"].replace("range(0, 20)", "range(0, 1000)")
 SQL["job_analyse_table"] = SQL["agg_combination_table"]

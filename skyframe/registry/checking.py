@@ -83,6 +83,27 @@ def snk_sorted_parquet(v):
     return v.spark.read.parquet(path)
 
 
+@query("snk_sorted_positions", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity) - 1 AS position
+FROM lineitem""")
+def snk_sorted_positions(v):
+    """Where each row stands in the sorted files."""
+    path, keys = stage_path(v.spark, "lineitem"), ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
+    sinks.write_sorted(v.table("lineitem").select(*keys), path, *keys)
+    return sinks.read_positions(v.spark, path)
+
+
+@query("src_listing_values", "SELECT n_regionkey, 1 AS files, count(*) AS rows FROM nation GROUP BY n_regionkey")
+def src_listing_values(v):
+    """The folders of a partitioned table as its listing shows them, beside the rows that are read from the listed files."""
+    path = stage_path(v.spark, "nation")
+    v.table("nation").repartition("n_regionkey").write.partitionBy("n_regionkey").parquet(path)
+    folder = F.regexp_extract("path", r"n_regionkey=(-?\d+)/", 1).cast("int")
+    files = catalog.listing(v.spark, path, "*.parquet").filter("length > 0")
+    listed = files.groupBy(folder.alias("n_regionkey")).agg(F.count(F.lit(1)).cast("int").alias("files"))
+    return listed.join(v.spark.read.parquet(path).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("rows")), "n_regionkey")
+
+
 @query("snk_csv", "SELECT targetid, split_source, has_z, spectype, redshift FROM v_sample")
 def snk_csv(v):
     path = stage_path(v.spark, "sample")

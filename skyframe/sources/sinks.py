@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import is_finite
@@ -15,6 +15,18 @@ def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
     df.orderBy(*keys).write.mode("overwrite").parquet(path)
 
 
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """The rows of Parquet files with their 0-based place in them: files in the order of their names, rows as they are stored.
+
+    Only one row per file is numbered in one task; every other row's place is its index in its file plus the rows of the files before.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_index")).drop("_file", "_index", "_start")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; array and map columns are left out."""
     flat = [name for name, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]

@@ -127,3 +127,9 @@ def test_stage_tables_of_a_run_can_be_dropped(spark):
     folder = session.run_folder(other)
     assert written.count() == 10 and os.path.isdir(folder) and folder != session.run_folder(spark)
     assert session.drop_stages(other) and not os.path.isdir(folder)
+
+
+def test_positions_follow_the_sorted_files(spark, tmp_path):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k int, v int").repartition(4)
+    sinks.write_sorted(df, f"{tmp_path}/sorted", "k")
+    assert sorted((r["position"], r["k"]) for r in sinks.read_positions(spark, f"{tmp_path}/sorted").collect()) == [(k, k) for k in range(101)]
