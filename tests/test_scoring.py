@@ -77,6 +77,21 @@ def test_near_blocks_hold_what_matters(spark):
         assert np.allclose(got, brute_kde(x[:, None], points, 0.2), atol=max(2e-6, 2 * tolerance))
 
 
+def test_kde_in_four_dimensions_meets_by_the_tree(spark):
+    """Many blocks on both sides, some points far out: a sample of points against all kernels, and no product of all pairs in the plan."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30_000, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0, 0.3], [0, 0, 1, 0], [0, 0, 0.2, 2]])
+    points = np.concatenate([rng.uniform(-4, 4, size=(9_000, 4)), rng.uniform(-30, 30, size=(40, 4))])
+    names = ["a", "b", "c", "d"]
+    kde = dn.GaussianKDE.fit(table(spark, x, names), names)
+    assert kde.size > 6
+    scored = kde.scored(table(spark, points, names), [F.col(c) for c in names], "lp")
+    assert "CartesianProduct" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["lp"] for r in scored.collect()}
+    some = [*range(0, 9_000, 100), *range(9_000, 9_040, 4)]
+    assert len(got) == 9_040 and np.allclose([got[i] for i in some], brute_kde(x, points[some]), atol=2e-6)
+
+
 def test_kde_needs_rows(spark):
     with pytest.raises(DataError):
         dn.GaussianKDE.fit(table(spark, np.zeros((1, 1)), ["a"]), ["a"])
