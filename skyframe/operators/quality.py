@@ -13,6 +13,7 @@ from skyframe.functions.labels import has_redshift
 from skyframe.functions.spectra import all_finite, any_nonzero
 from skyframe.operators.sample import cut_points
 from skyframe.params import COUNTED_LABELS, IMAGE_BANDS, Grid, SplitParams
+from skyframe.session import settle
 
 # The columns and types of a staged split.
 STAGED_CONTRACT = {
@@ -59,14 +60,25 @@ def check_files(statuses: DataFrame) -> DataFrame:
 
 def check_schema(staged: DataFrame, grid: Grid, size: int, contract: dict[str, str] = STAGED_CONTRACT) -> DataFrame:
     """Exact columns and types, and array lengths of every row."""
+    problems = contract_problems(staged, contract)
+    return fact(staged.sparkSession, "schema", problems) if problems else verdict("schema", staged.agg(*_named(_shape_counts(grid, size))))
+
+
+def contract_problems(staged: DataFrame, contract: dict[str, str] = STAGED_CONTRACT) -> list[str]:
+    """What the columns and types of a staged table lack or have too many of; no row is read."""
     have = {n: k for n, k in staged.dtypes if n not in PLACEMENT}
     problems = [f"column {n}" for n in sorted(set(have) ^ set(contract))]
-    problems += [f"{n} is {have[n]}, not {k}" for n, k in contract.items() if n in have and have[n] != k]
-    if problems:
-        return fact(staged.sparkSession, "schema", problems)
-    wrong = F.size("spectra") != grid.nbin, F.size("spectra_ivar") != grid.nbin, F.size("image_flux") != len(IMAGE_BANDS) * size * size
-    return verdict("schema", staged.agg(*[F.count_if(F.coalesce(w, F.lit(True))).alias(n) for n, w in
-                                          zip(("spectra_shape", "ivar_shape", "image_shape"), wrong)]))
+    return problems + [f"{n} is {have[n]}, not {k}" for n, k in contract.items() if n in have and have[n] != k]
+
+
+def _named(counts: dict[str, Column], prefix: str = "") -> list[Column]:
+    return [c.alias(prefix + n) for n, c in counts.items()]
+
+
+def _shape_counts(grid: Grid, size: int) -> dict[str, Column]:
+    wrong = {"spectra_shape": F.size("spectra") != grid.nbin, "ivar_shape": F.size("spectra_ivar") != grid.nbin,
+             "image_shape": F.size("image_flux") != len(IMAGE_BANDS) * size * size}
+    return {n: F.count_if(F.coalesce(w, F.lit(True))) for n, w in wrong.items()}
 
 
 def check_targetids(staged: DataFrame, split_table: DataFrame) -> DataFrame:
@@ -83,23 +95,38 @@ def check_targetids(staged: DataFrame, split_table: DataFrame) -> DataFrame:
 
 def check_split_sizes(staged: DataFrame, params: SplitParams = SplitParams()) -> DataFrame:
     """Sizes within one row of the rounded cumulative fractions."""
-    sizes = staged.agg(F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in params.names])
+    return verdict("split_sizes", staged.agg(*_split_counts(params)).select(*_sizes_off(params)))
+
+
+def _split_counts(params: SplitParams) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in params.names]]
+
+
+def _sizes_off(params: SplitParams) -> list[Column]:
     edges = [F.lit(0).cast("long"), *cut_points(params.fractions, F.col("_total")), F.col("_total")]
-    off = [F.when(F.abs(F.col(f"_{s}") - (hi - lo)) > 1, 1).otherwise(0).alias(s) for s, lo, hi in zip(params.names, edges, edges[1:])]
-    return verdict("split_sizes", sizes.select(*off))
+    return [F.when(F.abs(F.col(f"_{s}") - (hi - lo)) > 1, 1).otherwise(0).alias(s) for s, lo, hi in zip(params.names, edges, edges[1:])]
+
+
+def with_manifest(staged: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Staged rows beside what the manifest's sample rows say of them, in columns that begin with an underscore."""
+    sample = manifest.filter("in_sample").select("targetid", F.col("split").alias("_split"), F.col("has_z").alias("_has_z"), F.col("has_wise").alias("_has_wise"),
+                                                 F.col("z").cast("float").alias("_z"), F.col("zwarn").alias("_zwarn"))
+    return staged.join(sample, "targetid", "left")
 
 
 def check_manifest_agreement(staged: DataFrame, manifest: DataFrame) -> DataFrame:
     """Split, flags and redshift equal to the manifest's sample rows."""
-    sample = manifest.filter("in_sample").select("targetid", F.col("split").alias("_split"), F.col("has_z").alias("_has_z"),
-                                                 F.col("has_wise").alias("_has_wise"), F.col("z").cast("float").alias("_z"))
-    joined = staged.select("targetid", "split", "has_z", "has_wise", "redshift").join(sample, "targetid", "left")
+    return verdict("manifest_agreement", with_manifest(staged, manifest).agg(*_named(_agreement_counts())))
+
+
+def _agreement_counts() -> dict[str, Column]:
     known = F.col("_split").isNotNull()
+
     def differs(a: str, b: str) -> Column:
-        return known & ~F.col(a).eqNullSafe(F.col(b))
-    return verdict("manifest_agreement", joined.agg(
-        F.count_if(~known).alias("absent"), F.count_if(differs("split", "_split")).alias("split"), F.count_if(differs("has_z", "_has_z")).alias("has_z"),
-        F.count_if(differs("has_wise", "_has_wise")).alias("has_wise"), F.count_if(differs("redshift", "_z")).alias("redshift")))
+        return F.count_if(known & ~F.col(a).eqNullSafe(F.col(b)))
+
+    return {"absent": F.count_if(~known), "split": differs("split", "_split"), "has_z": differs("has_z", "_has_z"),
+            "has_wise": differs("has_wise", "_has_wise"), "redshift": differs("redshift", "_z")}
 
 
 def values_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -115,16 +142,28 @@ def check_detections(manifest: DataFrame) -> DataFrame:
 
 def check_content(staged: DataFrame, manifest: DataFrame) -> DataFrame:
     """Finite non-zero images, usable spectra, the redshift rule, plausible redshifts; one pass over the arrays."""
-    warn = manifest.filter("in_sample").select("targetid", F.col("zwarn").alias("_zwarn"))
-    joined = staged.join(warn, "targetid", "left")
+    return verdict("content", with_manifest(staged, manifest).agg(*_named(_content_counts())))
+
+
+def _content_counts() -> dict[str, Column]:
     bad_flux = F.exists(F.arrays_zip("spectra", "spectra_ivar"), lambda p: (p["spectra_ivar"] > 0) & ~is_finite(p["spectra"]))
     bad_ivar = F.exists("spectra_ivar", lambda v: ~is_finite(v) | (v < 0))
     z = F.col("redshift")
-    return verdict("content", joined.agg(
-        F.count_if(~all_finite("image_flux")).alias("image_not_finite"), F.count_if(~any_nonzero("image_flux")).alias("image_all_zero"),
-        F.count_if(bad_ivar).alias("bad_ivar"), F.count_if(bad_flux).alias("bad_flux"),
-        F.count_if(has_redshift(z, "_zwarn") != F.col("has_z")).alias("has_z_rule"),
-        F.count_if(~is_finite(z) | (F.abs(z) >= 10)).alias("implausible_redshift")))
+    return {"image_not_finite": F.count_if(~all_finite("image_flux")), "image_all_zero": F.count_if(~any_nonzero("image_flux")),
+            "bad_ivar": F.count_if(bad_ivar), "bad_flux": F.count_if(bad_flux), "has_z_rule": F.count_if(has_redshift(z, "_zwarn") != F.col("has_z")),
+            "implausible_redshift": F.count_if(~is_finite(z) | (F.abs(z) >= 10))}
+
+
+def check_rows(staged: DataFrame, manifest: DataFrame, grid: Grid, size: int, params: SplitParams = SplitParams()) -> dict[str, DataFrame]:
+    """The checks schema, split_sizes, manifest_agreement and content from one pass over the staged rows, joined once with the manifest.
+
+    The pass runs when this is called; the checks read its one row of counts.
+    """
+    groups = {"schema": _shape_counts(grid, size), "manifest_agreement": _agreement_counts(), "content": _content_counts()}
+    counts = [c for name, group in groups.items() for c in _named(group, f"{name}__")]
+    totals = settle(with_manifest(staged, manifest).agg(*_split_counts(params), *counts))
+    checks = {name: verdict(name, totals.select(*[F.col(f"{name}__{n}").alias(n) for n in group])) for name, group in groups.items()}
+    return checks | {"split_sizes": verdict("split_sizes", totals.select(*_sizes_off(params)))}
 
 
 def check_labels(staged: DataFrame, labels: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -143,8 +143,13 @@ def scorable_counts(masked: DataFrame, heads: Sequence[Head]) -> DataFrame:
     return counts.unpivot([], [h.name for h in heads], "head", "rows")
 
 
+def dead_heads(counts: DataFrame) -> DataFrame:
+    """Counts with a mark on heads without any scorable row."""
+    return counts.withColumn("dead", F.col("rows") == 0)
+
+
 def require_live_heads(counts: DataFrame) -> None:
-    dead = sorted(r["head"] for r in counts.filter("rows = 0").collect())
+    dead = sorted(r["head"] for r in dead_heads(counts).filter("dead").collect())
     if dead:
         raise DataError(f"no row is scorable for heads {dead}: their targets' labels are missing everywhere")
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.core import group_url, cutout_url, on_main_survey, release_of, separation_arcsec, trimmed
 from skyframe.operators import sky
-from skyframe.params import CrossmatchParams
+from skyframe.params import DETECTION_RENAMES, TARGET_RENAMES, CrossmatchParams
 from skyframe.plans import crossmatch as xm
 from skyframe.registry.base import query
+from skyframe.session import stage_path
 from skyframe.sources.catalog import scan_catalogue
 
 
@@ -117,6 +118,30 @@ def prj_rename_on_read(v):
         {"c_custkey": "detection", "c_acctbal": "score"})
 
 
+@query("src_renamed_targets", """
+SELECT targetid, round(target_ra, 9) AS target_ra, round(target_dec, 9) AS target_dec, survey, program, healpix, spectype, z, zwarn FROM v_targets WHERE zcat_primary AND z > 1""")
+def src_renamed_targets(v):
+    """The observed catalogue under its published names, read by the names of the library."""
+    out = published(v, v.targets, TARGET_RENAMES, F.col("zcat_primary") & (F.col("z") > 1)).drop("zcat_primary")
+    return out.withColumns({c: F.round(c, 9) for c in ("target_ra", "target_dec")})
+
+
+@query("src_renamed_detections", """
+SELECT ero_detuid, nway_p_any, nway_p_i, nway_match_flag, nway_threshold6, nway_dist_post, ls10_flux_w1, ls10_flux_ivar_w3, round(xray_dec, 9) AS xray_dec
+FROM v_detections WHERE nway_match_flag = 1 AND nway_p_any > 0.3e0""")
+def src_renamed_detections(v):
+    out = published(v, v.detections, DETECTION_RENAMES, (F.col("nway_match_flag") == 1) & (F.col("nway_p_any") > 0.3))
+    return out.select("ero_detuid", "nway_p_any", "nway_p_i", "nway_match_flag", "nway_threshold6", "nway_dist_post", "ls10_flux_w1", "ls10_flux_ivar_w3",
+                      F.round("xray_dec", 9).alias("xray_dec"))
+
+
+def published(v, rows, renames, where):
+    """Write rows under the published names of their columns and scan them by their own."""
+    path = stage_path(v.spark, "published")
+    rows.select(*[F.col(own).alias(name) for name, own in renames.items()]).write.parquet(path)
+    return scan_catalogue(v.spark, path, list(renames.values()), where, renames)
+
+
 @query("prj_fixed_output", f"WITH {STEPS} SELECT ero_detuid, targetid, survey, program, split_source FROM resolved WHERE kept")
 def prj_fixed_output(v):
     return run(v).matched.select("ero_detuid", "targetid", "survey", "program", "split_source")

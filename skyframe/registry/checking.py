@@ -16,7 +16,7 @@ from skyframe.registry.base import query
 from skyframe.registry.sampling import SHUFFLE
 from skyframe.registry.scoring import SCORES, scores
 from skyframe.session import stage_path
-from skyframe.sources import catalog, sinks
+from skyframe.sources import catalog, fits, sinks
 
 GRID = Grid(3600.0, 0.8, 64)
 
@@ -74,8 +74,43 @@ def src_listing(v):
     return files.agg(F.every(F.col("length") > 0).alias("known"), (F.count(F.lit(1)) > 0).alias("any_file"))
 
 
+@query("src_input_statuses", """
+SELECT 'orders' AS name, 'present' AS status, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', 'present', count(*) FROM lineitem
+UNION ALL SELECT 'documents', 'present', count(*) FROM documents UNION ALL SELECT 'not_there', 'missing', NULL""")
+def src_input_statuses(v):
+    return catalog.input_statuses(v.spark, {n: f"{v.folder}/{n}.parquet" for n in ("orders", "lineitem", "documents", "not_there")})
+
+
+@query("src_fits_table", """
+SELECT l_orderkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_quantity >= 30 AND l_partkey < 900""")
+def src_fits_table(v):
+    """Rows written as FITS tables and read back: three columns under a filter on two others that the reader applies to the records."""
+    fits.register(v.spark)
+    path = stage_path(v.spark, "lineitem_fits")
+    rows = v.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    rows.write.format("fits_table").option("path", path).option("rows_per_file", 50_000).mode("append").save()
+    back = v.spark.read.format("fits_table").option("path", path).option("rows_per_partition", 20_000).load()
+    return back.filter("l_quantity >= 30 AND l_partkey < 900").select("l_orderkey", "l_extendedprice", "l_returnflag")
+
+
 # ---- sinks
 
+@query("snk_atomic_replace", """
+SELECT o_orderkey, o_totalprice * 2 AS o_totalprice, 2 AS version FROM orders WHERE o_orderkey % 3 <> 1""")
+def snk_atomic_replace(v):
+    """A table written, replaced by one made from it, and replaced by a write that fails half way: the second version stays in place."""
+    path, price = stage_path(v.spark, "live"), F.col("o_totalprice")
+    sinks.replace_table(v.table("orders").select("o_orderkey", "o_totalprice"), path)
+    sinks.replace_table(sinks.read_live(v.spark, path).filter("o_orderkey % 3 <> 1").withColumn("o_totalprice", price * 2), path)
+    broken = F.when(F.col("o_orderkey") % 5 == 3, F.raise_error(F.lit("planted fault")).cast("double")).otherwise(price)
+    try:
+        sinks.replace_table(sinks.read_live(v.spark, path).withColumn("o_totalprice", broken), path)
+    except Exception as error:
+        if "planted fault" not in str(error):
+            raise
+    return sinks.read_live(v.spark, path).withColumn("version", F.lit(sinks.live_version(v.spark, path)))
+
+
 @query("snk_sorted_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def snk_sorted_parquet(v):
     path = stage_path(v.spark, "orders")
@@ -281,6 +316,33 @@ def job_validate(v):
     return pq.validate(staged(v, clean=True), m, m.filter("in_sample"), labels(v), GRID, 4, SplitParams(), None, ["log_flux_1", "log_sfr"])
 
 
+def all_there(v):
+    """The files beside a list that agrees with them."""
+    return catalog.inventory(v.files, v.files.select("path", F.col("length").alias("expected_bytes")))
+
+
+FILES_OK = "SELECT 'files_present' AS \"check\", TRUE AS passed, 'ok' AS detail"
+
+
+@query("job_validate_faults", f"""
+WITH {M_SQL} {FILES_OK} UNION ALL SELECT 'schema', TRUE, 'ok' UNION ALL {IDS_SQL} UNION ALL {SIZES_SQL} UNION ALL {AGREE_SQL} UNION ALL {DET_SQL}
+UNION ALL {CONTENT_SQL} UNION ALL {LABELS_SQL}""")
+def job_validate_faults(v):
+    """Faults in every check that comes after files and schema."""
+    whole = F.when(F.size("image_flux") == 64, F.col("image_flux"))
+    shapes = v.table("embeddings").select(F.col("vec_id").alias("targetid"), F.col("embedding").alias("_full"))
+    rows = staged(v).join(shapes, "targetid").withColumn("image_flux", F.coalesce(whole, F.col("_full"))).drop("_full")
+    m = manifest(v)
+    return pq.validate(rows, m, m.filter("in_sample"), labels(v), GRID, 4, SplitParams(), all_there(v), ["log_flux_1", "log_sfr"])
+
+
+@query("job_validate_stops", f"WITH {M_SQL} {FILES_OK} UNION ALL {SCHEMA_SQL}")
+def job_validate_stops(v):
+    """Short images: the schema fails, and nothing after it is reported."""
+    m = manifest(v)
+    return pq.validate(staged(v), m, m.filter("in_sample"), labels(v), GRID, 4, SplitParams(), all_there(v), ["log_flux_1", "log_sfr"])
+
+
 def worse(v):
     """Staged rows with a fault for every count that `staged` leaves at 0."""
     k = F.col("targetid")

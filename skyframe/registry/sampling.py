@@ -90,6 +90,17 @@ def flt_scorable_counts(v):
     return sm.scorable_counts(sm.with_masks(v.labels), HEADS)
 
 
+@query("dq_dead_heads", f"""
+SELECT 'flux' AS head, count(log_flux_1) AS rows, FALSE AS dead FROM v_labels UNION ALL SELECT 'lx', count(log_lx), FALSE FROM v_labels
+UNION ALL SELECT 'sfr', 0, TRUE UNION ALL SELECT 'mstar', count(logmstar_cigale), FALSE FROM v_labels
+UNION ALL SELECT 'sfr_mstar', count(logmstar_cigale), FALSE FROM v_labels UNION ALL SELECT 'rates', count_if({_P2} OR {_P3}), FALSE FROM v_labels
+UNION ALL SELECT 'joint4', count(logmstar_cigale), FALSE FROM v_labels""")
+def dq_dead_heads(v):
+    """Labels without a star-formation rate: its head has no row to be scored on."""
+    masked = sm.with_masks(sm.withhold(v.labels, F.lit(True), ["sfr"]))
+    return sm.dead_heads(sm.scorable_counts(masked, HEADS))
+
+
 @query("join_existence", """
 SELECT targetid, targetid IN (SELECT targetid FROM v_host_fits) AS has_fit FROM v_targets""")
 def join_existence(v):

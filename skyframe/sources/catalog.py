@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -26,9 +27,25 @@ def require_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, Data
     return opened
 
 
-def scan_catalogue(spark: SparkSession, path: str, columns: Sequence[str], where: Column | None = None) -> DataFrame:
-    """Named columns of a catalogue under an optional row condition, both pushed into the scan."""
-    df = require_inputs(spark, {"catalogue": path})["catalogue"]
+def input_statuses(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, status, rows) of named Parquet inputs: present with the number of rows, or missing."""
+    found = []
+    for name, path in paths.items():
+        try:
+            rows = require_inputs(spark, {name: path})[name].agg(F.lit("present").alias("status"), F.count(F.lit(1)).alias("rows"))
+        except DataError:
+            rows = spark.range(1).select(F.lit("missing").alias("status"), F.lit(None).cast("long").alias("rows"))
+        found.append(rows.select(F.lit(name).alias("name"), "status", "rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def scan_catalogue(spark: SparkSession, path: str, columns: Sequence[str], where: Column | None = None,
+                   renames: dict[str, str] | None = None) -> DataFrame:
+    """Named columns of a catalogue under an optional row condition, both pushed into the scan.
+
+    `renames` maps published names to those that `columns` and `where` use.
+    """
+    df = require_inputs(spark, {"catalogue": path})["catalogue"].withColumnsRenamed(renames or {})
     absent = [c for c in columns if c not in df.columns]
     if absent:
         raise DataError(f"{path} has no columns {absent}")

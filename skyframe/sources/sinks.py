@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.core import is_finite
+from skyframe.operators.joins import DataError
 from skyframe.operators.ledger import LEDGER_SCHEMA
 from skyframe.operators.spectra import SHARD_KEYS
 
@@ -27,6 +28,36 @@ def read_positions(spark: SparkSession, path: str, name: str = "position") -> Da
     return rows.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_index")).drop("_file", "_index", "_start")
 
 
+def live_version(spark: SparkSession, path: str) -> int:
+    """The version that readers of a replaceable table see; 0 before the first."""
+    from pyspark.errors import AnalysisException
+    try:
+        log = spark.read.schema("version long").json(f"{path}/log")
+    except AnalysisException:
+        return 0
+    return log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
+
+
+def replace_table(df: DataFrame, path: str) -> int:
+    """Write `df` as the next version of the table at `path` and return its number. One writer at a time.
+
+    Readers follow a log, to which a version is added when all of its rows are written: a write that fails half way leaves the version before
+    it in place, and the next write replaces what the failed one left. `df` may read the live version.
+    """
+    version = live_version(df.sparkSession, path) + 1
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{path}/log")
+    return version
+
+
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last version that was written to its end."""
+    version = live_version(spark, path)
+    if version == 0:
+        raise DataError(f"no version has been written to {path}")
+    return spark.read.parquet(f"{path}/version={version}")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; array and map columns are left out."""
     flat = [name for name, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
