@@ -125,6 +125,7 @@ def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineCo
     residual, jac = _evaluate(p, x, y, w, cx)
     cost = 0.5 * (residual**2).sum(axis=1)
     damping = np.full(len(p), 1e-3)
+    exact = 0.5e-24 * ((y * w)**2).sum(axis=1)  # residuals of this size are rounding
     active = np.ones(len(p), bool)
     for _ in range(steps):
         i = np.flatnonzero(active)
@@ -148,7 +149,7 @@ def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineCo
         took = i[better]
         p[took], residual[took], jac[took], cost[took] = trial[better], new_residual[better], new_jac[better], new_cost[better]
         damping[i] = np.where(better, np.maximum(damping[i] / 5.0, 1e-12), damping[i] * 4.0)
-        active[i] = ~settled & (damping[i] < 1e12)
+        active[i] = ~settled & (damping[i] < 1e12) & (cost[i] > exact[i])
     cost[active] = np.inf  # not settled: never the best of the starts, and a failed fit if no start settles
     return p, cost, jac
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyframe.params import LIGHT_KMS, LINE_COMPLEXES, LineComplex
 from skyframe.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,28 @@ def _band(b: str, salt: int) -> str:
     CASE WHEN (k + {salt}) % 41 = 0 THEN 0.0e0 ELSE 100.0e0 + k % 17 END AS ape_exp_{b}"""
 
 
+# One line complex per vector, without noise; the line's strength and level follow the vector's components.
+_PLANTED = """
+  SELECT vec_id AS targetid, label, CAST(vec_id % 4 AS INT) AS kind, 0.08e0 + (vec_id % 38) / 100.0e0 AS z, 0.5e0 + floor(100 * abs(CAST({second} AS DOUBLE))) / 100.0e0 AS c0,
+    (vec_id % 5 - 2) / 1000.0e0 AS slope, (vec_id * 37 % 601 - 300) * 1.0e0 AS vel, 150.0e0 + vec_id * 53 % 250 AS s,
+    2.0e0 + floor(100 * abs(CAST({first} AS DOUBLE))) / 100.0e0 AS amp, 1.0e0 + (vec_id * 17 % 40) / 20.0e0 AS amp2 FROM {{embeddings}}"""
+PLANTED_TRUTH = (_PLANTED.format(first="embedding[0]", second="embedding[1]"), _PLANTED.format(first="embedding[1]", second="embedding[2]"))
+
+
+def _planted_flux(c: LineComplex) -> str:
+    """A complex in SQL at the observed wavelength of pixel i: amplitudes amp and amp2, velocity vel, width s."""
+    x = "(3600.0e0 + 2.0e0 * i) / (1 + z)"
+    terms = [f"c0 + slope * ({x} - {c.primary!r}e0)"]
+    for amp, lines in zip(("amp", "amp2"), c.species):
+        for rest, ratio in lines:
+            centre = f"({rest!r}e0 * (1 + vel / {LIGHT_KMS!r}e0))"
+            terms.append(f"{amp} * {ratio!r}e0 * exp(-0.5e0 * pow(({x} - {centre}) / ({centre} * s / {LIGHT_KMS!r}e0), 2))")
+    return " + ".join(terms)
+
+
+_PLANTED_PIXEL = "CASE kind " + " ".join(f"WHEN {k} THEN {_planted_flux(c)}" for k, c in enumerate(LINE_COMPLEXES)) + " END"
+_PLANTED_IVAR = "CASE WHEN (i + label * 40) % 1000 < 90 THEN 0.0e0 ELSE 9.0e0 + i % 4 END"
+
 VIEWS: dict[str, str | tuple[str, str]] = {
     # observed targets: the scanned catalogue, with stacked copies 0.4 arcsec away
     "v_targets": _target_rows(TARGET_ID.format(k="k"), "0.0e0", "") + "\n  UNION ALL" + _target_rows(
@@ -202,6 +225,10 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     list_transform(range(0, 3100), lambda i: CASE WHEN (i + label * 40) % 1000 < 90 THEN 0.0e0 ELSE 9.0e0 + i % 4 END) AS ivar
   FROM (SELECT vec_id AS targetid, label, embedding AS e,
           CASE WHEN vec_id % 20 = 3 THEN -0.01e0 ELSE (vec_id % 130) / 100.0e0 + 0.05e0 END AS z FROM {embeddings})"""),
+    "v_planted": (
+        f"SELECT targetid, kind, z, transform(sequence(0, 3099), i -> {_PLANTED_PIXEL}) AS flux, transform(sequence(0, 3099), i -> {_PLANTED_IVAR}) AS ivar FROM ({PLANTED_TRUTH[0]})",
+        f"SELECT targetid, kind, z, list_transform(range(0, 3100), lambda i: {_PLANTED_PIXEL}) AS flux, list_transform(range(0, 3100), lambda i: {_PLANTED_IVAR}) AS ivar FROM ({PLANTED_TRUTH[1]})"),
+    "v_planted_truth": PLANTED_TRUTH,
     "v_images": (
         """
   SELECT vec_id AS targetid, CASE WHEN vec_id % 17 = 3 THEN 'GRI' WHEN vec_id % 2 = 0 THEN 'GRIZ' ELSE 'griz' END AS bands,
@@ -262,6 +289,6 @@ class Views:
             raise AttributeError(name)
         body = body if isinstance(body, str) else body[0]
         used = {t: self.table(t) for t in set(_TABLE.findall(body))}
-        if name == "spectra":  # short vectors become long arrays: spread them first
+        if name in ("spectra", "planted"):  # short vectors become long arrays: spread them first
             used = {t: spread(df, "vec_id") for t, df in used.items()}
         return self.spark.sql(body, **used)

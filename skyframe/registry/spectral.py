@@ -277,6 +277,39 @@ def job_line_features(v):
     return ps.line_features(line_sample(v), v.spectra, LINE_GRID).features
 
 
+PLANTED = f"""WITH {WINDOWS.replace("v_spectra", "v_planted")},
+kinds(kind, line, rest) AS (VALUES {", ".join(f"({k}, '{c.name}', {c.primary!r}e0)" for k, c in enumerate(LINE_COMPLEXES))}),
+truth AS (SELECT t.*, k.line, (1 + t.z) * t.amp * k.rest * (1 + t.vel / 299792.458e0) * t.s / 299792.458e0 * sqrt(2 * pi()) AS flux FROM v_planted_truth t JOIN kinds k USING (kind)),
+found AS (SELECT g.*, t.kind, t.slope, t.vel, t.s, t.amp, t.flux, t.c0 AS level FROM gated g JOIN truth t USING (targetid, line))"""
+PLANTED_NAMES = F.create_map(*[F.lit(x) for k, c in enumerate(LINE_COMPLEXES) for x in (k, c.name)])
+
+
+@query("line_fits_planted", f"""{PLANTED}
+SELECT targetid, line, 'ok' AS status, n_good AS n, round(noise, 6) AS noise, round(level, 4) AS c0, round(slope, 6) AS slope, round(vel, 3) AS v_kms, round(s, 3) AS sigma_kms,
+  round(amp, 4) AS amp, round(amp / noise, 3) AS an, round(flux, 3) AS flux, 0.0e0 AS chi2, 0 AS at_bound FROM found WHERE status IS NULL
+UNION ALL SELECT targetid, line, status, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM found WHERE status IS NOT NULL""")
+def line_fits_planted(v):
+    """Fits of noise-free windows, one complex per vector: they must return what was planted."""
+    fits = ln.fit_lines(ln.line_windows(v.planted, LINE_GRID))
+    kinds = v.planted_truth.select("targetid", PLANTED_NAMES[F.col("kind")].alias("line"))
+    digits = {"noise": 6, "c0": 4, "slope": 6, "v_kms": 3, "sigma_kms": 3, "amp": 4, "an": 3, "flux": 3, "chi2": 6}
+    return fits.join(kinds, ["targetid", "line"]).select("targetid", "line", "status", "n", *[(F.round(c, d) + 0.0).alias(c) for c, d in digits.items()], "at_bound")
+
+
+@query("job_line_features_planted", f"""{PLANTED}
+SELECT t.targetid, t.line, round(coalesce(CASE WHEN f.status IS NULL THEN t.flux END, 0), 3) AS flux, round(CASE WHEN f.status IS NULL THEN t.amp / f.noise END, 3) AS an,
+  coalesce(f.status, 'ok') AS status FROM truth t JOIN found f USING (targetid)""")
+def job_line_features_planted(v):
+    """The feature table of the planted spectra, each at the line that it holds."""
+    sample = v.planted_truth.select("targetid", F.lit("train").alias("split"), F.lit("QSO").alias("spectype"), "z", "kind")
+    out = ps.line_features(sample, v.planted, LINE_GRID).features.join(sample.select("targetid", "kind"), "targetid")
+
+    def own(what):
+        return F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{c.stem}_{what}")) for k, c in enumerate(LINE_COMPLEXES)])
+
+    return out.select("targetid", PLANTED_NAMES[F.col("kind")].alias("line"), F.round(own("flux"), 3).alias("flux"), F.round(own("an"), 3).alias("an"), own("status").alias("status"))
+
+
 @query("fn_line_model", """
 SELECT vec_id, i, round(0.5e0 + 0.01e0 * (x - 5008.24e0) + 2.0e0 * (exp(-0.5e0 * pow((x - c1) / (c1 * s / 299792.458e0), 2))
   + 0.335e0 * exp(-0.5e0 * pow((x - c2) / (c2 * s / 299792.458e0), 2))), 6) AS y FROM (

@@ -11,7 +11,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["job_crossmatch", "flt_cut_ledger", "join_sky_radius", "agg_shared_targets", "job_derive_labels", "win_split_assign", "agg_coadd",
-         "line_window_gates", "stat_product_marginal", "stat_kde_two", "agg_modality_gains", "agg_hardness_summary", "win_rolling_band", "dq_content"]
+         "line_window_gates", "stat_product_marginal", "stat_kde_two", "agg_modality_gains", "agg_hardness_summary", "win_rolling_band", "dq_content", "job_validate_faults", "job_validate_stops", "src_renamed_targets", "dq_dead_heads"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are absent")
 

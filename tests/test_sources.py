@@ -133,3 +133,71 @@ def test_positions_follow_the_sorted_files(spark, tmp_path):
     df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k int, v int").repartition(4)
     sinks.write_sorted(df, f"{tmp_path}/sorted", "k")
     assert sorted((r["position"], r["k"]) for r in sinks.read_positions(spark, f"{tmp_path}/sorted").collect()) == [(k, k) for k in range(101)]
+
+
+def fits_at(spark, path, **options):
+    return spark.read.format("fits_table").option("path", str(path)).options(**options).load()
+
+
+def test_fits_round_trip(spark, tmp_path):
+    fits.register(spark)
+    df = spark.createDataFrame([(i, i % 7, float(i) / 4, None if i % 5 == 0 else float(i), i % 2 == 0, "" if i % 3 == 0 else f"n{i}") for i in range(500)],
+                               "k long, n int, e double, x float, b boolean, s string")
+    df.repartition(3).write.format("fits_table").option("path", str(tmp_path / "f")).option("rows_per_file", 60).mode("append").save()
+    assert len(list((tmp_path / "f").glob("*.fits"))) >= 9 and not list((tmp_path / "f").glob("_*"))
+    back = fits_at(spark, tmp_path / "f", rows_per_partition=25)
+    assert back.dtypes == df.dtypes
+    want = {r["k"]: tuple("nan" if v is None else v for v in r) for r in df.collect()}
+    got = {r["k"]: tuple("nan" if v != v else v for v in r) for r in back.collect()}
+    assert got == want
+    df.limit(10).write.format("fits_table").option("path", str(tmp_path / "f")).mode("overwrite").save()
+    assert fits_at(spark, tmp_path / "f").count() == 10
+
+
+def test_fits_filters_reach_the_records(spark, tmp_path):
+    write_table(tmp_path / "t.fits", 1234)
+    fits.register(spark)
+    layout = fits.read_layout(str(tmp_path / "t.fits"), 1)
+    reader = fits.FitsReader(str(tmp_path / "t.fits"), layout, 1, "ID", 500)
+    kept = list(reader.pushFilters([fits.ds.GreaterThan(("N",), 1200), fits.ds.EqualTo(("NAME",), "n1"), fits.ds.IsNotNull(("N",)), fits.ds.LessThan(("POS",), 3),
+                                    fits.ds.GreaterThan(("FLUX",), float("nan"))]))
+    assert [type(f).__name__ for f in kept] == ["EqualTo", "LessThan", "GreaterThan"] and reader.tests == [("N", fits.ds.GreaterThan, 1200)]
+    assert sum(b.num_rows for s in reader.partitions() for b in reader.read(s)) == 33
+    df = fits_at(spark, tmp_path / "t.fits")
+    assert df.filter("N >= 1200 AND FLUX < 305 AND NAME = 'n1' AND CTS = 99").select("ID").count() == 1
+    nan = spark.createDataFrame([(1, float("nan")), (2, 5.0), (3, 1.0)], "k long, x double")
+    nan.coalesce(1).write.format("fits_table").option("path", str(tmp_path / "n")).mode("append").save()
+    assert sorted(r["k"] for r in fits_at(spark, tmp_path / "n").filter("x > 2").collect()) == [1, 2]
+
+
+def test_a_failed_fits_write_leaves_nothing(spark, tmp_path):
+    fits.register(spark)
+    good = spark.range(50).select(F.col("id").alias("k"))
+    good.write.format("fits_table").option("path", str(tmp_path / "f")).mode("append").save()
+    before = sorted(p.name for p in (tmp_path / "f").iterdir())
+    broken = good.select(F.when(F.col("k") != 49, F.col("k")).alias("k")).repartition(4)
+    with pytest.raises(Exception, match="holds NULL"):
+        broken.write.format("fits_table").option("path", str(tmp_path / "f")).option("rows_per_file", 5).mode("overwrite").save()
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == before and fits_at(spark, tmp_path / "f").count() == 50
+
+
+def test_a_table_is_replaced_as_a_whole(spark, tmp_path):
+    path, rows = str(tmp_path / "live"), spark.range(20)
+    with pytest.raises(DataError, match="no version"):
+        sinks.read_live(spark, path)
+    assert sinks.live_version(spark, path) == 0 and sinks.replace_table(rows, path) == 1
+    assert sinks.replace_table(sinks.read_live(spark, path).filter("id < 5"), path) == 2
+    with pytest.raises(Exception, match="planted"):
+        sinks.replace_table(rows.select(F.when(F.col("id") == 19, F.raise_error(F.lit("planted")).cast("long")).otherwise(F.col("id")).alias("id")), path)
+    assert sinks.read_live(spark, path).count() == 5
+    assert sinks.replace_table(rows.limit(3), path) == 3 and sinks.read_live(spark, path).count() == 3
+
+
+def test_statuses_and_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(9).select(F.col("id").alias("TARGETID"), (F.col("id") * 2.0).alias("Z")).write.parquet(path)
+    found = catalog.input_statuses(spark, {"here": path, "gone": str(tmp_path / "none")})
+    assert {tuple(r) for r in found.collect()} == {("here", "present", 9), ("gone", "missing", None)}
+    df = catalog.scan_catalogue(spark, path, ["targetid"], F.col("z") > 10, {"TARGETID": "targetid", "Z": "z"})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(Z,10.0)" in plan and sorted(r["targetid"] for r in df.collect()) == [6, 7, 8]

@@ -147,3 +147,16 @@ def test_coadd_shuffles_arrays_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert {r["targetid"]: (r["flux"], r["ivar"]) for r in out.collect()} == {1: ([5.0, 4.0, 0.0], [4.0, 1.0, 0.0]), 2: ([0.0, 0.0, 0.0], [0.0, 0.0, 0.0])}
+
+
+def test_windows_without_noise_settle():
+    """A fit whose residuals are down at rounding is a good one."""
+    cx, rows = LINE_COMPLEXES[0], 60
+    x = np.tile(np.linspace(*cx.window, 87), (rows, 1))
+    p = np.column_stack([np.full(rows, 0.55), np.full(rows, 0.001), np.linspace(-300, 300, rows), np.linspace(150, 400, rows), np.linspace(2, 3, rows)])
+    w = np.tile(np.sqrt(9.0 + np.arange(87) % 4), (rows, 1))
+    y = ln._evaluate(p, x, np.zeros_like(x), np.ones_like(x), cx)[0]
+    low, high = (np.tile([-np.inf, -np.inf, -1500.0, 25.0, 0.0], (rows, 1)), np.tile([np.inf, np.inf, 1500.0, 1500.0, 50.0], (rows, 1)))
+    start = np.tile([0.5, 0.0, 0.0, 300.0, 2.0], (rows, 1))
+    found, cost, _ = ln._solve(start, low, high, x, y, w, cx)
+    assert np.isfinite(cost).all() and np.allclose(found, p, rtol=1e-6, atol=1e-8)
