@@ -281,7 +281,10 @@ PLANTED = f"""WITH {WINDOWS.replace("v_spectra", "v_planted")},
 kinds(kind, line, rest) AS (VALUES {", ".join(f"({k}, '{c.name}', {c.primary!r}e0)" for k, c in enumerate(LINE_COMPLEXES))}),
 truth AS (SELECT t.*, k.line, (1 + t.z) * t.amp * k.rest * (1 + t.vel / 299792.458e0) * t.s / 299792.458e0 * sqrt(2 * pi()) AS flux FROM v_planted_truth t JOIN kinds k USING (kind)),
 found AS (SELECT g.*, t.kind, t.slope, t.vel, t.s, t.amp, t.flux, t.c0 AS level FROM gated g JOIN truth t USING (targetid, line))"""
-PLANTED_NAMES = F.create_map(*[F.lit(x) for k, c in enumerate(LINE_COMPLEXES) for x in (k, c.name)])
+
+
+def planted_line():
+    return F.create_map(*[F.lit(x) for k, c in enumerate(LINE_COMPLEXES) for x in (k, c.name)])[F.col("kind")].alias("line")
 
 
 @query("line_fits_planted", f"""{PLANTED}
@@ -291,7 +294,7 @@ UNION ALL SELECT targetid, line, status, NULL, NULL, NULL, NULL, NULL, NULL, NUL
 def line_fits_planted(v):
     """Fits of noise-free windows, one complex per vector: they must return what was planted."""
     fits = ln.fit_lines(ln.line_windows(v.planted, LINE_GRID))
-    kinds = v.planted_truth.select("targetid", PLANTED_NAMES[F.col("kind")].alias("line"))
+    kinds = v.planted_truth.select("targetid", planted_line())
     digits = {"noise": 6, "c0": 4, "slope": 6, "v_kms": 3, "sigma_kms": 3, "amp": 4, "an": 3, "flux": 3, "chi2": 6}
     return fits.join(kinds, ["targetid", "line"]).select("targetid", "line", "status", "n", *[(F.round(c, d) + 0.0).alias(c) for c, d in digits.items()], "at_bound")
 
@@ -307,7 +310,7 @@ def job_line_features_planted(v):
     def own(what):
         return F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{c.stem}_{what}")) for k, c in enumerate(LINE_COMPLEXES)])
 
-    return out.select("targetid", PLANTED_NAMES[F.col("kind")].alias("line"), F.round(own("flux"), 3).alias("flux"), F.round(own("an"), 3).alias("an"), own("status").alias("status"))
+    return out.select("targetid", planted_line(), F.round(own("flux"), 3).alias("flux"), F.round(own("an"), 3).alias("an"), own("status").alias("status"))
 
 
 @query("fn_line_model", """
