@@ -147,3 +147,34 @@ def test_order_breaks(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 3, 7), ("b", 1, 9), ("b", 2, 3)], "g string, k int, v int")
     got = {(r["g"], r["k"]) for r in rank.order_breaks(df, "v", ["g"], "k").collect()}
     assert got == {("a", 3), ("b", 2)}
+
+
+def test_weights_of_texts_of_all_lengths_equal_plain_ones():
+    """Digests taken many at a time, on both sides of a digest's block and with heads of several lengths."""
+    keys = ["", "7", "40", "é" * 9, *(str(k) for k in range(5_999_990, 6_000_010)), *("x" * n for n in range(45, 62))]
+    edges = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])
+    want = [[sum(e <= int(hashlib.md5(f"11:{r}:{k}".encode()).hexdigest()[:8], 16) / 4294967296.0 for e in edges) for r in range(120)] for k in keys]
+    assert (rank.replicate_weights(keys, 120, 11) == np.array(want)).all() and rank.replicate_weights([], 3, 1).shape == (0, 3)
+
+
+@pytest.mark.parametrize("n,window,block_rows", [(301, 0.3, 16), (90, 0.05, 64)])
+def test_bands_of_several_columns_share_ranks_and_weights(spark, n, window, block_rows):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.normal(size=(n, 3)))], "id int, x double, y double, z double")
+    drawn = []
+    settled = rank.settle
+
+    def counted(rows):
+        drawn.append("_w" in rows.columns)
+        return settled(rows)
+
+    rank.settle = counted
+    try:
+        both = rank.rolling_bands(df, "x", ["y", "z"], "id", window, 30, 2, block_rows=block_rows)
+    finally:
+        rank.settle = settled
+    assert sum(drawn) == 1  # weights are written once
+    for c in ("y", "z"):
+        one = rank.rolling_band(df, "x", c, "id", window, 30, 2).orderBy("id").collect()
+        for a, b in zip(both[c].orderBy("id").collect(), one, strict=True):
+            assert a["rank"] == b["rank"] and (a["lo"], a["hi"]) == pytest.approx((b["lo"], b["hi"]), abs=1e-9)
