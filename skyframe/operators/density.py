@@ -18,20 +18,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyframe.operators.joins import DataError
-from skyframe.session import settle
+from skyframe.session import settle, spread
 
 CELL = 0.125          # cell side, in bandwidths
 ORDER = 12            # highest moment kept of a dense cell
 FEW = 16              # cells with at most this many points keep the points, which is as exact and cheaper
 FAR = 30.0            # beyond this many bandwidths a dense cell is taken to second order
 PLACE = 0.75          # side of the cells whose interleaved numbers put rows in order, in bandwidths
-BLOCK_ROWS = 4096     # most rows of a block of points or summary rows
+BLOCK_ROWS = 4096     # most rows of a block of points
+HELD_ROWS = 512       # most rows of a block of the summary
 BOX_ROWS = 128        # rows of a box within a block
 FAN_BITS = 4          # a box of the tree covers 16 boxes of the level below
-HOME = 2              # blocks nearest to a block of points, which bound its sums from below
+HOME = 8              # blocks nearest to a block of points, which bound its sums from below
 SLOTS = 16            # tasks among which a block of points deals what it meets
 TOLERANCE = 1e-7      # share of a kernel sum that what is too far away to be looked at may hold
 MAX_TERMS = 2_000_000
+SIDE = 1.0            # side, in bandwidths, of the squares in which many points are interpolated
+KNOTS = 16            # Chebyshev knots per side of a square
+SETTLED = 1e-7        # last coefficients of a square, as a share of its smallest value, up to which it is interpolated
+PIECE_ROWS = 65_536   # points of a square that one task interpolates at a time
 
 
 class Density(Protocol):
@@ -102,6 +107,10 @@ class GaussianKDE:
     joins, from one pair of roots down; a pair that can't hold a tolerated share of a sum goes no further. Each block of points first adds up its
     nearest blocks, which bounds its sums from below and tells what else it must look at, down to single boxes. Nothing is collected and no table is
     sent to tasks whole, so one path serves every number of rows and of dimensions.
+
+    In one and two dimensions, squares a bandwidth wide with far more points than knots are added up at Chebyshev knots, and their points are
+    interpolated: the sum times exp(|u|^2 / 2), less its slope, is smooth there. A square whose last coefficients are not small has its points added
+    up one by one, as those of all other squares are.
     """
 
     columns: tuple[str, ...]
@@ -130,7 +139,7 @@ class GaussianKDE:
         whitened = complete.select(*[_combine([F.col(c) for c in columns], whitener[i]).alias(f"_w{i}") for i in range(d)])
         cells = _summarize(whitened, d, few)
         centre = [(F.get("cell", F.lit(i)) + 0.5) * CELL for i in range(d)]
-        blocks, size = _numbered(_blocks(cells, centre, d, _summary_block(d)))
+        blocks, size = _numbered(_blocks(cells, centre, d, _summary_block(d), HELD_ROWS))
         return cls(tuple(columns), row["n"], whitener, log_norm, blocks, size, tolerance, far)
 
     def scored(self, df: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
@@ -149,7 +158,34 @@ class GaussianKDE:
     def _sums(self, points: DataFrame) -> DataFrame:
         """(_w0.., log_sum) of distinct whitened points."""
         d = len(self.columns)
-        asked, size = _numbered(_blocks(points, [F.col(f"_w{i}") for i in range(d)], d, _point_block(d)))
+        if d > 2:
+            return self._direct(points)
+        names, squares = [f"_w{i}" for i in range(d)], [f"_c{i}" for i in range(d)]
+        placed = settle(points.withColumns({c: F.floor(F.col(w) / SIDE) for c, w in zip(squares, names)}))
+        crowded = settle(placed.groupBy(*squares).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * KNOTS**d))
+        if crowded.isEmpty():
+            return self._direct(placed.select(*names))
+        place = F.array(*[F.lit(float(t)) for t in _knots()])
+        knots = crowded.select(*squares, F.explode(F.sequence(F.lit(0), F.lit(KNOTS**d - 1))).alias("_j"))
+        knots = knots.select(*[((F.col(c) + 0.5 + 0.5 * F.get(place, F.expr(f"CAST(_j DIV {KNOTS**i} % {KNOTS} AS INT)"))) * SIDE).alias(w)
+                               for i, (c, w) in enumerate(zip(squares, names))])
+        found = self._direct(knots).groupBy(*[F.floor(F.col(w) / SIDE).alias(c) for c, w in zip(squares, names)]).agg(
+            F.sort_array(F.collect_list(F.struct(*names, "log_sum"))).alias("_k"))
+        series = spread(found.select(*squares, F.col("_k.log_sum").alias("_l")), *squares).mapInPandas(_series(d), ", ".join(f"{c} long" for c in squares) + ", _series binary")
+        smooth = settle(series.join(crowded, squares).withColumn("_pieces", F.ceil(F.col("_n") / PIECE_ROWS).cast("int")))
+        rest = self._direct(placed.join(smooth, squares, "left_anti").select(*names))
+        piece = F.pmod(F.xxhash64(*names), "_pieces").cast("int").alias("_piece")
+        inside = placed.join(smooth.select(*squares, "_pieces"), squares).select(*squares, piece, F.lit(1).alias("_kind"), *names, F.lit(None).cast("binary").alias("_series"))
+        first = smooth.select(*squares, F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"), F.lit(0).alias("_kind"),
+                              *[F.lit(None).cast("double").alias(w) for w in names], "_series")
+        rows = spread(first.unionByName(inside), *squares, "_piece").sortWithinPartitions(*squares, "_piece", "_kind")
+        read = rows.mapInPandas(_interpolated(d), ", ".join(f"{w} double" for w in names) + ", log_sum double")
+        return read.unionByName(rest)
+
+    def _direct(self, points: DataFrame) -> DataFrame:
+        """(_w0.., log_sum), every point added up on its own."""
+        d = len(self.columns)
+        asked, size = _numbered(_blocks(points, [F.col(f"_w{i}") for i in range(d)], d, _point_block(d), BLOCK_ROWS))
         levels = max(1, math.ceil(math.log(max(size, self.size, 2), 1 << FAN_BITS)))
         spare = math.log(self.tolerance / (levels + 1))
         near = _near_blocks(asked, self.blocks, d, levels, spare)
@@ -158,7 +194,7 @@ class GaussianKDE:
         home = _added(_met(placed.filter(F.col("_rank") <= HOME).select("q", "t"), asked.withColumn("floor", F.lit(b"")), self.blocks), d, -math.inf, self.far)
         ready = settle(asked.join(home, F.col("node") == F.col("q")).select("node", "low", "high", "points", "moments", "boxes", F.col("total").alias("floor")))
         # at most this share may be lost in each of all boxes together
-        rest = spare - math.log(max(1, self.size) * (BLOCK_ROWS / BOX_ROWS + 2))
+        rest = spare - math.log(max(1, self.size) * (HELD_ROWS / BOX_ROWS + 2))
         others = placed.filter(F.col("_rank") > HOME).select("q", "t")
         others = others.join(ready.select(F.col("node").alias("q"), "boxes", "floor"), "q").join(
             self.blocks.select(F.col("node").alias("t"), "n", "low", "high"), "t").mapInArrow(_may_matter(d, rest), "q long, t long")
@@ -176,6 +212,68 @@ class GaussianKDE:
         return both.mapInArrow(spell, ", ".join(f"_w{k} double" for k in range(d)) + ", log_sum double")
 
 
+def _knots() -> np.ndarray:
+    """Chebyshev knots in (-1, 1), rising."""
+    return -np.cos((2 * np.arange(KNOTS) + 1) * math.pi / (2 * KNOTS))
+
+
+def _at_knots(d: int) -> np.ndarray:
+    """Places of a square's knots, the last coordinate fastest: (knots, d)."""
+    return np.stack(np.meshgrid(*[_knots()] * d, indexing="ij"), axis=-1).reshape(-1, d)
+
+
+def _series(d: int):
+    """Of rows (square, log sums at its knots in order) those that a Chebyshev series of sum * exp(|u|^2 / 2 - slope * t) is exact enough for.
+
+    The series is a binary of the largest exponent, the slopes and the coefficients.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = _at_knots(d)
+        terms = np.polynomial.chebyshev.chebvander(_knots(), KNOTS - 1).T * (2.0 / KNOTS)
+        terms[0] /= 2.0
+        for pdf in batches:
+            squares, packed = pdf.iloc[:, :d].to_numpy(np.int64), []
+            for square, sums in zip(squares, pdf["_l"]):
+                u = (square + 0.5 + 0.5 * t) * SIDE
+                level = np.asarray(sums, dtype=float) + 0.5 * (u * u).sum(axis=1)
+                slope = (level @ t) / (t * t).sum(axis=0)
+                level = level - t @ slope
+                top = level.max()
+                values = np.exp(level - top)
+                held = values.reshape((KNOTS,) * d)
+                for axis in range(d):
+                    held = np.moveaxis(np.tensordot(terms, held, axes=(1, axis)), 0, axis)
+                last = sum(np.abs(np.take(held, [KNOTS - 2, KNOTS - 1], axis=axis)).sum() for axis in range(d))
+                packed.append(np.concatenate(([top], slope, held.ravel())).tobytes() if last <= SETTLED * values.min() else None)
+            out = pdf.iloc[:, :d].assign(_series=packed)
+            yield out[out["_series"].notna()]
+
+    return run
+
+
+def _interpolated(d: int):
+    """Points of sorted rows (square, piece, kind, point, series), where a row of kind 0 brings the series of the points after it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, series = [f"_w{i}" for i in range(d)], None
+        value = (np.polynomial.chebyshev.chebval, np.polynomial.chebyshev.chebval2d)[d - 1]
+        for pdf in batches:
+            heads = np.flatnonzero(pdf["_kind"].to_numpy() == 0)
+            points, squares = pdf[names].to_numpy(float), pdf.iloc[:, :d].to_numpy(np.int64)
+            for at, end in zip((0, *heads), (*heads, len(pdf))):
+                if at in heads and pdf["_kind"].iat[at] == 0:
+                    series, at = np.frombuffer(pdf["_series"].iat[at]), at + 1
+                if at >= end:
+                    continue
+                u = points[at:end]
+                t = (u / SIDE - squares[at] - 0.5) * 2.0
+                sums = value(*t.T, series[1 + d:].reshape((KNOTS,) * d))
+                yield pd.DataFrame(u, columns=names).assign(log_sum=np.log(sums) + series[0] + t @ series[1:1 + d] - 0.5 * (u * u).sum(axis=1))
+
+    return run
+
+
 def _square(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
@@ -192,7 +290,7 @@ def _code(place: Sequence[str], d: int) -> Column:
 BLOCK = "part int, number long, n double, low array<double>, high array<double>, points binary, moments binary, boxes binary"
 
 
-def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[pd.DataFrame], list]) -> DataFrame:
+def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[pd.DataFrame], list], most: int) -> DataFrame:
     """Rows as blocks of near rows. A block ends where the code jumps most, between half and all of its allowed rows."""
     names = [f"_x{i}" for i in range(d)]
     coded = rows.withColumns(dict(zip(names, place)))
@@ -210,13 +308,13 @@ def _blocks(rows: DataFrame, place: Sequence[Column], d: int, pack: Callable[[pd
         for batch in batches:
             held.append(batch)
             waiting += len(batch)
-            if waiting <= BLOCK_ROWS:
+            if waiting <= most:
                 continue
             pdf, at = pd.concat(held, ignore_index=True), 0
             codes = pdf["_code"].to_numpy(np.int64)
             jumps = np.concatenate(([0], codes[1:] ^ codes[:-1]))
-            while len(pdf) - at > BLOCK_ROWS:
-                cut = at + BLOCK_ROWS // 2 + int(np.argmax(jumps[at + BLOCK_ROWS // 2:at + BLOCK_ROWS + 1]))
+            while len(pdf) - at > most:
+                cut = at + most // 2 + int(np.argmax(jumps[at + most // 2:at + most + 1]))
                 yield packed(pdf.iloc[at:cut])
                 at = cut
             held, waiting = [pdf.iloc[at:]], len(pdf) - at
@@ -274,7 +372,8 @@ def _met(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
     first = asked.join(dealt.select("q", "slot").distinct(), F.col("node") == F.col("q")).select(
         "q", "slot", F.lit(0).alias("kind"), "points", "moments", "boxes", "floor")
     then = held.join(dealt, F.col("node") == F.col("t")).select("q", "slot", F.lit(1).alias("kind"), "points", "moments", "boxes", F.lit(b"").alias("floor"))
-    return first.union(then).repartition("q", "slot").sortWithinPartitions("q", "slot", "kind")
+    # by number, since a pair costs far more than its bytes tell
+    return spread(first.union(then), "q", "slot").sortWithinPartitions("q", "slot", "kind")
 
 
 def _added(met: DataFrame, d: int, rest: float, far: float) -> DataFrame:

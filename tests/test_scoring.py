@@ -366,3 +366,20 @@ def test_specific_rate_gain(spark):
     rows = spark.createDataFrame([(-1.0, -2.0), (-3.0, -3.5), (None, -1.0)], "log_p_joint double, log_p_independent double")
     got = sc.specific_rate_gain(rows).first()
     assert (got["n"], got["mean_joint"], got["gain"]) == (2, -2.0, 0.75) and got["gain_se"] == pytest.approx(0.25)
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_many_points_are_interpolated(spark, d, monkeypatch):
+    """Far more points than knots, some beside outliers and some far out: few are added up one by one, and all sums are right."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(400, d)), np.full((1, d), 6.0), np.full((1, d), -9.0)])
+    points = np.concatenate([rng.uniform(-1, 1, size=(24_000, d)), rng.uniform(-12, 12, size=(60, d))])
+    names = list("ab")[:d]
+    kde = dn.GaussianKDE.fit(table(spark, x, names), names)
+    asked = []
+    direct = dn.GaussianKDE._direct
+    monkeypatch.setattr(dn.GaussianKDE, "_direct", lambda self, rows: (asked.append(rows.count()), direct(self, rows))[1])
+    got = {r["id"]: r["lp"] for r in kde.scored(table(spark, points, names), [F.col(c) for c in names], "lp").collect()}
+    assert len(asked) == 2 and sum(asked) < 0.9 * len(points)
+    some = [*range(0, 24_000, 40), *range(24_000, 24_060)]
+    assert len(got) == len(points) and np.allclose([got[i] for i in some], brute_kde(x, points[some]), atol=2e-6)
