@@ -20,7 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays.
 
-    Near copies meet in bands of minima of their shingles' hashes (`copies`): their fingerprints differ by too many bits for shards of equal parts.
+    They meet by their SimHash fingerprints in BK-trees, and those whose fingerprints differ by more bits also in bands of minima of their shingles'
+    hashes; links are confirmed on whole shingle sets (`copies`).
     """
     return keep_one_copy(docs)
 

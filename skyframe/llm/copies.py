@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: the pipeline's near-dedup stage.
+"""Near copies by SimHash and the Jaccard similarity of word shingles: the pipeline's near-dedup stage.
 
-The 64-bit fingerprints of five-word shingles of such pairs differ by 4 to 14 bits (all 48 pairs of different texts in sf0.1), and equal parts of bits
-for that radius are beyond use: 16 parts and a radius of 12 would already be 1,820 shards a fingerprint. So texts meet by bands of minima of rehashed
-shingles instead (20 bands of four: a pair at 0.8 is missed with probability 3e-5, more similar ones less often; all 48 pairs meet), and every link
-is confirmed by the exact similarity of whole shingle sets.
+Texts first meet by SimHash: fingerprints of their five-word shingles, searched with BK-trees (`simhash`). Fingerprints of edited copies at a similarity
+of 0.8 differ by 4 to 14 bits (all 48 pairs of different texts in sf0.1), and equal parts of bits for that radius are beyond use: 16 parts and a radius
+of 12 would already be 1,820 shards a fingerprint. So texts also meet by bands of minima of rehashed shingles (20 bands of four: a pair at 0.8 is missed
+with probability 3e-5, more similar ones less often; all 48 pairs meet). Every link of either kind is confirmed by the exact similarity of whole shingle
+sets.
 
-Texts are first compared with one leader per band, which joins large groups of copies in linear work; then, in bands where several components
+Texts in bands are first compared with one leader per band, which joins large groups of copies in linear work; then, in bands where several components
 are left, all pairs of texts of different components are compared, in blocks of bounded size.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.llm.common import components, runs
+from skyframe.llm.simhash import RADIUS, fingerprint, near_links
 from skyframe.session import settle
 
 SEED = 42
@@ -140,8 +142,17 @@ def _blocks(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return settle(among.union(beside).union(large)).join(sets, "key").select("band", "kind", "i", "j", "side", "key", "root", "shingles")
 
 
+def _by_fingerprint(contents: DataFrame, radius: int) -> DataFrame:
+    """Pairs a, b of keys that join what fingerprints (column fp) within the radius join: each text with the first of its fingerprint, those along the links."""
+    homes = settle(contents.groupBy("fp").agg(F.min("key").alias("home")))
+    same = contents.select("key", "fp").join(homes, "fp").filter("key <> home").select(F.col("key").alias("a"), F.col("home").alias("b"))
+    links = settle(near_links(homes.select("fp"), radius))
+    near = links.join(homes.select(F.col("fp").alias("a"), F.col("home").alias("one")), "a").join(homes.select(F.col("fp").alias("b"), F.col("home").alias("other")), "b")
+    return settle(same.union(near.select("one", "other")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-                block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                block: int = BLOCK, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row of docs and (key, root, least_id) of every text: its component and the smallest id in it, null if there is none.
 
     Texts are linked if the Jaccard similarity of their shingles is at least `similarity`. `key` is Spark's XXH64 of the text, and texts of one
@@ -153,31 +164,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bands = [bands_of(shingles(t.as_py(), words)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            fps = [fingerprint(t.as_py(), words, SEED) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                                             names=["doc_id", "key", "fp", "bands"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "shingles"])
 
-    marked = settle(texts.mapInArrow(mark, "doc_id long, key long, bands array<long>"))
-    contents = settle(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    marked = settle(texts.mapInArrow(mark, "doc_id long, key long, fp long, bands array<long>"))
+    contents = settle(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    tied = _by_fingerprint(contents, radius)
     keyed = settle(contents.select("key", F.explode("bands").alias("band")))
     met = settle(keyed.join(settle(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")), "band"))
-    wanted = settle(met.select("key").distinct().join(contents.select("key", "first_id"), "key").select(F.col("key").alias("k"), "first_id"))
+    meeting = met.select("key").union(tied.select("a")).union(tied.select("b"))
+    wanted = settle(meeting.distinct().join(contents.select("key", "first_id"), "key").select(F.col("key").alias("k"), "first_id"))
     chosen = texts.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = settle(chosen.select("key", "text").dropDuplicates(["key"]).mapInArrow(gather, "key long, shingles binary"))
 
-    links, roots = None, wanted.select(F.col("k").alias("key"), F.col("k").alias("root"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left = settle(pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a"))
+        both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        return settle(both.mapInArrow(_confirm(similarity), "a long, b long"))
+
+    links = confirmed(tied)
+    roots = _roots(wanted, links)
     for turn in range(LEADER_ROUNDS):
         placed = settle(met.join(roots, "key"))
         order = F.xxhash64(F.lit(turn), "band", "key")
         leaders = settle(placed.groupBy("band").agg(F.min_by(F.struct("key", "root"), F.struct(order, "key")).alias("lead")))
         asked = placed.join(leaders, "band").filter("root <> lead.root").groupBy("key").agg(F.max_by("lead.key", F.struct("n", "band")).alias("lead"))
-        pairs = settle(settle(asked).join(sets, "key").select(F.col("key").alias("a"), F.col("lead").alias("b"), F.col("shingles").alias("x")))
-        both = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        fresh = settle(both.mapInArrow(_confirm(similarity), "a long, b long"))
-        links = fresh if links is None else links.union(fresh)
+        links = links.union(confirmed(settle(asked.select(F.col("key").alias("a"), F.col("lead").alias("b")))))
         roots = _roots(wanted, links)
     ready = _blocks(settle(met.join(roots, "key")).select("band", "key", "root"), sets, block)
     spread = ready.repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "side", "key")

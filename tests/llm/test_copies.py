@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline  # noqa: E402
 
+from skyframe.llm import copies  # noqa: E402
 from skyframe.llm.copies import keep_one_copy  # noqa: E402
 
 SCHEMA = "doc_id long, text string, source string"
@@ -79,3 +80,16 @@ def test_columns_of_the_same_names(spark):
     got = keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string, copy_key string, kept_id int, kept_key double"))
     assert got.columns == ["doc_id", "text", "copy_key", "kept_id", "kept_key"]
     assert sorted((r["doc_id"] or 0, r["copy_key"]) for r in got.collect() if r["copy_key"]) == [(0, "c"), (3, "b")]
+
+
+def test_copies_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without bands in common, texts whose fingerprints differ by two bits at most are still linked, if they are alike."""
+    rng = random.Random(5)
+    vocabulary = [a + b for a in "bdfglmnprst" for b in ["a", "eno", "irul", "otam"]]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(900)) for _ in range(6)]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(50 + i, t + " end", "s") for i, t in enumerate(base)] + [(80 + i, t.upper(), "s") for i, t in enumerate(base)]
+    bits = [(copies.fingerprint(t, 5) ^ copies.fingerprint(t + " end", 5)).bit_count() for t in base]
+    assert all(b <= 2 for b in bits)
+    monkeypatch.setattr(copies, "bands_of", lambda hashes: [])
+    got = keep_one_copy(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6))
