@@ -24,6 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
 SEED = 42
 BATCH_CHARS = 1 << 20
+LATTICE_CHARS = 1 << 16
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -87,7 +88,20 @@ class Vocabulary:
             open_ones = open_ones[(seen != key[open_ones]) & (seen >= 0)]
         return out
 
-    def lattices(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def lattices(self, units: list[str], most: int = LATTICE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`lattice` of all units, worked out in blocks of `most` characters (or one unit that has more), so that sorting edges takes bounded memory."""
+        ends = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units)))
+        found, lo, base = [], 0, 0
+        while lo < len(units):
+            hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
+            bounds, before, names, after = self.lattice(units[lo:hi])
+            before[before >= 0] += base
+            bounds += base
+            found.append((bounds, before, names, after + base))
+            lo, base = hi, int(ends[hi - 1])
+        return tuple(np.concatenate(columns) for columns in zip(*found))
+
+    def lattice(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every edge into every character of the joined units, by character: character + cumulative probability of the edge backwards, the
         character it comes from (-1: start of the unit), and its piece (below 0: -1 minus the code point, which no piece covers); last, the first
         character after each unit. The probabilities are those of backward sampling: forward sum of the edge's start times its weight, over the

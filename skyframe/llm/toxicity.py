@@ -31,6 +31,7 @@ THRESHOLD = 0.5
 THRESHOLDS = tuple(round(0.5 - 0.05 * k, 2) for k in range(10))
 MISS_WEIGHT = 1  # a missed document counts as much as so many wrongly found ones
 BEGINNINGS = (5, 6)
+BLOCK = 1024
 WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
 
@@ -82,18 +83,54 @@ def features_of(text: str | None, place: Mapping[str, int]) -> np.ndarray:
     return out
 
 
-def _fit(rows: np.ndarray, truth: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
-    """Logistic regression by Newton steps; the constant isn't penalised. With one class only the constant is set."""
-    weights = np.zeros(rows.shape[1])
+class Rows:
+    """Feature rows kept as float32 beside the earlier categories' probabilities; read in doubles, a block of rows at a time."""
+
+    def __init__(self, x: np.ndarray, earlier: np.ndarray) -> None:
+        self.x, self.earlier, self.width = x, earlier, x.shape[1] + earlier.shape[1]
+
+    def blocks(self, which: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Of the rows of these numbers: (their places in `which`, the rows)."""
+        for lo in range(0, len(which), BLOCK):
+            at = which[lo:lo + BLOCK]
+            yield slice(lo, lo + len(at)), np.column_stack((self.x[at].astype(float), self.earlier[at]))
+
+    def probabilities(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        out = np.empty(len(which))
+        for at, rows in self.blocks(which):
+            out[at] = _sigmoid(rows @ weights)
+        return out
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of float32 values held as bytes, without a list of them all."""
+    out, at = np.empty((len(column), width), dtype="<f4"), 0
+    for chunk in column.chunks:
+        for lo in range(0, len(chunk), BLOCK):
+            part = np.frombuffer(b"".join(chunk.slice(lo, BLOCK).to_pylist()), "<f4").reshape(-1, width)
+            out[at:at + len(part)] = part
+            at += len(part)
+    return out
+
+
+def _fit(rows: Rows | np.ndarray, truth: np.ndarray, which: np.ndarray | None = None, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
+    """Logistic regression by Newton steps over the rows of these numbers (by default all), whose truth is given; the constant isn't penalised.
+    With one class only the constant is set."""
+    rows = rows if isinstance(rows, Rows) else Rows(rows, np.empty((len(rows), 0)))
+    which = np.arange(len(truth)) if which is None else which
+    weights = np.zeros(rows.width)
     weights[0] = np.log((truth.sum() + 0.5) / ((1 - truth).sum() + 0.5))
     if not 0 < truth.sum() < len(truth):
         return weights
-    penalty = np.full(rows.shape[1], ridge)
+    penalty = np.full(rows.width, ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = _sigmoid(rows @ weights)
-        slope = rows.T @ (truth - p) - penalty * weights
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.diag(penalty), slope)
+        slope, curve = -penalty * weights, np.diag(penalty)
+        for at, part in rows.blocks(which):
+            p = _sigmoid(part @ weights)
+            slope += part.T @ (truth[at] - p)
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         weights = weights + step
         if np.abs(step).max() < 1e-6:
             break
@@ -156,7 +193,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features_of(t, place).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+            rows = [features_of(t.as_py(), place).astype("<f4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), *(batch.column(i + 2) for i in range(len(names)))],
                                              names=["fold", "x", *names])
 
@@ -170,17 +207,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str]
     def train(category: int, earlier: list[list[np.ndarray]]):
         def run(key: tuple, part: pa.Table) -> pa.Table:
             fit, fold = key[0].as_py(), part.column("fold").to_numpy()
-            x = np.frombuffer(b"".join(part.column("x").to_pylist()), "<f4").reshape(-1, width).astype(float)
+            rows = Rows(_matrix(part.column("x"), width), np.empty((part.num_rows, 0)))
             for models in earlier:  # of every row the probability from the model that didn't see its fold
-                p = np.empty(len(x))
+                p = np.empty(len(fold))
                 for k in range(folds):
-                    p[fold == k] = _sigmoid(x[fold == k] @ models[k])
-                x = np.column_stack((x, p))
+                    mine = np.flatnonzero(fold == k)
+                    p[mine] = rows.probabilities(mine, models[k])
+                rows = Rows(rows.x, np.column_stack((rows.earlier, p)))
             y = part.column(names[category]).to_pylist()
             known, truth = np.array([v is not None for v in y]), np.array([v or 0 for v in y], dtype=float)
-            use, out = known & (fold != fit), known & (fold == fit)
-            weights = _fit(x[use], truth[use])
-            above = _sigmoid(x[out] @ weights)[:, None] > np.array(THRESHOLDS)
+            use, out = np.flatnonzero(known & (fold != fit)), np.flatnonzero(known & (fold == fit))
+            weights = _fit(rows, truth[use], use)
+            above = rows.probabilities(out, weights)[:, None] > np.array(THRESHOLDS)
             yes, no = (above[truth[out] == m].sum(axis=0).tolist() for m in (1, 0))
             return pa.table({"fit": pa.array([fit], pa.int32()), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())),
                              "yes": pa.array([yes], pa.list_(pa.int64())), "no": pa.array([no], pa.list_(pa.int64())),
@@ -204,8 +242,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(chain.words)}
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(lo, BLOCK) for lo in range(0, whole.num_rows, BLOCK)):
                 p = chain.probabilities(np.array([features_of(t.as_py(), place) for t in batch.column(1)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(outs)))], names=["doc_id", *outs])
 
@@ -221,8 +259,10 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
 
     @F.pandas_udf("boolean")
     def stays(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=bool)
-        return pd.Series(chain.probabilities(np.array([features_of(t, place) for t in texts]))[:, at] <= most)
+        out = np.empty(len(texts), dtype=bool)
+        for lo in range(0, len(texts), BLOCK):
+            features = np.array([features_of(t, place) for t in texts.iloc[lo:lo + BLOCK]])
+            out[lo:lo + BLOCK] = chain.probabilities(features)[:, at] <= most
+        return pd.Series(out)
 
     return docs.filter(stays(F.col(text_col)))

@@ -76,3 +76,22 @@ def test_long_units_at_any_sharpness(sharpness):
     for text in ("ab" * 3000, "xyz" * 2500 + " end", "a" * 5000):
         ids, offsets = sample([text], [row_key(1)], words)
         assert decode(ids.tolist(), words) == text and offsets.tolist() == [0, len(ids)]
+
+
+def test_lattices_in_blocks_take_bounded_memory():
+    """Blocks of units give the lattices of all units at once, and sorting their edges takes little beside the result."""
+    import tracemalloc
+
+    import numpy as np
+
+    words, rng = vocabulary(), random.Random(3)
+    units = list({" " + "".join(rng.choice("etaoinshrdlu漢") for _ in range(rng.randrange(1, 12))) for _ in range(40_000)})
+    whole = words.lattice(units)
+    tracemalloc.start()
+    blocks = words.lattices(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(blocks[0], whole[0], rtol=0, atol=1e-8) and all((a == b).all() for a, b in zip(blocks[1:], whole[1:]))
+    assert peak < 4 * sum(a.nbytes for a in whole)
+    for a, b in zip(words.lattices(units[:50], 7), words.lattice(units[:50])):
+        assert np.allclose(a, b, rtol=0, atol=1e-8)

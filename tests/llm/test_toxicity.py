@@ -96,3 +96,21 @@ def test_held_out_recall_by_language_and_length(spark):
         print({k: (sum(v), len(v)) for k, v in cells.items()}, sum(r["said"] for r in clean), len(clean), chain.thresholds)
         assert np.mean([r["said"] for r in toxic]) >= 0.88 and all(np.mean(v) >= 0.75 for v in cells.values())
         assert np.mean([r["said"] for r in clean]) <= 0.015
+
+
+def test_fit_takes_bounded_memory():
+    """A fit reads its float32 rows in blocks: no copy of them in doubles, and the same weights as from all rows at once."""
+    import tracemalloc
+
+    from skyframe.llm.toxicity import Rows
+
+    rng = np.random.default_rng(5)
+    x, extra = rng.normal(size=(20_000, 60)).astype("<f4"), rng.random((20_000, 1))
+    truth = (x[:, 3] + extra[:, 0] + rng.normal(size=len(x)) > 0.5).astype(float)
+    which = np.flatnonzero(rng.random(len(x)) < 0.8)
+    tracemalloc.start()
+    found = _fit(Rows(x, extra), truth[which], which)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    assert np.allclose(found, _fit(np.column_stack((x.astype(float), extra))[which], truth[which]), atol=1e-8)
