@@ -17,6 +17,7 @@ from skyframe.params import (
 )
 from skyframe.session import spread
 
+LINE_BATCH = 128  # windows that join at a time, and fits left open while more windows come
 FIT_COLUMNS = ("n", "noise", "c0", "slope", "v_kms", "sigma_kms", "amp", "an", "flux", "flux_err", "chi2", "rchi2", "at_bound")
 FIT_SCHEMA = ("targetid long, z double, line string, status string, n int, noise double, c0 double, slope double, v_kms double, "
               "sigma_kms double, amp double, an double, flux double, flux_err double, chi2 double, rchi2 double, at_bound int")
@@ -90,114 +91,221 @@ def moment_flux(windows: DataFrame) -> DataFrame:
 # ---- bounded least squares, many windows of one complex at a time
 
 def _gaussians(x: np.ndarray, lines, v: np.ndarray, s: np.ndarray):
-    """Sum of a species' unit Gaussians and its slopes in velocity and width; arrays are (rows, pixels)."""
-    total, by_v, by_s = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    """Per line of a species: rest wavelength, the row's centre and width, the pixels' distances t in widths, and the unit Gaussian g there; arrays are
+    (rows, pixels)."""
     for rest, ratio in lines:
         centre = rest * (1.0 + v / LIGHT_KMS)
         sigma = centre * s / LIGHT_KMS
-        t = (x - centre[:, None]) / sigma[:, None]
-        g = ratio * np.exp(-0.5 * t * t)
-        total += g
-        by_centre, by_sigma = g * t / sigma[:, None], g * t * t / sigma[:, None]
-        by_v += (rest / LIGHT_KMS) * (by_centre + by_sigma * (s / LIGHT_KMS)[:, None])
-        by_s += by_sigma * (centre / LIGHT_KMS)[:, None]
-    return total, by_v, by_s
+        t = x - centre[:, None]
+        t /= sigma[:, None]
+        g = t * t
+        g *= -0.5
+        np.exp(g, out=g)
+        g *= ratio
+        yield rest, centre, sigma, t, g
+
+
+def _residual(p: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, cx: LineComplex):
+    """Weighted residuals (rows, pixels), and per species its lines, for `_jacobian`."""
+    model = x - cx.primary
+    model *= p[:, 1:2]
+    model += p[:, :1]
+    species = [list(_gaussians(x, lines, p[:, 2], p[:, 3])) for lines in cx.species]
+    for k, lines in enumerate(species):
+        model += p[:, 4 + k:5 + k] * sum((line[4] for line in lines[1:]), lines[0][4])
+    model -= y
+    model *= w
+    return model, species
+
+
+def _jacobian(p: np.ndarray, x: np.ndarray, w: np.ndarray, cx: LineComplex, species, at=slice(None)) -> np.ndarray:
+    """Weighted slopes of the model (rows, pixels, parameters) of the rows `at` of what `_residual` found; the other arrays hold these rows only."""
+    jac = np.zeros((*x.shape, p.shape[1]))
+    jac[..., 0] = w
+    jac[..., 1] = (x - cx.primary) * w
+    by_v, by_s = np.zeros_like(x), np.zeros_like(x)
+    for k, lines in enumerate(species):
+        total, of_v, of_s = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+        for rest, centre, sigma, t, g in lines:
+            centre, sigma, t, g = centre[at], sigma[at, None], t[at], g[at]
+            total += g
+            slope = g * t
+            wider = slope * t
+            slope /= sigma
+            wider /= sigma
+            of_s += wider * (centre / LIGHT_KMS)[:, None]
+            wider *= (p[:, 3] / LIGHT_KMS)[:, None]
+            slope += wider
+            slope *= rest / LIGHT_KMS
+            of_v += slope
+        amp = p[:, 4 + k:5 + k]
+        by_v += amp * of_v
+        by_s += amp * of_s
+        jac[..., 4 + k] = total * w
+    jac[..., 2], jac[..., 3] = by_v * w, by_s * w
+    return jac
 
 
 def _evaluate(p: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, cx: LineComplex):
     """Weighted residuals (rows, pixels) and their Jacobian (rows, pixels, parameters)."""
-    jac = np.zeros((*x.shape, p.shape[1]))
-    jac[..., 0] = 1.0
-    jac[..., 1] = x - cx.primary
-    model = p[:, :1] + p[:, 1:2] * jac[..., 1]
-    for k, lines in enumerate(cx.species):
-        amp = p[:, 4 + k:5 + k]
-        g, by_v, by_s = _gaussians(x, lines, p[:, 2], p[:, 3])
-        model = model + amp * g
-        jac[..., 2] += amp * by_v
-        jac[..., 3] += amp * by_s
-        jac[..., 4 + k] = g
-    return (model - y) * w, jac * w[..., None]
+    residual, species = _residual(p, x, y, w, cx)
+    return residual, _jacobian(p, x, w, cx, species)
 
 
-def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineComplex, steps: int = LINE_MAX_STEPS):
-    """Levenberg-Marquardt with steps clipped to the bounds and bound parameters held while they push outward."""
-    residual, jac = _evaluate(p, x, y, w, cx)
-    cost = 0.5 * (residual**2).sum(axis=1)
-    damping = np.full(len(p), 1e-3)
-    exact = 0.5e-24 * ((y * w)**2).sum(axis=1)  # residuals of this size are rounding
-    active = np.ones(len(p), bool)
-    for _ in range(steps):
-        i = np.flatnonzero(active)
-        if not i.size:
-            break
-        j, r = jac[i], residual[i]
-        gradient = np.einsum("rnp,rn->rp", j, r)
-        held = ((p[i] <= low[i]) & (gradient > 0)) | ((p[i] >= high[i]) & (gradient < 0))
-        j = np.where(held[:, None, :], 0.0, j)
-        normal = np.einsum("rnp,rnq->rpq", j, j)
-        diagonal = np.einsum("rpp->rp", normal).copy()
-        diagonal[diagonal <= 0] = 1.0
+def _products(jac: np.ndarray, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the products of slopes with each other and with the residuals."""
+    return np.einsum("rnp,rnq->rpq", jac, jac), np.einsum("rnp,rn->rp", jac, residual)
+
+
+class _Fits:
+    """Open fits of one complex, which advance together: Levenberg-Marquardt with steps clipped to the bounds and bound parameters held while they
+    push outward. Settled fits leave and new ones join, so that a few slow fits do not hold a batch of others or run on their own.
+    """
+
+    def __init__(self, cx: LineComplex, steps: int = LINE_MAX_STEPS) -> None:
+        self.cx, self.steps = cx, steps
+        self.rows: dict[str, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.rows["tag"]) if self.rows else 0
+
+    def add(self, tag: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        """Rows join; pixels are padded to a rectangle with zero weight."""
+        residual, jac = _evaluate(p, x, y, w, self.cx)
+        normal, gradient = _products(jac, residual)
+        new = {"tag": tag, "p": p, "low": low, "high": high, "x": x, "y": y, "w": w, "cost": 0.5 * (residual**2).sum(axis=1), "turn": np.zeros(len(p), int),
+               "damping": np.full(len(p), 1e-3), "exact": 0.5e-24 * ((y * w)**2).sum(axis=1),  # residuals of this size are rounding
+               "normal": normal, "gradient": gradient}
+        if len(self):
+            width = max(x.shape[1], self.rows["x"].shape[1])
+            for name, pad in (("x", self.cx.primary), ("y", 0.0), ("w", 0.0)):
+                new[name], self.rows[name] = (np.pad(rows[name], ((0, 0), (0, width - rows[name].shape[1])), constant_values=pad) for rows in (new, self.rows))
+            new = {name: np.concatenate((self.rows[name], rows)) for name, rows in new.items()}
+        self.rows = new
+
+    def advance(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of all; tag, parameters and cost of those that leave. The cost of one that has not settled is infinite: never the best of the
+        starts, and a failed fit if no start settles."""
+        r, cx = self.rows, self.cx
+        p, gradient, cost, damping = r["p"], r["gradient"], r["cost"], r["damping"]
+        held = ((p <= r["low"]) & (gradient > 0)) | ((p >= r["high"]) & (gradient < 0))
+        normal = np.where(held[:, :, None] | held[:, None, :], 0.0, r["normal"])
         k = np.arange(p.shape[1])
-        normal[:, k, k] += damping[i, None] * diagonal + held
+        diagonal = normal[:, k, k]
+        diagonal[diagonal <= 0] = 1.0
+        normal[:, k, k] += damping[:, None] * diagonal + held
         step = np.linalg.solve(normal, -np.where(held, 0.0, gradient)[..., None])[..., 0]
-        trial = np.clip(p[i] + step, low[i], high[i])
-        new_residual, new_jac = _evaluate(trial, x[i], y[i], w[i], cx)
-        new_cost = 0.5 * (new_residual**2).sum(axis=1)
-        better = np.isfinite(new_cost) & (new_cost <= cost[i])
-        settled = better & (cost[i] - new_cost <= 1e-8 * cost[i]) & (damping[i] <= 1.0)
-        took = i[better]
-        p[took], residual[took], jac[took], cost[took] = trial[better], new_residual[better], new_jac[better], new_cost[better]
-        damping[i] = np.where(better, np.maximum(damping[i] / 5.0, 1e-12), damping[i] * 4.0)
-        active[i] = ~settled & (damping[i] < 1e12) & (cost[i] > exact[i])
-    cost[active] = np.inf  # not settled: never the best of the starts, and a failed fit if no start settles
-    return p, cost, jac
-
-
-def _fit_complex(pdf: pd.DataFrame, cx: LineComplex) -> pd.DataFrame:
-    """Fit all windows of one complex in a batch; pixels are padded to a rectangle with zero weight."""
-    rows, width = len(pdf), int(pdf["x"].map(len).max())
-    x, y, w = np.full((rows, width), cx.primary), np.zeros((rows, width)), np.zeros((rows, width))
-    for i, (xs, ys, vs) in enumerate(zip(pdf["x"], pdf["y"], pdf["v"])):
-        x[i, :len(xs)], y[i, :len(ys)], w[i, :len(vs)] = xs, ys, np.sqrt(vs)
-    n = (w > 0).sum(axis=1)
-    noise, c0, peak = (pdf[c].to_numpy(float) for c in ("noise", "c0", "peak"))
-    species = len(cx.species)
-    ceiling = np.maximum(np.maximum(10.0 * np.abs(peak), 50.0 * noise), 1e-3)
-    low = np.tile([-np.inf, -np.inf, -cx.max_velocity, LINE_MIN_WIDTH] + [0.0] * species, (rows, 1))
-    high = np.tile([np.inf, np.inf, cx.max_velocity, cx.max_width] + [0.0] * species, (rows, 1))
-    high[:, 4:] = ceiling[:, None]
-    best = None
-    for width0 in LINE_START_WIDTHS:
-        start = np.zeros((rows, 4 + species))
-        start[:, 0], start[:, 3] = c0, width0
-        start[:, 4:] = np.maximum(peak, 3.0 * noise)[:, None]
-        fit = _solve(np.clip(start, low + 1e-9, high - 1e-9), low, high, x, y, w, cx)
-        if best is None:
-            best = fit
-        else:
-            wins = fit[1] < best[1]
-            for kept, new in zip(best, fit):
-                kept[wins] = new[wins]
-    p, cost, jac = best
-    amp, v, s = p[:, 4], p[:, 2], p[:, 3]
-    sigma = cx.primary * (1.0 + v / LIGHT_KMS) * s / LIGHT_KMS
-    flux = (1.0 + pdf["z"].to_numpy(float)) * amp * sigma * math.sqrt(2.0 * math.pi)
-    error = np.full(rows, np.nan)
-    for i, normal in enumerate(np.einsum("rnp,rnq->rpq", jac, jac)):
-        if amp[i] > 0 and np.linalg.cond(normal / np.sqrt(np.outer(np.diag(normal), np.diag(normal)) + 1e-300)) < 1e14:
-            cov = np.linalg.inv(normal)
-            if cov[4, 4] >= 0 and cov[3, 3] >= 0:
-                error[i] = flux[i] * math.sqrt(cov[4, 4] / amp[i]**2 + cov[3, 3] / s[i]**2)
-    failed = ~np.isfinite(cost)
-    out = pd.DataFrame({
-        "targetid": pdf["targetid"].to_numpy(), "z": pdf["z"].to_numpy(), "line": cx.name,
-        "status": np.where(failed, "fit_fail", "ok"), "n": n, "noise": noise, "c0": p[:, 0], "slope": p[:, 1], "v_kms": v,
-        "sigma_kms": s, "amp": amp, "an": amp / noise, "flux": flux, "flux_err": error, "chi2": 2.0 * cost,
-        "rchi2": 2.0 * cost / np.maximum(n - 4 - species, 1),
-        "at_bound": ((np.abs(v) > cx.max_velocity - 10) | (s > cx.max_width - 10)).astype(int)})
-    out.loc[failed, list(FIT_COLUMNS)] = None
-    return out
+        trial = np.clip(p + step, r["low"], r["high"])
+        residual, species = _residual(trial, r["x"], r["y"], r["w"], cx)
+        new_cost = 0.5 * (residual**2).sum(axis=1)
+        better = np.isfinite(new_cost) & (new_cost <= cost)
+        settled = better & (cost - new_cost <= 1e-8 * cost) & (damping <= 1.0)
+        took = np.flatnonzero(better)
+        if took.size:
+            at = slice(None) if took.size == len(p) else took
+            jac = _jacobian(trial[at], r["x"][at], r["w"][at], cx, species, at)
+            p[at], cost[at] = trial[at], new_cost[at]
+            r["normal"][at], gradient[at] = _products(jac, residual[at])
+        damping[:] = np.where(better, np.maximum(damping / 5.0, 1e-12), damping * 4.0)
+        r["turn"] += 1
+        active = ~settled & (damping < 1e12) & (cost > r["exact"])
+        late = active & (r["turn"] >= self.steps)
+        gone = ~active | late
+        out = r["tag"][gone], p[gone], np.where(late, np.inf, cost)[gone]
+        if gone.any():
+            self.rows = {name: rows[~gone] for name, rows in r.items()}
+        return out
+
+
+def _solve(p: np.ndarray, low: np.ndarray, high: np.ndarray, x, y, w, cx: LineComplex, steps: int = LINE_MAX_STEPS):
+    """All rows together until each has left: parameters, cost, Jacobian."""
+    fits, p, cost = _Fits(cx, steps), p.copy(), np.empty(len(p))
+    fits.add(np.arange(len(p)), p.copy(), low, high, x, y, w)
+    while len(fits):
+        tag, found, costs = fits.advance()
+        p[tag], cost[tag] = found, costs
+    return p, cost, _evaluate(p, x, y, w, cx)[1]
+
+
+class _Windows:
+    """Fits of all windows of one complex that a task gets, from each start; a window is given out when its last start is done."""
+
+    def __init__(self, cx: LineComplex) -> None:
+        self.cx, self.fits, self.next = cx, _Fits(cx), 0
+        self.open: dict[int, list] = {}  # by number: the window, then per start (cost, parameters) or None
+        self.done: list[list] = []
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        cx, starts, rows = self.cx, len(LINE_START_WIDTHS), list(pdf.itertuples(index=False))
+        x, y, w = self._pixels(rows)
+        noise, c0, peak = (pdf[c].to_numpy(float) for c in ("noise", "c0", "peak"))
+        species = len(cx.species)
+        ceiling = np.maximum(np.maximum(10.0 * np.abs(peak), 50.0 * noise), 1e-3)
+        low = np.tile([-np.inf, -np.inf, -cx.max_velocity, LINE_MIN_WIDTH] + [0.0] * species, (len(rows), 1))
+        high = np.tile([np.inf, np.inf, cx.max_velocity, cx.max_width] + [0.0] * species, (len(rows), 1))
+        high[:, 4:] = ceiling[:, None]
+        number = self.next + np.arange(len(rows))
+        self.open.update((n, [row] + [None] * starts) for n, row in zip(number.tolist(), rows))
+        self.next += len(rows)
+        for i, width0 in enumerate(LINE_START_WIDTHS):
+            start = np.zeros((len(rows), 4 + species))
+            start[:, 0], start[:, 3] = c0, width0
+            start[:, 4:] = np.maximum(peak, 3.0 * noise)[:, None]
+            self.fits.add(number * starts + i, np.clip(start, low + 1e-9, high - 1e-9), low, high, x, y, w)
+
+    def run(self, most: int) -> Iterator[pd.DataFrame]:
+        """Steps until at most so many fits are open."""
+        starts = len(LINE_START_WIDTHS)
+        while len(self.fits) > most:
+            for tag, p, cost in zip(*self.fits.advance()):
+                number, i = divmod(int(tag), starts)
+                self.open[number][1 + i] = (cost, p)
+                if None not in self.open[number][1:]:
+                    self.done.append(self.open.pop(number))
+        if self.done:
+            yield self._found(self.done)
+            self.done = []
+
+    def _pixels(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = max(len(r.x) for r in rows)
+        x, y, w = np.full((len(rows), width), self.cx.primary), np.zeros((len(rows), width)), np.zeros((len(rows), width))
+        for i, r in enumerate(rows):
+            x[i, :len(r.x)], y[i, :len(r.y)], w[i, :len(r.v)] = r.x, r.y, np.sqrt(r.v)
+        return x, y, w
+
+    def _found(self, done: list[list]) -> pd.DataFrame:
+        """The best of each window's starts, the first of equals, with the errors of its flux."""
+        cx, rows, species = self.cx, [d[0] for d in done], len(self.cx.species)
+        best = []
+        for _, first, *others in done:
+            for other in others:
+                first = other if other[0] < first[0] else first
+            best.append(first)
+        cost, p = np.array([b[0] for b in best]), np.array([b[1] for b in best])
+        x, y, w = self._pixels(rows)
+        n, z, noise = (w > 0).sum(axis=1), np.array([r.z for r in rows], float), np.array([r.noise for r in rows], float)
+        normal = _products(*_evaluate(p, x, y, w, cx)[::-1])[0]
+        amp, v, s = p[:, 4], p[:, 2], p[:, 3]
+        sigma = cx.primary * (1.0 + v / LIGHT_KMS) * s / LIGHT_KMS
+        flux = (1.0 + z) * amp * sigma * math.sqrt(2.0 * math.pi)
+        error = np.full(len(rows), np.nan)
+        diagonal = np.einsum("rpp->rp", normal)
+        some = np.flatnonzero((amp > 0) & np.isfinite(normal).all(axis=(1, 2)))
+        scaled = normal[some] / np.sqrt(diagonal[some, :, None] * diagonal[some, None, :] + 1e-300)
+        some = some[np.linalg.cond(scaled) < 1e14] if some.size else some
+        cov = np.linalg.inv(normal[some])
+        known = (cov[:, 4, 4] >= 0) & (cov[:, 3, 3] >= 0)
+        some, cov = some[known], cov[known]
+        error[some] = flux[some] * np.sqrt(cov[:, 4, 4] / amp[some]**2 + cov[:, 3, 3] / s[some]**2)
+        failed = ~np.isfinite(cost)
+        out = pd.DataFrame({
+            "targetid": [r.targetid for r in rows], "z": z, "line": cx.name,
+            "status": np.where(failed, "fit_fail", "ok"), "n": n, "noise": noise, "c0": p[:, 0], "slope": p[:, 1], "v_kms": v,
+            "sigma_kms": s, "amp": amp, "an": amp / noise, "flux": flux, "flux_err": error, "chi2": 2.0 * cost,
+            "rchi2": 2.0 * cost / np.maximum(n - 4 - species, 1),
+            "at_bound": ((np.abs(v) > cx.max_velocity - 10) | (s > cx.max_width - 10)).astype(int)})
+        out.loc[failed, list(FIT_COLUMNS)] = None
+        return out
 
 
 def fit_lines(windows: DataFrame) -> DataFrame:
@@ -206,12 +314,16 @@ def fit_lines(windows: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_windows = {name: _Windows(cx) for name, cx in names.items()}
         for batch in batches:
             gated = batch["status"].notna()
             yield batch.loc[gated, ["targetid", "z", "line", "status"]].reindex(columns=columns)
             for line, pdf in batch[~gated].groupby("line"):
-                for start in range(0, len(pdf), 512):
-                    yield _fit_complex(pdf.iloc[start:start + 512], names[line])
+                for start in range(0, len(pdf), LINE_BATCH):
+                    open_windows[line].add(pdf.iloc[start:start + LINE_BATCH])
+                    yield from open_windows[line].run(LINE_BATCH)
+        for own in open_windows.values():
+            yield from own.run(0)
 
     pixels = [F.when(F.col("status").isNull(), F.col(c)).alias(c) for c in ("x", "y", "v")]
     rows = windows.select("targetid", "z", "line", "status", *pixels, "noise", "c0", "peak")

@@ -160,3 +160,42 @@ def test_windows_without_noise_settle():
     start = np.tile([0.5, 0.0, 0.0, 300.0, 2.0], (rows, 1))
     found, cost, _ = ln._solve(start, low, high, x, y, w, cx)
     assert np.isfinite(cost).all() and np.allclose(found, p, rtol=1e-6, atol=1e-8)
+
+
+def test_slow_fits_share_steps_with_others():
+    """Fits join while others run: a window's numbers are those it has alone, and many windows take few more steps than the slowest one."""
+    import pandas as pd
+
+    cx, rng = LINE_COMPLEXES[0], np.random.default_rng(4)
+
+    def windows(n, first):
+        rows = []
+        for i in range(first, first + n):
+            x = np.linspace(*cx.window, 80 + i % 9)
+            p = np.array([[0.5, 0.001, 20.0 * (i % 7), 200.0 + i % 50, 4.0 if i % 3 else 0.0]])
+            y = ln._evaluate(p, x[None], np.zeros((1, len(x))), np.ones((1, len(x))), cx)[0][0] + rng.normal(0, 0.3, len(x))
+            rows.append((i, 0.3, x, y, np.full(len(x), 9.0), 1 / 3, 0.5, float(y.max() - 0.5)))
+        return pd.DataFrame(rows, columns=["targetid", "z", "x", "y", "v", "noise", "c0", "peak"])
+
+    def steps(of):
+        seen, advance = [], ln._Fits.advance
+        try:
+            ln._Fits.advance = lambda self: seen.append(1) or advance(self)
+            own, out = ln._Windows(cx), []
+            for lo in range(0, len(of), 16):
+                own.add(of.iloc[lo:lo + 16])
+                out += own.run(48)
+            out += own.run(0)
+        finally:
+            ln._Fits.advance = advance
+        return pd.concat(out).set_index("targetid").sort_index(), len(seen)
+
+    many = windows(64, 0)
+    together, n = steps(many)
+    alone = [steps(many.iloc[i:i + 1]) for i in range(len(many))]
+    assert n <= max(k for _, k in alone) + 4 * 48
+    for got, _ in alone:
+        want = together.loc[got.index]
+        assert got["status"].tolist() == want["status"].tolist()
+        assert np.allclose(got["chi2"].astype(float), want["chi2"].astype(float), rtol=1e-6)
+        assert np.allclose(got["flux"].astype(float), want["flux"].astype(float), rtol=1e-4, atol=1e-4)
