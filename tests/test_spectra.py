@@ -199,3 +199,18 @@ def test_slow_fits_share_steps_with_others():
         assert got["status"].tolist() == want["status"].tolist()
         assert np.allclose(got["chi2"].astype(float), want["chi2"].astype(float), rtol=1e-6)
         assert np.allclose(got["flux"].astype(float), want["flux"].astype(float), rtol=1e-4, atol=1e-4)
+
+
+def test_planted_spectra_equal_their_formula(spark, tmp_path):
+    """What is worked out once per row gives the same pixels as the formula of every pixel; rows with null keys stay."""
+    from skyframe.registry import base
+
+    rows = [(i, i % 5, [0.1 * i - 0.7, 0.3, -0.2]) for i in range(12)] + [(None, None, None), (3, 1, [0.5, 0.5, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    views = base.Views(spark, str(tmp_path))
+    plain = spark.sql(f"SELECT targetid, kind, z, transform(sequence(0, 3099), i -> {base._PLANTED_PIXEL}) AS flux, "
+                      f"transform(sequence(0, 3099), i -> {base._PLANTED_IVAR}) AS ivar FROM ({base.PLANTED_TRUTH[0]})", embeddings=views.table("embeddings"))
+    assert views.planted.schema == plain.schema
+    found, want = (sorted(map(str, df.collect())) for df in (views.planted, plain))
+    assert len(found) == 14 and found == want
+    assert "held" in base.VIEWS["v_planted"][0] and "held" in base.VIEWS["v_spectra"][0]
