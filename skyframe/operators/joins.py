@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 class DataError(RuntimeError):
@@ -29,13 +30,18 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def strict_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Inner join where every left key must exist in `right`, exactly once."""
+    """Inner join where every left key must exist in `right`, exactly once.
+
+    Spark takes an array for one element when it guesses sizes, so spectra worked out from a small table would be broadcast. Where `right` holds
+    arrays, the left rows of a partition are hashed and the right ones stream past them, neither sorted nor sent to the driver.
+    """
     require_unique(right, keys, what)
     missing = missing_keys(left, right, keys)
     examples = [tuple(r) for r in missing.orderBy(*keys).limit(5).collect()]
     if examples:
         raise DataError(f"{what}: {missing.count()} keys are absent (first: {examples})")
-    return left.join(right, list(keys), "inner")
+    arrays = any(isinstance(f.dataType, ArrayType) for f in right.schema)
+    return (left.hint("shuffle_hash") if arrays else left).join(right, list(keys), "inner")
 
 
 def two_hop_lookup(staged: DataFrame, manifest: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:

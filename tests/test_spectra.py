@@ -214,3 +214,15 @@ def test_planted_spectra_equal_their_formula(spark, tmp_path):
     found, want = (sorted(map(str, df.collect())) for df in (views.planted, plain))
     assert len(found) == 14 and found == want
     assert "held" in base.VIEWS["v_planted"][0] and "held" in base.VIEWS["v_spectra"][0]
+
+
+def test_spectra_from_a_small_table_are_not_broadcast(spark):
+    """Arrays worked out from short rows are far larger than Spark's guess: the lookup streams past them."""
+    from skyframe.operators.joins import strict_lookup
+
+    rows = spark.range(40).withColumnRenamed("id", "targetid")
+    grown = rows.withColumn("flux", F.expr("transform(sequence(0, 3099), i -> targetid + i * 0.5D)"))
+    out = strict_lookup(rows.filter("targetid % 3 = 0").withColumn("z", F.lit(0.5)), grown, ["targetid"], "spectra")
+    assert {r["targetid"]: (r["z"], sum(r["flux"])) for r in out.collect()} == {i: (0.5, 3100 * i + 0.5 * 3100 * 3099 / 2) for i in range(0, 40, 3)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
