@@ -167,9 +167,10 @@ def near_pairs(classes: DataFrame, threshold: float = THRESHOLD, bits: int = BIT
     flips = F.transform(F.sequence(F.lit(-1), F.col("width") - 1), lambda i: F.when(i < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     asks = filed.select(F.col("class_id").alias("b"), "label", "dim", F.col("code").alias("code_b"), "slot", "part", F.explode(flips).alias("flip"))
     asks = asks.select("b", "label", "dim", "code_b", "slot", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
-    near = filed.withColumnRenamed("class_id", "a").join(asks, ["label", "dim", "slot", "part"]).filter("a < b")
+    # Spark guesses the size of asks from the file of codes, without what explode makes of a row, and would send them all through the driver
+    near = filed.withColumnRenamed("class_id", "a").join(asks.hint("merge"), ["label", "dim", "slot", "part"]).filter("a < b")
     near = near.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= F.col("farthest")).select("a", "b").distinct()
-    vectors = classes.select("class_id", "vector")
+    vectors = classes.select("class_id", "vector").hint("merge")  # an array counts as one element in the guess
     both = near.join(vectors.withColumnRenamed("class_id", "a").withColumnRenamed("vector", "va"), "a")
     both = both.join(vectors.withColumnRenamed("class_id", "b").withColumnRenamed("vector", "vb"), "b").select("a", "b", "va", "vb")
 
@@ -204,14 +205,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = settle(near_pairs(numbered, threshold, **options).select("a", "b"))
     sizes = numbered.select(F.col("class_id").alias("other"), F.col("n").alias("m"))
     both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    degrees = both.join(sizes, "other").groupBy("class_id").agg(F.sum("m").alias("linked"))
+    degrees = both.join(sizes.hint("merge"), "other").groupBy("class_id").agg(F.sum("m").alias("linked"))
     stars = components(pairs, "a", "b").join(numbered.select(F.col("class_id").alias("node"), "first_id"), "node")
     least = stars.groupBy("root").agg(F.min("first_id").alias("least_id"))
     roots = stars.join(least, "root").select(F.col("node").alias("class_id"), "least_id")
     told = numbered.select("class_id", "label", "digest", "n", "first_id").join(degrees, "class_id", "left").join(roots, "class_id", "left")
     told = told.select("label", "digest", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
                        F.coalesce("least_id", "first_id").alias("component_id"))
-    linked = marked.select("vec_id", "label", "digest").join(settle(told), ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    linked = marked.select("vec_id", "label", "digest").join(settle(told).hint("merge"), ["label", "digest"]).select("vec_id", "n_links", "component_id")
     alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), *([F.col(label_col).alias("l")] if label_col else []))
     bare = alone.filter(~_links_at_all(alone, label_col)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(bare).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -110,3 +110,19 @@ def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")).collect()[0][:] == (1, 0, 1, True)
+
+
+def test_what_is_asked_and_vectors_are_not_broadcast(spark, tmp_path):
+    """Spark takes them for as small as the file of codes; the driver would hold every substring that is asked for."""
+    from skyframe.llm.itq import near_pairs
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "x", 16, v) for i, v in enumerate(made(rng, 40, 16, 0.05))]
+    spark.createDataFrame(rows, "class_id long, label string, dim int, vector array<double>").write.parquet(f"{tmp_path}/classes")
+    pairs = near_pairs(spark.read.parquet(f"{tmp_path}/classes"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+    unit = np.array([r[3] for r in rows], dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if unit[i] @ unit[j] >= 0.98}
+    assert near and {(r["a"], r["b"]) for r in pairs.collect()} == near
