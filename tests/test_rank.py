@@ -178,3 +178,51 @@ def test_bands_of_several_columns_share_ranks_and_weights(spark, n, window, bloc
         one = rank.rolling_band(df, "x", c, "id", window, 30, 2).orderBy("id").collect()
         for a, b in zip(both[c].orderBy("id").collect(), one, strict=True):
             assert a["rank"] == b["rank"] and (a["lo"], a["hi"]) == pytest.approx((b["lo"], b["hi"]), abs=1e-9)
+
+
+def test_rolling_band_moves_keys_and_not_weights(spark, monkeypatch):
+    """Of the weights only sums by block are written or moved: two vectors of replicates a block and not a binary a row. Keys stay exact."""
+    n, replicates, moved, kept = 600, 80, [], []
+    spread, settle = rank.spread, rank.settle
+    monkeypatch.setattr(rank, "spread", lambda df, *keys: moved.append(df) or spread(df, *keys))
+    monkeypatch.setattr(rank, "settle", lambda df: kept.append(df) or settle(df))
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    first = 2**60 + 1
+    df = spark.createDataFrame([(first + i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    got = {r["id"]: r for r in rank.rolling_band(df, "x", "y", "id", 0.3, replicates, 4, block_rows=60).collect()}
+    assert all(f.dataType.simpleString() != "binary" for frame in moved + kept for f in frame.schema)
+    blocks = math.ceil(n / 60) + 1
+    vectors = [frame.selectExpr("explode(_w)").count() for frame in moved if "array" in dict(frame.dtypes).get("_w", "")]
+    assert vectors and max(vectors) <= 2 * blocks * replicates and all(frame.count() <= blocks * replicates for frame in kept if "_w" in frame.columns)
+    order, half = np.argsort(x), rank.half_window(n, 0.3)
+    w = plain_weights([first + i for i in order.tolist()], replicates, 4).astype(float)
+    for k, i in enumerate(order.tolist()):
+        inside = slice(max(0, k - half), k + half + 1)
+        means = (y[order][inside] @ w[inside]) / w[inside].sum(axis=0)
+        assert got[first + i]["rank"] == k and (got[first + i]["lo"], got[first + i]["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+
+
+@pytest.mark.parametrize("rows,parts", [(5000, 4), (40, 200)])
+def test_rolling_band_chooses_its_blocks(spark, monkeypatch, rows, parts):
+    """Chains of many blocks, of which tasks take a few at a time, give the bands that single blocks give."""
+    monkeypatch.setattr(rank, "BAND_ROWS", 8)
+    monkeypatch.setattr(rank, "MOST_BAND_ROWS", 32)
+    monkeypatch.setattr(rank, "CHAIN_BLOCKS", 3)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(rows, 2)))], "id int, x double, y double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        some = rank.rolling_band(df, "x", "y", "id", 0.02, 25, 1).orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    x, y, half = np.array([r["x"] for r in some]), df.orderBy("x", "id").toPandas()["y"].to_numpy(), rank.half_window(rows, 0.02)
+    w = plain_weights([r["id"] for r in some], 25, 1).astype(float)
+    assert (np.diff(x) >= 0).all() and [r["rank"] for r in some] == list(range(rows))
+    through = np.concatenate((np.zeros((1, 25)), np.cumsum(w, axis=0))), np.concatenate((np.zeros((1, 25)), np.cumsum(w * y[:, None], axis=0)))
+    for k, r in enumerate(some):
+        lo, hi = max(0, k - half), min(rows, k + half + 1)
+        total = through[0][hi] - through[0][lo]
+        means = (through[1][hi] - through[1][lo])[total > 0] / total[total > 0]
+        assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
