@@ -149,3 +149,21 @@ def test_repeated_keys_cannot_be_split_or_folded(spark):
     for job in (sm.assign_split, sm.assign_blocks):
         with pytest.raises(DataError, match="not unique"):
             job(rows)
+
+
+def test_one_band_is_the_one_of_all_bands(spark, tmp_path):
+    """The band of one modality takes the job's own number of replicates, in code and SQL."""
+    import datetime
+
+    from skyframe.registry import QUERIES, SQL
+
+    day = datetime.datetime(2020, 1, 1)
+    spark.createDataFrame([(k, k, "O", 1000.0 + k * 7919 % 4001, day, "1") for k in range(60)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, k % 5, k % 4, 1, 1.0 + k % 50, 900.0 + 13 * k, k % 10 / 100, k % 8 / 100) for k in range(60)], "l_orderkey long, l_partkey long, l_suppkey long, "
+                          "l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"s{k}", k, 100.0 * k) for k in range(4)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    one, every = (QUERIES[n](spark, str(tmp_path)) for n in ("job_analyse_band", "job_analyse_bands"))
+    found, want = (sorted(map(tuple, df.collect())) for df in (one, every.filter("modality = 'S'").select(*one.columns)))
+    assert len(found) == 45 and found == want
+    assert "range(0, 1000)" in SQL["job_analyse_band"] and "range(0, 20)" not in SQL["job_analyse_band"]

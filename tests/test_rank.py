@@ -226,3 +226,13 @@ def test_rolling_band_chooses_its_blocks(spark, monkeypatch, rows, parts):
         total = through[0][hi] - through[0][lo]
         means = (through[1][hi] - through[1][lo])[total > 0] / total[total > 0]
         assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+
+
+def test_bands_of_several_columns_move_rows_once(spark, monkeypatch):
+    """Rows and sums of all columns travel together, however many columns there are."""
+    moved, spread = [], rank.spread
+    monkeypatch.setattr(rank, "spread", lambda df, *keys: moved.append(df) or spread(df, *keys))
+    rows = [(i, float(i * 7 % 50), *([float(i % k) for k in (3, 5, 8)])) for i in range(120)]
+    bands = rank.rolling_bands(spark.createDataFrame(rows, "id int, x double, a double, b double, c double"), "x", ["a", "b", "c"], "id", 0.2, 30, 2)
+    assert [len(b.collect()) for b in bands.values()] == [120, 120, 120]
+    assert len(moved) == 2 and all(f.dataType.simpleString() != "binary" for df in moved for f in df.schema)
